@@ -1,0 +1,91 @@
+"""Registered queries: scans, cleaning, filters, projections (SRC, FLT, PRJ,
+AGG14, AGG16, RSH1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.clean import claims_only, distinct_rows, drop_null_rows, exposure_audit, min_severity
+from ..operators.reshape import unpivot_factors
+from ..schema import FACTORS, MODEL_FEATURES
+from .registry import query
+from .sqlparts import CLEAN, FACTOR_LIST, MODEL, POLICIES, rnd, with_
+from .stages import clean_policies, model_table, policies, round_doubles
+
+MEAS = "EARNED_EXPOSURE, ULTIMATE_AMOUNT, ULTIMATE_CLAIM_COUNT"
+
+
+@query("scan_policies", with_(POLICIES, "SELECT * FROM policies"), "SRC3 SRC4 (policy view scan)")
+def scan_policies(spark, sf):
+    return policies(spark, sf)
+
+
+@query("clean_policies", with_(CLEAN, "SELECT * FROM clean"), "FLT1 PRJ1 PRJ2 PRJ3")
+def q_clean_policies(spark, sf):
+    return clean_policies(spark, sf)
+
+
+_AUDIT_SQL = with_(POLICIES, """
+SELECT coverage, exposure_class, n_rows, sum_exposure, sum_amount, sum_claims,
+       round(100.0 * n_rows / sum(n_rows) OVER (PARTITION BY coverage), 6) AS pct_of_raw
+FROM (
+  SELECT coverage,
+         CASE WHEN EARNED_EXPOSURE IS NULL THEN 'null' WHEN EARNED_EXPOSURE > 0 THEN 'positive'
+              WHEN EARNED_EXPOSURE = 0 THEN 'zero' ELSE 'negative' END AS exposure_class,
+         count(*) AS n_rows, sum(EARNED_EXPOSURE) AS sum_exposure,
+         sum(ULTIMATE_AMOUNT) AS sum_amount, sum(ULTIMATE_CLAIM_COUNT) AS sum_claims
+  FROM policies GROUP BY 1, 2
+) t""")
+
+
+@query("exposure_audit", rnd(_AUDIT_SQL, ["sum_exposure", "sum_amount", "sum_claims", "pct_of_raw"]), "AGG14")
+def q_exposure_audit(spark, sf):
+    return round_doubles(exposure_audit(policies(spark, sf)))
+
+
+_SEV_COLS = ["policy_id", "coverage", "ULTIMATE_AMOUNT", "ULTIMATE_CLAIM_COUNT", "severity", "log_severity"]
+
+
+@query("claims_severity",
+       rnd(with_(MODEL, f"SELECT {', '.join(_SEV_COLS)} FROM model WHERE ULTIMATE_CLAIM_COUNT > 0"),
+           ["severity", "log_severity"]),
+       "FLT2 PRJ4 PRJ5 PRJ6 PRJ7")
+def q_claims_severity(spark, sf):
+    return round_doubles(claims_only(model_table(spark, sf)).select(*_SEV_COLS))
+
+
+@query("log_severity_gt1",
+       rnd(with_(MODEL, "SELECT policy_id, coverage, ln(severity) AS log_response FROM model "
+                        "WHERE ULTIMATE_CLAIM_COUNT > 0 AND severity > 1"), ["log_response"]),
+       "FLT3 PRJ20")
+def q_log_severity_gt1(spark, sf):
+    df = min_severity(claims_only(model_table(spark, sf)), 1.0)
+    return round_doubles(df.select("policy_id", "coverage", F.log("severity").alias("log_response")))
+
+
+@query("drop_null_rows",
+       rnd(with_(MODEL, f"SELECT policy_id, coverage, {MEAS}, severity, log_severity FROM model "
+                        f"WHERE COLUMNS(*) IS NOT NULL"), ["severity", "log_severity"]),
+       "FLT4")
+def q_drop_null_rows(spark, sf):
+    df = drop_null_rows(model_table(spark, sf))
+    return round_doubles(df.select("policy_id", "coverage", *MEAS.split(", "), "severity", "log_severity"))
+
+
+_DISTINCT_COLS = ["coverage", "ULTIMATE_CLAIM_COUNT"] + MODEL_FEATURES
+
+
+@query("distinct_policies",
+       with_(MODEL, f"SELECT DISTINCT {', '.join(_DISTINCT_COLS)} FROM model"),
+       "AGG16 SMP4")
+def q_distinct_policies(spark, sf):
+    return distinct_rows(model_table(spark, sf).select(*_DISTINCT_COLS))
+
+
+@query("unpivot_factors",
+       with_(CLEAN, f"SELECT policy_id, coverage, variable, level FROM "
+                    f"(SELECT policy_id, coverage, {FACTOR_LIST} FROM clean) "
+                    f"UNPIVOT INCLUDE NULLS (level FOR variable IN ({FACTOR_LIST}))"),
+       "RSH1 RSH2 UDF1")
+def q_unpivot_factors(spark, sf):
+    return unpivot_factors(clean_policies(spark, sf), ["policy_id", "coverage"], FACTORS)
