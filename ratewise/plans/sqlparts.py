@@ -84,3 +84,20 @@ def rnd(sql: str, cols: list[str], digits: int = 6, keep_star: bool = True) -> s
     """Wrap ``sql`` rounding the named double columns."""
     repl = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS _q"
+
+SPLIT = MODEL + """,
+_lab AS (SELECT *, CAST(ULTIMATE_CLAIM_COUNT AS INTEGER) AS label FROM model),
+_rk AS (
+  SELECT *, row_number() OVER (PARTITION BY coverage, label
+                               ORDER BY md5(CAST(policy_id AS VARCHAR) || '42'), policy_id) AS rk,
+         count(*) OVER (PARTITION BY coverage, label) AS n
+  FROM _lab
+),
+split AS (
+  SELECT * EXCLUDE (rk, n),
+         CASE WHEN rk <= ceil(n * 0.5) THEN 'train'
+              WHEN rk <= ceil(n * 0.5) + ceil((n - ceil(n * 0.5)) * 0.5) THEN 'test'
+              ELSE 'validate' END AS split,
+         rk AS split_rank, policy_id AS row_num
+  FROM _rk
+)"""

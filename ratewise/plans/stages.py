@@ -29,3 +29,17 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = [F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`") for f in df.schema.fields]
     return df.select(*cols)
+
+
+SEED = 42
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4: the modelling table with an exact stratified ``split`` per
+    (coverage, capped claim class), ``label`` and ``row_num`` (= policy id,
+    the stable row identity used by predictions)."""
+    from ..operators.clean import as_label
+    from ..operators.sample import stratified_split
+    m = as_label(model_table(spark, sf_dir))
+    s = stratified_split(m, "label", strata=["coverage"], key="policy_id", seed=SEED)
+    return s.withColumn("row_num", F.col("policy_id"))
