@@ -203,3 +203,15 @@ def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str]
     return (pts.groupBy(*by, "_g", "x")
                .agg((F.sum(kern) / F.first("_n")).alias("density"))
                .withColumnRenamed("_g", "grid_index"))
+
+
+def six_numbers(df: DataFrame, keys: list[str], value: str, n_buckets: int = 256) -> DataFrame:
+    """keys + min, q1, med, avg, q3, max of ``value`` per group (exact type-7
+    quartiles, skew-safe: a group may be a whole prediction file)."""
+    splits = value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
+    vf = value_frequencies(df, keys, value)
+    stats = _measure_stats_from_vf(vf, keys)
+    q = quantiles_from_frequencies(vf, keys, QUARTILES, splits)
+    out = _left_null_safe(stats, q, keys)
+    return out.select(*keys, F.col("_min").alias("min"), "q1", "med", F.col("_avg").alias("avg"),
+                      "q3", F.col("_max").alias("max"))
