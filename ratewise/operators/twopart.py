@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import back_transform, claim_weight, expected_amount
 
-MAX_MODELS = 100_000   # bound on models per side (model index tables are broadcast)
 
 
 def back_transform_predictions(sev: DataFrame) -> DataFrame:
@@ -65,14 +64,12 @@ def _model_index(pred: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return models.withColumn(idx, (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def _gather(pred: DataFrame, index: DataFrame, keys: list[str], idx: str, value: str, width: int,
-            out: str) -> DataFrame:
-    """Per (keys, row_num): dense array of ``value`` by model index (NULL
-    where a model has no prediction for the row)."""
-    d = pred.join(F.broadcast(index), [*keys, "file", "mod_num"], "inner")
-    g = d.groupBy(*keys, "row_num").agg(F.map_from_entries(F.collect_list(F.struct(idx, value))).alias("_m"))
-    return g.select(*keys, "row_num",
-                    F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("_m")[i]).alias(out))
+def _gather(pred: DataFrame, index: DataFrame, keys: list[str], idx: str, value: str, out: str) -> DataFrame:
+    """Per (keys, row_num): map model index → ``value`` (models missing for a
+    row are simply absent).  One shuffle on the row id; the map holds at
+    most one entry per model."""
+    d = pred.join(index, [*keys, "file", "mod_num"], "inner")
+    return d.groupBy(*keys, "row_num").agg(F.map_from_entries(F.collect_list(F.struct(idx, value))).alias(out))
 
 
 def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: list[str] | None = None,
@@ -81,18 +78,18 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
     ``mae`` and ``mse`` of the expected amount s·(p1+2p2+3p3) against the
     actual amount, over the rows present in ``actual`` (left join semantics
     of the reference: frequency rows without a severity prediction are NULL
-    and skipped by the mean)."""
+    and skipped by the mean).
+
+    No driver round trip: the model indexes are small per-model tables
+    (AQE broadcasts them from runtime sizes) and the block step sizes its
+    matrices from each Arrow batch.
+    """
     keys = keys or []
     sev = back_transform_predictions(sev)
     s_idx = _model_index(sev, keys, "_si")
     f_idx = _model_index(freq, keys, "_fi")
-    n_s, n_f = s_idx.count(), f_idx.count()          # bounded by the model grids
-    if max(n_s, n_f) > MAX_MODELS:
-        raise ValueError("too many models for the broadcast model index")
-    S = s_idx.agg(F.max("_si")).first()[0] + 1
-    Fn = f_idx.agg(F.max("_fi")).first()[0] + 1
-    sa = _gather(sev, s_idx, keys, "_si", "predict", S, "s")
-    wa = _gather(freq.withColumn("_w", claim_weight()), f_idx, keys, "_fi", "_w", Fn, "w")
+    sa = _gather(sev, s_idx, keys, "_si", "predict", "s")
+    wa = _gather(freq.withColumn("_w", claim_weight()), f_idx, keys, "_fi", "_w", "w")
     y = actual.select(*keys, "row_num", F.col("ULTIMATE_AMOUNT").cast("double").alias("y"))
     rows = y.join(wa, [*keys, "row_num"], "inner").join(sa, [*keys, "row_num"], "left")
 
@@ -103,7 +100,7 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
         for pdf in batches:
             groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
             for kv, g in groups:
-                yield _block_sums(g, keys, kv, S, Fn, max_cells)
+                yield _block_sums(g, keys, kv, max_cells)
 
     partial = rows.mapInPandas(block, schema)
     sums = partial.groupBy(*keys, "_si", "_fi").agg(
@@ -113,26 +110,45 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
                        (F.col("_ss") / F.col("_n")).alias("mse")))
     si = s_idx.select(*keys, "_si", F.col("file").alias("sev_mod_file"), F.col("mod_num").alias("sev_mod_num"))
     fi = f_idx.select(*keys, "_fi", F.col("file").alias("freq_mod_file"), F.col("mod_num").alias("freq_mod_num"))
-    res = res.join(F.broadcast(si), [*keys, "_si"]).join(F.broadcast(fi), [*keys, "_fi"])
+    res = res.join(si, [*keys, "_si"]).join(fi, [*keys, "_fi"])
     return res.select(*keys, "sev_mod_file", "sev_mod_num", "freq_mod_file", "freq_mod_num", "mae", "mse")
 
 
-def _block_sums(g: pd.DataFrame, keys, kv, S: int, Fn: int, max_cells: int) -> pd.DataFrame:
-    n_rows = len(g)
+def _dense(maps, width: int) -> np.ndarray:
+    out = np.full((len(maps), width), np.nan)
+    for i, m in enumerate(maps):
+        if m is None:
+            continue
+        for k, v in (m.items() if isinstance(m, dict) else m):
+            if v is not None:
+                out[i, k] = v
+    return out
+
+
+def _width(maps) -> int:
+    w = 0
+    for m in maps:
+        if m is not None:
+            ks = m.keys() if isinstance(m, dict) else [k for k, _ in m]
+            if ks:
+                w = max(w, max(ks) + 1)
+    return w
+
+
+def _block_sums(g: pd.DataFrame, keys, kv, max_cells: int) -> pd.DataFrame:
     y = g["y"].to_numpy(dtype=float)
-    s = np.full((n_rows, S), np.nan)
-    w = np.full((n_rows, Fn), np.nan)
-    for i, (sv, wv) in enumerate(zip(g["s"], g["w"])):
-        if sv is not None:
-            s[i] = np.array([np.nan if v is None else v for v in sv], dtype=float)
-        if wv is not None:
-            w[i] = np.array([np.nan if v is None else v for v in wv], dtype=float)
+    S, Fn = _width(g["s"]), _width(g["w"])
+    cols = ["_si", "_fi", "sum_abs", "sum_sq", "n"]
+    if S == 0 or Fn == 0:
+        return pd.DataFrame({c: [] for c in [*keys, *cols]}).astype(
+            {"_si": "int32", "_fi": "int32", "sum_abs": float, "sum_sq": float, "n": "int64"})
+    s, w = _dense(g["s"], S), _dense(g["w"], Fn)
     acc_abs = np.zeros((S, Fn))
     acc_sq = np.zeros((S, Fn))
     cnt = np.zeros((S, Fn), dtype=np.int64)
-    step = max(1, max_cells // max(1, S * Fn))
-    for a in range(0, n_rows, step):
-        b = min(n_rows, a + step)
+    step = max(1, max_cells // (S * Fn))
+    for a in range(0, len(g), step):
+        b = min(len(g), a + step)
         r = y[a:b, None, None] - s[a:b, :, None] * w[a:b, None, :]
         ok = ~np.isnan(r)
         r0 = np.where(ok, r, 0.0)
@@ -146,7 +162,7 @@ def _block_sums(g: pd.DataFrame, keys, kv, S: int, Fn: int, max_cells: int) -> p
         kv = kv if isinstance(kv, tuple) else (kv,)
         for k, v in zip(keys, kv):
             out.insert(0, k, v)
-        out = out[[*keys, "_si", "_fi", "sum_abs", "sum_sq", "n"]]
+        out = out[[*keys, *cols]]
     return out
 
 

@@ -139,14 +139,15 @@ def q_residuals(spark, sf):
 _CMP_KEYS = "f.coverage, s.file AS sev_mod_file, s.mod_num AS sev_mod_num, f.file AS freq_mod_file, f.mod_num AS freq_mod_num"
 _E = "(s.predict * f.p1 + (2 * s.predict) * f.p2 + (3 * s.predict) * f.p3)"
 _CMP_BODY = f""",
-_cmp AS (
+_cmpr AS (
   SELECT {_CMP_KEYS},
-         round(avg(abs(t.ULTIMATE_AMOUNT - {_E})), 6) AS mae,
-         round(avg(pow(t.ULTIMATE_AMOUNT - {_E}, 2)), 0) AS mse
+         avg(abs(t.ULTIMATE_AMOUNT - {_E})) AS mae,
+         avg(pow(t.ULTIMATE_AMOUNT - {_E}, 2)) AS mse
   FROM _freq f JOIN _sevb s ON f.coverage = s.coverage AND f.row_num = s.row_num
   JOIN _test t ON t.coverage = f.coverage AND t.row_num = f.row_num
   GROUP BY ALL
-)"""
+),
+_cmp AS (SELECT * REPLACE (round(mae, 6) AS mae, round(mse, 0) AS mse) FROM _cmpr)"""
 
 
 @query("compare_models_blocked", with_(_FREQ, _CMP_BODY + "\nSELECT * FROM _cmp"),
@@ -181,19 +182,19 @@ def q_best_tree_pair(spark, sf):
 
 # ---------------------------------------------------------- tuning metrics
 
-def severity_metric_rows(spark, sf) -> DataFrame:
+def severity_metric_rows(spark, sf, sets=None) -> DataFrame:
     rows = (split_table(spark, sf)
             .where(F.col("split").isin("train", "validate") & (F.col("ULTIMATE_CLAIM_COUNT") > 0))
             .select("coverage", "row_num", "split", "severity", "log_severity"))
-    p = severity_predictions(rows.select("coverage", "row_num", "split"))
+    p = severity_predictions(rows.select("coverage", "row_num", "split"), sets)
     d = p.join(rows, ["coverage", "row_num", "split"])
     d = d.where((F.col("response") != "log_severity") | (F.col("severity") > 1))
     return d.withColumn("y", F.when(F.col("response") == "log_severity", F.col("log_severity"))
                              .otherwise(F.col("severity")))
 
 
-def severity_tuning_metrics(spark, sf) -> DataFrame:
-    d = severity_metric_rows(spark, sf)
+def severity_tuning_metrics(spark, sf, sets=None) -> DataFrame:
+    d = severity_metric_rows(spark, sf, sets)
     m = regression_metrics(d, "y", "predict", ["coverage", "file", "response", "mod_num", "split"])
     return to_tuning_layout(m, ["coverage", "file", "response", "mod_num"], ["r_2", "mse", "rmse", "rmsle", "mae"])
 
@@ -206,23 +207,24 @@ def _round_reg(df: DataFrame) -> DataFrame:
     return df
 
 
-_REG_SQL = with_(SPLIT + f""",
-_rows AS (SELECT coverage, row_num, split, severity, log_severity FROM split
+REG_CTES = f""",
+_rrows AS (SELECT coverage, row_num, split, severity, log_severity FROM split
           WHERE split IN ('train', 'validate') AND ULTIMATE_CLAIM_COUNT > 0),
-_p AS ({severity_predictions_sql('_rows', extra=', split')}),
-_d AS (SELECT p.*, CASE WHEN p.response = 'log_severity' THEN r.log_severity ELSE r.severity END AS y
-       FROM _p p JOIN _rows r ON p.coverage = r.coverage AND p.row_num = r.row_num AND p.split = r.split
+_rp AS ({severity_predictions_sql('_rrows', extra=', split')}),
+_rd AS (SELECT p.*, CASE WHEN p.response = 'log_severity' THEN r.log_severity ELSE r.severity END AS y
+       FROM _rp p JOIN _rrows r ON p.coverage = r.coverage AND p.row_num = r.row_num AND p.split = r.split
        WHERE p.response <> 'log_severity' OR r.severity > 1),
-_m AS (
+_rm AS (
   SELECT coverage, file, response, mod_num, split,
          1 - sum(pow(y - predict, 2)) / sum(pow(y - ybar, 2)) AS r_2,
          avg(pow(y - predict, 2)) AS mse, sqrt(avg(pow(y - predict, 2))) AS rmse,
          CASE WHEN max(CASE WHEN predict <= -1 OR y <= -1 THEN 1 ELSE 0 END) = 1 THEN NULL
               ELSE sqrt(avg(pow(ln(1 + predict) - ln(1 + y), 2))) END AS rmsle,
          avg(abs(y - predict)) AS mae
-  FROM (SELECT *, avg(y) OVER (PARTITION BY coverage, file, response, mod_num, split) AS ybar FROM _d)
+  FROM (SELECT *, avg(y) OVER (PARTITION BY coverage, file, response, mod_num, split) AS ybar FROM _rd)
   GROUP BY 1, 2, 3, 4, 5
-)""", """
+ ),
+_regw AS (
 SELECT coverage, file, response, mod_num,
        round(max(CASE WHEN split = 'train' THEN r_2 END), 6) AS r_2,
        round(max(CASE WHEN split = 'validate' THEN r_2 END), 6) AS r_2_valid,
@@ -236,7 +238,8 @@ SELECT coverage, file, response, mod_num,
        round(max(CASE WHEN split = 'validate' THEN rmsle END), 6) AS rmsle_valid,
        round(max(CASE WHEN split = 'train' THEN mae END), 6) AS mae,
        round(max(CASE WHEN split = 'validate' THEN mae END), 6) AS mae_valid
-FROM _m GROUP BY 1, 2, 3, 4""")
+FROM _rm GROUP BY 1, 2, 3, 4)"""
+_REG_SQL = with_(SPLIT + REG_CTES, "SELECT * FROM _regw")
 
 
 @query("regression_metrics", _REG_SQL, "AGG12 FLT2 FLT3 (train + validation metrics per model)")
@@ -244,27 +247,28 @@ def q_regression_metrics(spark, sf):
     return _round_reg(severity_tuning_metrics(spark, sf))
 
 
-def frequency_tuning_metrics(spark, sf) -> DataFrame:
+def frequency_tuning_metrics(spark, sf, sets=None) -> DataFrame:
     rows = split_table(spark, sf).select("coverage", "row_num", "split", "label")
-    p = frequency_predictions(rows.select("coverage", "row_num", "split"))
+    p = frequency_predictions(rows.select("coverage", "row_num", "split"), sets)
     d = p.join(rows, ["coverage", "row_num", "split"])
     m = classification_metrics(d, "label", ["coverage", "file", "mod_num", "split"])
     return to_tuning_layout(m, ["coverage", "file", "mod_num"], ["r_2", "mse", "rmse", "logloss"],
                             single={"logloss": "test"})
 
 
-_CLS_SQL = with_(SPLIT + f""",
-_rows AS (SELECT coverage, row_num, split, label FROM split),
-_p AS ({frequency_predictions_sql('_rows', extra=', split')}),
-_d AS (SELECT p.*, r.label,
+CLS_CTES = f""",
+_crows AS (SELECT coverage, row_num, split, label FROM split),
+_cp AS ({frequency_predictions_sql('_crows', extra=', split')}),
+_cd AS (SELECT p.*, r.label,
               CASE WHEN r.label = 0 THEN p.p0 WHEN r.label = 1 THEN p.p1 WHEN r.label = 2 THEN p.p2 ELSE p.p3 END AS pt
-       FROM _p p JOIN _rows r ON p.coverage = r.coverage AND p.row_num = r.row_num AND p.split = r.split),
-_m AS (
+       FROM _cp p JOIN _crows r ON p.coverage = r.coverage AND p.row_num = r.row_num AND p.split = r.split),
+_cm AS (
   SELECT coverage, file, mod_num, split,
          avg(-ln(greatest(pt, 1e-15))) AS logloss, avg(pow(1 - pt, 2)) AS mse,
          1 - avg(pow(1 - pt, 2)) / var_pop(CAST(label AS DOUBLE)) AS r_2, sqrt(avg(pow(1 - pt, 2))) AS rmse
-  FROM _d GROUP BY 1, 2, 3, 4
-)""", """
+  FROM _cd GROUP BY 1, 2, 3, 4
+ ),
+_clsw AS (
 SELECT coverage, file, mod_num,
        round(max(CASE WHEN split = 'train' THEN r_2 END), 6) AS r_2,
        round(max(CASE WHEN split = 'validate' THEN r_2 END), 6) AS r_2_valid,
@@ -273,7 +277,8 @@ SELECT coverage, file, mod_num,
        round(max(CASE WHEN split = 'train' THEN rmse END), 6) AS rmse,
        round(max(CASE WHEN split = 'validate' THEN rmse END), 6) AS rmse_valid,
        round(max(CASE WHEN split = 'test' THEN logloss END), 6) AS logloss
-FROM _m GROUP BY 1, 2, 3""")
+FROM _cm GROUP BY 1, 2, 3)"""
+_CLS_SQL = with_(SPLIT + CLS_CTES, "SELECT * FROM _clsw")
 
 
 @query("classification_metrics", _CLS_SQL, "AGG13 (class-probability metrics, test logloss)")
@@ -289,11 +294,15 @@ SELECT file, mod_num, min(predict) AS min, quantile_cont(predict, 0.25) AS q1, q
 FROM _sevb GROUP BY file, mod_num""")
 
 
+def sev_summary(spark, sf, keys) -> DataFrame:
+    sev = back_transform_predictions(sev_test(spark, sf))
+    return round_doubles(six_numbers(sev, keys, "predict"))
+
+
 @query("severity_pred_summary", rnd(_SEV_SUM_SQL, ["min", "q1", "med", "avg", "q3", "max"]),
        "AGG8 SET3 (per prediction file and model)")
 def q_sev_pred_summary(spark, sf):
-    sev = back_transform_predictions(sev_test(spark, sf))
-    return round_doubles(six_numbers(sev, ["file", "mod_num"], "predict"))
+    return sev_summary(spark, sf, ["file", "mod_num"])
 
 
 _FSUM_COLS = [f"{s}_p{k}" for k in range(4) for s in ("min", "q1", "med", "mean", "q3", "max")] + \
@@ -307,16 +316,20 @@ _FREQ_SUM_SQL = with_(_FREQ, "\nSELECT file, mod_num, " + ", ".join(
 
 @query("frequency_pred_summary", rnd(_FREQ_SUM_SQL, _FSUM_COLS), "AGG9 (28 aggregates per model)")
 def q_freq_pred_summary(spark, sf):
+    return freq_summary(spark, sf, ["file", "mod_num"])
+
+
+def freq_summary(spark, sf, keys) -> DataFrame:
     fr = freq_test(spark, sf)
     probs = ["p0", "p1", "p2", "p3"]
-    long = fr.select("file", "mod_num", *probs).unpivot(["file", "mod_num"], probs, "prob", "value")
-    six = six_numbers(long, ["file", "mod_num", "prob"], "value")
+    long = fr.select(*keys, *probs).unpivot(keys, probs, "prob", "value")
+    six = six_numbers(long, [*keys, "prob"], "value")
     aggs = []
     for k in range(4):
         pick = lambda c: F.first(F.when(F.col("prob") == f"p{k}", F.col(c)), ignorenulls=True)
         aggs += [pick("min").alias(f"min_p{k}"), pick("q1").alias(f"q1_p{k}"), pick("med").alias(f"med_p{k}"),
                  pick("avg").alias(f"mean_p{k}"), pick("q3").alias(f"q3_p{k}"), pick("max").alias(f"max_p{k}")]
-    wide = six.groupBy("file", "mod_num").agg(*aggs)
-    pct = fr.groupBy("file", "mod_num").agg(
+    wide = six.groupBy(*keys).agg(*aggs)
+    pct = fr.groupBy(*keys).agg(
         *[F.avg((F.col("predict") == k).cast("double")).alias(f"pct_{k}") for k in range(4)])
-    return round_doubles(wide.join(pct, ["file", "mod_num"]).select("file", "mod_num", *_FSUM_COLS))
+    return round_doubles(wide.join(pct, keys).select(*keys, *_FSUM_COLS))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import add_severity, clean
+from ..session import ensure_checkpoint_dir
 from ..sources.policies import policy_view
 
 
@@ -34,12 +35,32 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 SEED = 42
 
 
-def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D4: the modelling table with an exact stratified ``split`` per
-    (coverage, capped claim class), ``label`` and ``row_num`` (= policy id,
-    the stable row identity used by predictions)."""
+_STAGES: dict = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A stage table written once per session to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read back by every later plan —
+    the Spark form of the reference's stage files.  Cuts lineage, so a lost
+    executor re-reads the files instead of recomputing the stage, and several
+    branches of one plan do not recompute it either."""
+    k = (id(spark), spark.sparkContext.applicationId, *key)
+    if k not in _STAGES:
+        ensure_checkpoint_dir(spark)
+        _STAGES[k] = build().checkpoint(eager=True)
+    return _STAGES[k]
+
+
+def split_table_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.clean import as_label
     from ..operators.sample import stratified_split
     m = as_label(model_table(spark, sf_dir))
     s = stratified_split(m, "label", strata=["coverage"], key="policy_id", seed=SEED)
     return s.withColumn("row_num", F.col("policy_id"))
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4: the modelling table with an exact stratified ``split`` per
+    (coverage, capped claim class), ``label`` and ``row_num`` (= policy id,
+    the stable row identity used by predictions).  Materialized once."""
+    return materialized(spark, ("split", sf_dir), lambda: split_table_plan(spark, sf_dir))

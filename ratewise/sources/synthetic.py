@@ -29,11 +29,26 @@ class ModelSet:
         return f"'output/' || coverage || '_{self.algo}_{self.response}_predictions.csv'"
 
 
-# The synthetic model sets (stand-ins for tuned model files).
+# The synthetic model sets (stand-ins for tuned model files)
+# and the hyper-parameter grid behind each set (mod_num = position in the
+# grid, last parameter varying fastest).
 SEVERITY_SETS = [ModelSet("gb", "severity", 6, 0), ModelSet("nn", "log_severity", 4, 1),
-                 ModelSet("glm", "severity", 1, 2)]
+                 ModelSet("glm", "severity", 1, 2), ModelSet("rf", "severity", 6, 3),
+                 ModelSet("gb", "log_severity", 6, 4)]
 FREQUENCY_SETS = [ModelSet("rf", "ultimate_claim_count", 4, 0), ModelSet("gb", "ultimate_claim_count", 3, 1),
                   ModelSet("glm", "ultimate_claim_count", 1, 2)]
+GRIDS = {
+    ("gb", "severity"): {"distribution": ["gaussian", "laplace"], "ntrees": [100, 300, 1000]},
+    ("gb", "log_severity"): {"distribution": ["gaussian", "laplace"], "ntrees": [100, 300, 1000]},
+    ("rf", "severity"): {"max_depth": [10, 20, 30], "mtries": [-1, 20]},
+    ("nn", "log_severity"): {"hidden": [[50], [100], [50, 50], [100, 100]]},
+    ("glm", "severity"): {},
+    ("rf", "ultimate_claim_count"): {"ntrees": [100, 200], "max_depth": [10, 20]},
+    ("gb", "ultimate_claim_count"): {"learn_rate": [0.1, 0.01, 0.001]},
+    ("glm", "ultimate_claim_count"): {},
+}
+FAMILY_NAMES = {"gb": "Gradient Boosted Model", "rf": "Random Forest Model",
+                "nn": "Neural Network Model", "glm": "Linear Model"}
 
 
 def _models(rows: DataFrame, ms: ModelSet) -> DataFrame:
@@ -106,3 +121,34 @@ def frequency_predictions_sql(rows: str, sets=None, extra: str = "") -> str:
             f"CAST(m AS INTEGER) AS mod_num, {probs}, CAST({pred} AS INTEGER) AS predict "
             f"FROM (SELECT *, unnest(range(1, {ms.n_models + 1})) AS m FROM {rows})")
     return "\nUNION ALL\n".join(parts)
+
+
+def set_key(ms: ModelSet) -> str:
+    return f"{ms.algo}_{ms.response}"
+
+
+def set_key_of_file(file: Column) -> Column:
+    """'output/<cov>_<algo>_<response>_predictions.csv' → '<algo>_<response>'
+    (also for the rewritten ..._tuning_results.csv paths)."""
+    stripped = F.regexp_replace(file, r"^output/[^_]+_", "")
+    return F.regexp_replace(stripped, r"_(predictions|tuning_results)\.csv$", "")
+
+
+SET_KEY_SQL = ("regexp_replace(regexp_replace({f}, '^output/[^_]+_', ''), "
+               "'_(predictions|tuning_results)\\.csv$', '')")
+
+
+def time_to_create(mod_num: Column, file: Column, sets) -> Column:
+    """Synthetic fit time in seconds: ((mod_num + 10·set index)·29) mod 113."""
+    key = set_key_of_file(file)
+    idx = None
+    for ms in sets:
+        cond = key == F.lit(set_key(ms))
+        idx = F.when(cond, F.lit(ms.index)) if idx is None else idx.when(cond, F.lit(ms.index))
+    return (((mod_num + 10 * idx) * 29) % 113).cast("double")
+
+
+def time_to_create_sql(mod_num: str, file: str, sets) -> str:
+    key = SET_KEY_SQL.format(f=file)
+    cases = " ".join(f"WHEN {key} = '{set_key(ms)}' THEN {ms.index}" for ms in sets)
+    return f"CAST((({mod_num} + 10 * (CASE {cases} END)) * 29) % 113 AS DOUBLE)"
