@@ -152,3 +152,46 @@ def time_to_create_sql(mod_num: str, file: str, sets) -> str:
     key = SET_KEY_SQL.format(f=file)
     cases = " ".join(f"WHEN {key} = '{set_key(ms)}' THEN {ms.index}" for ms in sets)
     return f"CAST((({mod_num} + 10 * (CASE {cases} END)) * 29) % 113 AS DOUBLE)"
+
+
+# Synthetic SHAP layout — 12 explained features, expected
+# values of the severity model and of the four class probabilities.
+SHAP_FEATURES = 12
+SEV_EXPECTED = 2500.0
+FREQ_EXPECTED = [0.25, 0.25, 0.25, 0.25]
+
+
+def shap_features() -> list[str]:
+    from ..schema import MODEL_FEATURES
+    return MODEL_FEATURES[:SHAP_FEATURES]
+
+
+def _feature_of(j: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in shap_features()]), j)
+
+
+def severity_shap(rows: DataFrame) -> DataFrame:
+    """(coverage, row_num, feature, shap): ((row_num·j·13) mod 101 − 50) / 16."""
+    d = rows.select("coverage", "row_num").withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(SHAP_FEATURES))))
+    return d.select("coverage", "row_num", _feature_of(F.col("_j")).alias("feature"),
+                    (((F.col("row_num") * F.col("_j") * 13) % 101 - 50) / 16).alias("shap"))
+
+
+def frequency_shap(rows: DataFrame) -> DataFrame:
+    """(coverage, row_num, num_claims, feature, shap): ((row_num·j·(c+5)) mod 61 − 30) / 1024."""
+    d = (rows.select("coverage", "row_num")
+             .withColumn("num_claims", F.explode(F.sequence(F.lit(0), F.lit(3))))
+             .withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(SHAP_FEATURES)))))
+    return d.select("coverage", "row_num", "num_claims", _feature_of(F.col("_j")).alias("feature"),
+                    (((F.col("row_num") * F.col("_j") * (F.col("num_claims") + 5)) % 61 - 30) / 1024).alias("shap"))
+
+
+def shap_sql(rows: str) -> str:
+    feats = "[" + ", ".join(f"'{f}'" for f in shap_features()) + "]"
+    return f""",
+_sv AS (SELECT coverage, row_num, {feats}[j] AS feature, ((row_num * j * 13) % 101 - 50) / 16 AS shap
+        FROM (SELECT *, unnest(range(1, {SHAP_FEATURES + 1})) AS j FROM {rows})),
+_fv AS (SELECT coverage, row_num, CAST(c AS INTEGER) AS num_claims, {feats}[j] AS feature,
+               ((row_num * j * (c + 5)) % 61 - 30) / 1024 AS shap
+        FROM (SELECT *, unnest(range(1, {SHAP_FEATURES + 1})) AS j
+              FROM (SELECT *, unnest(range(0, 4)) AS c FROM {rows})))"""
