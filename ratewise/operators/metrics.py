@@ -25,7 +25,7 @@ def regression_metrics(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFr
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.when(~bad, sle)).alias("_msle"), F.max(bad.cast("int")).alias("_bad"))
     return agg.select(
-        *by, (1 - F.col("_sse") / F.col("_sst")).alias("r_2"), "mse", F.sqrt("mse").alias("rmse"),
+        *by, (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r_2"), "mse", F.sqrt("mse").alias("rmse"),
         F.when(F.col("_bad") == 1, F.lit(None).cast("double")).otherwise(F.sqrt("_msle")).alias("rmsle"),
         "mae")
 
@@ -43,7 +43,7 @@ def classification_metrics(pred: DataFrame, label: str, by: list[str]) -> DataFr
     agg = pred.groupBy(*by).agg(
         F.avg(-F.log(F.greatest(pt, F.lit(LOGLOSS_EPS)))).alias("logloss"),
         F.avg(F.pow(1 - pt, 2)).alias("mse"), F.var_pop(F.col(label).cast("double")).alias("_var"))
-    return agg.select(*by, (1 - F.col("mse") / F.col("_var")).alias("r_2"), "mse",
+    return agg.select(*by, (1 - F.try_divide(F.col("mse"), F.col("_var"))).alias("r_2"), "mse",
                       F.sqrt("mse").alias("rmse"), "logloss")
 
 

@@ -29,7 +29,7 @@ def _measure_stats_from_vf(vf: DataFrame, keys: list[str]) -> DataFrame:
     return (vf.groupBy(*keys).agg(
         F.sum(c).alias("_rows"), F.min(v).alias("_min"), F.max(v).alias("_max"),
         F.sum(v * c).alias("_tot"), F.sum(F.when(v.isNotNull(), c)).alias("_nn"))
-        .withColumn("_avg", F.col("_tot") / F.col("_nn")))
+        .withColumn("_avg", F.try_divide(F.col("_tot"), F.col("_nn"))))
 
 
 def _splits_for(df: DataFrame, measures: list[str], n_buckets: int) -> list[float]:
@@ -54,24 +54,32 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
     factors = factors or FACTORS
     measures = measures or MEASURES
     keys = by + ["variable", "level"]
-    long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
 
     if exact:
-        mkeys = keys + ["_measure"]
+        # Integer tags instead of column-name strings keep the shuffled
+        # value-frequency keys narrow; names are restored at the end.
+        fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
+        mstack = ", ".join(f"{i}, CAST(`{m}` AS DOUBLE)" for i, m in enumerate(measures))
+        tagged = (df.select(*by, *measures, *[F.col(f).cast("string").alias(f) for f in factors])
+                    .select(*by, *measures, F.expr(f"stack({len(factors)}, {fstack}) AS (_vi, level)"))
+                    .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
+        tkeys = by + ["_vi", "level"]
+        mkeys = tkeys + ["_mi"]
         splits = _splits_for(df, measures, n_buckets)
-        mlong = long.unpivot(keys, measures, "_measure", "_value")
-        vf = value_frequencies(mlong, mkeys, "_value")
+        vf = value_frequencies(tagged, mkeys, "_value")
         stats = _measure_stats_from_vf(vf, mkeys)
         q = quantiles_from_frequencies(vf, mkeys, QUARTILES, splits)
         per_measure = _left_null_safe(stats, q, mkeys)
         aggs = [F.max("_rows").alias("count")]
-        for m in measures:
+        for i, m in enumerate(measures):
             s = MEASURE_SUFFIX.get(m, m.lower())
-            pick = lambda col: F.first(F.when(F.col("_measure") == m, F.col(col)), ignorenulls=True)
+            pick = lambda col, i=i: F.first(F.when(F.col("_mi") == i, F.col(col)), ignorenulls=True)
             aggs += [pick("_min").alias(f"min_{s}"), pick("q1").alias(f"q1_{s}"), pick("med").alias(f"med_{s}"),
                      pick("_avg").alias(f"avg_{s}"), pick("q3").alias(f"q3_{s}"), pick("_max").alias(f"max_{s}"),
                      pick("_tot").alias(f"tot_{s}")]
-        basic = per_measure.groupBy(*keys).agg(*aggs)
+        names = F.array(*[F.lit(f) for f in factors])
+        basic = (per_measure.groupBy(*tkeys).agg(*aggs)
+                 .withColumn("variable", F.element_at(names, F.col("_vi") + 1)).drop("_vi"))
     else:
         aggs = [F.count(F.lit(1)).alias("count")]
         for m in measures:
@@ -79,6 +87,7 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
             aggs += [F.min(m).alias(f"min_{s}"), F.avg(m).alias(f"avg_{s}"),
                      F.max(m).alias(f"max_{s}"), F.sum(m).alias(f"tot_{s}"),
                      F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(f"_pa_{s}")]
+        long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
         basic = long.groupBy(*keys).agg(*aggs)
         for m in measures:
             s = MEASURE_SUFFIX.get(m, m.lower())

@@ -216,7 +216,7 @@ _rd AS (SELECT p.*, CASE WHEN p.response = 'log_severity' THEN r.log_severity EL
        WHERE p.response <> 'log_severity' OR r.severity > 1),
 _rm AS (
   SELECT coverage, file, response, mod_num, split,
-         1 - sum(pow(y - predict, 2)) / sum(pow(y - ybar, 2)) AS r_2,
+         1 - sum(pow(y - predict, 2)) / nullif(sum(pow(y - ybar, 2)), 0) AS r_2,
          avg(pow(y - predict, 2)) AS mse, sqrt(avg(pow(y - predict, 2))) AS rmse,
          CASE WHEN max(CASE WHEN predict <= -1 OR y <= -1 THEN 1 ELSE 0 END) = 1 THEN NULL
               ELSE sqrt(avg(pow(ln(1 + predict) - ln(1 + y), 2))) END AS rmsle,
@@ -265,7 +265,7 @@ _cd AS (SELECT p.*, r.label,
 _cm AS (
   SELECT coverage, file, mod_num, split,
          avg(-ln(greatest(pt, 1e-15))) AS logloss, avg(pow(1 - pt, 2)) AS mse,
-         1 - avg(pow(1 - pt, 2)) / var_pop(CAST(label AS DOUBLE)) AS r_2, sqrt(avg(pow(1 - pt, 2))) AS rmse
+         1 - avg(pow(1 - pt, 2)) / nullif(var_pop(CAST(label AS DOUBLE)), 0) AS r_2, sqrt(avg(pow(1 - pt, 2))) AS rmse
   FROM _cd GROUP BY 1, 2, 3, 4
  ),
 _clsw AS (
