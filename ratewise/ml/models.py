@@ -170,6 +170,7 @@ def fit_boosted(train: DataFrame, label: str, params: dict, loss: str, features:
     for c in range(k):
         d = d.withColumn(f"_f{c}", F.lit(float(init[c])))
     trees: list[list] = []
+    cached = None
     for r in range(rounds):
         if loss == "multinomial":
             mx = F.greatest(*[F.col(f"_f{c}") for c in range(k)])
@@ -193,15 +194,22 @@ def fit_boosted(train: DataFrame, label: str, params: dict, loss: str, features:
             d = d.withColumn(f"_f{c}", F.col(f"_f{c}") + rate * F.col(f"_t{c}")).drop(f"_t{c}")
         trees.append(rnd)
         d = d.drop(*[f"_g{c}" for c in range(k)])
+        prev = d
         if (r + 1) % checkpoint_every == 0:
-            d = d.checkpoint(eager=True)
+            d = d.checkpoint(eager=True)        # reliable: cuts the growing lineage
+        else:
+            d = d.cache()                       # reused by the next round's fits
+        if cached is not None:
+            cached.unpersist()
+        cached = d if d is not prev or d.is_cached else None
     return BoostedModel(init, trees, rate, loss)
 
 
 def class_probabilities(pred: DataFrame, prob_col: str = "probability") -> DataFrame:
     """ML13: MLlib probability vector → p0..p3 columns, class as int."""
-    arr = vector_to_array(F.col(prob_col))
     out = pred
-    for c in range(N_CLASSES):
-        out = out.withColumn(f"p{c}", F.coalesce(arr[c], F.lit(0.0)))
+    if prob_col in pred.columns:
+        arr = vector_to_array(F.col(prob_col))
+        for c in range(N_CLASSES):
+            out = out.withColumn(f"p{c}", F.coalesce(arr[c], F.lit(0.0)))
     return out.withColumn("predict", F.col("prediction").cast("int"))

@@ -15,8 +15,10 @@ def regression_metrics(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFr
     around the group mean (group mean from a grouped aggregate joined back;
     no per-group window).  rmsle is NULL when any prediction or response is
     ≤ −1 (log1p undefined)."""
-    means = pred.groupBy(*by).agg(F.avg(y).alias("_ybar"))
-    d = pred.join(means, by, "inner")
+    if by:
+        d = pred.join(pred.groupBy(*by).agg(F.avg(y).alias("_ybar")), by, "inner")
+    else:   # one group: the mean is a scalar sub-query, no join
+        d = pred.select("*", pred.select(F.avg(y)).scalar().alias("_ybar"))
     e = F.col(y) - F.col(p)
     sle = F.pow(F.log1p(F.col(p)) - F.log1p(F.col(y)), 2)
     bad = (F.col(p) <= -1) | (F.col(y) <= -1)
