@@ -89,3 +89,28 @@ def q_distinct_policies(spark, sf):
        "RSH1 RSH2 UDF1")
 def q_unpivot_factors(spark, sf):
     return unpivot_factors(clean_policies(spark, sf), ["policy_id", "coverage"], FACTORS)
+
+
+_RAW_COLS = ["EARNED_EXPOSURE", "ULTIMATE_AMOUNT", "ULTIMATE_CLAIM_COUNT"] + FACTORS
+_FORM = {"bi": "1_bi", "pd": "2_pd", "coll": "3_coll"}
+
+
+@query("raw_scan_form",
+       with_(POLICIES, "SELECT CASE coverage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FORM.items())
+             + f" END AS form_name, {', '.join(_RAW_COLS)} FROM policies"),
+       "SRC1 SRC2 SET3 SNK1 UDF3 (raw files written per coverage, one multi-file scan)")
+def q_raw_scan_form(spark, sf):
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.policies import read_raw
+    from ..sources.sinks import write_table
+    base = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    pol = policies(spark, sf)
+    for cov, tag in _FORM.items():      # one raw file set per coverage, as delivered
+        write_table(pol.where(F.col("coverage") == cov).select(*_RAW_COLS),
+                    os.path.join(base, f"CAS_RAW_{tag}"), fmt="csv", header=False)
+    raw = read_raw(spark, base)
+    name = F.regexp_extract("form", r"/([^/]+)/[^/]+$", 1)
+    return raw.select(name.alias("form_name"), *_RAW_COLS)

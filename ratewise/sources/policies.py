@@ -93,17 +93,19 @@ def policy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def read_raw(spark: SparkSession, path_glob: str, sep: str = ",", header: bool = False) -> DataFrame:
-    """SRC1+SRC2: read every raw delimited file matching ``path_glob`` in one
-    scan with the declared schema (names by position), and add ``form``: the
-    source path with the first ``CAS_RAW_`` marker removed.
+    """SRC1+SRC2: read every raw delimited file under ``path_glob`` whose path
+    contains ``CAS_RAW_`` in one scan with the declared schema (names by
+    position), and add ``form``: the source path with the *first*
+    ``CAS_RAW_`` removed.
 
-    One multi-path read replaces the per-file loop + row-bind; the file list is
-    expanded by the data source, not the driver.
+    One multi-path read replaces the per-file loop + row-bind; the file list
+    is expanded by the data source, not the driver.
     """
     df = (spark.read.schema(RAW).option("sep", sep).option("header", header)
-          .option("pathGlobFilter", "*CAS_RAW_*").csv(path_glob))
+          .option("recursiveFileLookup", True).csv(path_glob))
     path = F.col("_metadata.file_path")
-    return df.withColumn("form", F.regexp_replace(path, r"^(.*?)CAS_RAW_", "$1"))
+    return (df.where(path.contains("CAS_RAW_"))
+              .withColumn("form", F.regexp_replace(path, r"^(.*?)CAS_RAW_", "$1")))
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str = "parquet", name: str | None = None,

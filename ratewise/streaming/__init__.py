@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The ratemaking workload reads finite policy files and writes finite result
+tables; it has no watermarks, windows over event time or stateful stream
+operators, so nothing is built here (see README, "Re-aimed or not built").
+"""
