@@ -1,0 +1,156 @@
+"""ML9: feed-forward network regression (Tanh hidden layers, linear output,
+gaussian = squared or laplace = absolute loss) — MLlib has no MLP regressor.
+
+Training is synchronous full-batch gradient descent with momentum: each
+iteration broadcasts the weights, every partition computes the gradient sum
+of its rows in ``mapInPandas`` (numpy forward/backward pass over Arrow
+batches) and emits it as (index, value) pairs, and a grouped sum adds the
+partial gradients (the reduction is Spark's, partial aggregation on the map
+side).  Only the weight vector — bounded by the layer sizes — comes back to
+the driver.  Inputs and the response are standardised from one aggregate
+pass.  Differences from the reference learner: no dropout, no adaptive rate,
+full batches instead of mini-batches of 50.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _shapes(n_in: int, hidden: list[int]) -> list[tuple[int, int]]:
+    dims = [n_in, *hidden, 1]
+    return [(dims[i], dims[i + 1]) for i in range(len(dims) - 1)]
+
+
+def _unpack(w: np.ndarray, shapes):
+    out, k = [], 0
+    for a, b in shapes:
+        W = w[k:k + a * b].reshape(a, b)
+        k += a * b
+        bias = w[k:k + b]
+        k += b
+        out.append((W, bias))
+    return out
+
+
+def _forward_backward(X: np.ndarray, y: np.ndarray, w: np.ndarray, shapes, loss: str):
+    layers = _unpack(w, shapes)
+    acts = [X]
+    h = X
+    for i, (W, b) in enumerate(layers):
+        z = h @ W + b
+        h = z if i == len(layers) - 1 else np.tanh(z)
+        acts.append(h)
+    pred = acts[-1][:, 0]
+    r = pred - y
+    if loss == "laplace":
+        lval, g = np.abs(r).sum(), np.sign(r)
+    else:
+        lval, g = 0.5 * (r * r).sum(), r
+    delta = g[:, None]
+    grads = []
+    for i in range(len(layers) - 1, -1, -1):
+        W, _ = layers[i]
+        a_prev = acts[i]
+        grads.append((a_prev.T @ delta, delta.sum(axis=0)))
+        if i > 0:
+            delta = (delta @ W.T) * (1 - acts[i] ** 2)
+    grads.reverse()
+    flat = np.concatenate([np.concatenate([gW.ravel(), gb]) for gW, gb in grads])
+    return flat, lval
+
+
+@dataclass
+class MLPRegressionModel:
+    weights: np.ndarray
+    shapes: list
+    x_mean: np.ndarray
+    x_std: np.ndarray
+    y_mean: float
+    y_std: float
+
+    def transform(self, df: DataFrame, features: str = "features", out: str = "prediction") -> DataFrame:
+        """Adds ``out``; vector columns are dropped (scoring keeps ids and
+        plain columns)."""
+        from pyspark.ml.linalg import VectorUDT
+        from pyspark.sql import types as T
+        model = self
+        keep = [f for f in df.schema.fields if not isinstance(f.dataType, VectorUDT)]
+        src = df.select(*[F.col(f"`{f.name}`") for f in keep], vector_to_array(F.col(features)).alias("_x"))
+        out_schema = T.StructType(keep + [T.StructField(out, T.DoubleType())])
+
+        def run(batches):
+            layers = _unpack(model.weights, model.shapes)
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                X = (np.vstack(pdf["_x"].to_numpy()) - model.x_mean) / model.x_std
+                h = X
+                for i, (W, b) in enumerate(layers):
+                    z = h @ W + b
+                    h = z if i == len(layers) - 1 else np.tanh(z)
+                res = pdf.drop(columns=["_x"])
+                res[out] = h[:, 0] * model.y_std + model.y_mean
+                yield res
+
+        return src.mapInPandas(run, out_schema)
+
+
+def fit_mlp_reg(train: DataFrame, label: str, params: dict, features: str = "features",
+                max_iter: int = 60) -> MLPRegressionModel:
+    hidden = params.get("hidden", [100])
+    hidden = list(hidden) if isinstance(hidden, (list, tuple)) else [int(hidden)]
+    loss = params.get("distribution", "gaussian")
+    rate = float(params.get("rate", 0.01))
+    momentum = float(params.get("momentum_stable", 0.9))
+    seed = int(params.get("seed", 16))
+    d = train.select(vector_to_array(F.col(features)).alias("_x"), F.col(label).cast("double").alias("_y")).cache()
+    first = d.select(F.size("_x")).first()
+    n_in = int(first[0])
+    stats = d.select(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(n_in)],
+        *[F.stddev_pop(F.col("_x")[i]).alias(f"s{i}") for i in range(n_in)],
+        F.avg("_y").alias("ym"), F.stddev_pop("_y").alias("ys")).first()     # one row of moments
+    n = stats["n"]
+    x_mean = np.array([stats[f"m{i}"] for i in range(n_in)], dtype=float)
+    x_std = np.array([stats[f"s{i}"] or 1.0 for i in range(n_in)], dtype=float)
+    x_std[x_std == 0] = 1.0
+    y_mean, y_std = float(stats["ym"]), float(stats["ys"] or 1.0) or 1.0
+    shapes = _shapes(n_in, hidden)
+    rng = np.random.default_rng(seed)
+    w = np.concatenate([np.concatenate([rng.normal(0, 1 / np.sqrt(a), a * b), np.zeros(b)]) for a, b in shapes])
+    vel = np.zeros_like(w)
+    sc = train.sparkSession.sparkContext
+    for _ in range(max_iter):
+        bw = sc.broadcast(w)
+
+        def grad(batches, bw=bw):
+            total = None
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                X = (np.vstack(pdf["_x"].to_numpy()) - x_mean) / x_std
+                y = (pdf["_y"].to_numpy(dtype=float) - y_mean) / y_std
+                g, _ = _forward_backward(X, y, bw.value, shapes, loss)
+                total = g if total is None else total + g
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "g": total})
+
+        parts = d.mapInPandas(grad, "i int, g double")
+        summed = parts.groupBy("i").agg(F.sum("g").alias("g")).collect()     # one value per weight
+        g = np.zeros_like(w)
+        for r in summed:
+            g[r["i"]] = r["g"]
+        g /= max(n, 1)
+        vel = momentum * vel - rate * g
+        w = w + vel
+        bw.unpersist()
+    d.unpersist()
+    return MLPRegressionModel(w, shapes, x_mean, x_std, y_mean, y_std)

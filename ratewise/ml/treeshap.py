@@ -73,10 +73,7 @@ def load_ensemble(spark: SparkSession, model, classification: bool, folder: str
     if n > MAX_NODES:
         raise ValueError(f"{n} tree nodes exceed the broadcast bound {MAX_NODES}")
     rows = nodes.collect()                      # bounded by MAX_NODES (checked)
-    weights = np.ones(1)
-    if os.path.exists(os.path.join(base, "treesMetadata")):
-        meta = spark.read.parquet(os.path.join(base, "treesMetadata")).orderBy("_1").collect()
-        weights = np.array([r["_3"] for r in meta], dtype=float)
+    weights = np.array(getattr(model, "treeWeights", [1.0]), dtype=float)
     by_tree: dict[int, list] = {}
     for r in rows:
         by_tree.setdefault(r["treeID"], []).append(r)

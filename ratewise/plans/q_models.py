@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..ml import models as M
 from ..ml.features import fit_features
+from ..ml.mlp import fit_mlp_reg
 from ..ml.treeshap import tree_shap
 from ..ml.tune import cross_validate, run_grid, save_model, score
 from ..operators.clean import claims_only, distinct_rows, min_severity
@@ -101,6 +102,9 @@ query("gbm_severity_huber", None, "ML7 huber (boosting loop)")(
     _sev_query(lambda d: M.fit_boosted(d, "y", BOOST_SMALL, "huber")))
 query("gbm_frequency", None, "ML8 (multinomial boosting loop, balanced train)")(
     _freq_query(lambda d, p: M.fit_boosted(d, "label", {**BOOST_SMALL, "ntrees": 4}, "multinomial")))
+query("mlp_severity", None, "ML9 (Tanh network regression, distributed gradient loop)")(
+    _sev_query(lambda d: fit_mlp_reg(d, "y", {"hidden": [16], "rate": 0.05, "distribution": "gaussian"},
+                                     max_iter=30), log_response=True))
 query("mlp_frequency", None, "ML10 (MLlib multilayer perceptron)")(
     _freq_query(lambda d, p: M.fit_mlp_cls(d, p, {"hidden": [16], "rate": 0.03}, max_iter=50)))
 
