@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import recode
 from ..operators.analyze import (best_params, compare_by_type, enrich_comparison, percentile_of_best,
                                  time_by_family, tuning_heatmap, with_model_types)
-from ..operators.grid import grid_frame, grid_long_rows
+from ..operators.grid import grid_frame, grid_long_rows, grid_rows
 from ..operators.metrics import minmax_scale
 from ..operators.reshape import unpivot_probs
 from ..operators.twopart import best_pair
@@ -77,7 +77,7 @@ def q_model_type(spark, sf):
 SELECT coverage, sev_mod_type, freq_mod_type, round(avg(mae), 6) AS mae, round(avg(mse), 0) AS mse
 FROM (SELECT *, {_mt_sql('sev_mod_file')} AS sev_mod_type, {_mt_sql('freq_mod_file')} AS freq_mod_type FROM _cmpr)
 GROUP BY 1, 2, 3"""),
-       "AGG5")
+       "AGG5 AGG15")
 def q_compare_by_type(spark, sf):
     return _round_cmp(compare_by_type(comparison(spark, sf), ["coverage"]))
 
@@ -95,7 +95,7 @@ SELECT * FROM _ce LEFT JOIN _sm USING (coverage, sev_mod_file, sev_mod_num)
                   LEFT JOIN _fm USING (coverage, freq_mod_file, freq_mod_num)""")
 
 
-@query("enrich_comparison", _ENRICH_SQL, "JON2 PRJ15 PRJ12 SRC6")
+@query("enrich_comparison", _ENRICH_SQL, "JON2 PRJ15 PRJ12 SRC6 SRC10")
 def q_enrich_comparison(spark, sf):
     sev = _round_reg(severity_tuning_metrics(spark, sf))
     freq = round_doubles(frequency_tuning_metrics(spark, sf))
@@ -105,7 +105,7 @@ def q_enrich_comparison(spark, sf):
 _RF = next(ms for ms in SEVERITY_SETS if ms.algo == "rf" and ms.response == "severity")
 _RF_GRID = GRIDS[(_RF.algo, _RF.response)]
 _RF_VALUES = _values_sql([(r["mod_num"], r["max_depth"], r["mtries"])
-                          for r in __import__("ratewise.operators.grid", fromlist=["grid_rows"]).grid_rows(_RF_GRID)],
+                          for r in grid_rows(_RF_GRID)],
                          ["mod_num", "max_depth", "mtries"])
 
 
@@ -214,7 +214,7 @@ SELECT coverage, side, file, mod_num, param, value
 FROM _bs JOIN {_values_sql(_param_rows(), ["set_key", "mod_num", "param", "value"])} p USING (set_key, mod_num)""")
 
 
-@query("best_params", _BP_SQL, "JON8 FLT6 SRT3 PRJ15 (winning models' parameters)")
+@query("best_params", _BP_SQL, "JON8 FLT6 SRT3 PRJ15 SRC5 (winning models' parameters)")
 def q_best_params(spark, sf):
     best = best_pair(_round_cmp(comparison(spark, sf)), "mae", by=["coverage"])
     pl = spark.createDataFrame(_param_rows(), "set_key string, mod_num int, param string, value string")
@@ -239,3 +239,19 @@ def q_unpivot_probs(spark, sf):
     long = unpivot_probs(f, ["coverage", "row_num"])
     return round_doubles(long.select("coverage", "row_num", recode("num_claims", PROB_LABELS).alias("num_claims"),
                                      "prediction"))
+
+
+_NN = next(ms for ms in SEVERITY_SETS if ms.algo == "nn")
+_NN_GRID = GRIDS[(_NN.algo, _NN.response)]
+_NN_VALUES = _values_sql([(r["mod_num"], r["hidden"]) for r in grid_rows(_NN_GRID)], ["mod_num", "hidden"])
+_NN_SQL = with_(_ALL, f"""
+SELECT r.coverage, r.file, r.mod_num, CAST(list_sum(g.hidden) AS INTEGER) AS total_nodes,
+       CAST(len(g.hidden) AS INTEGER) AS num_layers, r.mae, r.mae_valid
+FROM _regw r JOIN {_NN_VALUES} g USING (mod_num)
+WHERE contains(r.file, '_nn_log_severity_')""")
+
+
+@query("nn_tuning_results", _NN_SQL, "PRJ17 D8 JON5 (layer list → total nodes, layers)")
+def q_nn_tuning_results(spark, sf):
+    res = severity_results(spark, sf, [_NN]).join(grid_frame(spark, _NN_GRID), "mod_num")
+    return res.select("coverage", "file", "mod_num", "total_nodes", "num_layers", "mae", "mae_valid")

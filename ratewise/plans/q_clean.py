@@ -86,7 +86,7 @@ def q_distinct_policies(spark, sf):
        with_(CLEAN, f"SELECT policy_id, coverage, variable, level FROM "
                     f"(SELECT policy_id, coverage, {FACTOR_LIST} FROM clean) "
                     f"UNPIVOT INCLUDE NULLS (level FOR variable IN ({FACTOR_LIST}))"),
-       "RSH1 RSH2 UDF1")
+       "RSH1 RSH2 UDF1 SET4")
 def q_unpivot_factors(spark, sf):
     return unpivot_factors(clean_policies(spark, sf), ["policy_id", "coverage"], FACTORS)
 
@@ -98,7 +98,7 @@ _FORM = {"bi": "1_bi", "pd": "2_pd", "coll": "3_coll"}
 @query("raw_scan_form",
        with_(POLICIES, "SELECT CASE coverage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FORM.items())
              + f" END AS form_name, {', '.join(_RAW_COLS)} FROM policies"),
-       "SRC1 SRC2 SET3 SNK1 UDF3 (raw files written per coverage, one multi-file scan)")
+       "SRC1 SRC2 SRC8 SET3 SNK1 UDF3 (raw files written per coverage, one multi-file scan)")
 def q_raw_scan_form(spark, sf):
     import os
     import uuid

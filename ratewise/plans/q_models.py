@@ -9,6 +9,7 @@ import math
 import os
 from functools import reduce
 
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
     return res, fs, (tr, va, te)
 
 
-@query("grid_search", None, "ML11 SNK2 JON5 (grid of forest classifiers per coverage, results table)")
+@query("grid_search", None, "ML11 SNK2 SNK3 SNK4 JON5 (grid of forest classifiers per coverage, results table)")
 def q_grid_search(spark, sf):
     def one(cov):
         res, _, _ = _grid_run(spark, sf, cov)
@@ -155,7 +156,7 @@ def q_score_test(spark, sf):
     return round_doubles(_per_coverage(one))
 
 
-@query("refit_best", None, "ML15 SRT3 JON8 SNK5 (best grid model by logloss, refit, save, score)")
+@query("refit_best", None, "ML15 SRT3 JON8 SNK5 SRC9 (best grid model by logloss, refit, save, reload, score)")
 def q_refit_best(spark, sf):
     base = ensure_checkpoint_dir(spark)
 
@@ -165,8 +166,9 @@ def q_refit_best(spark, sf):
         params = {k: best[k] for k in _SMALL_GRID}
         params = {k: int(v) for k, v in params.items()}
         model = M.fit_rf_cls(tr.unionByName(va), "label", {**params, "seed": 16})
-        save_model(model, os.path.join(base, f"best_{cov}_rf_frequency"))
-        return score(model, te, int(best["mod_num"]), "frequency")
+        path = save_model(model, os.path.join(base, f"best_{cov}_rf_frequency"))
+        loaded = RandomForestClassificationModel.load(path)          # SRC9: model by id/path
+        return score(loaded, te, int(best["mod_num"]), "frequency")
     return round_doubles(_per_coverage(one))
 
 
@@ -185,7 +187,7 @@ def _final(spark, sf, cov):
     return fs, freq, sev, test
 
 
-@query("final_models", None, "ML16 PRJ10 (final two-part predictions per coverage)")
+@query("final_models", None, "ML16 PRJ10 PRJ11 (final two-part predictions per coverage)")
 def q_final_models(spark, sf):
     def one(cov):
         fs, freq, sev, test = _final(spark, sf, cov)

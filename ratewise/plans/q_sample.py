@@ -17,7 +17,7 @@ _FEATS = ", ".join(MODEL_FEATURES)
 
 @query("stratified_split",
        with_(SPLIT, "SELECT policy_id, coverage, label, split, split_rank FROM split"),
-       "SMP1 WIN5 JON6 PRJ7", headline=True)
+       "SMP1 WIN5 WIN1 JON6 PRJ7", headline=True)
 def q_stratified_split(spark, sf):
     return split_table(spark, sf).select("policy_id", "coverage", "label", "split", "split_rank")
 
@@ -47,7 +47,7 @@ SELECT t.policy_id, t.coverage, t.label
 FROM _idx i JOIN _train t ON t.coverage = i.coverage AND t.label = i.label AND t.split_rank = i.idx""")
 
 
-@query("balance_classes", _BALANCE_SQL, "SMP2 SET1 (exact-size draws with replacement)")
+@query("balance_classes", _BALANCE_SQL, "SMP2 SET1 FLT5 (exact-size draws with replacement, per class)")
 def q_balance_classes(spark, sf):
     train = split_table(spark, sf).where(F.col("split") == "train")
     # Balanced train as large as the unbalanced one: a quarter per class.

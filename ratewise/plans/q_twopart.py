@@ -75,7 +75,7 @@ def q_back_transform(spark, sf):
 
 @query("combine_predictions",
        rnd(with_(_FREQ, "," + _PAIR + "\nSELECT * FROM _comb"), ["p0", "p1", "p2", "p3", "predict"]),
-       "JON1 RSH4")
+       "JON1 RSH4 FLT8")
 def q_combine(spark, sf):
     f = _one_pair(freq_test(spark, sf), "rf", 1)
     s = _one_pair(back_transform_predictions(sev_test(spark, sf)), "gb", 1)
@@ -93,7 +93,7 @@ SELECT c.coverage, c.row_num, c.predict AS amount_1_claim, 2 * c.predict AS amou
 FROM _comb c LEFT JOIN _test t ON c.coverage = t.coverage AND c.row_num = t.row_num""")
 
 
-@query("expected_cost", rnd(_EXPECTED_SQL, _EXP_COLS), "PRJ10 JON7")
+@query("expected_cost", rnd(_EXPECTED_SQL, _EXP_COLS), "PRJ10 JON7 PRJ19")
 def q_expected_cost(spark, sf):
     f = _one_pair(freq_test(spark, sf), "rf", 1)
     s = _one_pair(back_transform_predictions(sev_test(spark, sf)), "gb", 1)
@@ -151,7 +151,7 @@ _cmp AS (SELECT * REPLACE (round(mae, 6) AS mae, round(mse, 0) AS mse) FROM _cmp
 
 
 @query("compare_models_blocked", with_(_FREQ, _CMP_BODY + "\nSELECT * FROM _cmp"),
-       "ML14 JON3 JON4 UDF2 (blocked all-pairs two-part MAE/MSE)", headline=True)
+       "ML14 JON3 JON4 UDF2 AGG17 FLT10 (blocked all-pairs two-part MAE/MSE)", headline=True)
 def q_compare_models(spark, sf):
     return _round_cmp(comparison(spark, sf))
 
@@ -163,7 +163,7 @@ SELECT * EXCLUDE (_r) FROM (
   FROM _cmp {where}) WHERE _r = 1""")
 
 
-@query("best_pair", _BEST_SQL.format(where=""), "SRT3 (top-1 pair by MAE per coverage)")
+@query("best_pair", _BEST_SQL.format(where=""), "SRT3 SNK6 (top-1 pair by MAE per coverage)")
 def q_best_pair(spark, sf):
     return best_pair(_round_cmp(comparison(spark, sf)), "mae", by=["coverage"])
 

@@ -12,12 +12,30 @@ from ..session import ensure_checkpoint_dir
 from ..sources.policies import policy_view
 
 
+_STAGES: dict = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A stage table written once per session to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read back by every later plan —
+    the Spark form of the reference's stage files.  Cuts lineage, so a lost
+    executor re-reads the files instead of recomputing the stage, and several
+    branches of one plan do not recompute it either."""
+    k = (id(spark), spark.sparkContext.applicationId, *key)
+    if k not in _STAGES:
+        ensure_checkpoint_dir(spark)
+        _STAGES[k] = build().checkpoint(eager=True)
+    return _STAGES[k]
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_view(spark, sf_dir)
 
 
 def clean_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(policies(spark, sf_dir))
+    """Stage 01 output (D2), materialized once per session like the
+    reference's clean files; later stages read it instead of re-joining."""
+    return materialized(spark, ("clean", sf_dir), lambda: clean(policies(spark, sf_dir)))
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,22 +53,6 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 SEED = 42
 
 
-_STAGES: dict = {}
-
-
-def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """A stage table written once per session to the shared checkpoint
-    folder (``spark.checkpoint.dir``) and read back by every later plan —
-    the Spark form of the reference's stage files.  Cuts lineage, so a lost
-    executor re-reads the files instead of recomputing the stage, and several
-    branches of one plan do not recompute it either."""
-    k = (id(spark), spark.sparkContext.applicationId, *key)
-    if k not in _STAGES:
-        ensure_checkpoint_dir(spark)
-        _STAGES[k] = build().checkpoint(eager=True)
-    return _STAGES[k]
-
-
 def split_table_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.clean import as_label
     from ..operators.sample import stratified_split
