@@ -16,7 +16,9 @@ one task.  Here the quantile is found from global ranks instead:
 4. keep only the rows whose rank interval covers floor/ceil of
    h = (n - 1) p and interpolate: x_lo + (h - floor h)(x_hi - x_lo).
 
-Every step is a bounded window or a partial aggregate; no collect.
+Groups small enough for one aggregation buffer (MAX_EXACT_GROUP distinct
+values) take Spark's ``percentile`` with frequencies instead — the common
+case, and much cheaper.  Every step is bounded; no collect.
 """
 
 from __future__ import annotations
@@ -67,10 +69,84 @@ def value_frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
+MAX_EXACT_GROUP = 100_000   # distinct values a group may hold in one aggregation buffer
+
+
+def _null_safe_filter(df: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:
+    a, b = df.alias("_fa"), groups.alias("_fb")
+    cond = [F.col(f"_fa.`{k}`").eqNullSafe(F.col(f"_fb.`{k}`")) for k in keys]
+    return a.join(b, cond, how).select("_fa.*")
+
+
+def _percentile_small(vf: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Spark's exact ``percentile`` with the value counts as frequencies; the
+    per-group buffer holds at most MAX_EXACT_GROUP distinct values."""
+    names = list(probs)
+    agg = vf.groupBy(*keys).agg(
+        F.percentile(F.col("_v"), [float(probs[n]) for n in names], F.col("_c")).alias("_q"))
+    return agg.select(*[F.col(f"`{k}`") for k in keys], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+MAX_ROUTED_GROUPS = 1000    # large groups listed as a literal filter (else routed by join)
+
+
+def group_row_bound(df: DataFrame, keys: list[str]) -> int:
+    """Largest number of rows in any ``keys`` group of ``df`` — an upper bound
+    on the distinct values of any finer group.  One small aggregate."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] if keys \
+        else df.count()
+    return int(r or 0)
+
+
+def _key_match(keys: list[str], groups: list) -> F.Column:
+    conds = []
+    for g in groups:
+        c = None
+        for k in keys:
+            e = F.col(f"`{k}`").eqNullSafe(F.lit(g[k]))
+            c = e if c is None else c & e
+        conds.append(c)
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def quantiles_from_frequencies(vf: DataFrame, keys: list[str], probs: dict[str, float],
-                               splits: list[float]) -> DataFrame:
-    """Type-7 quantiles from a value-frequency table (keys, _v, _c)."""
-    vfb = vf.where(F.col("_v").isNotNull()).withColumn("_b", bucket_of(F.col("_v"), splits))
+                               splits: list[float], max_exact_group: int = MAX_EXACT_GROUP,
+                               row_bound: int | None = None) -> DataFrame:
+    """Type-7 quantiles from a value-frequency table (keys, _v, _c).
+
+    Groups with at most ``max_exact_group`` distinct values use the built-in
+    percentile (bounded buffer); larger groups — hot levels, whole columns —
+    go through the bucketed rank path, so no group is ever held whole by one
+    task.  ``row_bound`` (an upper bound on rows per group, from a cheap
+    aggregate of the input) skips the routing when no group can be large.
+    Otherwise the large groups (at most rows / max_exact_group of them) are
+    listed — a checked, bounded key list — and used as a filter, or routed by
+    a join when there are very many."""
+    vf = vf.where(F.col("_v").isNotNull())
+    if row_bound is not None and row_bound <= max_exact_group:
+        return _percentile_small(vf, keys, probs)
+    big = vf.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_exact_group).drop("_d")
+    n_big = big.count()
+    if n_big == 0:
+        return _percentile_small(vf, keys, probs)
+    if n_big <= MAX_ROUTED_GROUPS:
+        listed = [r.asDict() for r in big.collect()]          # bounded by MAX_ROUTED_GROUPS (checked)
+        match = _key_match(keys, listed)
+        small_vf, large_vf = vf.where(~match), vf.where(match)
+    else:
+        small_vf = _null_safe_filter(vf, big, keys, "left_anti")
+        large_vf = _null_safe_filter(vf, big, keys, "left_semi")
+    small = _percentile_small(small_vf, keys, probs)
+    large = _quantiles_bucketed(large_vf, keys, probs, splits)
+    return small.unionByName(large)
+
+
+def _quantiles_bucketed(vf: DataFrame, keys: list[str], probs: dict[str, float],
+                        splits: list[float]) -> DataFrame:
+    vfb = vf.withColumn("_b", bucket_of(F.col("_v"), splits))
     w_local = (Window.partitionBy(*keys, "_b").orderBy("_v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = vfb.withColumn("_cum", F.sum("_c").over(w_local))
@@ -101,17 +177,20 @@ def quantiles_from_frequencies(vf: DataFrame, keys: list[str], probs: dict[str,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    n_buckets: int = 256, splits: list[float] | None = None) -> DataFrame:
+                    n_buckets: int = 256, splits: list[float] | None = None,
+                    max_exact_group: int = MAX_EXACT_GROUP) -> DataFrame:
     """Return ``keys`` + one double column per entry of ``probs`` (name → p).
 
     NULL values are skipped (Spark semantics); groups without any non-NULL
     value are absent.  NULL keys form their own group.  ``splits`` may be
     given (e.g. computed on a narrower table with the same values).
     """
+    bound = group_row_bound(df, keys)
     if splits is None:
-        splits = value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
+        splits = (value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
+                  if bound > max_exact_group else [])
     vf = value_frequencies(df, keys, value)
-    return quantiles_from_frequencies(vf, keys, probs, splits)
+    return quantiles_from_frequencies(vf, keys, probs, splits, max_exact_group, row_bound=bound)
 
 
 def _safe(name: str) -> str:

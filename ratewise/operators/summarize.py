@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
-from .quantiles import quantiles_from_frequencies, value_buckets, value_frequencies
+from .quantiles import MAX_EXACT_GROUP, group_row_bound, quantiles_from_frequencies, value_buckets, value_frequencies
 from .reshape import unpivot_factors
 
 # Output suffix per measure and the numeric-summary labels.
@@ -39,7 +39,8 @@ def _splits_for(df: DataFrame, measures: list[str], n_buckets: int) -> list[floa
 
 def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = None,
                    factors: list[str] | None = None, measures: list[str] | None = None,
-                   accuracy: int = 10000, n_buckets: int = 256) -> DataFrame:
+                   accuracy: int = 10000, n_buckets: int = 256,
+                   max_exact_group: int = MAX_EXACT_GROUP) -> DataFrame:
     """AGG1 (``exact=False``: ``percentile_approx``) / AGG2 (``exact=True``:
     type-7 quantiles) over (by..., variable, level): count and
     min/q1/med/avg/q3/max/tot of each measure.
@@ -55,7 +56,25 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
     measures = measures or MEASURES
     keys = by + ["variable", "level"]
 
-    if exact:
+    bound = group_row_bound(df, by) if exact else 0
+    if exact and bound <= max_exact_group:
+        # Every (by, variable, level) group has at most `bound` rows, so the
+        # built-in exact percentile's per-group buffer is bounded: one grouped
+        # aggregate over the factor unpivot computes everything.
+        long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
+        aggs = [F.count(F.lit(1)).alias("count")]
+        for m in measures:
+            s = MEASURE_SUFFIX.get(m, m.lower())
+            aggs += [F.min(m).alias(f"min_{s}"), F.avg(m).alias(f"avg_{s}"), F.max(m).alias(f"max_{s}"),
+                     F.sum(m).alias(f"tot_{s}"),
+                     F.percentile(F.col(m).cast("double"), [0.25, 0.5, 0.75]).alias(f"_pq_{s}")]
+        basic = long.groupBy(*keys).agg(*aggs)
+        for m in measures:
+            s = MEASURE_SUFFIX.get(m, m.lower())
+            for i, name in enumerate(QUARTILES):
+                basic = basic.withColumn(f"{name}_{s}", F.col(f"_pq_{s}")[i])
+            basic = basic.drop(f"_pq_{s}")
+    elif exact:
         # Integer tags instead of column-name strings keep the shuffled
         # value-frequency keys narrow; names are restored at the end.
         fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
@@ -65,10 +84,11 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
                     .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
         tkeys = by + ["_vi", "level"]
         mkeys = tkeys + ["_mi"]
+        # some group can exceed the buffer cap: value-frequency + bucketed ranks
         splits = _splits_for(df, measures, n_buckets)
         vf = value_frequencies(tagged, mkeys, "_value")
         stats = _measure_stats_from_vf(vf, mkeys)
-        q = quantiles_from_frequencies(vf, mkeys, QUARTILES, splits)
+        q = quantiles_from_frequencies(vf, mkeys, QUARTILES, splits, max_exact_group, row_bound=bound)
         per_measure = _left_null_safe(stats, q, mkeys)
         aggs = [F.max("_rows").alias("count")]
         for i, m in enumerate(measures):
@@ -123,10 +143,12 @@ def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[s
     long = (df.select(*by, *[F.col(m).cast("double").alias(m) for m in measures])
               .unpivot(by, measures, "variable", "value"))
     keys = by + ["variable"]
-    splits = value_buckets(long.select("value"), "value", n_buckets)
+    bound = group_row_bound(df, by)
+    splits = value_buckets(long.select("value"), "value", n_buckets) if bound > MAX_EXACT_GROUP else []
     vf = value_frequencies(long, keys, "value")
     stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75}, splits)
+    q = quantiles_from_frequencies(vf, keys, {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75}, splits,
+                                   row_bound=bound)
     out = _left_null_safe(stats, q, keys)
     return out.select(*keys, F.col("_min").alias("Min."), F.col("`1st Qu.`"), F.col("Median"),
                       F.col("_avg").alias("Mean"), F.col("`3rd Qu.`"), F.col("_max").alias("Max."))
@@ -217,10 +239,12 @@ def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str]
 def six_numbers(df: DataFrame, keys: list[str], value: str, n_buckets: int = 256) -> DataFrame:
     """keys + min, q1, med, avg, q3, max of ``value`` per group (exact type-7
     quartiles, skew-safe: a group may be a whole prediction file)."""
-    splits = value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
+    bound = group_row_bound(df, keys)
+    splits = (value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
+              if bound > MAX_EXACT_GROUP else [])
     vf = value_frequencies(df, keys, value)
     stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, QUARTILES, splits)
+    q = quantiles_from_frequencies(vf, keys, QUARTILES, splits, row_bound=bound)
     out = _left_null_safe(stats, q, keys)
     return out.select(*keys, F.col("_min").alias("min"), "q1", "med", F.col("_avg").alias("avg"),
                       "q3", F.col("_max").alias("max"))

@@ -9,9 +9,9 @@ from ratewise.operators.summarize import numeric_summary, six_numbers
 PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p10": 0.1}
 
 
-def _check(spark, rows, n_buckets):
+def _check(spark, rows, n_buckets, max_exact_group=0):
     df = spark.createDataFrame(rows, "g string, v double")
-    out = exact_quantiles(df, ["g"], "v", PROBS, n_buckets=n_buckets).collect()
+    out = exact_quantiles(df, ["g"], "v", PROBS, n_buckets=n_buckets, max_exact_group=max_exact_group).collect()
     groups = {}
     for g, v in rows:
         if v is not None:
@@ -27,7 +27,9 @@ def test_hot_group_null_key_and_ties(spark):
     rows = [("hot", float(random.randint(0, 300))) for _ in range(3000)]
     rows += [(None, 1.0), (None, 2.0), ("one", 5.0), ("ties", 2.0), ("ties", 2.0), ("ties", 9.0), ("nulls", None),
              ("nulls", 4.0)]
-    _check(spark, rows, n_buckets=16)
+    _check(spark, rows, n_buckets=16)                       # every group through the bucketed path
+    _check(spark, rows, n_buckets=16, max_exact_group=50)   # hot group bucketed, the rest built-in
+    _check(spark, rows, n_buckets=16, max_exact_group=10**6)
 
 
 @settings(max_examples=8, deadline=None)

@@ -37,6 +37,19 @@ def test_factor_summary_exact_matches_pandas(spark):
                     assert abs(r[f"{q}_{s}"] - g[m].quantile(p)) < 1e-12
 
 
+def test_factor_summary_paths_agree(spark):
+    df, _ = _df(spark)
+    key = lambda t: tuple("" if x is None else str(x) for x in t[:2])
+    fast = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"]).collect()), key=key)
+    for cap in (0, 2):     # all groups / some groups through the bucketed rank path
+        slow = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"],
+                                                        max_exact_group=cap).collect()), key=key)
+        assert len(fast) == len(slow)
+        for a, b in zip(fast, slow):
+            assert a[:3] == b[:3]
+            assert all(abs(x - y) < 1e-9 for x, y in zip(a[3:], b[3:]))
+
+
 def test_factor_summary_approx_returns_observed_values(spark):
     df, _ = _df(spark)
     rows = factor_summary(df, exact=False, factors=["B"]).collect()
