@@ -1,5 +1,5 @@
 """Categorical encodings: ML1 ordinal encoding, ML2 'EnumLimited' top-k
-lumping.
+lumping and 'Eigen' (first principal component of the one-hot).
 
 The fitted state of an encoder is a small (variable, level, code) table —
 bounded by the factor cardinalities, not by rows (the high-cardinality
@@ -100,3 +100,46 @@ def enum_limited(df: DataFrame, top: DataFrame, key: str, features: list[str],
     return (long.join(kept, ["variable", "level"], "left")
                 .select(key, "variable",
                         F.when(F.col("_kept"), F.col("level")).otherwise(F.lit(other)).alias("level")))
+
+
+def eigen_codes(train: DataFrame, features: list[str]) -> dict[str, dict[str, float]]:
+    """ML2 'Eigen': each factor → its centred projection on the first
+    principal component of the factor's one-hot matrix.
+
+    The covariance of the one-hot indicators is diag(p) − p pᵀ (p = level
+    shares), so the component comes from the level counts alone: one grouped
+    count (bounded by the factor cardinalities, size-checked) and a small
+    eigen-decomposition per factor on the driver.  Sign fixed so the largest
+    loading is positive; unseen levels map to 0 (the mean)."""
+    import numpy as np
+    long = unpivot_factors(train.select(*features), [], features).where(F.col("level").isNotNull())
+    counts = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() > MAX_ENCODED_LEVELS:
+        raise ValueError("too many levels for the Eigen encoding")
+    by_var: dict[str, list] = {}
+    for r in counts.collect():                 # bounded by MAX_ENCODED_LEVELS (checked)
+        by_var.setdefault(r["variable"], []).append((r["level"], r["n"]))
+    out = {}
+    for var, items in by_var.items():
+        items.sort()
+        levels = [lv for lv, _ in items]
+        p = np.array([n for _, n in items], dtype=float)
+        p /= p.sum()
+        cov = np.diag(p) - np.outer(p, p)
+        vals, vecs = np.linalg.eigh(cov)
+        v = vecs[:, -1]
+        if v[np.argmax(np.abs(v))] < 0:
+            v = -v
+        proj = v - float(p @ v)
+        out[var] = {lv: float(x) for lv, x in zip(levels, proj)}
+    return out
+
+
+def eigen_transform(df: DataFrame, codes: dict[str, dict[str, float]], key: str) -> DataFrame:
+    """ML2 'Eigen' transform in long form: (key, variable, value)."""
+    cols = []
+    for var, m in codes.items():
+        mp = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+        cols.append(F.coalesce(mp[F.col(var)], F.lit(0.0)).alias(var))
+    wide = df.select(key, *cols)
+    return wide.unpivot([key], list(codes), "variable", "value")

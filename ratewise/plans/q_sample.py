@@ -112,3 +112,12 @@ def q_enum_limited(spark, sf):
     s = split_table(spark, sf)
     top = top_levels(s.where(F.col("split") == "train"), MODEL_FEATURES, _TOPK)
     return enum_limited(s.where(F.col("split") == "test"), top, "policy_id", MODEL_FEATURES)
+
+
+@query("eigen_encode", None, "ML2 Eigen (first principal component of each factor's one-hot)")
+def q_eigen_encode(spark, sf):
+    from ..operators.encode import eigen_codes, eigen_transform
+    from .stages import round_doubles
+    s = split_table(spark, sf)
+    codes = eigen_codes(s.where(F.col("split") == "train"), MODEL_FEATURES)
+    return round_doubles(eigen_transform(s.where(F.col("split") == "test"), codes, "policy_id"))

@@ -20,3 +20,12 @@ def test_top_levels_two_stage_equals_global(spark):
         counts[x] = counts.get(x, 0) + 1
     want = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
     assert got == want
+
+
+def test_eigen_codes_two_levels(spark):
+    from ratewise.operators.encode import eigen_codes
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)], "f string")
+    c = eigen_codes(df, ["f"])["f"]
+    # two levels: the component separates them; centred projection has mean 0 over rows
+    assert c["a"] * c["b"] < 0
+    assert abs(3 * c["a"] + c["b"]) < 1e-9
