@@ -176,8 +176,19 @@ def explain_matrix(X: np.ndarray, ens: Ensemble, method: str) -> np.ndarray:
     for t, w in zip(ens.trees, ens.scale()):
         part = np.zeros((n, p, ens.n_outputs))
         if method == "exact":
-            for i in range(n):
-                _tree_shap_row(X[i], t, part[i])
+            # Path-dependent SHAP depends on a row only through its branch
+            # decisions at the internal nodes: explain each distinct decision
+            # pattern once (exact), then scatter to its rows.
+            internal = np.where(t.left >= 0)[0]
+            if len(internal) == 0:
+                part[:] = 0.0
+            else:
+                dec = X[:, t.feature[internal]] <= t.threshold[internal]
+                pats, first, inverse = np.unique(dec, axis=0, return_index=True, return_inverse=True)
+                uniq = np.zeros((len(pats), p, ens.n_outputs))
+                for u, i in enumerate(first):
+                    _tree_shap_row(X[i], t, uniq[u])
+                part[:] = uniq[inverse.reshape(-1)]
         else:
             _saabas(X, t, part)
         phi += w * part
