@@ -215,3 +215,27 @@ def q_tree_shap(spark, sf):
 def q_kde(spark, sf):
     claims = claims_only(split_table(spark, sf))
     return round_doubles(gaussian_kde(claims, "severity", grid_points=64, by=["coverage"]))
+
+
+@query("grid_resume", None, "SNK2 SNK3 SNK4 ML11 (interrupted grid resumed: pending = grid anti-join results)")
+def q_grid_resume(spark, sf):
+    import uuid
+
+    from ..operators.grid import grid_frame, pending
+    from ..ml.tune import done_models
+    base = os.path.join(ensure_checkpoint_dir(spark), f"grid-{uuid.uuid4().hex}")
+
+    def one(cov):
+        train, valid, test = _split(spark, sf, cov)
+        fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
+        tr, va, te = (fs.transform(x).cache() for x in (train, valid, test))
+        results, preds = os.path.join(base, cov, "results"), os.path.join(base, cov, "predictions")
+        fit = lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16})
+        rows = grid_rows(_SMALL_GRID)
+        run_grid(spark, rows[:1], fit, tr, va, te, "frequency", "label", results, preds)   # "interrupted" run
+        todo = pending(grid_frame(spark, _SMALL_GRID), spark.read.parquet(results), ["mod_num"])
+        todo_ids = {r.mod_num for r in todo.select("mod_num").collect()}                    # grid-sized
+        run_grid(spark, [r for r in rows if r["mod_num"] in todo_ids], fit, tr, va, te, "frequency", "label",
+                 results, preds, done=done_models(spark, results))
+        return spark.read.parquet(results)
+    return round_doubles(_per_coverage(one))
