@@ -18,6 +18,22 @@ from ..sources.policies import policy_view
 _STAGES: dict = {}
 
 
+def stage_partitions(spark: SparkSession, df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """Partitions for a stage table: the scanned input size / ~128 MB,
+    at least two tasks per core, at most the configured
+    shuffle-partition count."""
+    lo = 2 * spark.sparkContext.defaultParallelism      # ~2 tasks per core
+    hi = max(lo, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:   # sum of the scanned relations' sizes (join estimates multiply without CBO)
+        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        size = 0
+        while it.hasNext():
+            size += int(str(it.next().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 — no estimate: use the configured count
+        return hi
+    return max(lo, min(hi, -(-size // target_bytes)))
+
+
 def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
     """A stage table written once per session as Parquet into the shared
     checkpoint folder (``spark.checkpoint.dir``) and read back by every later
@@ -34,8 +50,7 @@ def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
         # 3 measures per row) then run on every core instead of on however
         # few partitions the small scan / AQE coalescing left.
         if "policy_id" in df.columns:
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartition(max(n, spark.sparkContext.defaultParallelism), "policy_id")
+            df = df.repartition(stage_partitions(spark, df), "policy_id")
         path = os.path.join(base, f"stage-{key[0]}-{uuid.uuid4().hex}")
         df.write.mode("overwrite").parquet(path)
         _STAGES[k] = spark.read.parquet(path)
