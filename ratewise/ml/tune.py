@@ -49,6 +49,21 @@ def _metrics(model, df: DataFrame, kind: str, label: str) -> dict:
     return m.first().asDict()          # one row of metrics
 
 
+def _all_metrics(model, parts: dict[str, DataFrame], kind: str, label: str) -> dict[str, dict]:
+    """Metrics of every split in one scoring job: the splits are tagged,
+    unioned, scored once and aggregated by tag (one row per split)."""
+    tagged = None
+    for name, df in parts.items():
+        t = df.withColumn("_split", F.lit(name)).withColumn("_y", F.col(label))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    pred = score(model, tagged, 0, kind, keep=["_split", "_y"])
+    if kind == "frequency":
+        m = classification_metrics(pred.withColumn("label", F.col("_y").cast("int")), "label", ["_split"])
+    else:
+        m = regression_metrics(pred, "_y", "predict", ["_split"])
+    return {r["_split"]: r.asDict() for r in m.collect()}      # one row per split
+
+
 def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFrame, valid: DataFrame,
              test: DataFrame | None, kind: str, label: str, results_path: str | None = None,
              predictions_path: str | None = None, done: set[int] | None = None) -> DataFrame:
@@ -65,19 +80,22 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
         try:
             model = fit(train, params)
             secs = time.time() - t0
-            tr = _metrics(model, train, kind, label)
-            va = _metrics(model, valid, kind, label)
+            parts = {"train": train, "valid": valid}
+            if kind == "frequency" and test is not None:
+                parts["test"] = test
+            ms = _all_metrics(model, parts, kind, label)
         except Exception as e:  # noqa: BLE001 — keep the grid going, as the reference does
             log.error("model %s failed: %s", mod, e)
             continue
         rec = {"mod_num": mod, "time_to_create": secs, **{k: fmt_value(v) for k, v in params.items()}}
+        tr, va = ms.get("train", {}), ms.get("valid", {})
         for k, v in tr.items():
-            if kind == "frequency" and k == "logloss":
+            if k == "_split" or (kind == "frequency" and k == "logloss"):
                 continue
             rec[k] = v
             rec[f"{k}_valid"] = va.get(k)
-        if kind == "frequency" and test is not None:
-            rec["logloss"] = _metrics(model, test, kind, label)["logloss"]
+        if "test" in ms:
+            rec["logloss"] = ms["test"]["logloss"]
         rows.append(rec)
         if results_path:
             spark.createDataFrame([rec]).write.mode("append").parquet(results_path)

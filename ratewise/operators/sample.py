@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_int, hash_key
 
 
-def hash_rank(df: DataFrame, strata: list[str], key: str, seed, digits: int = 3,
+def hash_rank(df: DataFrame, strata: list[str], key: str, seed, digits: int = 4,
               rank_col: str = "_rank", size_col: str = "_n") -> DataFrame:
     """Exact 1-based rank of each row within its stratum in md5(key||seed)
     order, plus the stratum size — without putting a stratum in one task.
 
     Two levels: the first ``digits`` hex digits of the hash are an
     order-preserving bucket; rows are numbered inside (stratum, bucket)
-    (a window of ~n/16^digits rows), and the bucket offsets come from a
+    (a window of ~n/16^digits rows: 65,536 buckets by default, so a third of
+    10^11 rows is ~0.5 M rows per window), and the bucket offsets come from a
     window over per-bucket counts (≤ 16^digits rows per stratum).
     """
     h = hash_key(key, seed)
