@@ -65,11 +65,12 @@ def _model_index(pred: DataFrame, keys: list[str], idx: str) -> DataFrame:
 
 
 def _gather(pred: DataFrame, index: DataFrame, keys: list[str], idx: str, value: str, out: str) -> DataFrame:
-    """Per (keys, row_num): map model index → ``value`` (models missing for a
-    row are simply absent).  One shuffle on the row id; the map holds at
-    most one entry per model."""
+    """Per (keys, row_num): parallel arrays of model index and ``value``
+    (models missing for a row are simply absent).  One shuffle on the row
+    id; the arrays hold at most one entry per model."""
     d = pred.join(index, [*keys, "file", "mod_num"], "inner")
-    return d.groupBy(*keys, "row_num").agg(F.map_from_entries(F.collect_list(F.struct(idx, value))).alias(out))
+    g = d.groupBy(*keys, "row_num").agg(F.collect_list(F.struct(idx, value)).alias("_e"))
+    return g.select(*keys, "row_num", F.col(f"_e.{idx}").alias(f"{out}_i"), F.col(f"_e.{value}").alias(f"{out}_v"))
 
 
 def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: list[str] | None = None,
@@ -114,35 +115,28 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
     return res.select(*keys, "sev_mod_file", "sev_mod_num", "freq_mod_file", "freq_mod_num", "mae", "mse")
 
 
-def _dense(maps, width: int) -> np.ndarray:
-    out = np.full((len(maps), width), np.nan)
-    for i, m in enumerate(maps):
-        if m is None:
-            continue
-        for k, v in (m.items() if isinstance(m, dict) else m):
-            if v is not None:
-                out[i, k] = v
+def _dense(idx_col: pd.Series, val_col: pd.Series) -> np.ndarray:
+    """Scatter per-row (index, value) arrays into a dense rows x models
+    matrix (NaN where a model has no prediction) — vectorised per batch."""
+    n = len(idx_col)
+    lens = np.fromiter((0 if a is None else len(a) for a in idx_col), dtype=np.int64, count=n)
+    if lens.sum() == 0:
+        return np.full((n, 0), np.nan)
+    flat_i = np.concatenate([np.asarray(a, dtype=np.int64) for a in idx_col if a is not None and len(a)])
+    flat_v = np.concatenate([np.asarray(a, dtype=float) for a in val_col if a is not None and len(a)])
+    out = np.full((n, int(flat_i.max()) + 1), np.nan)
+    out[np.repeat(np.arange(n), lens), flat_i] = flat_v
     return out
 
 
-def _width(maps) -> int:
-    w = 0
-    for m in maps:
-        if m is not None:
-            ks = m.keys() if isinstance(m, dict) else [k for k, _ in m]
-            if ks:
-                w = max(w, max(ks) + 1)
-    return w
-
-
 def _block_sums(g: pd.DataFrame, keys, kv, max_cells: int) -> pd.DataFrame:
     y = g["y"].to_numpy(dtype=float)
-    S, Fn = _width(g["s"]), _width(g["w"])
+    s, w = _dense(g["s_i"], g["s_v"]), _dense(g["w_i"], g["w_v"])
+    S, Fn = s.shape[1], w.shape[1]
     cols = ["_si", "_fi", "sum_abs", "sum_sq", "n"]
     if S == 0 or Fn == 0:
         return pd.DataFrame({c: [] for c in [*keys, *cols]}).astype(
             {"_si": "int32", "_fi": "int32", "sum_abs": float, "sum_sq": float, "n": "int64"})
-    s, w = _dense(g["s"], S), _dense(g["w"], Fn)
     acc_abs = np.zeros((S, Fn))
     acc_sq = np.zeros((S, Fn))
     cnt = np.zeros((S, Fn), dtype=np.int64)
