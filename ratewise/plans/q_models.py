@@ -172,13 +172,19 @@ def q_refit_best(spark, sf):
     return round_doubles(_per_coverage(one))
 
 
-def _final(spark, sf, cov):
-    """ML16: weighted forest classifier (exposure as weight, not feature)
-    and a severity model — forest on log severity, or Huber boosting for
-    the collision-like coverage."""
+def _final_freq(spark, sf, cov):
+    """ML16 frequency part: forest classifier with exposure as the sample
+    weight (not as a feature)."""
     train, _, test = _split(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES)
     freq = M.fit_rf_cls(fs.transform(train), "label", RF_SMALL, weight="EARNED_EXPOSURE")
+    return fs, freq, test
+
+
+def _final(spark, sf, cov):
+    """ML16: the weighted forest classifier and a severity model — forest on
+    log severity, or Huber boosting for the collision-like coverage."""
+    fs, freq, test = _final_freq(spark, sf, cov)
     tr, _ = _severity_frames(spark, sf, cov, log_response=cov != "coll")
     if cov == "coll":
         sev = M.fit_boosted(fs.transform(tr), "y", BOOST_SMALL, "huber")
@@ -204,7 +210,7 @@ def q_final_models(spark, sf):
 @query("tree_shap", None, "ML17 ML18 UDF4 (TreeSHAP of the final frequency forest)")
 def q_tree_shap(spark, sf):
     def one(cov):
-        fs, freq, _, test = _final(spark, sf, cov)
+        fs, freq, test = _final_freq(spark, sf, cov)
         shap, ev = tree_shap(fs.transform(test), freq, fs.names, ["row_num"], classification=True,
                              method="exact")
         return shap.join(ev, "output")
