@@ -49,12 +49,10 @@ def fit_features(train: DataFrame, factors: list[str] | None = None, numeric: li
     enc = OrdinalEncoding.fit(train, factors)
     space = FeatureSpace(enc, factors, numeric or [])
     if one_hot:
-        sizes = {f: len(enc.mapping[f]) + 1 for f in factors}
         base = enc.transform(train.select(*factors))
         for f in factors:
             base = base.withColumn(f"{f}_idx", F.col(f).cast("double") + 1)
         ohe = OneHotEncoder(inputCols=[f"{f}_idx" for f in factors], outputCols=[f"{f}_oh" for f in factors],
                             handleInvalid="keep", dropLast=True)
         space.one_hot = PipelineModel([ohe.fit(base)])
-        _ = sizes
     return space

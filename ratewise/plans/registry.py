@@ -36,14 +36,8 @@ def query(name: str, sql: str | None, operators: str, headline: bool = False):
 
 
 def _load_all():
-    # Importing the modules registers their queries.
-    from . import q_clean, q_summary  # noqa: F401
-    for mod in ("q_sample", "q_twopart", "q_analysis", "q_explain", "q_models"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    # Importing the stage modules registers their queries.
+    from . import q_analysis, q_clean, q_explain, q_models, q_sample, q_summary, q_twopart  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

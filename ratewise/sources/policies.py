@@ -59,7 +59,8 @@ def policy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     n_ret = F.coalesce(F.col("n_ret"), F.lit(0))
     amt_ret = F.coalesce(F.col("amt_ret"), F.lit(0))
-    coverage = (F.when(key % 3 == 0, "bi").when(key % 3 == 1, "pd").otherwise("coll"))
+    coverage = F.try_element_at(F.create_map(*[F.lit(x) for kv in COVERAGE_BY_MOD3.items() for x in kv]),
+                                (key % 3).cast("int"))
     amount = (F.when(n_ret == 0, F.lit(0.0))
               .when(key % 97 == 0, F.lit(-100.0))
               .otherwise((amt_ret - amt_ret % 1250).cast("double") / 10000))
