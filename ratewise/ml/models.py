@@ -202,6 +202,8 @@ def fit_boosted(train: DataFrame, label: str, params: dict, loss: str, features:
         if cached is not None:
             cached.unpersist()
         cached = d if d is not prev or d.is_cached else None
+    if cached is not None:
+        cached.unpersist()
     return BoostedModel(init, trees, rate, loss)
 
 

@@ -126,7 +126,9 @@ def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
 @query("grid_search", None, "ML11 SNK2 SNK3 SNK4 JON5 (grid of forest classifiers per coverage, results table)")
 def q_grid_search(spark, sf):
     def one(cov):
-        res, _, _ = _grid_run(spark, sf, cov)
+        res, _, frames = _grid_run(spark, sf, cov)
+        for f in frames:            # results are collected metric rows: release the caches
+            f.unpersist()
         return res
     return round_doubles(_per_coverage(one))
 
@@ -137,8 +139,10 @@ def q_cross_validate(spark, sf):
         train, _, _ = _split(spark, sf, cov)
         tr = distinct_rows(claims_only(train)).withColumn("y", F.col("severity"))
         fs = fit_features(tr, MODEL_FEATURES)
-        folds = cross_validate(fs.transform(tr).cache(), lambda d, p: M.fit_gbt_reg(d, "y", p),
+        assembled = fs.transform(tr).cache()
+        folds = cross_validate(assembled, lambda d, p: M.fit_gbt_reg(d, "y", p),
                                {**GB_SMALL, "ntrees": 5}, "severity", "y", k=5)
+        assembled.unpersist()
         return spark.createDataFrame(
             [tuple(float(f[c]) if f[c] is not None else None for c in ("r_2", "mse", "rmse", "rmsle", "mae"))
              + (f["fold"],) for f in folds],
@@ -166,6 +170,8 @@ def q_refit_best(spark, sf):
         params = {k: best[k] for k in _SMALL_GRID}
         params = {k: int(v) for k, v in params.items()}
         model = M.fit_rf_cls(tr.unionByName(va), "label", {**params, "seed": 16})
+        tr.unpersist()
+        va.unpersist()
         path = save_model(model, os.path.join(base, f"best_{cov}_rf_frequency"))
         loaded = RandomForestClassificationModel.load(path)          # SRC9: model by id/path
         return score(loaded, te, int(best["mod_num"]), "frequency")
@@ -243,5 +249,7 @@ def q_grid_resume(spark, sf):
         todo_ids = {r.mod_num for r in todo.select("mod_num").collect()}                    # grid-sized
         run_grid(spark, [r for r in rows if r["mod_num"] in todo_ids], fit, tr, va, te, "frequency", "label",
                  results, preds, done=done_models(spark, results))
+        for f in (tr, va, te):
+            f.unpersist()
         return spark.read.parquet(results)
     return round_doubles(_per_coverage(one))
