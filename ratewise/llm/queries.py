@@ -8,9 +8,12 @@ version instead.
 
 from __future__ import annotations
 
+from . import chat_format
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .line_dedup import line_dedup
+from .packing import pack
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -21,12 +24,41 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup)}
+def op5_packing(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return license_scan(read_table(spark, sf_dir, "documents"))[0]
+
+
+def op10_chat_format(spark, sf_dir):
+    """All conversations, and conversation -7, whose texts hold control strings."""
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    events = chat_format.events_of(rows)
+    return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op9_license_scan, op10_chat_format)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in chat_format.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+_MARKS = len(chat_format.TURN) + len(chat_format.TEXT) + len(chat_format.END)
+
 ORACLE_SQL = {
     "op2_line_dedup": f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -46,4 +78,14 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op10_chat_format": f"""
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                       (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length({_escaped('role')}) + length({_escaped('text')}) + {_MARKS})::BIGINT AS formatted_chars
+        FROM rows GROUP BY conv_id""",
 }
