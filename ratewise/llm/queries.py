@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from . import chat_format
 from .common import read_table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .line_dedup import line_dedup
@@ -28,6 +29,10 @@ def op5_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_license_scan(spark, sf_dir):
     return license_scan(read_table(spark, sf_dir, "documents"))[0]
 
@@ -42,7 +47,8 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op9_license_scan, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op7_decontamination,
+                                  op9_license_scan, op10_chat_format)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -78,6 +84,21 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op7_decontamination": f"""
+        WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+                       UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+        w AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_SPACES}),
+                                           lambda x: x <> '') AS w FROM texts),
+        items AS (SELECT id AS item_id, least(len(w), 5) AS k, w FROM w WHERE kind = 'i' AND len(w) > 0),
+        item_grams AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+                       FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM items)),
+        sizes AS (SELECT item_id, k, count(*) AS n_item FROM item_grams GROUP BY item_id, k),
+        doc_grams AS (SELECT DISTINCT id AS doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+                      FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS p
+                            FROM w, (SELECT DISTINCT k FROM items) WHERE kind = 'd'))
+        SELECT doc_id, item_id, n_item AS item_shingles, count(*) AS shared, count(*) / n_item AS containment
+        FROM doc_grams JOIN item_grams USING (k, s) JOIN sizes USING (item_id, k)
+        GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80""",
     "op10_chat_format": f"""
         WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                       UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
