@@ -12,6 +12,7 @@ from . import chat_format
 from .common import read_table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
@@ -29,6 +30,10 @@ def op5_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_decontamination(spark, sf_dir):
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -47,8 +52,8 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op7_decontamination,
-                                  op9_license_scan, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
+                                  op7_decontamination, op9_license_scan, op10_chat_format)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
