@@ -16,12 +16,17 @@ from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
+from .suffix_dedup import substring_dedup
 
 
 def op2_line_dedup(spark, sf_dir):
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
                                   op7_decontamination, op9_license_scan, op10_chat_format)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
