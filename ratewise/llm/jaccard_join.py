@@ -14,11 +14,15 @@ documents share do not fill the prefixes.  The order only steers the cost.
 
 Links are only needed between texts that are not connected yet:
  1. documents with the same set form a class and go on as one;
- 2. star rounds: every document is verified against one leader of its lists,
-    so a group of near copies takes as many pairs as members;
- 3. an exact last round verifies all candidates of different components.  In
-    each list the rows of its most frequent component meet only the others,
-    never each other, so pairs inside a group are not formed.
+ 2. a star round verifies every document against one leader of its lists, so
+    a group of near copies takes as many pairs as members;
+ 3. inside a leader's group the rest is found in the differences from the
+    leader.  With R(x) the tokens in which x and the leader differ, x and y
+    differ in R(x) + R(y) - 2 |R(x) & R(y)| tokens; so if x and y are similar
+    and not both are similar to the leader, they share a known part of these
+    short sets, and a prefix join with positions on them finds all such pairs;
+ 4. across groups, the lists are joined exactly.  In each list the rows of its
+    most frequent group meet only the others, never each other.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom_of, components, is_empty, scratch
@@ -37,7 +41,6 @@ MAX_MATCH = 4
 VERIFY_COST = 16
 #: Documents of one block of text that share a token, and in sum over blocks, for it to go to the end of the order.
 COMMON_IN_BLOCK, COMMON = 3, 24
-STAR_ROUNDS = 3
 
 
 def least_overlap(n, percent: int):
@@ -87,25 +90,73 @@ def signatures(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows ``(a, b)`` of ``pairs`` whose sets reach the similarity."""
+def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b, na, nb, linked, residual`` of the rows ``(a, b)`` of ``pairs``:
+    set sizes, whether the sets reach the similarity, and the tokens in which
+    they differ (null when they have less than half of their tokens in
+    common).  The texts are read again for the sets of the documents in
+    ``pairs`` alone."""
+    nodes = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, "node", nodes.count()))     # 2^28 bits at most
+
+    def sets_of(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy().astype(np.int64)
+            found = batch.filter(pa.array(wanted.value.has(ids.view(np.uint64))))
+            for part in in_chunks(found, 1) if found.num_rows else ():
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([s.tobytes() for s in batch_shingles(part.column(1), k)], pa.binary())],
+                    names=["doc_id", "tokens"])
 
     def run(batches):
         for batch in batches:
-            ok = []
+            na, nb, ok, residual = [], [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum()) if len(y) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                na.append(len(x))
+                nb.append(len(y))
+                ok.append(100 * both >= percent * (both + len(apart)))
+                residual.append(apart.view(np.int64) if 2 * both >= both + len(apart) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(ok, pa.bool_()),
+                 pa.array(residual, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "residual"])
+
+    sets = scratch(docs.where("doc_id is not null").mapInArrow(sets_of, "doc_id long, tokens binary"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+                   .mapInArrow(run, "a long, b long, na long, nb long, linked boolean, residual array<long>"), "compared")
+
+
+def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates ``(a, b)`` of one leader's group that are in different
+    components.  ``a`` is not similar to the leader.  ``b`` then shares more
+    than (R(b) + c (leader's size - b's size)) / 2 residual tokens with ``a``,
+    c = (100 - percent) / (100 + percent), which bounds the prefix of ``b``;
+    rare tokens of the group come first."""
+    c = (100 - percent) / (100 + percent)
+    rows = (stars.where("residual is not null")
+            .select(F.col("a").alias("lead"), F.col("na").alias("n_lead"), F.col("b").alias("node"), F.col("nb").alias("n"), "linked",
+                    F.size("residual").alias("r"), F.explode("residual").alias("token"))
+            .join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    # groups of one component, and groups without a member apart from the leader, are done
+    open_groups = (stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct())
+    rows = scratch(rows.join(open_groups, "lead", "left_semi"), "residuals")
+    seen = rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1")
+    # tokens of one member alone come first in the order and match nothing
+    common = rows.join(seen, ["lead", "token"])
+    by = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token"))
+    placed = scratch(common.withColumn("i", F.col("r") - F.row_number().over(by) + 1), "placed")
+    prefix = F.col("i") <= F.col("r") - F.greatest(F.lit(0), F.floor((F.col("r") + c * (F.col("n_lead") - F.col("n"))) / 2 - 1e-9))
+    x = placed.where("not linked").select("lead", "token", *[F.col(v).alias(f"{v}_a") for v in ("node", "n", "r", "comp", "i")])
+    y = placed.where(prefix).select("lead", "token", *[F.col(v).alias(f"{v}_b") for v in ("node", "n", "r", "comp", "i")])
+    need = (F.col("r_a") + F.col("r_b") - c * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9
+    return (x.join(y, ["lead", "token"])
+            .where((F.col("comp_a") != F.col("comp_b")) & (1 + F.least(F.col("r_a") - F.col("i_a"), F.col("r_b") - F.col("i_b")) >= need)
+                   & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -142,73 +193,49 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                     .where(F.col("at") < F.col("n") - least + F.col("matches"))
                     .select("token", F.col("doc_id").alias("node"), "n", "matches"), "lists")
 
-    members = scratch(lists.select("node").distinct(), "members")
-    wanted = spark.sparkContext.broadcast(bloom_of(members, "node", members.count()))
-
-    def sets_of(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy().astype(np.int64)
-            found = batch.filter(pa.array(wanted.value.has(ids.view(np.uint64))))
-            for part in in_chunks(found, 1) if found.num_rows else ():
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.tobytes() for s in batch_shingles(part.column(1), k)], pa.binary())],
-                    names=["doc_id", "tokens"])
-
-    sets = scratch(src.where("doc_id is not null").mapInArrow(sets_of, "doc_id long, tokens binary"), "sets")
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
-    labels = None       # (node, comp) of the nodes linked so far
-    edges = None
-    for r in range(STAR_ROUNDS):
-        now = lists if labels is None else _mixed(_labelled(lists, labels))
-        rank = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", *([] if labels is None else ["comp"]))
-        lead = now.groupBy("token").agg(F.min(rank if r else F.struct("node", "n")).alias("lead"))
-        pairs = (now.join(lead, "token").select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead.node").alias("a"),
-                                                F.col("lead.n").alias("na"),
-                                                *([] if labels is None else [F.col("comp"), F.col("lead.comp").alias("lead_comp")]))
-                 .where("a <> b").where(similar_size))
-        if labels is not None:
-            pairs = pairs.where("comp <> lead_comp")
-        best = (pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-                .groupBy("b").agg(F.max(F.struct("c", F.negative("a").alias("a"))).alias("m"))
-                .select(F.negative("m.a").alias("a"), "b"))
-        new = scratch(verify(best, sets, percent), "links")
-        if is_empty(new):
-            break
-        edges = new if edges is None else edges.unionByName(new)
-        labels = scratch(components(edges, "star"), "labels")
-
-    rows = _mixed(_labelled(lists, labels)) if labels is not None else lists.withColumn("comp", F.col("node"))
-    rows = scratch(rows, "rest")
-    main = (rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
-            .groupBy("token").agg(F.max(F.struct("c", "comp")).getField("comp").alias("main")))
-    rows = rows.join(main, "token")
-    one = rows.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("ca"))
-    two = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("cb"), "main")
-    pairs = (one.join(two, "token").where((F.col("ca") != F.col("cb")) & similar_size
-                                          & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-             .groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("ma", "mb")).alias("need"))
-             .where("c >= need").select("a", "b"))
-    links = scratch(verify(pairs, sets, percent), "links")
+    # one leader for each document
+    lead = lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("lead"))
+    best = (lists.join(lead, "token")
+            .select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead.node").alias("a"), F.col("lead.n").alias("na"),
+                    F.least("matches", "lead.matches").alias("need"))
+            .where("a <> b").where(similar_size)
+            .groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
+            .groupBy("b").agg(F.max(F.struct("c", F.negative("a").alias("a"))).alias("m"))
+            .select(F.negative("m.a").alias("a"), "b"))
+    stars = compare(scratch(best, "best"), src, k, percent)
+    edges = stars.where("linked").select("a", "b")
+    labels = scratch(components(edges, "star"), "labels")
+
+    # across groups
+    groups = stars.where("residual is not null").select(F.col("b").alias("node"), F.col("a").alias("group"))
+    rows = scratch(lists.join(groups, "node", "left").join(labels, "node", "left")
+                   .select("token", "node", "n", "matches", F.coalesce("group", "node").alias("group"),
+                           F.coalesce("comp", "node").alias("comp")), "rest")
+    mixed = (rows.groupBy("token", "group").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .groupBy("token").agg(F.max(F.struct("c", "group")).getField("group").alias("main"), F.count("*").alias("n_groups"),
+                                   F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+             .where("n_groups > 1 and lo <> hi").select("token", "main"))
+    rows = scratch(rows.join(mixed, "token"), "open")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "group", "comp")]
+    one = rows.where("group <> main").select("token", F.col("node").alias("a"), *side("a"))
+    two = rows.select("token", F.col("node").alias("b"), *side("b"), "main")
+    across = (one.join(two, "token")
+              .where((F.col("group_a") != F.col("group_b")) & (F.col("comp_a") != F.col("comp_b"))
+                     & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+                     & (F.col("a") != F.col("group_b")) & (F.col("b") != F.col("group_a"))
+                     & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b"))))
+              .groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("matches_a", "matches_b")).alias("need"))
+              .where("c >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = scratch(across.unionByName(residual_pairs(stars, labels, percent)).distinct(), "pairs")
+    links = compare(pairs, src, k, percent).where("linked").select("a", "b")
     if not is_empty(links):
-        edges = links if edges is None else edges.unionByName(links)
-        labels = scratch(components(edges, "last"), "labels")
+        labels = scratch(components(edges.unionByName(links), "last"), "labels")
     named = classes.select("key", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    else:
-        named = named.select("key", F.col("node").alias("comp"))
+    named = named.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     named = named.groupBy("key").agg(F.min("comp").alias("comp"))
     return (sigs.join(named, "key", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")))
 
-
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of the lists that hold more than one component."""
-    open_lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return rows.join(open_lists, "token", "left_semi")
