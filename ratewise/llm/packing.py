@@ -16,6 +16,8 @@ packs pools of bounded size, and the result has a row per piece.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -26,48 +28,103 @@ from pyspark.sql import DataFrame
 
 from .textbatch import in_chunks
 
-#: Words whose ids a worker keeps; on reaching the bound it starts anew.
-CACHE_WORDS = 600_000
+#: Words of one generation of a worker's cache; two are kept.
+CACHE_WORDS = 700_000
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
                 "sequence_length long, tier long, step_group long")
 
 
+_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class WordIds:
     """Token ids of texts as little-endian bytes.
 
-    The tokenizer drops white space and merges nothing across it, so a text's
-    ids are those of its white-space separated parts; their ids are kept."""
+    The tokenizer drops white space, merges nothing across it and lower-cases,
+    so a text's ids are those of its white-space separated parts with A-Z
+    lower-cased; a word and the ASCII marks after it are split too, except at
+    an apostrophe.  The ids of words are kept in two generations; words made
+    of letters alone are encoded many at a time by the same model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _plain(word: bytes) -> str | None:
+        w = word.decode("utf-8", "replace")
+        return w if w.isalpha() and w.lower().isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            p = self._plain(w)
+            if p is None:
+                other.append(w)
+            else:
+                plain.append((w, p))
+        for i in range(0, len(plain), 50_000):
+            some = plain[i:i + 50_000]
+            found = self.letters.encode_batch_fast([" ".join(p for _, p in some[j:j + 500]) for j in range(0, len(some), 500)],
+                                                   add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("words and word ends differ")
+            raw, a = ids.tobytes(), 0
+            for (w, _), e in zip(some, ends.tolist()):
+                self.known[w] = raw[a:e]
+                a = e
+        for i in range(0, len(other), 20_000):
+            some = other[i:i + 20_000]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            for w, e in zip(some, found):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _find(self, words) -> list[bytes]:
+        """The words that are not known; those of the last generation become known."""
+        out = []
+        for w in words:
+            ids = self.before.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self.known[w] = ids
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = set().union(*parts).difference(self.known) if parts else set()
+        # a text with special-token strings goes to the tokenizer as it is
+        parts = [t.lower().split() if b"<|" not in t else [] for t in texts]
+        new = set().union(*parts)
+        if len(self.known) > CACHE_WORDS:
+            self.before, self.known = self.known, {}
+        new = self._find(new.difference(self.known))
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = set().union(*parts)
-            left = []
-            marks = {}
-            for w in new:           # "word." is "word" and "."
-                if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-                    marks[w] = (w[:-1], w[-1:])
+            marked, words = [], set()
+            for w in new:
+                m = _MARKED.fullmatch(w)
+                if m and self._plain(m[1]):
+                    marked.append((w, m[1], m[2]))
+                    words.update(m.groups())
                 else:
-                    left.append(w)
-            left = list({*left, *(x for pair in marks.values() for x in pair if x not in self.known)})
-            for i in range(0, len(left), 20_000):
-                some = left[i:i + 20_000]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                for w, e in zip(some, found):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            for w, (a, b) in marks.items():
+                    words.add(w)
+            self._learn(self._find(words.difference(self.known)))
+            for w, a, b in marked:
                 self.known[w] = self.known[a] + self.known[b]
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [b"".join(map(get, p)) if b"<|" not in t else
+                np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                for t, p in zip(texts, parts)]
 
 
 _loaded: dict[str, WordIds] = {}
