@@ -197,3 +197,16 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def forest_roots(parents: DataFrame, name: str) -> DataFrame:
+    """``node, comp`` for a forest ``parents(node, parent)`` in which every node
+    has one smaller parent: each round jumps to the parent's parent, so rounds
+    grow with the logarithm of the depth.  Roots are their own component."""
+    now = scratch(parents.select("node", "parent", F.lit(True).alias("moved")), name)
+    while not is_empty(now.where("moved")):
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        now = scratch(now.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"),
+                                                            F.col("above").isNotNull().alias("moved")), name)
+    return now.select("node", F.col("parent").alias("comp")).unionByName(
+        now.select(F.col("parent").alias("node"), F.col("parent").alias("comp")).distinct())

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, components, is_empty, scratch
+from .common import bloom_of, components, forest_roots, scratch
 from .textbatch import batch_shingles, in_chunks
 
 MAX_MATCH = 4
@@ -41,6 +41,8 @@ MAX_MATCH = 4
 VERIFY_COST = 16
 #: Documents of one block of text that share a token, and in sum over blocks, for it to go to the end of the order.
 COMMON_IN_BLOCK, COMMON = 3, 24
+#: Tokens of a block, 8 bytes each.
+BLOCK_TOKENS = 4_000_000
 
 
 def least_overlap(n, percent: int):
@@ -51,14 +53,24 @@ def common_tokens(docs: DataFrame, k: int) -> DataFrame:
     """Tokens that several documents of a block of text share, with the sum
     of their counts over those blocks."""
 
+    def counted(sets):
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        many = count >= COMMON_IN_BLOCK
+        return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))],
+                                          names=["token", "n"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in in_chunks(batch, 1):
                 sets = batch_shingles(part.column(1), k)
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                many = count >= COMMON_IN_BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))],
-                                                 names=["token", "n"])
+                held += sets
+                size += sum(map(len, sets))
+                if size >= BLOCK_TOKENS:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
 
@@ -90,12 +102,12 @@ def signatures(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list[str] = []) -> DataFrame:
     """``a, b, na, nb, linked, residual`` of the rows ``(a, b)`` of ``pairs``:
     set sizes, whether the sets reach the similarity, and the tokens in which
     they differ (null when they have less than half of their tokens in
-    common).  The texts are read again for the sets of the documents in
-    ``pairs`` alone."""
+    common); ``carry`` names long columns to pass on.  The texts are read
+    again for the sets of the documents in ``pairs`` alone."""
     nodes = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, "node", nodes.count()))     # 2^28 bits at most
 
@@ -121,13 +133,15 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 residual.append(apart.view(np.int64) if 2 * both >= both + len(apart) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(ok, pa.bool_()),
-                 pa.array(residual, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "residual"])
+                 pa.array(residual, pa.list_(pa.int64())), *batch.columns[4:]],
+                names=["a", "b", "na", "nb", "linked", "residual", *carry])
 
     sets = scratch(docs.where("doc_id is not null").mapInArrow(sets_of, "doc_id long, tokens binary"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-                   .mapInArrow(run, "a long, b long, na long, nb long, linked boolean, residual array<long>"), "compared")
+    return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", *carry)
+                   .mapInArrow(run, ", ".join(["a long, b long, na long, nb long, linked boolean, residual array<long>",
+                                               *[f"{c} long" for c in carry]])), "compared")
 
 
 def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +170,7 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFra
     return (x.join(y, ["lead", "token"])
             .where((F.col("comp_a") != F.col("comp_b")) & (1 + F.least(F.col("r_a") - F.col("i_a"), F.col("r_b") - F.col("i_b")) >= need)
                    & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "comp_a", "comp_b"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,24 +189,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     last = spark.sparkContext.broadcast(bloom_of(common, "token", common.count()))       # 2^28 bits at most
     sigs = scratch(signatures(src, k, percent, last), "signatures")
     real = sigs.where("n > 0 and doc_id is not null")
-    classes = scratch(real.groupBy("key").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies")), "classes")
+    # equal sets have equal prefixes, so any one of a class will do
+    classes = scratch(real.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
+                      "classes")
 
-    # list entries: tokens of one class alone are dropped
-    entries = (sigs.join(classes.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-               .select("doc_id", "n", F.posexplode("prefix").alias("at", "token")))
+    # list entries; tokens of one class alone are dropped
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    entries = scratch(entries.join(shared, "token"), "entries")
     least = F.ceil(F.col("n") * percent / 100)
-    cost = [F.sum(F.when(F.col("at") < F.col("n") - least + m, F.col("df") - 1)) * (1 + VERIFY_COST / m) for m in range(1, MAX_MATCH + 1)]
-    chosen = (entries.groupBy("doc_id", "n").agg(*[c.alias(f"c{m}") for m, c in enumerate(cost, 1)])
-              .withColumn("best", F.least(*[F.coalesce(f"c{m}", F.lit(0.0)) for m in range(1, MAX_MATCH + 1)]))
-              .select("doc_id", "n", F.least(F.greatest(F.lit(1), least), F.coalesce(
-                  *[F.when(F.coalesce(f"c{m}", F.lit(0.0)) <= F.col("best"), F.lit(m)) for m in range(1, MAX_MATCH + 1)])
-              ).cast("long").alias("matches")))
-    lists = scratch(entries.join(chosen, ["doc_id", "n"])
+    mine = Window.partitionBy("node")
+    cost = [F.sum(F.when(F.col("at") < F.col("n") - least + m, F.col("df") - 1).otherwise(0)).over(mine) * (1 + VERIFY_COST / m)
+            for m in range(1, MAX_MATCH + 1)]
+    lists = scratch(entries.join(shared, "token").withColumns({f"c{m}": c for m, c in enumerate(cost, 1)})
+                    .withColumn("best", F.least(*[f"c{m}" for m in range(1, MAX_MATCH + 1)]))
+                    .withColumn("matches", F.least(F.greatest(F.lit(1), least), F.coalesce(
+                        *[F.when(F.col(f"c{m}") <= F.col("best"), F.lit(m)) for m in range(1, MAX_MATCH + 1)])).cast("long"))
                     .where(F.col("at") < F.col("n") - least + F.col("matches"))
-                    .select("token", F.col("doc_id").alias("node"), "n", "matches"), "lists")
-
+                    .select("token", "node", "n", F.col("at").cast("long").alias("at"), "matches"), "lists")
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
     # one leader for each document
@@ -205,36 +218,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             .groupBy("b").agg(F.max(F.struct("c", F.negative("a").alias("a"))).alias("m"))
             .select(F.negative("m.a").alias("a"), "b"))
     stars = compare(scratch(best, "best"), src, k, percent)
-    edges = stars.where("linked").select("a", "b")
-    labels = scratch(components(edges, "star"), "labels")
+    # a leader is the smallest node of a list, so these links are a forest
+    labels = scratch(forest_roots(stars.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent")), "star"), "labels")
 
     # across groups
     groups = stars.where("residual is not null").select(F.col("b").alias("node"), F.col("a").alias("group"))
     rows = scratch(lists.join(groups, "node", "left").join(labels, "node", "left")
-                   .select("token", "node", "n", "matches", F.coalesce("group", "node").alias("group"),
+                   .select("token", "node", "n", "at", "matches", F.coalesce("group", "node").alias("group"),
                            F.coalesce("comp", "node").alias("comp")), "rest")
     mixed = (rows.groupBy("token", "group").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .groupBy("token").agg(F.max(F.struct("c", "group")).getField("group").alias("main"), F.count("*").alias("n_groups"),
                                    F.min("lo").alias("lo"), F.max("hi").alias("hi"))
              .where("n_groups > 1 and lo <> hi").select("token", "main"))
     rows = scratch(rows.join(mixed, "token"), "open")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "group", "comp")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "matches", "group", "comp")]
     one = rows.where("group <> main").select("token", F.col("node").alias("a"), *side("a"))
     two = rows.select("token", F.col("node").alias("b"), *side("b"), "main")
+    # the first common tokens stand early enough for the overlap that the pair needs; later ones add nothing to the count
+    early = (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("matches_a", "matches_b") - 1
+             >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9))
     across = (one.join(two, "token")
               .where((F.col("group_a") != F.col("group_b")) & (F.col("comp_a") != F.col("comp_b"))
                      & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
                      & (F.col("a") != F.col("group_b")) & (F.col("b") != F.col("group_a"))
-                     & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-              .groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("matches_a", "matches_b")).alias("need"))
-              .where("c >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+                     & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b"))) & early)
+              .groupBy("a", "b", "comp_a", "comp_b").agg(F.count("*").alias("c"), F.min(F.least("matches_a", "matches_b")).alias("need"))
+              .where("c >= need").select("a", "b", "comp_a", "comp_b"))
     pairs = scratch(across.unionByName(residual_pairs(stars, labels, percent)).distinct(), "pairs")
-    links = compare(pairs, src, k, percent).where("linked").select("a", "b")
-    if not is_empty(links):
-        labels = scratch(components(edges.unionByName(links), "last"), "labels")
+    links = compare(pairs, src, k, percent, ["comp_a", "comp_b"]).where("linked")
+    joined = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "last")
     named = classes.select("key", "node")
-    named = named.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    named = named.groupBy("key").agg(F.min("comp").alias("comp"))
+    named = (named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+             .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
+             .select("key", F.coalesce("last", "comp").alias("comp")))
     return (sigs.join(named, "key", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")))

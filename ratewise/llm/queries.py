@@ -16,7 +16,13 @@ from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality import quality_classifier
 from .suffix_dedup import substring_dedup
+from .warc import derive, responses
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -43,6 +49,10 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc_derivatives(spark, sf_dir):
+    return derive(responses(read_table(spark, sf_dir, "pages")), key="page_id")
+
+
 def op9_license_scan(spark, sf_dir):
     return license_scan(read_table(spark, sf_dir, "documents"))[0]
 
@@ -57,8 +67,9 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
-                                  op7_decontamination, op9_license_scan, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
+    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
