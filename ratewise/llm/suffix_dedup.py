@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, is_empty, scratch
+from .common import bloom_of, discard, scratch
 from .textbatch import LOWER_TABLE, U64, _pow, flat
 
 Q = 50
 #: Node widths of the refinement rounds after the root.
 STEPS = (50, 7, 1)
+#: Stretches with a period of up to this are settled inside their document.
+PERIOD = 32
 _CHUNK = 1 << 20
 #: The byte table for substrings is case-sensitive.
 _TABLE = LOWER_TABLE * U64(0x2545F4914F6CDD1D) + np.arange(256, dtype=np.uint64) * U64(0x9E3779B97F4A7C16)
@@ -59,48 +61,80 @@ def _sliding(op, x: np.ndarray, w: int, pad) -> np.ndarray:
     return op(back[:n - w + 1], ahead[w - 1:n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Anchor positions in the flat bytes of some documents."""
+def short_period_runs(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches with a period of up to ``PERIOD``
+    bytes that are at least a period longer than ``length``."""
+    out = []
+    half = length // 2
+    for t in range(1, min(PERIOD, len(data) - length) + 1):
+        same = data[:-t] == data[t:]
+        m = len(same) // half * half
+        if not same[:m].reshape(-1, half).all(axis=1).any():
+            continue            # ``length`` equal bytes hold an aligned half
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
+        for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if v - u >= length:
+                out.append((u, v + t, t))
+    return out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(anchor positions, covered ranges) in the flat bytes of some documents.
+
+    Each window's anchor is its leftmost smallest q-gram hash.  In a stretch
+    of period t all strings recur after t bytes, so the stretch is covered and
+    its first t windows stand for the others."""
     n, w = len(data), length - Q + 1
     if n < length:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), []
     with np.errstate(over="ignore"):
         p, inv = _pow(n + 1)
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[data] * p[:n], out=run[1:])
         x = (run[Q:] - run[:-Q]) * inv[:n - Q + 1]
         x ^= x >> U64(31)
-        h = ((x * U64(0xD6E8FEB86659FD93)) >> U64(32)).astype(np.uint32)
-    h |= np.uint32(1)
-    low = _sliding(np.minimum, h, w, np.uint32(0xFFFFFFFF))        # of the window starting here
+        x *= U64(0xD6E8FEB86659FD93)
+    x &= U64(0xFFFFFFFF00000000)
+    x |= np.arange(len(x), dtype=np.uint64)
+    low = _sliding(np.minimum, x, w, U64(0xFFFFFFFFFFFFFFFF))      # of the window starting here
     inside = np.zeros(len(low), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= length:
             inside[a:b - length + 1] = True
-    low[~inside] = 0
-    best = _sliding(np.maximum, np.concatenate([np.zeros(w - 1, np.uint32), low, np.zeros(w - 1, np.uint32)]), w, np.uint32(0))
-    return np.flatnonzero(best == h)
+    covered = []
+    for u, v, t in short_period_runs(data, length):
+        cuts = np.unique(np.concatenate([[u, v], offsets[(offsets > u) & (offsets < v)]])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):        # a stretch may cross documents
+            if b - a >= length + t:
+                covered.append((a, b))
+                inside[a + t:b - length + 1] = False
+    return np.unique(low[inside] & U64(0xFFFFFFFF)).astype(np.int64), covered
 
 
 def batch_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(document index, position in the document) of a batch's anchors; texts
-    are worked on in pieces, a long one in overlapping pieces."""
-    docs, places = [], []
+    """((document index, position) of a batch's anchors, (document index,
+    start, end) of its covered stretches); texts are worked on in pieces, a
+    long one in overlapping pieces."""
+    places, spans = [np.zeros(0, np.int64)], []
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= _CHUNK:
-            at = anchors(data[a:b], offsets[i:j + 1] - a, length) + a
+            pieces = [(a, b, offsets[i:j + 1] - a)]
         else:                       # one long document
-            parts = [anchors(data[s:min(b, s + _CHUNK)], np.array([0, min(b, s + _CHUNK) - s]), length) + s
-                     for s in range(a, max(a + 1, b - length + 1), _CHUNK - length)]
-            at = np.unique(np.concatenate(parts))
-        d = np.searchsorted(offsets, at, "right") - 1
-        docs.append(d)
-        places.append(at - offsets[d])
+            pieces = [(s, min(b, s + _CHUNK), np.array([0, min(b, s + _CHUNK) - s]))
+                      for s in range(a, max(a + 1, b - length + 1), _CHUNK - 2 * length)]
+        for s, e, inner in pieces:
+            at, covered = anchors(data[s:e], inner, length)
+            places.append(at + s)
+            spans += [(u + s, v + s) for u, v in covered]
         i = j
-    return (np.concatenate(docs), np.concatenate(places)) if docs else (np.zeros(0, np.int64),) * 2
+    at = np.unique(np.concatenate(places))
+    d = np.searchsorted(offsets, at, "right") - 1
+    spans = np.array(spans, np.int64).reshape(-1, 2)
+    owner = np.searchsorted(offsets, spans[:, 0], "right") - 1
+    return (d, at - offsets[d]), (owner, spans[:, 0] - offsets[owner], spans[:, 1] - offsets[owner])
 
 
 def _digest(*parts: bytes) -> bytes:
@@ -138,20 +172,69 @@ def _node_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
 
 
-def _counted(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(spans of nodes whose full bytes repeat, nodes to refine).  A bucket of
-    one full class is done.  In the others each class goes on as one node: its
-    members are alike, and it must stay as a partner of the rest."""
+def merge_spans(spans: np.ndarray) -> np.ndarray:
+    """Maximal runs of an (n, 2) array of [start, end) ranges."""
+    s = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(s[:, 1])
+    first = np.concatenate([[True], s[1:, 0] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])
+    return np.stack([s[first, 0], reach[last]], axis=1)
+
+
+ROUND_SCHEMA = "doc_id long, start long, end long, core binary"
+
+
+def _settle(batches):
+    """Per document: its covered ranges merged, and the identifiers of nodes
+    that could still cover more than that."""
+    for batch in batches:
+        out = [[], [], [], []]
+        for i, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            known = np.array([(r["start"], r["end"]) for r in rows if r["core"] is None], np.int64).reshape(-1, 2)
+            known = merge_spans(known) if len(known) else known
+            for a, e in known.tolist():
+                for col, v in zip(out, (i, a, e, None)):
+                    col.append(v)
+            maybe = [r for r in rows if r["core"] is not None]
+            if not maybe:
+                continue
+            start = np.array([r["start"] for r in maybe], np.int64)
+            at = np.searchsorted(known[:, 0], start, "right") - 1
+            reach = np.where(at >= 0, known[np.maximum(at, 0), 1], 0) if len(known) else np.zeros(len(start), np.int64)
+            for core in {r["core"] for r, e in zip(maybe, reach.tolist()) if e < r["end"]}:
+                for col, v in zip(out, (None, None, None, core)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                         names=["doc_id", "start", "end", "core"])
+
+
+def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """One round: (covered ranges so far, nodes to refine).
+
+    A bucket of one full class is done.  In the others, classes of several
+    members are covered; a class of one may still be in part.  A bucket is
+    refined if one of its nodes could cover bytes that are not covered yet,
+    with one node for each class: all of them stay as partners of the rest."""
     f = F.xxhash64("full")
-    buckets = (nodes.groupBy("core").agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
+    buckets = (nodes.where("core is not null").groupBy("core").agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
                .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")))
     alive = scratch(nodes.join(buckets, "core"), f"{name}-alive")
-    mixed = alive.where("mixed")
-    classes = mixed.groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    rated = scratch(mixed.join(classes, "full"), f"{name}-rated")
-    place = ["doc_id", "pos", "low", "high"]
-    spans = alive.where("not mixed").select(place).unionByName(rated.where("n > 1").select(place))
-    return spans, rated.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))).drop("n", "first", "mixed")
+    mixed = alive.where("mixed").withColumn("place", F.xxhash64("doc_id", "pos"))
+    classes = mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    rated = scratch(mixed.join(classes, "full").where("n = 1 or place = first").drop("mixed", "first", "place"), f"{name}-rated")
+    several = classes.where("n > 1").select("full")
+    span = [(F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")]
+    none = F.lit(None).cast("binary").alias("core")
+    rows = (alive.where("not mixed").select("doc_id", *span, none)
+            .unionByName(mixed.join(several, "full", "left_semi").select("doc_id", *span, none))
+            .unionByName(rated.where("n = 1").select("doc_id", *span, "core")))
+    rows = rows.unionByName(covered.select("doc_id", "start", "end", none))
+    settled = scratch(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "core")).alias("rows"))
+                      .mapInArrow(_settle, ROUND_SCHEMA), f"{name}-settled")
+    go_on = settled.where("core is not null").select("core").distinct()
+    further = scratch(rated.join(go_on, "core", "left_semi").drop("n"), f"{name}-further")
+    discard(nodes, alive, rated)
+    return settled.where("core is null").drop("core"), further
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -167,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             data, offsets = flat(batch.column(1))
             ids = batch.column(0).to_numpy().astype(np.int64)
             size = np.diff(offsets)
-            d, at = batch_anchors(data, offsets, length)
+            (d, at), (owner, begin, end) = batch_anchors(data, offsets, length)
             buf = data.tobytes()
             low, high = np.maximum(0, length - (size[d] - at)), np.minimum(width, at)
             flat_at = at + offsets[d]
@@ -176,13 +259,18 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     for p, x, y in zip(flat_at.tolist(), low.tolist(), high.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(core, pa.binary()), pa.array(full, pa.binary()), pa.array(ids[d]), pa.array(at.astype(np.int64)),
-                 pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                names=["core", "full", "doc_id", "pos", "low", "high"])
-
-    root = scratch(docs.mapInArrow(roots, "core binary, full binary, doc_id long, pos long, low int, high int"), "anchors")
-    found, open_nodes = _counted(root, "root")
-    spans = [found]
-    per_doc = scratch(open_nodes.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "open")
+                 pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.nulls(len(d), pa.int64())],
+                names=["core", "full", "doc_id", "pos", "low", "high", "end"])
+            none = pa.nulls(len(owner), pa.binary())
+            yield pa.RecordBatch.from_arrays(          # covered stretches: pos to end
+                [none, none, pa.array(ids[owner]), pa.array(begin), pa.nulls(len(owner), pa.int32()),
+                 pa.nulls(len(owner), pa.int32()), pa.array(end)],
+                names=["core", "full", "doc_id", "pos", "low", "high", "end"])
+
+    root = scratch(docs.mapInArrow(roots, "core binary, full binary, doc_id long, pos long, low int, high int, end long"), "anchors")
+    stretches = scratch(root.where("core is null").select("doc_id", F.col("pos").alias("start"), "end"), "stretches")
+    covered, further = _refined(root, stretches, length, "root")
+    per_doc = scratch(further.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "open")
     wanted = spark.sparkContext.broadcast(bloom_of(per_doc, "doc_id", per_doc.count()))
 
     def only_wanted(batches):
@@ -207,11 +295,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     rows = []
             yield _node_batch(rows)
 
-    nodes = (docs.mapInArrow(only_wanted, "doc_id long, text string").join(per_doc, "doc_id")
-             .select("doc_id", "text", "at").mapInArrow(first_children, NODE_SCHEMA))
+    nodes = scratch(docs.mapInArrow(only_wanted, "doc_id long, text string").join(per_doc, "doc_id")
+                    .select("doc_id", "text", "at").mapInArrow(first_children, NODE_SCHEMA), "nodes")
+    discard(further, per_doc)
     for r, step in enumerate(STEPS[1:], 1):
-        found, open_nodes = _counted(scratch(nodes, f"nodes{r}"), f"round{r}")
-        spans.append(found)
+        covered, further = _refined(nodes, covered, length, f"round{r}")
 
         def finer(batches, step=step):
             for batch in batches:
@@ -220,24 +308,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     rows += [(*c[:2], i, a, *c[2:]) for c in children(core, lo, hi, low, high, left, right, step)]
                 yield _node_batch(rows)
 
-        nodes = open_nodes.select(*_NAMES).mapInArrow(finer, NODE_SCHEMA)
-    single = scratch(nodes, "strings")
-    again = single.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    spans.append(single.join(again, "core", "left_semi").select("doc_id", "pos", "low", "high"))
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return (out.groupBy("doc_id").agg(F.collect_list(F.struct(
-        (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))).alias("spans")))
-
-
-def merge_spans(spans: np.ndarray) -> np.ndarray:
-    """Maximal runs of an (n, 2) array of [start, end) ranges."""
-    s = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(s[:, 1])
-    first = np.concatenate([[True], s[1:, 0] > reach[:-1]])
-    last = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])
-    return np.stack([s[first, 0], reach[last]], axis=1)
+        nodes = scratch(further.select(*_NAMES).mapInArrow(finer, NODE_SCHEMA), "nodes")
+        discard(further)
+    again = nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    last = nodes.join(again, "core", "left_semi").select(
+        "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
+    return (covered.unionByName(last).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
 def substring_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
