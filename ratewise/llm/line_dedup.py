@@ -39,15 +39,8 @@ def _texts(batch, i):
     return [t or b"" for t in batch.column(i).cast(pa.binary()).to_pylist()]
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = False) -> DataFrame:
-    """Per document: ``doc_id, n_lines, n_dropped, kept_sha256`` (and
-    ``kept_text`` with ``with_text``).
-
-    A key found in at least ``min_docs`` documents loses all its lines except
-    in the largest ``doc_id`` that holds it.  Null or empty text is one empty
-    line.  Rows repeated with one ``doc_id`` count as one document.  Rows
-    without a ``doc_id`` are left whole and not counted.  An empty table gives
-    an empty result; other columns are not read."""
+def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``doc_id, dropped_keys``: the key hashes whose lines a document loses."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     n_lines = src.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     log2 = filter_bits(int(n_lines))
@@ -81,29 +74,63 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
     seen = src.where("doc_id is not null").mapInArrow(suspects, "doc_id long, key binary").distinct()
     repeated = (seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc"))
                 .where(F.col("n") >= min_docs).drop("n"))
-    losing = (seen.join(repeated, "key").where("doc_id <> keep_doc")
+    return (seen.join(repeated, "key").where("doc_id <> keep_doc")
               .groupBy("doc_id").agg(F.collect_list("key").alias("dropped_keys")))
 
+
+def kept_lines(text: bytes, lost: list[bytes] | None, min_chars: int) -> tuple[list[bytes], int]:
+    """(lines that stay, number of lines before)."""
+    lines = text.split(b"\n")
+    if not lost:
+        return lines, len(lines)
+    gone = set(lost)
+    return [x for x, k in zip(lines, line_keys(text, min_chars))
+            if k is None or xxhash.xxh3_128_digest(k) not in gone], len(lines)
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """Per document: ``doc_id, n_lines, n_dropped, kept_sha256``.
+
+    A key found in at least ``min_docs`` documents loses all its lines except
+    in the largest ``doc_id`` that holds it.  Null or empty text is one empty
+    line.  Rows repeated with one ``doc_id`` count as one document.  Rows
+    without a ``doc_id`` are left whole and not counted.  An empty table gives
+    an empty result; other columns are not read."""
     def apply(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for t, lost in zip(_texts(batch, 1), batch.column(2).to_pylist()):
-                lines, gone = t.split(b"\n"), 0
-                if lost:
-                    lost = set(lost)
-                    kept = [x for x, k in zip(lines, line_keys(t, min_chars))
-                            if k is None or xxhash.xxh3_128_digest(k) not in lost]
-                    gone = len(lines) - len(kept)
-                    t = b"\n".join(kept)
-                for col, v in zip(out, (len(lines), gone, hashlib.sha256(t).hexdigest(), t)):
+                kept, n = kept_lines(t, lost, min_chars)
+                for col, v in zip(out, (n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest())):
                     col.append(v)
-            arrays = [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                      pa.array(out[2], pa.string())]
-            names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-            if with_text:
-                arrays.append(pa.array(out[3], pa.binary()).cast(pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return src.join(losing, "doc_id", "left").select("doc_id", "text", "dropped_keys").mapInArrow(apply, schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (src.join(lost_lines(src, min_chars, min_docs), "doc_id", "left").select("doc_id", "text", "dropped_keys")
+            .mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with the lines dropped from ``text`` and, where there is such a
+    column, ``n_chars`` counted anew; all other columns as they are.  A null
+    text stays null."""
+    names = docs.columns
+    at = names.index("text")
+
+    def apply(batches):
+        for batch in batches:
+            kept = [None if t is None else b"\n".join(kept_lines(t, lost, min_chars)[0]).decode("utf-8", "replace")
+                    for t, lost in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist())]
+            cols = list(batch.columns[:len(names)])
+            cols[at] = pa.array(kept, pa.string())
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                cols[i] = pa.array([None if t is None else len(t) for t in kept], cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    # numbered columns: whatever the others are called, nothing clashes
+    d = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    lost = lost_lines(docs, min_chars, min_docs).toDF("lost_id", "dropped_keys")
+    return d.join(lost, F.col(f"c{names.index('doc_id')}") == F.col("lost_id"), "left").drop("lost_id").mapInArrow(apply, docs.schema)
