@@ -141,7 +141,8 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", *carry)
                    .mapInArrow(run, ", ".join(["a long, b long, na long, nb long, linked boolean, residual array<long>",
-                                               *[f"{c} long" for c in carry]])), "compared")
+                                               *[f"{c} long" for c in carry]]))
+                   .dropDuplicates(["a", "b"]), "compared")      # an id may have several rows
 
 
 def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
