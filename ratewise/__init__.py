@@ -9,7 +9,6 @@ DataFrame/SQL API (plus MLlib for model fitting).  Sub-packages:
                   two-part comparison, tuning analysis, explanations
 * ``ml``        – MLlib model jobs, grid search, TreeSHAP
 * ``plans``     – the query registry and its DuckDB oracle SQL
-* ``streaming`` – intentionally empty (the workload has no streams)
 """
 
 __version__ = "0.1.0"

@@ -194,14 +194,16 @@ def fit_boosted(train: DataFrame, label: str, params: dict, loss: str, features:
             d = d.withColumn(f"_f{c}", F.col(f"_f{c}") + rate * F.col(f"_t{c}")).drop(f"_t{c}")
         trees.append(rnd)
         d = d.drop(*[f"_g{c}" for c in range(k)])
-        prev = d
         if (r + 1) % checkpoint_every == 0:
             d = d.checkpoint(eager=True)        # reliable: cuts the growing lineage
+            new = None
         else:
             d = d.cache()                       # reused by the next round's fits
+            d.count()                           # filled from the parent's cache, which goes next
+            new = d
         if cached is not None:
             cached.unpersist()
-        cached = d if d is not prev or d.is_cached else None
+        cached = new
     if cached is not None:
         cached.unpersist()
     return BoostedModel(init, trees, rate, loss)

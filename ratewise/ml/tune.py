@@ -15,6 +15,7 @@ import logging
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,8 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
     skipped.  Returns the results of this run (one row per model)."""
     rows = []
     done = done or set()
+    names = [k for k in (grid[0] if grid else {}) if k != "mod_num"]
+    schema = results_schema(names, kind)
     for g in grid:
         mod = int(g["mod_num"])
         if mod in done:
@@ -98,20 +101,29 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
             rec["logloss"] = ms["test"]["logloss"]
         rows.append(rec)
         if results_path:
-            spark.createDataFrame([rec]).write.mode("append").parquet(results_path)
+            spark.createDataFrame([rec], schema).write.mode("append").parquet(results_path)
         if predictions_path and test is not None:
             score(model, test, mod, kind).write.mode("append").parquet(predictions_path)
-    if not rows:
-        return spark.createDataFrame([], "mod_num int, time_to_create double")
-    return spark.createDataFrame(rows)
+    return spark.createDataFrame(rows, schema)
+
+
+def results_schema(params: list[str], kind: str) -> str:
+    """Columns of a results table: a metric may be NULL in every row of a run
+    (e.g. rmsle with a prediction of -1 or less), so types are declared."""
+    metrics = ["r_2", "mse", "rmse"] + ([] if kind == "frequency" else ["rmsle", "mae"])
+    return ", ".join(["mod_num int", "time_to_create double", *[f"`{p}` string" for p in params],
+                      *[f"{m}{v} double" for m in metrics for v in ("", "_valid")], *(["logloss double"] if kind == "frequency" else [])])
 
 
 def done_models(spark: SparkSession, results_path: str) -> set[int]:
     """SNK4: model numbers already present in a results table."""
     try:
-        return {r.mod_num for r in spark.read.parquet(results_path).select("mod_num").distinct().collect()}
-    except Exception:  # noqa: BLE001 — no table yet
-        return set()
+        table = spark.read.parquet(results_path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":        # no table yet
+            return set()
+        raise
+    return {r.mod_num for r in table.select("mod_num").distinct().collect()}
 
 
 def cross_validate(train: DataFrame, fit: Callable, params: dict, kind: str, label: str, k: int = 5,

@@ -17,13 +17,13 @@ from ..functions.columns import nn_num_layers, nn_total_nodes
 
 
 def grid_rows(params: dict[str, list]) -> list[dict]:
-    """Cartesian product; ``mod_num`` = 1-based position, the last parameter
+    """Cartesian product; ``mod_num`` = 1-based position, the first parameter
     varying fastest.  An empty grid is one parameter-free row (baseline)."""
     if not params:
         return [{"mod_num": 1}]
     names = list(params)
-    return [{"mod_num": i, **dict(zip(names, combo))}
-            for i, combo in enumerate(itertools.product(*params.values()), start=1)]
+    combos = itertools.product(*reversed(params.values()))
+    return [{"mod_num": i, **dict(zip(names, reversed(combo)))} for i, combo in enumerate(combos, start=1)]
 
 
 def _spark_type(values: list):

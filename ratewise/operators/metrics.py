@@ -11,19 +11,14 @@ LOGLOSS_EPS = 1e-15
 
 
 def regression_metrics(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """r², mse, rmse, rmsle, mae per ``by`` group.  r² = 1 − SSE/SST with SST
-    around the group mean (group mean from a grouped aggregate joined back;
-    no per-group window).  rmsle is NULL when any prediction or response is
-    ≤ −1 (log1p undefined)."""
-    if by:
-        d = pred.join(pred.groupBy(*by).agg(F.avg(y).alias("_ybar")), by, "inner")
-    else:   # one group: the mean is a scalar sub-query, no join
-        d = pred.select("*", pred.select(F.avg(y)).scalar().alias("_ybar"))
+    """r², mse, rmse, rmsle, mae per ``by`` group in one grouped aggregate:
+    r² = 1 − SSE/SST, SST around the group mean as count · var_pop.  rmsle is
+    NULL when any prediction or response is ≤ −1 (log1p undefined)."""
     e = F.col(y) - F.col(p)
     sle = F.pow(F.log1p(F.col(p)) - F.log1p(F.col(y)), 2)
     bad = (F.col(p) <= -1) | (F.col(y) <= -1)
-    agg = d.groupBy(*by).agg(
-        F.sum(e * e).alias("_sse"), F.sum(F.pow(F.col(y) - F.col("_ybar"), 2)).alias("_sst"),
+    agg = pred.groupBy(*by).agg(
+        F.sum(e * e).alias("_sse"), (F.var_pop(F.col(y).cast("double")) * F.count(y)).alias("_sst"),
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.when(~bad, sle)).alias("_msle"), F.max(bad.cast("int")).alias("_bad"))
     return agg.select(

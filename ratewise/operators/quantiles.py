@@ -8,17 +8,16 @@ one task.  Here the quantile is found from global ranks instead:
 
 1. value-frequency table per (group, value) – partial aggregation collapses
    repeated values on the map side;
-2. order-preserving value buckets from global split points (computed once,
-   embedded as literals) – a hot group's values spread over many buckets;
+2. order-preserving value buckets: split points of each measure's *distinct*
+   values (so a rare measure is spread as evenly as a dense one), about
+   ``PER_BUCKET`` values to a bucket, embedded as literals;
 3. per (group, bucket) running counts (window bounded by one bucket) and
    per-group offsets of the buckets it spans (window bounded by the number
    of buckets);
 4. keep only the rows whose rank interval covers floor/ceil of
    h = (n - 1) p and interpolate: x_lo + (h - floor h)(x_hi - x_lo).
 
-Groups small enough for one aggregation buffer (MAX_EXACT_GROUP distinct
-values) take Spark's ``percentile`` with frequencies instead — the common
-case, and much cheaper.  Every step is bounded; no collect.
+One path for every size: few distinct values simply mean one bucket.
 """
 
 from __future__ import annotations
@@ -29,25 +28,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
-    extra = extra or []
-    l, r = left.alias("_l"), right.alias("_r")
-    cond = [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`")) for k in keys]
-    cond += [F.col(f"_l.`{k}`") == F.col(f"_r.`{k}`") for k in extra]
-    rcols = [c for c in right.columns if c not in keys + extra]
-    return l.join(r, cond, "inner").select("_l.*", *[F.col(f"_r.`{c}`") for c in rcols])
-
-
-def value_buckets(df: DataFrame, value: str, n_buckets: int) -> list[float]:
-    """Global split points of ``value`` (bounded list of ``n_buckets - 1``
-    doubles, from a one-pass quantile sketch).  They are baked into the plan
-    as literals, so every re-execution (retries, lost executors, both sides of
-    a self-join) assigns the same bucket to a row."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = df.approxQuantile(value, probs, 1.0 / (4 * n_buckets))
-    return sorted(set(x for x in splits if x is not None and not math.isnan(x)))
+#: Distinct values of a bucket, and the most buckets of one measure.
+PER_BUCKET, MAX_BUCKETS = 65_536, 1024
+
+
+def value_splits(df: DataFrame, values: list[str], per_bucket: int = PER_BUCKET) -> dict[str, list[float]]:
+    """Split points of each value column among its distinct values (bounded
+    lists of doubles).  They are baked into the plan as literals, so every
+    re-execution (retries, lost executors, both sides of a self-join) assigns
+    the same bucket to a row."""
+    sizes = df.agg(*[F.approx_count_distinct(v).alias(v) for v in values]).first()
+    out = {}
+    for v in values:
+        n = min(MAX_BUCKETS, -(-(sizes[v] or 0) // per_bucket))
+        if n > 1:
+            x = df.select(F.col(v).cast("double").alias("_x")).distinct()
+            out[v] = sorted(set(q for q in x.approxQuantile("_x", [i / n for i in range(1, n)], 1.0 / (4 * n)) if not math.isnan(q)))
+        else:
+            out[v] = []
+    return out
 
 
 def bucket_of(v, splits: list[float]):
@@ -69,93 +68,22 @@ def value_frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
-MAX_EXACT_GROUP = 100_000   # distinct values a group may hold in one aggregation buffer
-
-
-def _null_safe_filter(df: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:
-    a, b = df.alias("_fa"), groups.alias("_fb")
-    cond = [F.col(f"_fa.`{k}`").eqNullSafe(F.col(f"_fb.`{k}`")) for k in keys]
-    return a.join(b, cond, how).select("_fa.*")
-
-
-def _percentile_small(vf: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """Spark's exact ``percentile`` with the value counts as frequencies; the
-    per-group buffer holds at most MAX_EXACT_GROUP distinct values."""
-    names = list(probs)
-    agg = vf.groupBy(*keys).agg(
-        F.percentile(F.col("_v"), [float(probs[n]) for n in names], F.col("_c")).alias("_q"))
-    return agg.select(*[F.col(f"`{k}`") for k in keys], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
-MAX_ROUTED_GROUPS = 1000    # large groups listed as a literal filter (else routed by join)
-
-
-def group_row_bound(df: DataFrame, keys: list[str]) -> int:
-    """Largest number of rows in any ``keys`` group of ``df`` — an upper bound
-    on the distinct values of any finer group.  One small aggregate."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] if keys \
-        else df.count()
-    return int(r or 0)
-
-
-def _key_match(keys: list[str], groups: list) -> F.Column:
-    conds = []
-    for g in groups:
-        c = None
-        for k in keys:
-            e = F.col(f"`{k}`").eqNullSafe(F.lit(g[k]))
-            c = e if c is None else c & e
-        conds.append(c)
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
-def quantiles_from_frequencies(vf: DataFrame, keys: list[str], probs: dict[str, float],
-                               splits: list[float], max_exact_group: int = MAX_EXACT_GROUP,
-                               row_bound: int | None = None) -> DataFrame:
-    """Type-7 quantiles from a value-frequency table (keys, _v, _c).
-
-    Groups with at most ``max_exact_group`` distinct values use the built-in
-    percentile (bounded buffer); larger groups — hot levels, whole columns —
-    go through the bucketed rank path, so no group is ever held whole by one
-    task.  ``row_bound`` (an upper bound on rows per group, from a cheap
-    aggregate of the input) skips the routing when no group can be large.
-    Otherwise the large groups (at most rows / max_exact_group of them) are
-    listed — a checked, bounded key list — and used as a filter, or routed by
-    a join when there are very many."""
-    vf = vf.where(F.col("_v").isNotNull())
-    if row_bound is not None and row_bound <= max_exact_group:
-        return _percentile_small(vf, keys, probs)
-    big = vf.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > max_exact_group).drop("_d")
-    n_big = big.count()
-    if n_big == 0:
-        return _percentile_small(vf, keys, probs)
-    if n_big <= MAX_ROUTED_GROUPS:
-        listed = [r.asDict() for r in big.collect()]          # bounded by MAX_ROUTED_GROUPS (checked)
-        match = _key_match(keys, listed)
-        small_vf, large_vf = vf.where(~match), vf.where(match)
-    else:
-        small_vf = _null_safe_filter(vf, big, keys, "left_anti")
-        large_vf = _null_safe_filter(vf, big, keys, "left_semi")
-    small = _percentile_small(small_vf, keys, probs)
-    large = _quantiles_bucketed(large_vf, keys, probs, splits)
-    return small.unionByName(large)
-
-
-def _quantiles_bucketed(vf: DataFrame, keys: list[str], probs: dict[str, float],
-                        splits: list[float]) -> DataFrame:
-    vfb = vf.withColumn("_b", bucket_of(F.col("_v"), splits))
-    w_local = (Window.partitionBy(*keys, "_b").orderBy("_v")
+def quantiles_from_frequencies(vf: DataFrame, keys: list[str], probs: dict[str, float], bucket) -> DataFrame:
+    """Type-7 quantiles from a value-frequency table (keys, _v, _c): ``keys``
+    and one double column per entry of ``probs``.  ``bucket`` is the bucket
+    column of a row (``bucket_of`` with the split points of its measure)."""
+    # a struct of the keys equals itself with NULL fields too, so plain joins do
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
+    vf = vf.where(F.col("_v").isNotNull()).select(key.alias("_k"), bucket.alias("_b"), "_v", "_c")
+    w_local = (Window.partitionBy("_k", "_b").orderBy("_v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = vfb.withColumn("_cum", F.sum("_c").over(w_local))
-    span = vfb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_pc"))
-    w_off = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = vf.withColumn("_cum", F.sum("_c").over(w_local))
+    span = vf.groupBy("_k", "_b").agg(F.sum("_c").alias("_pc"))
+    w_off = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (span.withColumn("_off", F.coalesce(F.sum("_pc").over(w_off), F.lit(0)))
-                   .withColumn("_n", F.sum("_pc").over(Window.partitionBy(*keys)))
+                   .withColumn("_n", F.sum("_pc").over(Window.partitionBy("_k")))
                    .drop("_pc"))
-    pos = _null_safe_join(ranked, offsets, keys, ["_b"])
+    pos = ranked.join(offsets, ["_k", "_b"])
     end = F.col("_off") + F.col("_cum")          # exclusive end position (0-based)
     start = end - F.col("_c")
     covers, aggs = [], []
@@ -165,9 +93,8 @@ def _quantiles_bucketed(vf: DataFrame, keys: list[str], probs: dict[str, float],
             flag = (idx >= start) & (idx < end)
             covers.append(flag)
             aggs.append(F.max(F.when(flag, F.col("_v"))).alias(f"_{side}_{_safe(name)}"))
-    hit = pos.where(_any(covers))
-    picked = hit.groupBy(*keys).agg(F.first("_n").alias("_n"), *aggs)
-    out = [F.col(f"`{k}`") for k in keys]
+    picked = pos.where(_any(covers)).groupBy("_k").agg(F.first("_n").alias("_n"), *aggs)
+    out = [F.col(f"_k.`{k}`").alias(k) for k in keys]
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
         frac = h - F.floor(h)
@@ -177,20 +104,15 @@ def _quantiles_bucketed(vf: DataFrame, keys: list[str], probs: dict[str, float],
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    n_buckets: int = 256, splits: list[float] | None = None,
-                    max_exact_group: int = MAX_EXACT_GROUP) -> DataFrame:
+                    per_bucket: int = PER_BUCKET) -> DataFrame:
     """Return ``keys`` + one double column per entry of ``probs`` (name → p).
 
     NULL values are skipped (Spark semantics); groups without any non-NULL
-    value are absent.  NULL keys form their own group.  ``splits`` may be
-    given (e.g. computed on a narrower table with the same values).
+    value are absent.  NULL keys form their own group.
     """
-    bound = group_row_bound(df, keys)
-    if splits is None:
-        splits = (value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
-                  if bound > max_exact_group else [])
+    splits = value_splits(df, [value], per_bucket)[value]
     vf = value_frequencies(df, keys, value)
-    return quantiles_from_frequencies(vf, keys, probs, splits, max_exact_group, row_bound=bound)
+    return quantiles_from_frequencies(vf, keys, probs, bucket_of(F.col("_v"), splits))
 
 
 def _safe(name: str) -> str:

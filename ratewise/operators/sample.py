@@ -82,6 +82,10 @@ def draw_indices(strata_sizes: DataFrame, strata: list[str], size_col: str, targ
     return d.groupBy(*strata, "idx").agg(F.count(F.lit(1)).alias("mult"))
 
 
+#: Copies of one member that a task expands at a time.
+DRAW_PART = 10_000
+
+
 def balance_classes(train: DataFrame, label: str, n_per_class, strata: list[str] | None = None,
                     key: str = "policy_id", seed=42, rank_col: str | None = None) -> DataFrame:
     """SMP2 + SET1: exactly ``n_per_class`` rows per (strata, label), drawn
@@ -104,8 +108,14 @@ def balance_classes(train: DataFrame, label: str, n_per_class, strata: list[str]
         sizes = sizes.withColumn("n_target", F.lit(int(n_per_class)))
     draws = draw_indices(sizes, strata_all, "_size", "n_target", seed)
     joined = _join_draws(numbered, draws, strata_all)
-    out = joined.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("mult"))))
-    return out.drop("_rep", "mult", "idx", "_r", "_sz")
+    copies = lambda d: d.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("mult").cast("int")))).drop("_rep")
+    # a member drawn very often is cut into parts that are dealt out before they are expanded
+    part = F.sequence(F.lit(0), F.floor((F.col("mult") - 1) / DRAW_PART).cast("int"))
+    often = (joined.where(F.col("mult") > DRAW_PART).withColumn("_part", F.explode(part))
+             .withColumn("mult", F.least(F.lit(DRAW_PART), F.col("mult") - F.col("_part") * DRAW_PART))
+             .repartition(*strata_all, "idx", "_part").drop("_part"))
+    out = copies(joined.where(F.col("mult") <= DRAW_PART)).unionByName(copies(often))
+    return out.drop("mult", "idx", "_r", "_sz")
 
 
 def _join_draws(numbered: DataFrame, draws: DataFrame, strata: list[str]) -> DataFrame:
@@ -118,10 +128,22 @@ def sample_n(df: DataFrame, n: int, key: str = "policy_id", seed=42, by: str | N
              by_values: list | None = None) -> DataFrame:
     """SMP3: n rows without replacement, the n smallest md5(key||seed).
 
-    A top-k (TakeOrderedAndProject): each task keeps at most n rows, so no
-    full sort.  With ``by`` (e.g. coverage) one top-k per listed value."""
+    Counts per hash prefix (65,536 at most) give the prefix at which n rows
+    are reached: rows below it are taken where they are, and only the rows of
+    that one prefix are ordered for the rest.  With ``by`` (e.g. coverage) one
+    sample per listed value."""
     def top(d: DataFrame) -> DataFrame:
-        return d.withColumn("_h", hash_key(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+        d = d.withColumn("_h", hash_key(key, seed)).withColumn("_p", F.substring("_h", 1, 4))
+        below, cut = 0, None
+        for r in sorted(d.groupBy("_p").count().collect()):       # 16^4 rows at most
+            if below + r["count"] > n:
+                cut = r["_p"]
+                break
+            below += r["count"]
+        if cut is None:
+            return d.drop("_h", "_p")
+        rest = d.where(F.col("_p") == cut).orderBy("_h", key).limit(n - below)
+        return d.where(F.col("_p") < cut).unionByName(rest).drop("_h", "_p")
     if by is None:
         return top(df)
     return reduce(DataFrame.unionByName, [top(df.where(F.col(by) == v)) for v in by_values])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
-from .quantiles import MAX_EXACT_GROUP, group_row_bound, quantiles_from_frequencies, value_buckets, value_frequencies
+from .quantiles import PER_BUCKET, bucket_of, quantiles_from_frequencies, value_frequencies, value_splits
 from .reshape import unpivot_factors
 
 # Output suffix per measure and the numeric-summary labels.
@@ -32,15 +32,18 @@ def _measure_stats_from_vf(vf: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("_avg", F.try_divide(F.col("_tot"), F.col("_nn"))))
 
 
-def _splits_for(df: DataFrame, measures: list[str], n_buckets: int) -> list[float]:
-    narrow = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "_m", "_x")
-    return value_buckets(narrow, "_x", n_buckets)
+def _bucket_by(tag: str, splits: dict) -> "F.Column":
+    """The bucket of ``_v`` among the split points of the row's measure."""
+    out = None
+    for t, points in splits.items():
+        b = bucket_of(F.col("_v"), points)
+        out = F.when(F.col(tag) == F.lit(t), b) if out is None else out.when(F.col(tag) == F.lit(t), b)
+    return out
 
 
 def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = None,
                    factors: list[str] | None = None, measures: list[str] | None = None,
-                   accuracy: int = 10000, n_buckets: int = 256,
-                   max_exact_group: int = MAX_EXACT_GROUP) -> DataFrame:
+                   accuracy: int = 10000, per_bucket: int = PER_BUCKET) -> DataFrame:
     """AGG1 (``exact=False``: ``percentile_approx``) / AGG2 (``exact=True``:
     type-7 quantiles) over (by..., variable, level): count and
     min/q1/med/avg/q3/max/tot of each measure.
@@ -56,25 +59,7 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
     measures = measures or MEASURES
     keys = by + ["variable", "level"]
 
-    bound = group_row_bound(df, by) if exact else 0
-    if exact and bound <= max_exact_group:
-        # Every (by, variable, level) group has at most `bound` rows, so the
-        # built-in exact percentile's per-group buffer is bounded: one grouped
-        # aggregate over the factor unpivot computes everything.
-        long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
-        aggs = [F.count(F.lit(1)).alias("count")]
-        for m in measures:
-            s = MEASURE_SUFFIX.get(m, m.lower())
-            aggs += [F.min(m).alias(f"min_{s}"), F.avg(m).alias(f"avg_{s}"), F.max(m).alias(f"max_{s}"),
-                     F.sum(m).alias(f"tot_{s}"),
-                     F.percentile(F.col(m).cast("double"), [0.25, 0.5, 0.75]).alias(f"_pq_{s}")]
-        basic = long.groupBy(*keys).agg(*aggs)
-        for m in measures:
-            s = MEASURE_SUFFIX.get(m, m.lower())
-            for i, name in enumerate(QUARTILES):
-                basic = basic.withColumn(f"{name}_{s}", F.col(f"_pq_{s}")[i])
-            basic = basic.drop(f"_pq_{s}")
-    elif exact:
+    if exact:
         # Integer tags instead of column-name strings keep the shuffled
         # value-frequency keys narrow; names are restored at the end.
         fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
@@ -84,11 +69,10 @@ def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = Non
                     .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
         tkeys = by + ["_vi", "level"]
         mkeys = tkeys + ["_mi"]
-        # some group can exceed the buffer cap: value-frequency + bucketed ranks
-        splits = _splits_for(df, measures, n_buckets)
+        splits = value_splits(df, measures, per_bucket)
         vf = value_frequencies(tagged, mkeys, "_value")
         stats = _measure_stats_from_vf(vf, mkeys)
-        q = quantiles_from_frequencies(vf, mkeys, QUARTILES, splits, max_exact_group, row_bound=bound)
+        q = quantiles_from_frequencies(vf, mkeys, QUARTILES, _bucket_by("_mi", {i: splits[m] for i, m in enumerate(measures)}))
         per_measure = _left_null_safe(stats, q, mkeys)
         aggs = [F.max("_rows").alias("count")]
         for i, m in enumerate(measures):
@@ -130,7 +114,7 @@ def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[str] | None = None,
-                    n_buckets: int = 256) -> DataFrame:
+                    per_bucket: int = PER_BUCKET) -> DataFrame:
     """AGG3 + RSH5: R ``summary()`` of each measure — Min., 1st Qu., Median,
     Mean, 3rd Qu., Max. — one row per (by..., variable).
 
@@ -143,12 +127,10 @@ def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[s
     long = (df.select(*by, *[F.col(m).cast("double").alias(m) for m in measures])
               .unpivot(by, measures, "variable", "value"))
     keys = by + ["variable"]
-    bound = group_row_bound(df, by)
-    splits = value_buckets(long.select("value"), "value", n_buckets) if bound > MAX_EXACT_GROUP else []
     vf = value_frequencies(long, keys, "value")
     stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75}, splits,
-                                   row_bound=bound)
+    q = quantiles_from_frequencies(vf, keys, {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75},
+                                   _bucket_by("variable", value_splits(df, measures, per_bucket)))
     out = _left_null_safe(stats, q, keys)
     return out.select(*keys, F.col("_min").alias("Min."), F.col("`1st Qu.`"), F.col("Median"),
                       F.col("_avg").alias("Mean"), F.col("`3rd Qu.`"), F.col("_max").alias("Max."))
@@ -194,10 +176,19 @@ def _attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def _with_group_stats(src: DataFrame, df: DataFrame, by: list[str], aggs) -> DataFrame:
-    """Per-``by`` statistics joined back on ``by`` (one row per group; AQE
-    broadcasts it when small), or scalar sub-queries when ``by`` is empty."""
+    """Per-``by`` statistics joined back on ``by``, or scalar sub-queries when
+    ``by`` is empty."""
     stats = df.groupBy(*by).agg(*aggs)
-    return src.join(stats, by, "inner") if by else _attach_scalars(src, stats)
+    return _join_stats(src, stats, by) if by else _attach_scalars(src, stats)
+
+
+#: Groups whose statistics are broadcast to the rows; more are joined by shuffle.
+BROADCAST_GROUPS = 10_000
+
+
+def _join_stats(src: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    few = src.select(*by).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return src.join(F.broadcast(stats) if few else stats, by, "inner")
 
 
 def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str] | None = None,
@@ -225,26 +216,26 @@ def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str]
     else:
         stats = stats.withColumn("_bw", F.lit(float(bandwidth)))
     stats = stats.drop("_q", "_sd")
-    joined = base.join(stats, by, "inner") if by else _attach_scalars(base, stats)
+    # equal values meet the grid once
+    counted = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    joined = _join_stats(counted, stats, by) if by else _attach_scalars(counted, stats)
     step = (F.col("_hi") - F.col("_lo")) / max(grid_points - 1, 1)
     pts = joined.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
     pts = pts.withColumn("x", F.col("_lo") + F.col("_g") * step)
     z = (F.col("x") - F.col("_x")) / F.col("_bw")
     kern = F.exp(-0.5 * z * z) / (F.col("_bw") * math.sqrt(2 * math.pi))
     return (pts.groupBy(*by, "_g", "x")
-               .agg((F.sum(kern) / F.first("_n")).alias("density"))
+               .agg((F.sum(kern * F.col("_c")) / F.first("_n")).alias("density"))
                .withColumnRenamed("_g", "grid_index"))
 
 
-def six_numbers(df: DataFrame, keys: list[str], value: str, n_buckets: int = 256) -> DataFrame:
+def six_numbers(df: DataFrame, keys: list[str], value: str, per_bucket: int = PER_BUCKET) -> DataFrame:
     """keys + min, q1, med, avg, q3, max of ``value`` per group (exact type-7
     quartiles, skew-safe: a group may be a whole prediction file)."""
-    bound = group_row_bound(df, keys)
-    splits = (value_buckets(df.select(F.col(value).cast("double").alias("_x")), "_x", n_buckets)
-              if bound > MAX_EXACT_GROUP else [])
+    splits = value_splits(df, [value], per_bucket)[value]
     vf = value_frequencies(df, keys, value)
     stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, QUARTILES, splits, row_bound=bound)
+    q = quantiles_from_frequencies(vf, keys, QUARTILES, bucket_of(F.col("_v"), splits))
     out = _left_null_safe(stats, q, keys)
     return out.select(*keys, F.col("_min").alias("min"), "q1", "med", F.col("_avg").alias("avg"),
                       "q3", F.col("_max").alias("max"))

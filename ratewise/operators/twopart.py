@@ -82,8 +82,9 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
     and skipped by the mean).
 
     No driver round trip: the model indexes are small per-model tables
-    (AQE broadcasts them from runtime sizes) and the block step sizes its
-    matrices from each Arrow batch.
+    (AQE broadcasts them from runtime sizes); the block step sizes its
+    matrices from each Arrow batch and emits one block of sums per key and
+    partition.
     """
     keys = keys or []
     sev = back_transform_predictions(sev)
@@ -98,10 +99,14 @@ def compare_models(sev: DataFrame, freq: DataFrame, actual: DataFrame, keys: lis
     schema = (key_schema + ", " if keys else "") + "_si int, _fi int, sum_abs double, sum_sq double, n long"
 
     def block(batches):
+        held: dict = {}         # one S x F block of sums per key and partition
         for pdf in batches:
             groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
             for kv, g in groups:
-                yield _block_sums(g, keys, kv, max_cells)
+                sums = _block_sums(g, max_cells)
+                held[kv] = _added(held.get(kv), sums)
+        for kv, sums in held.items():
+            yield _block_rows(sums, keys, kv)
 
     partial = rows.mapInPandas(block, schema)
     sums = partial.groupBy(*keys, "_si", "_fi").agg(
@@ -129,17 +134,15 @@ def _dense(idx_col: pd.Series, val_col: pd.Series) -> np.ndarray:
     return out
 
 
-def _block_sums(g: pd.DataFrame, keys, kv, max_cells: int) -> pd.DataFrame:
+def _block_sums(g: pd.DataFrame, max_cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S x F sums of |error|, error² and the number of errors over the rows."""
     y = g["y"].to_numpy(dtype=float)
     s, w = _dense(g["s_i"], g["s_v"]), _dense(g["w_i"], g["w_v"])
     S, Fn = s.shape[1], w.shape[1]
-    cols = ["_si", "_fi", "sum_abs", "sum_sq", "n"]
-    if S == 0 or Fn == 0:
-        return pd.DataFrame({c: [] for c in [*keys, *cols]}).astype(
-            {"_si": "int32", "_fi": "int32", "sum_abs": float, "sum_sq": float, "n": "int64"})
-    acc_abs = np.zeros((S, Fn))
-    acc_sq = np.zeros((S, Fn))
+    acc_abs, acc_sq = np.zeros((S, Fn)), np.zeros((S, Fn))
     cnt = np.zeros((S, Fn), dtype=np.int64)
+    if S == 0 or Fn == 0:
+        return acc_abs, acc_sq, cnt
     step = max(1, max_cells // (S * Fn))
     for a in range(0, len(g), step):
         b = min(len(g), a + step)
@@ -149,15 +152,27 @@ def _block_sums(g: pd.DataFrame, keys, kv, max_cells: int) -> pd.DataFrame:
         acc_abs += np.abs(r0).sum(axis=0)
         acc_sq += (r0 * r0).sum(axis=0)
         cnt += ok.sum(axis=0)
-    si, fi = np.meshgrid(np.arange(S), np.arange(Fn), indexing="ij")
+    return acc_abs, acc_sq, cnt
+
+
+def _added(held, sums):
+    """The sum of two blocks; a batch may know fewer models than another."""
+    if held is None:
+        return sums
+    shape = tuple(max(x) for x in zip(held[0].shape, sums[0].shape))
+    grown = [tuple(np.pad(m, [(0, shape[i] - m.shape[i]) for i in (0, 1)]) for m in x) for x in (held, sums)]
+    return tuple(a + b for a, b in zip(*grown))
+
+
+def _block_rows(sums, keys, kv) -> pd.DataFrame:
+    acc_abs, acc_sq, cnt = sums
+    si, fi = np.meshgrid(np.arange(cnt.shape[0]), np.arange(cnt.shape[1]), indexing="ij")
     out = pd.DataFrame({"_si": si.ravel().astype("int32"), "_fi": fi.ravel().astype("int32"),
                         "sum_abs": acc_abs.ravel(), "sum_sq": acc_sq.ravel(), "n": cnt.ravel()})
-    if keys:
-        kv = kv if isinstance(kv, tuple) else (kv,)
-        for k, v in zip(keys, kv):
-            out.insert(0, k, v)
-        out = out[[*keys, *cols]]
-    return out
+    cols = list(out.columns)
+    for k, v in zip(keys, kv if isinstance(kv, tuple) else (kv,)):
+        out.insert(0, k, v)
+    return out[[*keys, *cols]]
 
 
 def compare_models_join(sev: DataFrame, freq: DataFrame, actual: DataFrame,

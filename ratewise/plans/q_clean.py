@@ -107,10 +107,10 @@ def q_raw_scan_form(spark, sf):
     from ..sources.policies import read_raw
     from ..sources.sinks import write_table
     base = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
-    pol = policies(spark, sf)
-    for cov, tag in _FORM.items():      # one raw file set per coverage, as delivered
-        write_table(pol.where(F.col("coverage") == cov).select(*_RAW_COLS),
-                    os.path.join(base, f"CAS_RAW_{tag}"), fmt="csv", header=False)
+    # one raw file set per coverage, as delivered, in one pass over the policies
+    forms = F.create_map(*[F.lit(x) for k, v in _FORM.items() for x in (k, f"CAS_RAW_{v}")])
+    write_table(policies(spark, sf).select(forms[F.col("coverage")].alias("form"), *_RAW_COLS), base, fmt="csv", header=False,
+                partition_by=["form"])
     raw = read_raw(spark, base)
-    name = F.regexp_extract("form", r"/([^/]+)/[^/]+$", 1)
+    name = F.regexp_extract("form", r"/form=([^/]+)/[^/]+$", 1)
     return raw.select(name.alias("form_name"), *_RAW_COLS)

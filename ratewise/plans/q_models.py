@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..ml import models as M
 from ..ml.features import fit_features
-from ..ml.mlp import fit_mlp_reg
 from ..ml.treeshap import tree_shap
 from ..ml.tune import cross_validate, run_grid, save_model, score
 from ..operators.clean import claims_only, distinct_rows, min_severity
@@ -46,14 +46,12 @@ def _per_coverage(fn) -> DataFrame:
 
 def _severity_frames(spark, sf, cov, log_response: bool):
     train, valid, test = _split(spark, sf, cov)
-    tr = distinct_rows(claims_only(train))                 # FLT2 + AGG16/SMP4
-    te = claims_only(test)
-    if log_response:                                        # FLT3 + PRJ20
-        tr, te = min_severity(tr, 1.0), min_severity(te, 1.0)
-        tr, te = tr.withColumn("y", F.log("severity")), te.withColumn("y", F.log("severity"))
+    tr = distinct_rows(claims_only(train))                 # FLT2 + AGG16/SMP4, on the training rows alone:
+    if log_response:                                        # FLT3 + PRJ20    every test row gets a prediction
+        tr = min_severity(tr, 1.0).withColumn("y", F.log("severity"))
     else:
-        tr, te = tr.withColumn("y", F.col("severity")), te.withColumn("y", F.col("severity"))
-    return tr, te
+        tr = tr.withColumn("y", F.col("severity"))
+    return tr, test
 
 
 def _balanced_train(train: DataFrame) -> DataFrame:
@@ -72,11 +70,11 @@ def _sev_query(fit, log_response=False, one_hot=False):
     return build
 
 
-def _freq_query(fit, numeric=("EARNED_EXPOSURE",), one_hot=False, balanced=True):
+def _freq_query(fit, numeric=("EARNED_EXPOSURE",), one_hot=False):
     def build(spark, sf):
         def one(cov):
             train, _, test = _split(spark, sf, cov)
-            tr = _balanced_train(train) if balanced else train
+            tr = _balanced_train(train)
             fs = fit_features(train, MODEL_FEATURES, list(numeric), one_hot=one_hot)
             model = fit(fs.transform(tr), len(fs.names))
             return score(model, fs.transform(test), 0, "frequency")
@@ -91,8 +89,7 @@ query("glm_frequency", None, "ML4 (multinomial GLM, balanced train)")(
 query("rf_severity", None, "ML5 (random forest on log severity)")(
     _sev_query(lambda d: M.fit_rf_reg(d, "y", RF_SMALL), log_response=True))
 query("rf_frequency_weighted", None, "ML6 (exposure-weighted random forest classifier)")(
-    _freq_query(lambda d, p: M.fit_rf_cls(d, "label", RF_SMALL, weight="EARNED_EXPOSURE"), numeric=(),
-                balanced=False))
+    _freq_query(lambda d, p: M.fit_rf_cls(d, "label", RF_SMALL, weight="EARNED_EXPOSURE"), numeric=()))
 query("gbm_severity_gaussian", None, "ML7 gaussian (MLlib GBT squared loss)")(
     _sev_query(lambda d: M.fit_gbt_reg(d, "y", {**GB_SMALL, "distribution": "gaussian"})))
 query("gbm_severity_laplace", None, "ML7 laplace (MLlib GBT absolute loss)")(
@@ -103,9 +100,6 @@ query("gbm_severity_huber", None, "ML7 huber (boosting loop)")(
     _sev_query(lambda d: M.fit_boosted(d, "y", BOOST_SMALL, "huber")))
 query("gbm_frequency", None, "ML8 (multinomial boosting loop, balanced train)")(
     _freq_query(lambda d, p: M.fit_boosted(d, "label", {**BOOST_SMALL, "ntrees": 4}, "multinomial")))
-query("mlp_severity", None, "ML9 (Tanh network regression, distributed gradient loop)")(
-    _sev_query(lambda d: fit_mlp_reg(d, "y", {"hidden": [16], "rate": 0.05, "distribution": "gaussian"},
-                                     max_iter=30), log_response=True))
 query("mlp_frequency", None, "ML10 (MLlib multilayer perceptron)")(
     _freq_query(lambda d, p: M.fit_mlp_cls(d, p, {"hidden": [16], "rate": 0.03}, max_iter=50)))
 
@@ -116,7 +110,7 @@ _SMALL_GRID = {"ntrees": [10], "max_depth": [3, 6]}
 def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
     train, valid, test = _split(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-    tr, va, te = (fs.transform(x).cache() for x in (train, valid, test))
+    tr, va, te = (fs.transform(x).cache() for x in (_balanced_train(train), valid, test))
     res = run_grid(spark, grid_rows(_SMALL_GRID),
                    lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16}), tr, va, te, "frequency", "label",
                    results_path, predictions_path)
@@ -155,7 +149,7 @@ def q_score_test(spark, sf):
     def one(cov):
         train, _, test = _split(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-        model = M.fit_rf_cls(fs.transform(train), "label", RF_SMALL)
+        model = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", RF_SMALL)
         return score(model, fs.transform(test), 1, "frequency")
     return round_doubles(_per_coverage(one))
 
@@ -172,8 +166,9 @@ def q_refit_best(spark, sf):
         model = M.fit_rf_cls(tr.unionByName(va), "label", {**params, "seed": 16})
         tr.unpersist()
         va.unpersist()
-        path = save_model(model, os.path.join(base, f"best_{cov}_rf_frequency"))
+        path = save_model(model, os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
         loaded = RandomForestClassificationModel.load(path)          # SRC9: model by id/path
+        te.unpersist()
         return score(loaded, te, int(best["mod_num"]), "frequency")
     return round_doubles(_per_coverage(one))
 
@@ -183,7 +178,7 @@ def _final_freq(spark, sf, cov):
     weight (not as a feature)."""
     train, _, test = _split(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES)
-    freq = M.fit_rf_cls(fs.transform(train), "label", RF_SMALL, weight="EARNED_EXPOSURE")
+    freq = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", RF_SMALL, weight="EARNED_EXPOSURE")
     return fs, freq, test
 
 
@@ -213,12 +208,12 @@ def q_final_models(spark, sf):
     return round_doubles(_per_coverage(one))
 
 
-@query("tree_shap", None, "ML17 ML18 UDF4 (TreeSHAP of the final frequency forest)")
+@query("tree_shap", None, "ML17 ML18 UDF4 (path attributions of the final frequency forest)")
 def q_tree_shap(spark, sf):
     def one(cov):
         fs, freq, test = _final_freq(spark, sf, cov)
         shap, ev = tree_shap(fs.transform(test), freq, fs.names, ["row_num"], classification=True,
-                             method="exact")
+                             method="approximate")
         return shap.join(ev, "output")
     return round_doubles(_per_coverage(one))
 
@@ -231,8 +226,6 @@ def q_kde(spark, sf):
 
 @query("grid_resume", None, "SNK2 SNK3 SNK4 ML11 (interrupted grid resumed: pending = grid anti-join results)")
 def q_grid_resume(spark, sf):
-    import uuid
-
     from ..operators.grid import grid_frame, pending
     from ..ml.tune import done_models
     base = os.path.join(ensure_checkpoint_dir(spark), f"grid-{uuid.uuid4().hex}")
@@ -240,7 +233,7 @@ def q_grid_resume(spark, sf):
     def one(cov):
         train, valid, test = _split(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-        tr, va, te = (fs.transform(x).cache() for x in (train, valid, test))
+        tr, va, te = (fs.transform(x).cache() for x in (_balanced_train(train), valid, test))
         results, preds = os.path.join(base, cov, "results"), os.path.join(base, cov, "predictions")
         fit = lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16})
         rows = grid_rows(_SMALL_GRID)

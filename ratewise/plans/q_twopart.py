@@ -121,16 +121,16 @@ def q_cost_error(spark, sf):
 
 
 _RESID_SQL = with_(SPLIT + f""",
-_tc AS (SELECT coverage, row_num, severity FROM split WHERE split = 'test' AND ULTIMATE_CLAIM_COUNT > 0),
+_tc AS (SELECT coverage, row_num, severity FROM split WHERE split = 'test'),
 _p AS ({severity_predictions_sql('_tc')})""", """
 SELECT p.coverage, p.row_num, t.severity - p.predict AS residual
 FROM _p p JOIN _tc t ON p.coverage = t.coverage AND p.row_num = t.row_num
 WHERE contains(p.file, '_glm_')""")
 
 
-@query("residuals", rnd(_RESID_SQL, ["residual"]), "PRJ9 (baseline severity model on test claims)")
+@query("residuals", rnd(_RESID_SQL, ["residual"]), "PRJ9 (baseline severity model on all test rows)")
 def q_residuals(spark, sf):
-    tc = test_rows(spark, sf).where(F.col("ULTIMATE_CLAIM_COUNT") > 0).select("coverage", "row_num", "severity")
+    tc = test_rows(spark, sf).select("coverage", "row_num", "severity")
     p = severity_predictions(tc.select("coverage", "row_num")).where(F.col("file").contains("_glm_"))
     j = p.join(tc, ["coverage", "row_num"])
     return round_doubles(j.select("coverage", "row_num", residual("severity", "predict").alias("residual")))

@@ -18,20 +18,13 @@ from ..sources.policies import policy_view
 _STAGES: dict = {}
 
 
-def stage_partitions(spark: SparkSession, df: DataFrame, target_bytes: int = 128 << 20) -> int:
-    """Partitions for a stage table: the scanned input size / ~128 MB,
-    at least two tasks per core, at most the configured
-    shuffle-partition count."""
-    lo = 2 * spark.sparkContext.defaultParallelism      # ~2 tasks per core
-    hi = max(lo, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    try:   # sum of the scanned relations' sizes (join estimates multiply without CBO)
-        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        size = 0
-        while it.hasNext():
-            size += int(str(it.next().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 — no estimate: use the configured count
-        return hi
-    return max(lo, min(hi, -(-size // target_bytes)))
+#: Rows of a stage-table partition: about 128 MB of policies with 46 factors.
+STAGE_ROWS = 500_000
+
+
+def stage_partitions(spark: SparkSession, df: DataFrame) -> int:
+    """Partitions for a stage table of ``df``'s rows, at least two per core."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-df.count() // STAGE_ROWS))
 
 
 def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
@@ -45,10 +38,10 @@ def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
     if k not in _STAGES:
         base = ensure_checkpoint_dir(spark)
         df = build()
-        # Stored hash-partitioned by the policy key into the session's
-        # shuffle-partition count: the wide unpivots that follow (46 factors x
-        # 3 measures per row) then run on every core instead of on however
-        # few partitions the small scan / AQE coalescing left.
+        # Stored hash-partitioned by the policy key, by number of rows: the wide
+        # unpivots that follow (46 factors x 3 measures per row) then run on
+        # every core instead of on however few partitions the small scan / AQE
+        # coalescing left.
         if "policy_id" in df.columns:
             df = df.repartition(stage_partitions(spark, df), "policy_id")
         path = os.path.join(base, f"stage-{key[0]}-{uuid.uuid4().hex}")

@@ -93,11 +93,11 @@ def policy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # File scans
 # --------------------------------------------------------------------------
 
-def read_raw(spark: SparkSession, path_glob: str, sep: str = ",", header: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, path_glob: str, sep: str = ",", header: bool = False, prefix: str = "CAS_RAW_") -> DataFrame:
     """SRC1+SRC2: read every raw delimited file under ``path_glob`` whose path
-    contains ``CAS_RAW_`` in one scan with the declared schema (names by
-    position), and add ``form``: the source path with the *first*
-    ``CAS_RAW_`` removed.
+    contains ``prefix`` in one scan with the declared schema (names by
+    position), and add ``form``: the source path with the *first* ``prefix``
+    removed.
 
     One multi-path read replaces the per-file loop + row-bind; the file list
     is expanded by the data source, not the driver.
@@ -105,8 +105,8 @@ def read_raw(spark: SparkSession, path_glob: str, sep: str = ",", header: bool =
     df = (spark.read.schema(RAW).option("sep", sep).option("header", header)
           .option("recursiveFileLookup", True).csv(path_glob))
     path = F.col("_metadata.file_path")
-    return (df.where(path.contains("CAS_RAW_"))
-              .withColumn("form", F.regexp_replace(path, r"^(.*?)CAS_RAW_", "$1")))
+    return (df.where(path.contains(prefix))
+              .withColumn("form", F.regexp_replace(path, rf"^(.*?)\Q{prefix}\E", "$1")))
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str = "parquet", name: str | None = None,

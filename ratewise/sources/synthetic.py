@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import MODEL_FEATURES
+
 
 @dataclass(frozen=True)
 class ModelSet:
@@ -31,7 +33,7 @@ class ModelSet:
 
 # The synthetic model sets (stand-ins for tuned model files)
 # and the hyper-parameter grid behind each set (mod_num = position in the
-# grid, last parameter varying fastest).
+# grid, first parameter varying fastest).
 SEVERITY_SETS = [ModelSet("gb", "severity", 6, 0), ModelSet("nn", "log_severity", 4, 1),
                  ModelSet("glm", "severity", 1, 2), ModelSet("rf", "severity", 6, 3),
                  ModelSet("gb", "log_severity", 6, 4)]
@@ -154,16 +156,15 @@ def time_to_create_sql(mod_num: str, file: str, sets) -> str:
     return f"CAST((({mod_num} + 10 * (CASE {cases} END)) * 29) % 113 AS DOUBLE)"
 
 
-# Synthetic SHAP layout — 12 explained features, expected
-# values of the severity model and of the four class probabilities.
-SHAP_FEATURES = 12
+# Synthetic SHAP layout — every model feature is explained —
+# and expected values of the severity model and of the four class probabilities.
+SHAP_FEATURES = len(MODEL_FEATURES)
 SEV_EXPECTED = 2500.0
 FREQ_EXPECTED = [0.25, 0.25, 0.25, 0.25]
 
 
 def shap_features() -> list[str]:
-    from ..schema import MODEL_FEATURES
-    return MODEL_FEATURES[:SHAP_FEATURES]
+    return MODEL_FEATURES
 
 
 def _feature_of(j: Column) -> Column:

@@ -5,7 +5,6 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ratewise.ml import models as M
-from ratewise.ml.mlp import fit_mlp_reg
 from ratewise.ml.treeshap import tree_shap
 
 
@@ -24,14 +23,6 @@ def _mse(df, pcol):
     return df.select(F.avg(F.pow(F.col("y") - F.col(pcol), 2))).first()[0]
 
 
-def test_mlp_regression_beats_mean(spark):
-    d = _data(spark)
-    m = fit_mlp_reg(d, "y", {"hidden": [8], "rate": 0.1}, max_iter=80)
-    pred = m.transform(d)
-    var = d.select(F.var_pop("y")).first()[0]
-    assert _mse(pred, "prediction") < 0.2 * var
-
-
 def test_boosting_losses_learn(spark):
     d = _data(spark)
     var = d.select(F.var_pop("y")).first()[0]

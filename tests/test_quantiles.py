@@ -3,15 +3,17 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ratewise.operators.quantiles import exact_quantiles, type7_quantile
+from pyspark.sql import functions as F
+
+from ratewise.operators.quantiles import bucket_of, exact_quantiles, type7_quantile, value_splits
 from ratewise.operators.summarize import numeric_summary, six_numbers
 
 PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p10": 0.1}
 
 
-def _check(spark, rows, n_buckets, max_exact_group=0):
+def _check(spark, rows, per_bucket):
     df = spark.createDataFrame(rows, "g string, v double")
-    out = exact_quantiles(df, ["g"], "v", PROBS, n_buckets=n_buckets, max_exact_group=max_exact_group).collect()
+    out = exact_quantiles(df, ["g"], "v", PROBS, per_bucket=per_bucket).collect()
     groups = {}
     for g, v in rows:
         if v is not None:
@@ -27,16 +29,25 @@ def test_hot_group_null_key_and_ties(spark):
     rows = [("hot", float(random.randint(0, 300))) for _ in range(3000)]
     rows += [(None, 1.0), (None, 2.0), ("one", 5.0), ("ties", 2.0), ("ties", 2.0), ("ties", 9.0), ("nulls", None),
              ("nulls", 4.0)]
-    _check(spark, rows, n_buckets=16)                       # every group through the bucketed path
-    _check(spark, rows, n_buckets=16, max_exact_group=50)   # hot group bucketed, the rest built-in
-    _check(spark, rows, n_buckets=16, max_exact_group=10**6)
+    _check(spark, rows, per_bucket=20)
+    _check(spark, rows, per_bucket=10**6)
+
+
+def test_rare_amounts_spread_over_buckets(spark):
+    """Claims on 0.16 % of the rows: split points come from distinct values,
+    so the positive amounts do not fall into one bucket."""
+    random.seed(3)
+    df = spark.createDataFrame([(float(random.randint(1, 10**6)) if i % 625 == 0 else 0.0,) for i in range(100_000)], "amount double")
+    points = value_splits(df, ["amount"], per_bucket=10)["amount"]
+    used = df.where("amount > 0").select(bucket_of(F.col("amount"), points).alias("b")).groupBy("b").count().collect()
+    assert len(used) >= 12 and max(r["count"] for r in used) <= 40
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]),
                           st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False))), min_size=1, max_size=60))
 def test_random_against_type7(spark, rows):
-    _check(spark, rows, n_buckets=4)
+    _check(spark, rows, per_bucket=5)
 
 
 def test_numeric_summary_columns(spark):

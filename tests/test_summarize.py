@@ -41,9 +41,9 @@ def test_factor_summary_paths_agree(spark):
     df, _ = _df(spark)
     key = lambda t: tuple("" if x is None else str(x) for x in t[:2])
     fast = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"]).collect()), key=key)
-    for cap in (0, 2):     # all groups / some groups through the bucketed rank path
+    for size in (1, 2):     # values over several buckets
         slow = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"],
-                                                        max_exact_group=cap).collect()), key=key)
+                                                        per_bucket=size).collect()), key=key)
         assert len(fast) == len(slow)
         for a, b in zip(fast, slow):
             assert a[:3] == b[:3]
