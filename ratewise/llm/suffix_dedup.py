@@ -43,7 +43,8 @@ Q = 50
 STEPS = (50, 7, 1)
 #: Stretches with a period of up to this are settled inside their document.
 PERIOD = 32
-_CHUNK = 1 << 20
+#: Bytes worked on at a time: the arrays over them stay in the cache.
+_CHUNK = 1 << 16
 #: The byte table for substrings is case-sensitive.
 _TABLE = LOWER_TABLE * U64(0x2545F4914F6CDD1D) + np.arange(256, dtype=np.uint64) * U64(0x9E3779B97F4A7C16)
 _TABLE = _TABLE | U64(1)
@@ -72,9 +73,8 @@ def short_period_runs(data: np.ndarray, length: int) -> list[tuple[int, int, int
         if not same[:m].reshape(-1, half).all(axis=1).any():
             continue            # ``length`` equal bytes hold an aligned half
         edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
-        for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if v - u >= length:
-                out.append((u, v + t, t))
+        long = np.flatnonzero(edge[1::2] - edge[::2] >= length)
+        out += [(u, v + t, t) for u, v in zip(edge[2 * long].tolist(), edge[2 * long + 1].tolist())]
     return out
 
 
