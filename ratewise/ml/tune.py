@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import hash_int
 from ..operators.grid import fmt_value
 from ..operators.metrics import classification_metrics, regression_metrics
 from .models import class_probabilities
@@ -129,14 +130,14 @@ def done_models(spark: SparkSession, results_path: str) -> set[int]:
 def cross_validate(train: DataFrame, fit: Callable, params: dict, kind: str, label: str, k: int = 5,
                    key: str = "row_num", seed: int = 16) -> list[dict]:
     """ML12: k folds by hashed row id (deterministic, no driver sampling);
-    returns the per-fold validation metrics."""
-    fold = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % k).cast("int")
+    returns the per-fold validation metrics and sizes."""
+    fold = (hash_int(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))) % k).cast("int")
     d = train.withColumn("_fold", fold)
     out = []
     for i in range(k):
         model = fit(d.where(F.col("_fold") != i), params)
-        m = _metrics(model, d.where(F.col("_fold") == i), kind, label)
-        out.append({"fold": i, **m})
+        part = d.where(F.col("_fold") == i)
+        out.append({"fold": i, "n_valid": part.count(), **_metrics(model, part, kind, label)})
     return out
 
 

@@ -60,9 +60,9 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 
 def exposure_audit(raw: DataFrame, by: str = "coverage") -> DataFrame:
-    """AGG14: rows and sums by exposure sign class per coverage and the share
-    of raw rows.  One pass with conditional sums — no self-join; the share uses
-    a window over the (tiny) aggregated result only."""
+    """AGG14: rows and sums of the raw table and by exposure sign class per
+    coverage, with their shares of the raw rows, amount and claims.  One pass:
+    the raw rows and the shares come from the (tiny) aggregated result."""
     e = F.col("EARNED_EXPOSURE")
     sign = (F.when(e.isNull(), F.lit("null")).when(e > 0, F.lit("positive"))
             .when(e == 0, F.lit("zero")).otherwise(F.lit("negative")))
@@ -71,5 +71,9 @@ def exposure_audit(raw: DataFrame, by: str = "coverage") -> DataFrame:
                    F.sum("EARNED_EXPOSURE").alias("sum_exposure"),
                    F.sum("ULTIMATE_AMOUNT").alias("sum_amount"),
                    F.sum("ULTIMATE_CLAIM_COUNT").alias("sum_claims")))
+    sums = ["n_rows", "sum_exposure", "sum_amount", "sum_claims"]
+    raw_rows = agg.groupBy(by).agg(F.lit("raw").alias("exposure_class"), *[F.sum(c).alias(c) for c in sums])
     w = Window.partitionBy(by)
-    return agg.withColumn("pct_of_raw", F.round(100.0 * F.col("n_rows") / F.sum("n_rows").over(w), 6))
+    of_raw = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.max(F.when(F.col("exposure_class") == "raw", F.col(c))).over(w)), 6)
+    return (agg.unionByName(raw_rows).withColumn("pct_of_raw", of_raw("n_rows"))
+            .withColumn("pct_amount", of_raw("sum_amount")).withColumn("pct_claims", of_raw("sum_claims")))

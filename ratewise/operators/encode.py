@@ -102,15 +102,41 @@ def enum_limited(df: DataFrame, top: DataFrame, key: str, features: list[str],
                         F.when(F.col("_kept"), F.col("level")).otherwise(F.lit(other)).alias("level")))
 
 
+def _first_component(p):
+    """Unit eigenvector of the largest eigenvalue of diag(p) − p pᵀ."""
+    import numpy as np
+    if len(p) == 1:
+        return np.ones(1)
+    order = np.argsort(-p, kind="stable")
+    hi, lo = p[order[0]], p[order[1]]
+    if hi - lo <= 1e-12 * hi:                  # a tie: the difference of the two levels
+        v = np.zeros(len(p))
+        v[order[0]], v[order[1]] = 1.0, -1.0
+        return v / np.sqrt(2.0)
+    gap = lambda x: float(np.sum(p * p / (p - x))) - 1.0  # noqa: E731  rises from -inf to inf between lo and hi
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        if gap(mid) < 0:
+            lo = mid
+        else:
+            hi = mid
+    v = p / (p - (lo + hi) / 2)
+    v /= np.linalg.norm(v)
+    return v if v[np.argmax(np.abs(v))] > 0 else -v
+
+
 def eigen_codes(train: DataFrame, features: list[str]) -> dict[str, dict[str, float]]:
     """ML2 'Eigen': each factor → its centred projection on the first
     principal component of the factor's one-hot matrix.
 
     The covariance of the one-hot indicators is diag(p) − p pᵀ (p = level
-    shares), so the component comes from the level counts alone: one grouped
-    count (bounded by the factor cardinalities, size-checked) and a small
-    eigen-decomposition per factor on the driver.  Sign fixed so the largest
-    loading is positive; unseen levels map to 0 (the mean)."""
+    shares): its largest eigenvalue lies between the two largest shares and
+    solves Σ p²/(p − λ) = 1, and the component is p/(p − λ).  So the level
+    counts (bounded by the factor cardinalities, size-checked) and vectors of
+    that length are enough.  Sign fixed so the largest loading is positive;
+    unseen levels map to 0 (the mean)."""
     import numpy as np
     long = unpivot_factors(train.select(*features), [], features).where(F.col("level").isNotNull())
     counts = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
@@ -125,11 +151,7 @@ def eigen_codes(train: DataFrame, features: list[str]) -> dict[str, dict[str, fl
         levels = [lv for lv, _ in items]
         p = np.array([n for _, n in items], dtype=float)
         p /= p.sum()
-        cov = np.diag(p) - np.outer(p, p)
-        vals, vecs = np.linalg.eigh(cov)
-        v = vecs[:, -1]
-        if v[np.argmax(np.abs(v))] < 0:
-            v = -v
+        v = _first_component(p)
         proj = v - float(p @ v)
         out[var] = {lv: float(x) for lv, x in zip(levels, proj)}
     return out

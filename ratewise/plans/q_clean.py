@@ -27,18 +27,21 @@ def q_clean_policies(spark, sf):
 
 _AUDIT_SQL = with_(POLICIES, """
 SELECT coverage, exposure_class, n_rows, sum_exposure, sum_amount, sum_claims,
-       round(100.0 * n_rows / sum(n_rows) OVER (PARTITION BY coverage), 6) AS pct_of_raw
+       round(100.0 * n_rows / r.n, 6) AS pct_of_raw, round(100.0 * sum_amount / r.amount, 6) AS pct_amount,
+       round(100.0 * sum_claims / r.claims, 6) AS pct_claims
 FROM (
   SELECT coverage,
-         CASE WHEN EARNED_EXPOSURE IS NULL THEN 'null' WHEN EARNED_EXPOSURE > 0 THEN 'positive'
-              WHEN EARNED_EXPOSURE = 0 THEN 'zero' ELSE 'negative' END AS exposure_class,
+         CASE WHEN grouping(EARNED_EXPOSURE_CLASS) = 1 THEN 'raw' ELSE EARNED_EXPOSURE_CLASS END AS exposure_class,
          count(*) AS n_rows, sum(EARNED_EXPOSURE) AS sum_exposure,
          sum(ULTIMATE_AMOUNT) AS sum_amount, sum(ULTIMATE_CLAIM_COUNT) AS sum_claims
-  FROM policies GROUP BY 1, 2
-) t""")
+  FROM (SELECT *, CASE WHEN EARNED_EXPOSURE IS NULL THEN 'null' WHEN EARNED_EXPOSURE > 0 THEN 'positive'
+                       WHEN EARNED_EXPOSURE = 0 THEN 'zero' ELSE 'negative' END AS EARNED_EXPOSURE_CLASS FROM policies)
+  GROUP BY GROUPING SETS ((coverage), (coverage, EARNED_EXPOSURE_CLASS))
+) t JOIN (SELECT coverage, count(*) AS n, sum(ULTIMATE_AMOUNT) AS amount, sum(ULTIMATE_CLAIM_COUNT) AS claims
+          FROM policies GROUP BY coverage) r USING (coverage)""")
 
 
-@query("exposure_audit", rnd(_AUDIT_SQL, ["sum_exposure", "sum_amount", "sum_claims", "pct_of_raw"]), "AGG14")
+@query("exposure_audit", rnd(_AUDIT_SQL, ["sum_exposure", "sum_amount", "sum_claims", "pct_of_raw", "pct_amount", "pct_claims"]), "AGG14")
 def q_exposure_audit(spark, sf):
     return round_doubles(exposure_audit(policies(spark, sf)))
 

@@ -18,13 +18,17 @@ from ..ml import models as M
 from ..ml.features import fit_features
 from ..ml.treeshap import tree_shap
 from ..ml.tune import cross_validate, run_grid, save_model, score
+from ..functions.columns import claim_weight
 from ..operators.clean import claims_only, distinct_rows, min_severity
 from ..operators.grid import grid_rows
 from ..operators.sample import balance_classes
 from ..operators.summarize import gaussian_kde
+from ..operators.twopart import best_pair, compare_models
 from ..schema import COVERAGES, MODEL_FEATURES
 from ..session import ensure_checkpoint_dir
+from ..sources.results import read_predictions, read_tuning_results, table_path
 from .registry import query
+from .sqlparts import SPLIT, with_
 from .stages import SEED, round_doubles, split_table
 
 # Small fixed settings so the registered jobs stay quick on test data; the
@@ -40,6 +44,23 @@ def _split(spark, sf, cov):
             s.where(F.col("split") == "test"))
 
 
+#: What SQL can say of predictions: every test row has one, and class
+#: probabilities add up to 1.
+_SEV_ROWS = with_(SPLIT, "SELECT coverage, row_num, 0 AS mod_num, true AS predicted FROM split WHERE split = 'test'")
+_FREQ_ROWS = with_(SPLIT, """
+SELECT coverage, row_num, 0 AS mod_num, true AS predicted, 1.0::DOUBLE AS p_sum FROM split WHERE split = 'test'""")
+
+
+def _checked(pred: DataFrame) -> DataFrame:
+    """Predictions with the columns that SQL can check in front; p0..p3 enter
+    as their sum."""
+    p = F.col("predict")
+    cols = ["coverage", "row_num", "mod_num", (p.isNotNull() & ~F.isnan(p.cast("double"))).alias("predicted")]
+    if "p0" in pred.columns:
+        cols.append(F.round(F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3"), 6).alias("p_sum"))
+    return pred.select(*cols)
+
+
 def _per_coverage(fn) -> DataFrame:
     return reduce(DataFrame.unionByName, [fn(c).withColumn("coverage", F.lit(c)) for c in COVERAGES])
 
@@ -66,7 +87,7 @@ def _sev_query(fit, log_response=False, one_hot=False):
             fs = fit_features(tr, MODEL_FEATURES, one_hot=one_hot)
             model = fit(fs.transform(tr))
             return score(model, fs.transform(te), 0, "severity")
-        return round_doubles(_per_coverage(one))
+        return _checked(_per_coverage(one))
     return build
 
 
@@ -78,29 +99,29 @@ def _freq_query(fit, numeric=("EARNED_EXPOSURE",), one_hot=False):
             fs = fit_features(train, MODEL_FEATURES, list(numeric), one_hot=one_hot)
             model = fit(fs.transform(tr), len(fs.names))
             return score(model, fs.transform(test), 0, "frequency")
-        return round_doubles(_per_coverage(one))
+        return _checked(_per_coverage(one))
     return build
 
 
-query("glm_severity", None, "ML3 (least-squares GLM on one-hot factors)")(
+query("glm_severity", _SEV_ROWS, "ML3 (least-squares GLM on one-hot factors)")(
     _sev_query(lambda d: M.fit_glm(d, "y"), one_hot=True))
-query("glm_frequency", None, "ML4 (multinomial GLM, balanced train)")(
+query("glm_frequency", _FREQ_ROWS, "ML4 (multinomial GLM, balanced train)")(
     _freq_query(lambda d, p: M.fit_multinomial(d, "label"), one_hot=True))
-query("rf_severity", None, "ML5 (random forest on log severity)")(
+query("rf_severity", _SEV_ROWS, "ML5 (random forest on log severity)")(
     _sev_query(lambda d: M.fit_rf_reg(d, "y", RF_SMALL), log_response=True))
-query("rf_frequency_weighted", None, "ML6 (exposure-weighted random forest classifier)")(
+query("rf_frequency_weighted", _FREQ_ROWS, "ML6 (exposure-weighted random forest classifier)")(
     _freq_query(lambda d, p: M.fit_rf_cls(d, "label", RF_SMALL, weight="EARNED_EXPOSURE"), numeric=()))
-query("gbm_severity_gaussian", None, "ML7 gaussian (MLlib GBT squared loss)")(
+query("gbm_severity_gaussian", _SEV_ROWS, "ML7 gaussian (MLlib GBT squared loss)")(
     _sev_query(lambda d: M.fit_gbt_reg(d, "y", {**GB_SMALL, "distribution": "gaussian"})))
-query("gbm_severity_laplace", None, "ML7 laplace (MLlib GBT absolute loss)")(
+query("gbm_severity_laplace", _SEV_ROWS, "ML7 laplace (MLlib GBT absolute loss)")(
     _sev_query(lambda d: M.fit_gbt_reg(d, "y", {**GB_SMALL, "distribution": "laplace"})))
-query("gbm_severity_gamma", None, "ML7 gamma (boosting loop, log link)")(
+query("gbm_severity_gamma", _SEV_ROWS, "ML7 gamma (boosting loop, log link)")(
     _sev_query(lambda d: M.fit_boosted(d.where(F.col("y") > 0), "y", BOOST_SMALL, "gamma")))
-query("gbm_severity_huber", None, "ML7 huber (boosting loop)")(
+query("gbm_severity_huber", _SEV_ROWS, "ML7 huber (boosting loop)")(
     _sev_query(lambda d: M.fit_boosted(d, "y", BOOST_SMALL, "huber")))
-query("gbm_frequency", None, "ML8 (multinomial boosting loop, balanced train)")(
+query("gbm_frequency", _FREQ_ROWS, "ML8 (multinomial boosting loop, balanced train)")(
     _freq_query(lambda d, p: M.fit_boosted(d, "label", {**BOOST_SMALL, "ntrees": 4}, "multinomial")))
-query("mlp_frequency", None, "ML10 (MLlib multilayer perceptron)")(
+query("mlp_frequency", _FREQ_ROWS, "ML10 (MLlib multilayer perceptron)")(
     _freq_query(lambda d, p: M.fit_mlp_cls(d, p, {"hidden": [16], "rate": 0.03}, max_iter=50)))
 
 
@@ -117,17 +138,36 @@ def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
     return res, fs, (tr, va, te)
 
 
-@query("grid_search", None, "ML11 SNK2 SNK3 SNK4 JON5 (grid of forest classifiers per coverage, results table)")
+_GRID_SQL = ("SELECT coverage, mod_num::INTEGER AS mod_num, ntrees, max_depth, true AS measured FROM "
+             "(VALUES " + ", ".join(f"({r['mod_num']}, '{r['ntrees']}', '{r['max_depth']}')" for r in grid_rows(_SMALL_GRID))
+             + ") AS g(mod_num, ntrees, max_depth), (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'bi' WHEN 1 THEN 'pd' "
+             "ELSE 'coll' END AS coverage FROM orders)")
+
+
+def _measured(results: DataFrame) -> DataFrame:
+    """One row per model of a grid run, with every metric there."""
+    metrics = ["r_2", "r_2_valid", "mse", "mse_valid", "rmse", "rmse_valid", "logloss"]
+    there = reduce(lambda a, b: a & b, [F.col(m).isNotNull() & ~F.isnan(m) for m in metrics])
+    return results.select("coverage", "mod_num", "ntrees", "max_depth", there.alias("measured"))
+
+
+@query("grid_search", _GRID_SQL, "ML11 SNK2 SNK3 SNK4 JON5 (grid of forest classifiers per coverage, results table)")
 def q_grid_search(spark, sf):
     def one(cov):
         res, _, frames = _grid_run(spark, sf, cov)
         for f in frames:            # results are collected metric rows: release the caches
             f.unpersist()
         return res
-    return round_doubles(_per_coverage(one))
+    return _measured(_per_coverage(one))
+
+
+_CV_SQL = with_(SPLIT, f"""
+SELECT coverage, fold::INTEGER AS fold, count(*) AS n_valid, true AS measured
+FROM (SELECT DISTINCT * FROM (SELECT *, ('0x' || substr(md5(CAST(row_num AS VARCHAR) || '|16'), 1, 15))::BIGINT % 5 AS fold FROM split
+      WHERE split = 'train' AND ULTIMATE_CLAIM_COUNT > 0)) GROUP BY 1, 2""")
 
 
-@query("cross_validate", None, "ML12 (5 hashed folds, per-fold validation metrics)")
+@query("cross_validate", _CV_SQL, "ML12 (5 hashed folds, per-fold validation metrics)")
 def q_cross_validate(spark, sf):
     def one(cov):
         train, _, _ = _split(spark, sf, cov)
@@ -138,23 +178,22 @@ def q_cross_validate(spark, sf):
                                {**GB_SMALL, "ntrees": 5}, "severity", "y", k=5)
         assembled.unpersist()
         return spark.createDataFrame(
-            [tuple(float(f[c]) if f[c] is not None else None for c in ("r_2", "mse", "rmse", "rmsle", "mae"))
-             + (f["fold"],) for f in folds],
-            "r_2 double, mse double, rmse double, rmsle double, mae double, fold int")
-    return round_doubles(_per_coverage(one))
+            [(f["fold"], f["n_valid"], all(f[c] is not None for c in ("r_2", "mse", "rmse", "mae"))) for f in folds],
+            "fold int, n_valid long, measured boolean")
+    return _per_coverage(one)
 
 
-@query("score_test", None, "ML13 (test predictions tagged mod_num, row_num)")
+@query("score_test", _FREQ_ROWS.replace("0 AS mod_num", "1 AS mod_num"), "ML13 (test predictions tagged mod_num, row_num)")
 def q_score_test(spark, sf):
     def one(cov):
         train, _, test = _split(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
         model = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", RF_SMALL)
         return score(model, fs.transform(test), 1, "frequency")
-    return round_doubles(_per_coverage(one))
+    return _checked(_per_coverage(one))
 
 
-@query("refit_best", None, "ML15 SRT3 JON8 SNK5 SRC9 (best grid model by logloss, refit, save, reload, score)")
+@query("refit_best", _FREQ_ROWS.replace("0 AS mod_num, ", ""), "ML15 SRT3 JON8 SNK5 SRC9 (best grid model by logloss, refit, save, reload, score)")
 def q_refit_best(spark, sf):
     base = ensure_checkpoint_dir(spark)
 
@@ -170,7 +209,7 @@ def q_refit_best(spark, sf):
         loaded = RandomForestClassificationModel.load(path)          # SRC9: model by id/path
         te.unpersist()
         return score(loaded, te, int(best["mod_num"]), "frequency")
-    return round_doubles(_per_coverage(one))
+    return _checked(_per_coverage(one)).drop("mod_num")      # which model is best is not SQL's to say
 
 
 def _final_freq(spark, sf, cov):
@@ -194,7 +233,8 @@ def _final(spark, sf, cov):
     return fs, freq, sev, test
 
 
-@query("final_models", None, "ML16 PRJ10 PRJ11 (final two-part predictions per coverage)")
+@query("final_models", with_(SPLIT, "SELECT coverage, row_num, true AS positive, 1.0::DOUBLE AS p_sum, 0.0::DOUBLE AS cost_gap "
+                                     "FROM split WHERE split = 'test'"), "ML16 PRJ10 PRJ11 (final two-part predictions per coverage)")
 def q_final_models(spark, sf):
     def one(cov):
         fs, freq, sev, test = _final(spark, sf, cov)
@@ -203,19 +243,30 @@ def q_final_models(spark, sf):
         s = sev.transform(t).select("row_num", F.col("prediction").alias("s"))
         if cov != "coll":
             s = s.withColumn("s", F.exp("s"))
-        return (f.join(s, "row_num")
-                 .withColumn("expected_cost", F.col("s") * (F.col("p1") + 2 * F.col("p2") + 3 * F.col("p3"))))
-    return round_doubles(_per_coverage(one))
-
-
-@query("tree_shap", None, "ML17 ML18 UDF4 (path attributions of the final frequency forest)")
+        out = f.join(s, "row_num")
+        amounts = F.col("s") * F.col("p1") + 2 * F.col("s") * F.col("p2") + 3 * F.col("s") * F.col("p3")
+        cost = F.col("s") * claim_weight()
+        return out.select("row_num", (F.col("s") > 0).alias("positive"),
+                          F.round(F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3"), 6).alias("p_sum"),
+                          F.abs(F.round((cost - amounts) / F.greatest(F.abs(cost), F.lit(1.0)), 6)).alias("cost_gap"))
+    return _per_coverage(one)
+
+
+@query("tree_shap", with_(SPLIT, f"""
+SELECT coverage, row_num, o.output::INTEGER AS output, {len(MODEL_FEATURES)}::BIGINT AS n_features, 0.0::DOUBLE AS gap
+FROM split, (VALUES (0), (1), (2), (3)) AS o(output) WHERE split = 'test'"""), "ML17 ML18 UDF4 (path attributions of the final frequency forest)")
 def q_tree_shap(spark, sf):
     def one(cov):
         fs, freq, test = _final_freq(spark, sf, cov)
         shap, ev = tree_shap(fs.transform(test), freq, fs.names, ["row_num"], classification=True,
                              method="approximate")
-        return shap.join(ev, "output")
-    return round_doubles(_per_coverage(one))
+        p = score(freq, fs.transform(test), 1, "frequency").select(
+            "row_num", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("output", "p"))
+        total = shap.groupBy("row_num", "output").agg(F.sum("shap").alias("s"), F.count("*").alias("n_features"))
+        return (total.join(ev, "output").join(p, ["row_num", "output"])
+                .select("row_num", "output", "n_features",
+                        F.abs(F.round(F.col("s") + F.col("expected_value") - F.col("p"), 6)).alias("gap")))
+    return _per_coverage(one)
 
 
 @query("kde", None, "AGG20 (Gaussian kernel density of severity per coverage)")
@@ -224,7 +275,7 @@ def q_kde(spark, sf):
     return round_doubles(gaussian_kde(claims, "severity", grid_points=64, by=["coverage"]))
 
 
-@query("grid_resume", None, "SNK2 SNK3 SNK4 ML11 (interrupted grid resumed: pending = grid anti-join results)")
+@query("grid_resume", _GRID_SQL, "SNK2 SNK3 SNK4 ML11 (interrupted grid resumed: pending = grid anti-join results)")
 def q_grid_resume(spark, sf):
     from ..operators.grid import grid_frame, pending
     from ..ml.tune import done_models
@@ -245,4 +296,57 @@ def q_grid_resume(spark, sf):
         for f in (tr, va, te):
             f.unpersist()
         return spark.read.parquet(results)
-    return round_doubles(_per_coverage(one))
+    return _measured(_per_coverage(one))
+
+
+_CHAIN_GRID = {"ntrees": [5, 10]}
+_CHAIN_SQL = with_(SPLIT, """
+SELECT coverage, count(*) AS n_test, 2 AS n_sev_models, 2 AS n_freq_models, 2 * count(*) AS n_sev_rows,
+       2 * count(*) AS n_freq_rows, 4::BIGINT AS n_pairs, true AS best_is_least, count(*) AS n_refit
+FROM split WHERE split = 'test' GROUP BY coverage""")
+
+
+@query("end_to_end", _CHAIN_SQL, "SRC6 SRC7 FLT10 SNK2 SNK3 ML11 ML14 ML15 SRT3 JON8 (tune, read back, compare, refit the best pair)")
+def q_end_to_end(spark, sf):
+    """Grids of severity and frequency models are fitted and written; their
+    tables are read back, all pairs compared, and both models of the best pair
+    refitted with the parameters of their results tables."""
+    root = os.path.join(ensure_checkpoint_dir(spark), f"chain-{uuid.uuid4().hex}")
+    sev_fit = lambda d, p: M.fit_gbt_reg(d, "y", {**GB_SMALL, "ntrees": int(p["ntrees"]), "max_depth": 2, "distribution": "gaussian"})
+    freq_fit = lambda d, p: M.fit_rf_cls(d, "label", {"ntrees": int(p["ntrees"]), "max_depth": 4, "seed": 16})
+    refits = {}
+    for cov in COVERAGES:
+        train, valid, test = _split(spark, sf, cov)
+        sev_train, _ = _severity_frames(spark, sf, cov, False)
+        sev_valid = claims_only(valid).withColumn("y", F.col("severity"))
+        runs = (("sev", "gb", "severity", sev_fit, sev_train, sev_valid, "y", []),
+                ("freq", "rf", "ultimate_claim_count", freq_fit, _balanced_train(train), valid, "label", ["EARNED_EXPOSURE"]))
+        for part, algo, response, fit, tr, va, label, numeric in runs:
+            fs = fit_features(tr, MODEL_FEATURES, numeric)
+            tables = [table_path(root, cov, part, algo, response, kind) for kind in ("tuning_results", "predictions")]
+            run_grid(spark, grid_rows(_CHAIN_GRID), fit, fs.transform(tr), fs.transform(va), fs.transform(test),
+                     "severity" if part == "sev" else "frequency", label, *tables)
+            refits[cov, part] = (fs, fit, tr, test)
+    tests = split_table(spark, sf).where(F.col("split") == "test").select("coverage", "row_num", "ULTIMATE_AMOUNT")
+    sev, freq = (read_predictions(spark, root, part, rows=tests) for part in ("sev", "freq"))
+    pairs = compare_models(sev, freq, tests, keys=["coverage"]).cache()
+    best = {r["coverage"]: r for r in best_pair(pairs, "mae", by=["coverage"]).collect()}      # one row per coverage
+    params = {(r["coverage"], part, r["mod_num"]): r.asDict() for part in ("sev", "freq")
+              for r in read_tuning_results(spark, root, part).select("coverage", "mod_num", "ntrees").collect()}   # grid-sized
+    scored = []
+    for cov in COVERAGES:
+        one = []
+        for part, kind in (("sev", "severity"), ("freq", "frequency")):
+            fs, fit, tr, test = refits[cov, part]
+            model = fit(fs.transform(tr), params[cov, part, best[cov][f"{part}_mod_num"]])
+            one.append(score(model, fs.transform(test), 0, kind).select("row_num"))
+        scored.append(one[0].join(one[1], "row_num").select(F.lit(cov).alias("coverage")))
+    counts = lambda d, name: d.groupBy("coverage").agg(
+        F.count_distinct("file", "mod_num").cast("int").alias(f"n_{name}_models"), F.count("*").alias(f"n_{name}_rows"))
+    least = pairs.groupBy("coverage").agg(F.count("*").alias("n_pairs"), F.min("mae").alias("least"))
+    chosen = spark.createDataFrame([(c, r["mae"]) for c, r in best.items()], "coverage string, mae double")
+    refit = reduce(DataFrame.unionByName, scored).groupBy("coverage").agg(F.count("*").alias("n_refit"))
+    return (tests.groupBy("coverage").agg(F.count("*").alias("n_test")).join(counts(sev, "sev"), "coverage").join(counts(freq, "freq"), "coverage")
+            .join(least, "coverage").join(chosen, "coverage").join(refit, "coverage")
+            .select("coverage", "n_test", "n_sev_models", "n_freq_models", "n_sev_rows", "n_freq_rows", "n_pairs",
+                    (F.col("mae") == F.col("least")).alias("best_is_least"), "n_refit"))
