@@ -26,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import in_chunks
+from .textbatch import flat, in_chunks, word_hashes, word_spans
 
-#: Words of one generation of a worker's cache; two are kept.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker keeps (about 40 bytes each); beyond, the half that
+#: was used longest ago is dropped.
+CACHE_WORDS = 1_500_000
+#: Words worked on at a time.
+BLOCK_WORDS = 500_000
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
                 "sequence_length long, tier long, step_group long")
 
@@ -38,13 +41,15 @@ _MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes.
+    """Token ids of texts.
 
     The tokenizer drops white space, merges nothing across it and lower-cases,
-    so a text's ids are those of its white-space separated parts with A-Z
+    so a text's ids are those of its white-space separated words with A-Z
     lower-cased; a word and the ASCII marks after it are split too, except at
-    an apostrophe.  The ids of words are kept in two generations; words made
-    of letters alone are encoded many at a time by the same model."""
+    an apostrophe.  The ids of words seen are kept in arrays sorted by the
+    words' 64-bit hashes, so texts are turned into ids by look-ups of whole
+    blocks; new words made of letters alone are encoded many at a time by the
+    same model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,76 +60,132 @@ class WordIds:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.hashes = np.zeros(0, np.uint64)        # sorted; the other arrays go with it
+        self.start = np.zeros(0, np.int64)          # in the pool
+        self.size = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)           # the last block that had the word
+        self.pool = np.zeros(0, "<u4")
+        self.block = 0
 
     @staticmethod
     def _plain(word: bytes) -> str | None:
         w = word.decode("utf-8", "replace")
         return w if w.isalpha() and w.lower().isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) else None
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            p = self._plain(w)
-            if p is None:
-                other.append(w)
-            else:
-                plain.append((w, p))
+    def _by_tokenizer(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of distinct lower-case words."""
+        out: list = [None] * len(words)
+        plain = [(i, p) for i, w in enumerate(words) if (p := self._plain(w)) is not None]
         for i in range(0, len(plain), 50_000):
             some = plain[i:i + 50_000]
             found = self.letters.encode_batch_fast([" ".join(p for _, p in some[j:j + 500]) for j in range(0, len(some), 500)],
                                                    add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("words and word ends differ")
-            raw, a = ids.tobytes(), 0
-            for (w, _), e in zip(some, ends.tolist()):
-                self.known[w] = raw[a:e]
+            a = 0
+            for (k, _), e in zip(some, ends.tolist()):
+                out[k] = ids[a:e]
                 a = e
+        other = [i for i, x in enumerate(out) if x is None]
         for i in range(0, len(other), 20_000):
             some = other[i:i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, found):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _find(self, words) -> list[bytes]:
-        """The words that are not known; those of the last generation become known."""
-        out = []
-        for w in words:
-            ids = self.before.get(w)
-            if ids is None:
-                out.append(w)
-            else:
-                self.known[w] = ids
+            found = self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in some], add_special_tokens=False)
+            for k, e in zip(some, found):
+                out[k] = np.array(e.ids, "<u4")
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # a text with special-token strings goes to the tokenizer as it is
-        parts = [t.lower().split() if b"<|" not in t else [] for t in texts]
-        new = set().union(*parts)
-        if len(self.known) > CACHE_WORDS:
-            self.before, self.known = self.known, {}
-        new = self._find(new.difference(self.known))
-        if new:
-            marked, words = [], set()
-            for w in new:
-                m = _MARKED.fullmatch(w)
-                if m and self._plain(m[1]):
-                    marked.append((w, m[1], m[2]))
-                    words.update(m.groups())
-                else:
-                    words.add(w)
-            self._learn(self._find(words.difference(self.known)))
-            for w, a, b in marked:
-                self.known[w] = self.known[a] + self.known[b]
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if b"<|" not in t else
-                np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                for t, p in zip(texts, parts)]
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is known) of sorted or unsorted hashes."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def _add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in ids], np.int32)
+        start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        self.pool = np.concatenate([self.pool, *ids])
+        merged = np.concatenate([self.hashes, hashes])
+        order = np.argsort(merged, kind="stable")       # two sorted runs
+        self.hashes = merged[order]
+        self.start = np.concatenate([self.start, start])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.used = np.concatenate([self.used, np.full(len(ids), self.block, np.int32)])[order]
+
+    def _shrink(self) -> None:
+        keep = self.used > np.median(self.used)
+        size = self.size[keep]
+        self.pool = self.pool[_ranges(self.start[keep], size)]
+        self.hashes, self.used, self.size = self.hashes[keep], self.used[keep], size
+        self.start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """New distinct lower-case words, in the order of their hashes."""
+        marked = [(m[1], m[2]) if (m := _MARKED.fullmatch(w)) and self._plain(m[1]) else None for w in words]
+        parts = {x for m in marked if m for x in m}.difference(w for w, m in zip(words, marked) if not m)
+        if parts:           # words without their marks may be known
+            parts = list(parts)
+            data = np.frombuffer(b" ".join(parts), np.uint8)
+            h = word_hashes(data, *word_spans(data, np.array([0, len(data)]))[:2])
+            at, known = self._find(h)
+            ids = {p: self.pool[self.start[a]:self.start[a] + self.size[a]] for p, a, k in zip(parts, at.tolist(), known.tolist()) if k}
+        else:
+            ids, h = {}, np.zeros(0, np.uint64)
+        hash_of = dict(zip(parts, h.tolist()))
+        new_parts = [p for p in parts if p not in ids]
+        alone = [w for w, m in zip(words, marked) if not m]
+        for w, x in zip(new_parts + alone, self._by_tokenizer(new_parts + alone)):
+            ids[w] = x
+        found = [np.concatenate([ids[m[0]], ids[m[1]]]) if m else ids[w] for w, m in zip(words, marked)]
+        extra = sorted((hash_of[p], p) for p in new_parts)
+        if extra:
+            self._add(np.array([x for x, _ in extra], np.uint64), [ids[p] for _, p in extra])
+        self._add(hashes, found)
+
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of a block of words."""
+        self.block += 1
+        if len(self.hashes) > CACHE_WORDS:
+            self._shrink()
+        h = word_hashes(data, starts, ends)
+        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        _, known = self._find(uniq)
+        new = first[~known]
+        if len(new):
+            self._learn([data[a:b].tobytes().lower() for a, b in zip(starts[new].tolist(), ends[new].tolist())], uniq[~known])
+        at, _ = self._find(uniq)
+        self.used[at] = self.block
+        size = self.size[at][back]
+        return self.pool[_ranges(self.start[at][back], size)], size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Each document's ids."""
+        starts, ends, counts = word_spans(data, offsets)
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for i in range(0, len(starts), BLOCK_WORDS):
+            x, n = self._encode_words(data, starts[i:i + BLOCK_WORDS], ends[i:i + BLOCK_WORDS])
+            ids.append(x)
+            sizes.append(n)
+        ids = np.concatenate(ids)
+        words = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        cut = words[np.concatenate([[0], np.cumsum(counts)])]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) else ()
+        for d in np.unique(np.searchsorted(offsets, special, "right") - 1) if len(special) else ():
+            # strings of special tokens may be in it: it goes to the tokenizer as it is
+            text = data[offsets[d]:offsets[d + 1]].tobytes().decode("utf-8", "replace")
+            out[d] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return out
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .., one after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _loaded: dict[str, WordIds] = {}
@@ -268,9 +329,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 2048
         pool, full = Pool(list(tiers)), []
         for batch in batches:
             for part in in_chunks(batch, 1):
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(texts)):
-                    ids += end
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(*flat(part.column(1)))):
+                    ids = ids.tobytes() + end
                     total = len(ids) // 4
                     whole = total - total % max_len
                     for i in range(0, whole, max_len):

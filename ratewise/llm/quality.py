@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words:
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64)
             found = batch.filter(pa.array(wanted.value.has(ids.view(np.uint64))))
-            for part in in_chunks(found, 1) if found.num_rows else ():
+            for part in in_chunks(found, 1, 1 << 20) if found.num_rows else ():
                 x, words, doc = text_features(part.column(1))
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(1, len(x)))
@@ -219,7 +219,7 @@ def score(docs: DataFrame, columns: list[str], evidence: Evidence, models) -> Da
     def run(batches):
         found, fitted = shared.value
         for batch in batches:
-            for part in in_chunks(batch, 1):
+            for part in in_chunks(batch, 1, 1 << 20):
                 x, words, doc = text_features(part.column(1))
                 x = np.concatenate([x, found.features(words, doc, len(x))], axis=1)
                 bad, toxic = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) for w, b in fitted)
