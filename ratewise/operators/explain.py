@@ -2,10 +2,12 @@
 expected-cost explanation, ML21 check, ML22 global summary, ML23 local
 top-k explanation.
 
-SHAP values are long rows (keys, row_num, [num_claims,] feature, shap), so
-every step is a join or a grouped aggregate keyed by the row id (groups
-bounded by the number of features) plus one partial aggregate per class for
-the expectations.
+SHAP values are long rows (keys, row_num, [num_claims,] feature, shap).  They
+are gathered into arrays per row id (one exchange of each input, groups
+bounded by the number of features and classes); the algebra runs on the
+arrays, with one partial aggregate per class for the expectations.  Expected
+values of the models are one number (list) for all rows, or small tables with
+one per key group.
 
 mSHAP for f = g·h with expectations μg, μh, contributions g_j, h_j,
 G = Σg_j, H = Σh_j:  d_j = μg·h_j + μh·g_j + ½(g_j·H + h_j·G), so
@@ -16,43 +18,75 @@ G = Σg_j, H = Σh_j:  d_j = μg·h_j + μh·g_j + ½(g_j·H + h_j·G), so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _class_value(values: list[float], c: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), c + 1)
+#: Rows of an expectation table that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
-def mshap(sev_shap: DataFrame, freq_shap: DataFrame, sev_expected: float, freq_expected: list[float],
+def _small_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(table) if few else table, on)
+
+
+def _with_severity_mean(df: DataFrame, expected, keys: list[str]) -> DataFrame:
+    """``_mg``: the severity model's expectation, a number or per ``keys``."""
+    if not isinstance(expected, DataFrame):
+        return df.withColumn("_mg", F.lit(float(expected)))
+    return _small_join(df, expected.select(*keys, F.col("expected_value").alias("_mg")), keys)
+
+
+def _with_class_means(df: DataFrame, expected, keys: list[str]) -> DataFrame:
+    """``_mh``: the class expectation of a row's ``num_claims``, from a list
+    or per ``keys`` and class."""
+    if not isinstance(expected, DataFrame):
+        means = F.array(*[F.lit(float(v)) for v in expected])
+        return df.withColumn("_mh", F.element_at(means, F.col("num_claims") + 1))
+    return _small_join(df, expected.select(*keys, "num_claims", F.col("expected_value").alias("_mh")), [*keys, "num_claims"])
+
+
+def _per_row(sev_shap: DataFrame, freq_shap: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (keys, row_num, num_claims): ``_g`` feature → severity
+    value, ``_h`` array of (feature, value) and their sums ``_gsum``, ``_hsum``."""
+    rk = [*keys, "row_num"]
+    g = sev_shap.groupBy(*rk).agg(F.map_from_entries(F.collect_list(F.struct("feature", "shap"))).alias("_g"),
+                                  F.sum("shap").alias("_gsum"))
+    h = freq_shap.groupBy(*rk).agg(F.collect_list(F.struct("num_claims", "feature", "shap")).alias("_all"))
+    per_class = F.transform(F.array_distinct(F.transform("_all", lambda x: x["num_claims"])), lambda c: F.struct(
+        c.alias("num_claims"), F.filter("_all", lambda x: x["num_claims"] == c).alias("_h")))
+    return (h.join(g, rk).select(*rk, "_g", "_gsum", F.explode(per_class).alias("_c"))
+            .select(*rk, "_g", "_gsum", "_c.num_claims", "_c._h")
+            .withColumn("_hsum", F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + x["shap"])))
+
+
+def mshap(sev_shap: DataFrame, freq_shap: DataFrame, sev_expected, freq_expected,
           keys: list[str] | None = None, weight: str = "abs") -> tuple[DataFrame, DataFrame]:
     """ML19: returns (shap rows (keys, row_num, num_claims, feature, shap),
-    expected values (keys, num_claims, expected_value))."""
+    expected values (keys, num_claims, expected_value)).
+
+    ``sev_expected`` is a number or a table (keys, expected_value),
+    ``freq_expected`` a list by class or a table (keys, num_claims,
+    expected_value), as ``tree_shap`` gives them for each coverage."""
     keys = keys or []
-    rk = [*keys, "row_num"]
-    mu_g = F.lit(float(sev_expected))
-    mu_h = _class_value(freq_expected, F.col("num_claims"))
-    G = sev_shap.groupBy(*rk).agg(F.sum("shap").alias("_gsum"))
-    H = freq_shap.groupBy(*rk, "num_claims").agg(F.sum("shap").alias("_hsum"))
-    rows = H.join(G, rk)
+    rows = _with_class_means(_with_severity_mean(_per_row(sev_shap, freq_shap, keys), sev_expected, keys), freq_expected, keys)
+    mu_g, mu_h = F.col("_mg"), F.col("_mh")
     E = rows.groupBy(*keys, "num_claims").agg(F.avg((mu_g + F.col("_gsum")) * (mu_h + F.col("_hsum"))).alias("expected_value"))
-    g = sev_shap.select(*rk, "feature", F.col("shap").alias("_gj"))
-    h = freq_shap.select(*rk, "num_claims", "feature", F.col("shap").alias("_hj"))
-    j = h.join(g, [*rk, "feature"]).join(rows, [*rk, "num_claims"])
-    d = (mu_g * F.col("_hj") + mu_h * F.col("_gj")
-         + F.lit(0.5) * (F.col("_gj") * F.col("_hsum") + F.col("_hj") * F.col("_gsum")))
-    j = j.withColumn("_d", d).join(E, [*keys, "num_claims"])
-    w = Window.partitionBy(*rk, "num_claims")
-    alpha = mu_g * mu_h - F.col("expected_value")
-    if weight == "abs":
-        sabs = F.sum(F.abs("_d")).over(w)
-        share = F.when(sabs == 0, F.lit(1.0) / F.count(F.lit(1)).over(w)).otherwise(F.abs("_d") / sabs)
-        shap = F.when(sabs == 0, F.col("_d") + alpha / F.count(F.lit(1)).over(w)) \
-                .otherwise(F.col("_d") + alpha * F.abs("_d") / sabs)
-    else:  # uniform
-        share = F.lit(1.0) / F.count(F.lit(1)).over(w)
-        shap = F.col("_d") + alpha * share
-    out = j.select(*rk, "num_claims", "feature", shap.alias("shap"))
+    rows = _small_join(rows, E, [*keys, "num_claims"])
+    both = F.filter("_h", lambda x: F.col("_g")[x["feature"]].isNotNull())
+    d = F.transform(both, lambda x: F.struct(
+        x["feature"].alias("feature"),
+        (mu_g * x["shap"] + mu_h * F.col("_g")[x["feature"]]
+         + F.lit(0.5) * (F.col("_g")[x["feature"]] * F.col("_hsum") + x["shap"] * F.col("_gsum"))).alias("d")))
+    rows = (rows.withColumn("_d", d).withColumn("_alpha", mu_g * mu_h - F.col("expected_value"))
+            .withColumn("_sabs", F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + F.abs(x["d"]))))
+    even = F.col("_alpha") / F.size("_d")
+    share = (lambda x: even) if weight != "abs" else (
+        lambda x: F.when(F.col("_sabs") == 0, even).otherwise(F.col("_alpha") * F.abs(x["d"]) / F.col("_sabs")))
+    out = (rows.select(*keys, "row_num", "num_claims", F.explode(F.transform("_d", lambda x: F.struct(
+        x["feature"].alias("feature"), (x["d"] + share(x)).alias("shap")))).alias("_s"))
+        .select(*keys, "row_num", "num_claims", "_s.feature", "_s.shap"))
     return out, E
 
 
@@ -67,17 +101,15 @@ def ev_explained(mshap_rows: DataFrame, expected: DataFrame, keys: list[str] | N
     return vals, ev
 
 
-def shap_check(sev_shap: DataFrame, freq_shap: DataFrame, sev_expected: float, freq_expected: list[float],
+def shap_check(sev_shap: DataFrame, freq_shap: DataFrame, sev_expected, freq_expected,
                expected: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """ML21: mean two-part prediction s·(p1 + 2p2 + 3p3) (predictions implied
     by the SHAP rows: expectation + Σ contributions) next to Σ c·E_c."""
     keys = keys or []
-    rk = [*keys, "row_num"]
-    s = sev_shap.groupBy(*rk).agg((F.lit(float(sev_expected)) + F.sum("shap")).alias("s"))
-    p = (freq_shap.groupBy(*rk, "num_claims").agg(F.sum("shap").alias("_hsum"))
-         .withColumn("p", _class_value(freq_expected, F.col("num_claims")) + F.col("_hsum"))
-         .groupBy(*rk).agg(F.sum(F.col("num_claims") * F.col("p")).alias("w")))
-    pred = s.join(p, rk).groupBy(*keys).agg(F.avg(F.col("s") * F.col("w")).alias("mean_prediction"))
+    rows = _with_class_means(_with_severity_mean(_per_row(sev_shap, freq_shap, keys), sev_expected, keys), freq_expected, keys)
+    # the mean over rows of s * sum(c * p_c) is the sum over classes of the means, as every row has every class
+    part = F.avg((F.col("_mg") + F.col("_gsum")) * F.col("num_claims") * (F.col("_mh") + F.col("_hsum")))
+    pred = rows.groupBy(*keys, "num_claims").agg(part.alias("_m")).groupBy(*keys).agg(F.sum("_m").alias("mean_prediction"))
     ev = expected.groupBy(*keys).agg(
         F.sum(F.col("num_claims") * F.col("expected_value")).alias("shap_expected_value"))
     if keys:

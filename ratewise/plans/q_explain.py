@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.explain import ev_explained, mshap, shap_check, shap_local, shap_summary
-from ..sources.synthetic import FREQ_EXPECTED, SEV_EXPECTED, frequency_shap, severity_shap, shap_sql
+from ..sources.synthetic import (freq_expected_sql, frequency_shap, sev_expected_sql, severity_shap, shap_expectations,
+                                 shap_sql)
 from .q_twopart import test_rows
 from .registry import query
 from .sqlparts import SPLIT, rnd, with_
@@ -22,21 +23,20 @@ def _inputs(spark, sf):
 
 def _mshap(spark, sf):
     sv, fv = _inputs(spark, sf)
-    return mshap(sv, fv, SEV_EXPECTED, FREQ_EXPECTED, keys=K)
+    return mshap(sv, fv, *shap_expectations(spark), keys=K)
 
 
-_MU_H = "[" + ", ".join(str(v) for v in FREQ_EXPECTED) + "]"
 _BASE = SPLIT + """,
 _tr AS (SELECT coverage, row_num FROM split WHERE split = 'test')""" + shap_sql("_tr") + f""",
 _G AS (SELECT coverage, row_num, sum(shap) AS G FROM _sv GROUP BY 1, 2),
 _H AS (SELECT coverage, row_num, num_claims, sum(shap) AS H FROM _fv GROUP BY 1, 2, 3),
 _E AS (SELECT h.coverage, h.num_claims,
-              avg(({SEV_EXPECTED} + g.G) * (CAST({_MU_H}[h.num_claims + 1] AS DOUBLE) + h.H)) AS expected_value
+              avg(({sev_expected_sql('h.coverage')} + g.G) * ({freq_expected_sql('h.coverage', 'h.num_claims')} + h.H)) AS expected_value
        FROM _H h JOIN _G g ON h.coverage = g.coverage AND h.row_num = g.row_num GROUP BY 1, 2),
 _d AS (SELECT f.coverage, f.row_num, f.num_claims, f.feature,
-              {SEV_EXPECTED} * f.shap + CAST({_MU_H}[f.num_claims + 1] AS DOUBLE) * s.shap
+              {sev_expected_sql('f.coverage')} * f.shap + {freq_expected_sql('f.coverage', 'f.num_claims')} * s.shap
                 + 0.5 * (s.shap * h.H + f.shap * g.G) AS d,
-              CAST({_MU_H}[f.num_claims + 1] AS DOUBLE) AS mu_h
+              {freq_expected_sql('f.coverage', 'f.num_claims')} AS mu_h, {sev_expected_sql('f.coverage')} AS mu_g
        FROM _fv f JOIN _sv s ON f.coverage = s.coverage AND f.row_num = s.row_num AND f.feature = s.feature
        JOIN _H h ON f.coverage = h.coverage AND f.row_num = h.row_num AND f.num_claims = h.num_claims
        JOIN _G g ON f.coverage = g.coverage AND f.row_num = g.row_num),
@@ -45,8 +45,8 @@ _ms AS (SELECT d.*, e.expected_value,
                count(*) OVER (PARTITION BY d.coverage, d.row_num, d.num_claims) AS nf
         FROM _d d JOIN _E e ON d.coverage = e.coverage AND d.num_claims = e.num_claims),
 _mshap AS (SELECT coverage, row_num, num_claims, feature,
-                  CASE WHEN sabs = 0 THEN d + ({SEV_EXPECTED} * mu_h - expected_value) / nf
-                       ELSE d + ({SEV_EXPECTED} * mu_h - expected_value) * abs(d) / sabs END AS shap
+                  CASE WHEN sabs = 0 THEN d + (mu_g * mu_h - expected_value) / nf
+                       ELSE d + (mu_g * mu_h - expected_value) * abs(d) / sabs END AS shap
            FROM _ms),
 _ev AS (SELECT coverage, row_num, feature, sum(num_claims * shap) AS shap FROM _mshap GROUP BY 1, 2, 3)"""
 
@@ -71,8 +71,8 @@ def q_ev_explained(spark, sf):
 
 
 _CHECK_SQL = with_(_BASE, f""",
-_s AS (SELECT coverage, row_num, {SEV_EXPECTED} + G AS s FROM _G),
-_w AS (SELECT coverage, row_num, sum(num_claims * (CAST({_MU_H}[num_claims + 1] AS DOUBLE) + H)) AS w FROM _H GROUP BY 1, 2),
+_s AS (SELECT coverage, row_num, {sev_expected_sql('coverage')} + G AS s FROM _G),
+_w AS (SELECT coverage, row_num, sum(num_claims * ({freq_expected_sql('coverage', 'num_claims')} + H)) AS w FROM _H GROUP BY 1, 2),
 _p AS (SELECT s.coverage, avg(s.s * w.w) AS mean_prediction FROM _s s JOIN _w w
        ON s.coverage = w.coverage AND s.row_num = w.row_num GROUP BY 1)
 SELECT p.coverage, p.mean_prediction, x.shap_expected_value
@@ -83,8 +83,9 @@ ON p.coverage = x.coverage""")
 @query("shap_check", rnd(_CHECK_SQL, ["mean_prediction", "shap_expected_value"]), "ML21 AGG18")
 def q_shap_check(spark, sf):
     sv, fv = _inputs(spark, sf)
-    _, e = mshap(sv, fv, SEV_EXPECTED, FREQ_EXPECTED, keys=K)
-    return round_doubles(shap_check(sv, fv, SEV_EXPECTED, FREQ_EXPECTED, e, K))
+    means = shap_expectations(spark)
+    _, e = mshap(sv, fv, *means, keys=K)
+    return round_doubles(shap_check(sv, fv, *means, e, K))
 
 
 _SUMMARY_SQL = with_(_BASE, """

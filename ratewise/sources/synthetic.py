@@ -161,6 +161,24 @@ def time_to_create_sql(mod_num: str, file: str, sets) -> str:
 SHAP_FEATURES = len(MODEL_FEATURES)
 SEV_EXPECTED = 2500.0
 FREQ_EXPECTED = [0.25, 0.25, 0.25, 0.25]
+SEV_EXPECTED_BY = {"bi": 2500.0, "pd": 1800.0, "coll": 3100.0}
+FREQ_EXPECTED_BY = {"bi": [0.25, 0.25, 0.25, 0.25], "pd": [0.5, 0.25, 0.125, 0.125], "coll": [0.75, 0.125, 0.0625, 0.0625]}
+
+
+def shap_expectations(spark) -> tuple[DataFrame, DataFrame]:
+    """The two models' expected values of each coverage, as ``mshap`` takes them."""
+    sev = spark.createDataFrame(list(SEV_EXPECTED_BY.items()), "coverage string, expected_value double")
+    freq = spark.createDataFrame([(c, k, v) for c, x in FREQ_EXPECTED_BY.items() for k, v in enumerate(x)],
+                                 "coverage string, num_claims int, expected_value double")
+    return sev, freq
+
+
+def sev_expected_sql(coverage: str) -> str:
+    return "(CASE " + coverage + " " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in SEV_EXPECTED_BY.items()) + " END)::DOUBLE"
+
+
+def freq_expected_sql(coverage: str, num_claims: str) -> str:
+    return "(CASE " + coverage + " " + " ".join(f"WHEN '{c}' THEN {v}[{num_claims} + 1]" for c, v in FREQ_EXPECTED_BY.items()) + " END)::DOUBLE"
 
 
 def shap_features() -> list[str]:
