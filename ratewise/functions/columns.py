@@ -69,11 +69,11 @@ def model_type(text) -> Column:
             .otherwise(F.lit("lm")))
 
 
-def results_path(pred_path) -> Column:
-    """PRJ15: prediction-file path → tuning-results path (first match only)."""
-    p = _c(pred_path)
-    p = F.regexp_replace(p, r"^(.*?)predictions", "$1tuning_results")
-    return p
+def results_path(pred_path, folder: str | None = None) -> Column:
+    """PRJ15: prediction-file path → tuning-results path (first match only);
+    with ``folder`` also ``output`` → ``output/<folder>``, e.g. bi_freq_tuning."""
+    p = F.regexp_replace(_c(pred_path), r"^(.*?)predictions", "$1tuning_results")
+    return F.regexp_replace(p, r"^(.*?)output", f"$1output/{folder}") if folder else p
 
 
 def recode(x, mapping: dict, default=None) -> Column:

@@ -18,6 +18,8 @@ G = Σg_j, H = Σh_j:  d_j = μg·h_j + μh·g_j + ½(g_j·H + h_j·G), so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,15 @@ def shap_summary(vals: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.max("shap").alias("max_shap"), F.count(F.lit(1)).alias("n"))
 
 
+def ith_rows(ids: DataFrame, positions: list[int], by: str, by_values: list, key: str = "row_num") -> DataFrame:
+    """SRT5: the rows at the given 1-based positions by ``key`` of each ``by``
+    value: a top-k of ids (k = the largest position), then numbers."""
+    k = max(positions)
+    first = reduce(DataFrame.unionByName, [ids.where(F.col(by) == v).select(by, key).distinct().orderBy(key).limit(k) for v in by_values])
+    return (first.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(key)))
+            .where(F.col("position").isin(positions)))
+
+
 def shap_local(vals: DataFrame, k: int = 10, keys: list[str] | None = None, row_nums: list | None = None,
                digits: int = 6) -> DataFrame:
     """ML23 (+SRT5 when ``row_nums`` is given): the k features with the

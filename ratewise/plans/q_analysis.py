@@ -95,7 +95,7 @@ SELECT * FROM _ce LEFT JOIN _sm USING (coverage, sev_mod_file, sev_mod_num)
                   LEFT JOIN _fm USING (coverage, freq_mod_file, freq_mod_num)""")
 
 
-@query("enrich_comparison", _ENRICH_SQL, "JON2 PRJ15 PRJ12 SRC6 SRC10")
+@query("enrich_comparison", _ENRICH_SQL, "JON2 PRJ15 PRJ12")
 def q_enrich_comparison(spark, sf):
     sev = _round_reg(severity_tuning_metrics(spark, sf))
     freq = round_doubles(frequency_tuning_metrics(spark, sf))

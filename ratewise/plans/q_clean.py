@@ -3,11 +3,18 @@ AGG14, AGG16, RSH1)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.clean import claims_only, distinct_rows, drop_null_rows, exposure_audit, min_severity
 from ..operators.reshape import unpivot_factors
 from ..schema import FACTORS, MODEL_FEATURES
+from ..session import ensure_checkpoint_dir
+from ..sources.policies import read_policies, read_raw
+from ..sources.results import read_indexed_csv
+from ..sources.sinks import write_table
 from .registry import query
 from .sqlparts import CLEAN, FACTOR_LIST, MODEL, POLICIES, rnd, with_
 from .stages import clean_policies, model_table, policies, round_doubles
@@ -15,7 +22,7 @@ from .stages import clean_policies, model_table, policies, round_doubles
 MEAS = "EARNED_EXPOSURE, ULTIMATE_AMOUNT, ULTIMATE_CLAIM_COUNT"
 
 
-@query("scan_policies", with_(POLICIES, "SELECT * FROM policies"), "SRC3 SRC4 (policy view scan)")
+@query("scan_policies", with_(POLICIES, "SELECT * FROM policies"), "(policy view scan)")
 def scan_policies(spark, sf):
     return policies(spark, sf)
 
@@ -94,6 +101,24 @@ def q_unpivot_factors(spark, sf):
     return unpivot_factors(clean_policies(spark, sf), ["policy_id", "coverage"], FACTORS)
 
 
+@query("policies_table", with_(POLICIES, "SELECT * FROM policies"),
+       "SRC3 SRC4 SNK1 (table written, scanned with the declared schema, queried by its name)")
+def q_policies_table(spark, sf):
+    base = os.path.join(ensure_checkpoint_dir(spark), f"policies-{uuid.uuid4().hex}")
+    read_policies(spark, write_table(policies(spark, sf), base), name="ratewise_policies")
+    return spark.sql("SELECT * FROM ratewise_policies")
+
+
+@query("indexed_csv", with_(POLICIES, "SELECT policy_id, coverage, EARNED_EXPOSURE, ULTIMATE_CLAIM_COUNT FROM policies"),
+       "SRC8 SNK1 (CSV with a row index, dropped on reading)")
+def q_indexed_csv(spark, sf):
+    base = os.path.join(ensure_checkpoint_dir(spark), f"indexed-{uuid.uuid4().hex}")
+    cols = ["policy_id", "coverage", "EARNED_EXPOSURE", "ULTIMATE_CLAIM_COUNT"]
+    indexed = policies(spark, sf).select(F.monotonically_increasing_id().alias("_c0"), *cols)
+    write_table(indexed, base, fmt="csv")
+    return read_indexed_csv(spark, base, "_c0 long, policy_id long, coverage string, EARNED_EXPOSURE double, ULTIMATE_CLAIM_COUNT double")
+
+
 _RAW_COLS = ["EARNED_EXPOSURE", "ULTIMATE_AMOUNT", "ULTIMATE_CLAIM_COUNT"] + FACTORS
 _FORM = {"bi": "1_bi", "pd": "2_pd", "coll": "3_coll"}
 
@@ -101,14 +126,8 @@ _FORM = {"bi": "1_bi", "pd": "2_pd", "coll": "3_coll"}
 @query("raw_scan_form",
        with_(POLICIES, "SELECT CASE coverage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FORM.items())
              + f" END AS form_name, {', '.join(_RAW_COLS)} FROM policies"),
-       "SRC1 SRC2 SRC8 SET3 SNK1 UDF3 (raw files written per coverage, one multi-file scan)")
+       "SRC1 SRC2 SET3 SNK1 UDF3 (raw files written per coverage, one multi-file scan)")
 def q_raw_scan_form(spark, sf):
-    import os
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    from ..sources.policies import read_raw
-    from ..sources.sinks import write_table
     base = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
     # one raw file set per coverage, as delivered, in one pass over the policies
     forms = F.create_map(*[F.lit(x) for k, v in _FORM.items() for x in (k, f"CAS_RAW_{v}")])

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.explain import ev_explained, mshap, shap_check, shap_local, shap_summary
+from ..operators.explain import ev_explained, ith_rows, mshap, shap_check, shap_local, shap_summary
 from ..sources.synthetic import (freq_expected_sql, frequency_shap, sev_expected_sql, severity_shap, shap_expectations,
                                  shap_sql)
+from ..schema import COVERAGES
 from .q_twopart import test_rows
 from .registry import query
 from .sqlparts import SPLIT, rnd, with_
@@ -111,8 +112,25 @@ SELECT coverage, row_num, 'other' AS feature, sum(shap) AS shap, {_LOCAL_K + 1}
 GROUP BY 1, 2""")
 
 
-@query("shap_local", rnd(_LOCAL_SQL, ["shap"]), "ML23 SRT5 (top-10 features per observation + other)")
+@query("shap_local", rnd(_LOCAL_SQL, ["shap"]), "ML23 (top-10 features per observation + other)")
 def q_shap_local(spark, sf):
     vals, e = _mshap(spark, sf)
     ev, _ = ev_explained(vals, e, K)
     return round_doubles(shap_local(ev, _LOCAL_K, K))
+
+
+# The observations that are explained one by one.
+_POSITIONS = [3, 8, 116, 548]
+_ITH_SQL = with_(_BASE, f""",
+_i AS (SELECT coverage, row_num, CAST(row_number() OVER (PARTITION BY coverage ORDER BY row_num) AS INTEGER) AS position FROM _tr)
+SELECT e.coverage, position, e.row_num, feature, shap FROM _ev e JOIN _i i ON e.coverage = i.coverage AND e.row_num = i.row_num
+WHERE position IN ({', '.join(map(str, _POSITIONS))})""")
+
+
+@query("shap_observations", rnd(_ITH_SQL, ["shap"]), "SRT5 (rows 3, 8, 116 and 548 explained)")
+def q_shap_observations(spark, sf):
+    ids = test_rows(spark, sf).select("coverage", "row_num")
+    chosen = ith_rows(ids, _POSITIONS, "coverage", COVERAGES)
+    vals, e = _mshap(spark, sf)
+    ev, _ = ev_explained(vals, e, K)
+    return round_doubles(ev.join(F.broadcast(chosen), ["coverage", "row_num"]).select("coverage", "position", "row_num", "feature", "shap"))

@@ -1,6 +1,10 @@
 import math
 
+from pyspark.sql import functions as F
+
+from ratewise.functions.columns import results_path
 from ratewise.ml.grids import REFERENCE_GRIDS
+from ratewise.ml.tune import done_models, run_grid
 from ratewise.operators.grid import grid_frame, grid_rows, pending
 from ratewise.operators.metrics import classification_metrics, regression_metrics
 
@@ -27,6 +31,42 @@ def test_reference_grid_sizes():
                      "rf_frequency": 20, "gb_frequency": 36, "nn_frequency": 20}
 
 
+def test_grid_numbering_first_parameter_fastest():
+    rows = {r["mod_num"]: r for r in grid_rows(REFERENCE_GRIDS["gb_frequency"])}
+    got = {m: (rows[m]["ntrees"], rows[m]["max_depth"], rows[m]["learn_rate"]) for m in (1, 2, 16, 18, 19)}
+    assert got == {1: (300, 1, 0.001), 2: (500, 1, 0.001), 16: (300, 10, 0.001), 18: (1000, 10, 0.001), 19: (300, 1, 0.0001)}
+
+
+def test_results_path(spark):
+    df = spark.createDataFrame([("output/bi_gb_ultimate_claim_count_predictions.csv",)], "f string")
+    r = df.select(results_path("f").alias("a"), results_path("f", "bi_freq_tuning").alias("b")).first()
+    assert r.a == "output/bi_gb_ultimate_claim_count_tuning_results.csv"
+    assert r.b == "output/bi_freq_tuning/bi_gb_ultimate_claim_count_tuning_results.csv"
+
+
+def test_run_grid_survives_null_metrics_and_failing_models(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 5), 1.0) for i in range(60)], "row_num long, y double, x double")
+
+    class Constant:
+        def __init__(self, v):
+            self.v = v
+
+        def transform(self, d):
+            return d.withColumn("prediction", F.lit(self.v))
+
+    def fit(d, p):
+        if p["value"] == 3:
+            raise RuntimeError("no such model")
+        return Constant(float(p["value"]))
+
+    path, preds = str(tmp_path / "r"), str(tmp_path / "p")
+    assert done_models(spark, path) == set()
+    res = run_grid(spark, grid_rows({"value": [-5, 2, 3]}), fit, rows, rows, rows, "severity", "y", path, preds)
+    got = {r.mod_num: r for r in res.collect()}
+    assert set(got) == {1, 2} == done_models(spark, path) and got[1].rmsle is None and got[2].rmsle is not None
+    assert spark.read.parquet(preds).count() == 120
+
+
 def test_grid_frame_nn_shape_and_pending(spark):
     g = grid_frame(spark, {"hidden": [[100], [100, 100], [200, 200], [100, 100, 100]], "rate": [0.1, 0.01]})
     r = {x.mod_num: (x.total_nodes, x.num_layers) for x in g.collect()}
