@@ -26,7 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back."""
+    """Write ``df`` once to the shared scratch folder and read it back.
+
+    Counts per key that are joined back to the rows of the key go through
+    here too: read from a table both sides of the join are plain exchanges,
+    which AQE can split at a hot key; straight from the aggregate they would
+    share its partitioning, and a hot key's rows would meet in one task."""
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)

@@ -216,11 +216,12 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
     refined if one of its nodes could cover bytes that are not covered yet,
     with one node for each class: all of them stay as partners of the rest."""
     f = F.xxhash64("full")
-    buckets = (nodes.where("core is not null").groupBy("core").agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
-               .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")))
+    buckets = scratch(nodes.where("core is not null").groupBy("core")
+                      .agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
+                      .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")), f"{name}-buckets")
     alive = scratch(nodes.join(buckets, "core"), f"{name}-alive")
     mixed = alive.where("mixed").withColumn("place", F.xxhash64("doc_id", "pos"))
-    classes = mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    classes = scratch(mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")), f"{name}-classes")
     rated = scratch(mixed.join(classes, "full").where("n = 1 or place = first").drop("mixed", "first", "place"), f"{name}-rated")
     several = classes.where("n > 1").select("full")
     span = [(F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")]
@@ -231,9 +232,9 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
     rows = rows.unionByName(covered.select("doc_id", "start", "end", none))
     settled = scratch(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "core")).alias("rows"))
                       .mapInArrow(_settle, ROUND_SCHEMA), f"{name}-settled")
-    go_on = settled.where("core is not null").select("core").distinct()
+    go_on = scratch(settled.where("core is not null").select("core").distinct(), f"{name}-needed")
     further = scratch(rated.join(go_on, "core", "left_semi").drop("n"), f"{name}-further")
-    discard(nodes, alive, rated)
+    discard(nodes, alive, rated, buckets, classes, go_on)
     return settled.where("core is null").drop("core"), further
 
 
@@ -310,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
         nodes = scratch(further.select(*_NAMES).mapInArrow(finer, NODE_SCHEMA), "nodes")
         discard(further)
-    again = nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    again = scratch(nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again")
     last = nodes.join(again, "core", "left_semi").select(
         "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return (covered.unionByName(last).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
