@@ -159,7 +159,7 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFra
     # groups of one component, and groups without a member apart from the leader, are done
     open_groups = (stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct())
     rows = scratch(rows.join(open_groups, "lead", "left_semi"), "residuals")
-    seen = rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1")
+    seen = scratch(rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
     # tokens of one member alone come first in the order and match nothing
     common = rows.join(seen, ["lead", "token"])
     by = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token"))
@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     # list entries; tokens of one class alone are dropped
     entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = scratch(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     least = F.ceil(F.col("n") * percent / 100)
     mine = Window.partitionBy("node")
     cost = [F.sum(F.when(F.col("at") < F.col("n") - least + m, F.col("df") - 1).otherwise(0)).over(mine) * (1 + VERIFY_COST / m)
@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
     # one leader for each document
-    lead = lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("lead"))
+    lead = scratch(lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("lead")), "lead")
     best = (lists.join(lead, "token")
             .select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead.node").alias("a"), F.col("lead.n").alias("na"),
                     F.least("matches", "lead.matches").alias("need"))
@@ -227,10 +227,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = scratch(lists.join(groups, "node", "left").join(labels, "node", "left")
                    .select("token", "node", "n", "at", "matches", F.coalesce("group", "node").alias("group"),
                            F.coalesce("comp", "node").alias("comp")), "rest")
-    mixed = (rows.groupBy("token", "group").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .groupBy("token").agg(F.max(F.struct("c", "group")).getField("group").alias("main"), F.count("*").alias("n_groups"),
-                                   F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-             .where("n_groups > 1 and lo <> hi").select("token", "main"))
+    mixed = scratch(rows.groupBy("token", "group").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                    .groupBy("token").agg(F.max(F.struct("c", "group")).getField("group").alias("main"), F.count("*").alias("n_groups"),
+                                          F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                    .where("n_groups > 1 and lo <> hi").select("token", "main"), "mixed")
     rows = scratch(rows.join(mixed, "token"), "open")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "matches", "group", "comp")]
     one = rows.where("group <> main").select("token", F.col("node").alias("a"), *side("a"))
