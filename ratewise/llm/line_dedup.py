@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, filter_bits, merge_blocks, pair_to_batch
+from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, filter_bits, merge_blocks, pair_to_batch, scratch
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -71,9 +71,9 @@ def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())],
                                              names=["doc_id", "key"])
 
-    seen = src.where("doc_id is not null").mapInArrow(suspects, "doc_id long, key binary").distinct()
-    repeated = (seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc"))
-                .where(F.col("n") >= min_docs).drop("n"))
+    seen = scratch(src.where("doc_id is not null").mapInArrow(suspects, "doc_id long, key binary").distinct(), "suspects")
+    repeated = scratch(seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc"))
+                       .where(F.col("n") >= min_docs).drop("n"), "repeated")
     return (seen.join(repeated, "key").where("doc_id <> keep_doc")
               .groupBy("doc_id").agg(F.collect_list("key").alias("dropped_keys")))
 
