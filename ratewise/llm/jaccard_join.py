@@ -157,7 +157,7 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFra
                     F.size("residual").alias("r"), F.explode("residual").alias("token"))
             .join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     # groups of one component, and groups without a member apart from the leader, are done
-    open_groups = (stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct())
+    open_groups = scratch(stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct(), "open-groups")
     rows = scratch(rows.join(open_groups, "lead", "left_semi"), "residuals")
     seen = scratch(rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
     # tokens of one member alone come first in the order and match nothing
