@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_int
 from ..operators.grid import fmt_value
+from ..sources.sinks import append_result
 from ..operators.metrics import classification_metrics, regression_metrics
 from .models import class_probabilities
 
@@ -102,9 +103,9 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
             rec["logloss"] = ms["test"]["logloss"]
         rows.append(rec)
         if results_path:
-            spark.createDataFrame([rec], schema).write.mode("append").parquet(results_path)
+            append_result(spark.createDataFrame([rec], schema), results_path)
         if predictions_path and test is not None:
-            score(model, test, mod, kind).write.mode("append").parquet(predictions_path)
+            append_result(score(model, test, mod, kind), predictions_path)
     return spark.createDataFrame(rows, schema)
 
 

@@ -147,8 +147,3 @@ def sample_n(df: DataFrame, n: int, key: str = "policy_id", seed=42, by: str | N
     if by is None:
         return top(df)
     return reduce(DataFrame.unionByName, [top(df.where(F.col(by) == v)) for v in by_values])
-
-
-def hashed_fraction(key: str, seed, fraction: float) -> Column:
-    """Deterministic Bernoulli(fraction) membership by hash (for folds etc.)."""
-    return (hash_int(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")), 12) % 1_000_000) < int(fraction * 1_000_000)

@@ -26,6 +26,8 @@ from ..operators.summarize import gaussian_kde
 from ..operators.twopart import best_pair, compare_models
 from ..schema import COVERAGES, MODEL_FEATURES
 from ..session import ensure_checkpoint_dir
+from ..sources.policies import from_local
+from ..sources.sinks import to_driver
 from ..sources.results import read_predictions, read_tuning_results, table_path
 from .registry import query
 from .sqlparts import SPLIT, with_
@@ -306,7 +308,7 @@ SELECT coverage, count(*) AS n_test, 2 AS n_sev_models, 2 AS n_freq_models, 2 *
 FROM split WHERE split = 'test' GROUP BY coverage""")
 
 
-@query("end_to_end", _CHAIN_SQL, "SRC6 SRC7 FLT10 SNK2 SNK3 ML11 ML14 ML15 SRT3 JON8 (tune, read back, compare, refit the best pair)")
+@query("end_to_end", _CHAIN_SQL, "SRC5 SRC6 SRC7 FLT10 SNK2 SNK3 SNK6 ML11 ML14 ML15 SRT3 JON8 (tune, read back, compare, refit the best pair)")
 def q_end_to_end(spark, sf):
     """Grids of severity and frequency models are fitted and written; their
     tables are read back, all pairs compared, and both models of the best pair
@@ -330,7 +332,7 @@ def q_end_to_end(spark, sf):
     tests = split_table(spark, sf).where(F.col("split") == "test").select("coverage", "row_num", "ULTIMATE_AMOUNT")
     sev, freq = (read_predictions(spark, root, part, rows=tests) for part in ("sev", "freq"))
     pairs = compare_models(sev, freq, tests, keys=["coverage"]).cache()
-    best = {r["coverage"]: r for r in best_pair(pairs, "mae", by=["coverage"]).collect()}      # one row per coverage
+    best = {r["coverage"]: r for r in to_driver(best_pair(pairs, "mae", by=["coverage"])).to_dict("records")}   # one row per coverage
     params = {(r["coverage"], part, r["mod_num"]): r.asDict() for part in ("sev", "freq")
               for r in read_tuning_results(spark, root, part).select("coverage", "mod_num", "ntrees").collect()}   # grid-sized
     scored = []
@@ -344,7 +346,7 @@ def q_end_to_end(spark, sf):
     counts = lambda d, name: d.groupBy("coverage").agg(
         F.count_distinct("file", "mod_num").cast("int").alias(f"n_{name}_models"), F.count("*").alias(f"n_{name}_rows"))
     least = pairs.groupBy("coverage").agg(F.count("*").alias("n_pairs"), F.min("mae").alias("least"))
-    chosen = spark.createDataFrame([(c, r["mae"]) for c, r in best.items()], "coverage string, mae double")
+    chosen = from_local(spark, [(c, r["mae"]) for c, r in best.items()], "coverage string, mae double")
     refit = reduce(DataFrame.unionByName, scored).groupBy("coverage").agg(F.count("*").alias("n_refit"))
     return (tests.groupBy("coverage").agg(F.count("*").alias("n_test")).join(counts(sev, "sev"), "coverage").join(counts(freq, "freq"), "coverage")
             .join(least, "coverage").join(chosen, "coverage").join(refit, "coverage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.encode import OrdinalEncoding, enum_limited, top_levels
+from ..operators.encode import enum_limited, ordinal_codes, top_levels, transform_join
 from ..operators.sample import balance_classes, sample_n
 from ..schema import COVERAGES, MODEL_FEATURES
 from .registry import query
@@ -89,9 +89,8 @@ SELECT policy_id, variable, coalesce(code, -1) AS code FROM _tl LEFT JOIN _codes
 @query("ordinal_encode", _ORDINAL_SQL, "ML1 (fit on train, unknown → -1)")
 def q_ordinal_encode(spark, sf):
     s = split_table(spark, sf)
-    enc = OrdinalEncoding.fit(s.where(F.col("split") == "train"), MODEL_FEATURES)
-    test = enc.transform(s.where(F.col("split") == "test").select("policy_id", *MODEL_FEATURES))
-    return test.unpivot(["policy_id"], MODEL_FEATURES, "variable", "code")
+    codes = ordinal_codes(s.where(F.col("split") == "train"), MODEL_FEATURES)
+    return transform_join(s.where(F.col("split") == "test"), codes, "policy_id", MODEL_FEATURES)
 
 
 _TOPK = 5

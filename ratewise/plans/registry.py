@@ -48,8 +48,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load_all()
     return {k: v.sql for k, v in REGISTRY.items() if v.sql is not None}
-
-
-def headline() -> list[str]:
-    _load_all()
-    return [k for k, v in REGISTRY.items() if v.headline]

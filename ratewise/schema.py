@@ -35,47 +35,3 @@ POLICY = T.StructType(
 COVERAGES = ["bi", "pd", "coll"]
 MAX_CLAIMS = 3                     # claim count cap → classes 0..3
 N_CLASSES = MAX_CLAIMS + 1
-
-SEVERITY_PREDICTION = T.StructType([
-    T.StructField("mod_num", T.IntegerType(), False),
-    T.StructField("row_num", T.LongType(), False),
-    T.StructField("predict", T.DoubleType(), True),
-])
-
-FREQUENCY_PREDICTION = T.StructType([
-    T.StructField("mod_num", T.IntegerType(), False),
-    T.StructField("row_num", T.LongType(), False),
-    T.StructField("predict", T.IntegerType(), True),
-    T.StructField("p0", T.DoubleType(), True),
-    T.StructField("p1", T.DoubleType(), True),
-    T.StructField("p2", T.DoubleType(), True),
-    T.StructField("p3", T.DoubleType(), True),
-])
-
-COMPARISON = T.StructType([
-    T.StructField("sev_mod_file", T.StringType()),
-    T.StructField("sev_mod_num", T.IntegerType()),
-    T.StructField("freq_mod_file", T.StringType()),
-    T.StructField("freq_mod_num", T.IntegerType()),
-    T.StructField("mae", T.DoubleType()),
-    T.StructField("mse", T.DoubleType()),
-])
-
-# Column lists of the tuning-result tables (parameters first, then metrics).
-REGRESSION_METRICS = ["r_2", "r_2_valid", "mse", "mse_valid", "rmse", "rmse_valid",
-                      "rmsle", "rmsle_valid", "mae", "mae_valid"]
-CLASSIFICATION_METRICS = ["r_2", "r_2_valid", "mse", "mse_valid", "rmse", "rmse_valid", "logloss"]
-
-GB_SEVERITY_PARAMS = ["mod_num", "time_to_create", "nfolds", "distribution", "model_id", "ntrees",
-                      "max_depth", "learn_rate", "min_split_improvement", "sample_rate", "nbins",
-                      "categorical_encoding", "seed", "col_sample_rate_per_tree"]
-NN_SEVERITY_PARAMS = ["mod_num", "time_to_create", "nfolds", "activation", "total_nodes", "num_layers",
-                      "adaptive_rate", "rate", "rate_decay", "momentum_start", "momentum_stable",
-                      "input_dropout_ratio", "initial_weight_distribution", "initial_weight_scale",
-                      "loss", "distribution", "stopping_metric", "stopping_tolerance",
-                      "categorical_encoding", "seed", "mini_batch_size"]
-RF_PARAMS = ["mod_num", "time_to_create", "nfolds", "ntrees", "max_depth", "mtries",
-             "min_split_improvement", "sample_rate", "categorical_encoding", "histogram_type",
-             "seed", "col_sample_rate_per_tree"]
-GB_FREQUENCY_PARAMS = GB_SEVERITY_PARAMS
-NN_FREQUENCY_PARAMS = NN_SEVERITY_PARAMS

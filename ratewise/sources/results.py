@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grid import latest_per_model
+
 PARTS = {"sev": ("severity", "log_severity"), "freq": ("ultimate_claim_count",)}
 
 
@@ -32,9 +34,11 @@ def _named(df: DataFrame) -> DataFrame:
 
 def read_tuning_results(spark: SparkSession, root: str, part: str, coverage: str = "*") -> DataFrame:
     """SRC6: all results tables of a part below ``root``, one union by column
-    name (algorithms have parameters of their own), with the model file."""
-    return _named(spark.read.option("mergeSchema", True).parquet(
-        os.path.join(root, f"{coverage}_{part}_tuning", "*_tuning_results")))
+    name (algorithms have parameters of their own), with the model file.  Of a
+    model written twice the last row counts."""
+    rows = spark.read.option("mergeSchema", True).parquet(os.path.join(root, f"{coverage}_{part}_tuning", "*_tuning_results"))
+    named = _named(rows.withColumn("_written", F.col("_metadata.file_modification_time")))
+    return latest_per_model(named, "_written", ["coverage", "file", "mod_num"]).drop("_written")
 
 
 def read_predictions(spark: SparkSession, root: str, part: str, coverage: str = "*", rows: DataFrame | None = None) -> DataFrame:
