@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
-from .quantiles import PER_BUCKET, bucket_of, quantiles_from_frequencies, value_frequencies, value_splits
+from .quantiles import PER_BUCKET, bucket_of, exact_quantiles, quantiles_from_frequencies, value_frequencies, value_splits
 from .reshape import unpivot_factors
 
 # Output suffix per measure and the numeric-summary labels.
@@ -206,16 +206,17 @@ def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str]
     base = df.select(*by, v.alias("_x")).where(F.col("_x").isNotNull())
     stats = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-        F.percentile_approx("_x", [0.25, 0.75], 10000).alias("_q"))
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     if bandwidth is None:
-        iqr = (F.col("_q")[1] - F.col("_q")[0]) / 1.34
+        q = exact_quantiles(base, by, "_x", {"_q1": 0.25, "_q3": 0.75})
+        stats = stats.join(q, by) if by else _attach_scalars(stats, q)
+        iqr = (F.col("_q3") - F.col("_q1")) / 1.34
         spread = F.when(iqr > 0, F.least(F.col("_sd"), iqr)).otherwise(F.col("_sd"))
         bw = 0.9 * spread * F.pow(F.col("_n").cast("double"), -0.2)
         stats = stats.withColumn("_bw", F.when(bw > 0, bw).otherwise(F.lit(1.0)))
     else:
         stats = stats.withColumn("_bw", F.lit(float(bandwidth)))
-    stats = stats.drop("_q", "_sd")
+    stats = stats.drop("_q1", "_q3", "_sd")
     # equal values meet the grid once
     counted = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     joined = _join_stats(counted, stats, by) if by else _attach_scalars(counted, stats)

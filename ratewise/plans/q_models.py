@@ -271,7 +271,19 @@ def q_tree_shap(spark, sf):
     return _per_coverage(one)
 
 
-@query("kde", None, "AGG20 (Gaussian kernel density of severity per coverage)")
+_KDE_SQL = with_(SPLIT, """,
+_c AS (SELECT coverage, severity AS v FROM split WHERE ULTIMATE_CLAIM_COUNT > 0 AND severity IS NOT NULL),
+_st AS (SELECT coverage, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
+               (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM _c GROUP BY 1),
+_bw AS (SELECT *, 0.9 * (CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END) * pow(n, -0.2) AS bw0 FROM _st),
+_g AS (SELECT coverage, n, lo, hi, CASE WHEN bw0 > 0 THEN bw0 ELSE 1.0 END AS bw, unnest(range(0, 64)) AS i FROM _bw),
+_p AS (SELECT *, lo + i * ((hi - lo) / 63) AS x FROM _g)
+SELECT p.coverage, i::INTEGER AS grid_index, round(x, 6) AS x,
+       round(sum(exp(-0.5 * pow((x - v) / bw, 2)) / (bw * sqrt(2 * pi()))) / any_value(n), 6) AS density
+FROM _p p JOIN _c c ON p.coverage = c.coverage GROUP BY p.coverage, i, x""")
+
+
+@query("kde", _KDE_SQL, "AGG20 (Gaussian kernel density of severity per coverage)")
 def q_kde(spark, sf):
     claims = claims_only(split_table(spark, sf))
     return round_doubles(gaussian_kde(claims, "severity", grid_points=64, by=["coverage"]))
