@@ -25,14 +25,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
+#: Rows of a scratch file, where a bound on the rows is known.
+FILE_ROWS = 100_000
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back.  With
+    ``rows``, a bound on its rows, the last stage gets no more tasks than one
+    for each FILE_ROWS, or one for each core: a small table is not spread over
+    as many files as there are shuffle partitions.
 
     Counts per key that are joined back to the rows of the key go through
     here too: read from a table both sides of the join are plain exchanges,
     which AQE can split at a hot key; straight from the aggregate they would
     share its partitioning, and a hot key's rows would meet in one task."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = os.path.join(ensure_checkpoint_dir(spark), f"llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -181,7 +190,7 @@ def bloom_of(df: DataFrame, column: str, n_items: int) -> Bloom:
 
 
 # ------------------------------------------------------------------ components
-def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, comp)`` with the
     smallest node reachable.  Alternating large-star and small-star rounds:
     each round links every node to the smallest neighbour known, so rows stay
@@ -190,7 +199,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     only occurs as the common small end, which the grouped minimum folds
     before the shuffle."""
     e = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-                name)
+                name, rows)
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -201,7 +210,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         new = scratch(large.join(lowest, "u").select(F.col("v").alias("x"), "m", "u")
                       .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                                                 F.struct(F.col("x").alias("u"), F.col("m").alias("v")))).alias("s"))
-                      .select("s.*").where("u <> v").distinct(), name)
+                      .select("s.*").where("u <> v").distinct(), name, None if rows is None else 2 * rows)
         # a star forest: every node has one parent, and no parent has one itself
         bad = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         chained = new.select(F.col("v").alias("u")).distinct().join(new.select("u"), "u", "left_semi")
@@ -214,14 +223,14 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def forest_roots(parents: DataFrame, name: str) -> DataFrame:
+def forest_roots(parents: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``node, comp`` for a forest ``parents(node, parent)`` in which every node
     has one smaller parent: each round jumps to the parent's parent, so rounds
     grow with the logarithm of the depth.  Roots are their own component."""
-    now = scratch(parents.select("node", "parent", F.lit(True).alias("moved")), name)
+    now = scratch(parents.select("node", "parent", F.lit(True).alias("moved")), name, rows)
     while not is_empty(now.where("moved")):
         up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         now = scratch(now.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"),
-                                                            F.col("above").isNotNull().alias("moved")), name)
+                                                            F.col("above").isNotNull().alias("moved")), name, rows)
     return now.select("node", F.col("parent").alias("comp")).unionByName(
         now.select(F.col("parent").alias("node"), F.col("parent").alias("comp")).distinct())

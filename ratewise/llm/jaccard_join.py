@@ -41,6 +41,8 @@ MAX_MATCH = 4
 VERIFY_COST = 16
 #: Documents of one block of text that share a token, and in sum over blocks, for it to go to the end of the order.
 COMMON_IN_BLOCK, COMMON = 3, 24
+#: A pair's two sets weigh as much as so many rows.
+SET_ROWS = 50
 #: Tokens of a block, 8 bytes each.
 BLOCK_TOKENS = 4_000_000
 
@@ -108,7 +110,8 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list
     they differ (null when they have less than half of their tokens in
     common); ``carry`` names long columns to pass on.  The texts are read
     again for the sets of the documents in ``pairs`` alone."""
-    nodes = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    n_pairs = pairs.count()
+    nodes = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes", 2 * n_pairs)
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, "node", nodes.count()))     # 2^28 bits at most
 
     def sets_of(batches):
@@ -142,7 +145,7 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list
     return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", *carry)
                    .mapInArrow(run, ", ".join(["a long, b long, na long, nb long, linked boolean, residual array<long>",
                                                *[f"{c} long" for c in carry]]))
-                   .dropDuplicates(["a", "b"]), "compared")      # an id may have several rows
+                   .dropDuplicates(["a", "b"]), "compared", SET_ROWS * n_pairs)      # an id may have several rows
 
 
 def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -157,13 +160,14 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFra
                     F.size("residual").alias("r"), F.explode("residual").alias("token"))
             .join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     # groups of one component, and groups without a member apart from the leader, are done
-    open_groups = scratch(stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct(), "open-groups")
+    open_groups = scratch(stars.where("residual is not null and not linked").select(F.col("a").alias("lead")).distinct(), "open-groups", stars.count())
     rows = scratch(rows.join(open_groups, "lead", "left_semi"), "residuals")
-    seen = scratch(rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
+    n_rows = rows.count()
+    seen = scratch(rows.groupBy("lead", "token").agg(F.count("*").alias("df")).where("df > 1"), "seen", n_rows)
     # tokens of one member alone come first in the order and match nothing
     common = rows.join(seen, ["lead", "token"])
     by = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token"))
-    placed = scratch(common.withColumn("i", F.col("r") - F.row_number().over(by) + 1), "placed")
+    placed = scratch(common.withColumn("i", F.col("r") - F.row_number().over(by) + 1), "placed", n_rows)
     prefix = F.col("i") <= F.col("r") - F.greatest(F.lit(0), F.floor((F.col("r") + c * (F.col("n_lead") - F.col("n"))) / 2 - 1e-9))
     x = placed.where("not linked").select("lead", "token", *[F.col(v).alias(f"{v}_a") for v in ("node", "n", "r", "comp", "i")])
     y = placed.where(prefix).select("lead", "token", *[F.col(v).alias(f"{v}_b") for v in ("node", "n", "r", "comp", "i")])
@@ -209,8 +213,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                     .select("token", "node", "n", F.col("at").cast("long").alias("at"), "matches"), "lists")
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
+    n_lists = lists.count()
     # one leader for each document
-    lead = scratch(lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("lead")), "lead")
+    lead = scratch(lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("lead")), "lead", n_lists)
     best = (lists.join(lead, "token")
             .select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead.node").alias("a"), F.col("lead.n").alias("na"),
                     F.least("matches", "lead.matches").alias("need"))
@@ -218,20 +223,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             .groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
             .groupBy("b").agg(F.max(F.struct("c", F.negative("a").alias("a"))).alias("m"))
             .select(F.negative("m.a").alias("a"), "b"))
-    stars = compare(scratch(best, "best"), src, k, percent)
+    stars = compare(scratch(best, "best", n_lists), src, k, percent)
     # a leader is the smallest node of a list, so these links are a forest
-    labels = scratch(forest_roots(stars.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent")), "star"), "labels")
+    labels = scratch(forest_roots(stars.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent")), "star", n_lists), "labels", n_lists)
 
     # across groups
     groups = stars.where("residual is not null").select(F.col("b").alias("node"), F.col("a").alias("group"))
     rows = scratch(lists.join(groups, "node", "left").join(labels, "node", "left")
                    .select("token", "node", "n", "at", "matches", F.coalesce("group", "node").alias("group"),
-                           F.coalesce("comp", "node").alias("comp")), "rest")
+                           F.coalesce("comp", "node").alias("comp")), "rest", n_lists)
     mixed = scratch(rows.groupBy("token", "group").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .groupBy("token").agg(F.max(F.struct("c", "group")).getField("group").alias("main"), F.count("*").alias("n_groups"),
                                           F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                    .where("n_groups > 1 and lo <> hi").select("token", "main"), "mixed")
-    rows = scratch(rows.join(mixed, "token"), "open")
+                    .where("n_groups > 1 and lo <> hi").select("token", "main"), "mixed", n_lists)
+    rows = scratch(rows.join(mixed, "token"), "open", n_lists)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "matches", "group", "comp")]
     one = rows.where("group <> main").select("token", F.col("node").alias("a"), *side("a"))
     two = rows.select("token", F.col("node").alias("b"), *side("b"), "main")
@@ -247,7 +252,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
               .where("c >= need").select("a", "b", "comp_a", "comp_b"))
     pairs = scratch(across.unionByName(residual_pairs(stars, labels, percent)).distinct(), "pairs")
     links = compare(pairs, src, k, percent, ["comp_a", "comp_b"]).where("linked")
-    joined = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "last")
+    joined = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "last", links.count())
     named = classes.select("key", "node")
     named = (named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
              .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
