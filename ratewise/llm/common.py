@@ -186,7 +186,7 @@ def bloom_of(df: DataFrame, column: str, n_items: int) -> Bloom:
 
     merged = merge_blocks(df.select(F.col(column).cast("long")).mapInArrow(build, BLOCK_SCHEMA),
                           (1 << log2) // BLOCK_BITS)
-    return Bloom(log2, {r["block"]: bytes(r["once"]) for r in merged.select("block", "once").toLocalIterator()})
+    return Bloom(log2, {r["block"]: bytes(r["once"]) for r in merged.select("block", "once").collect()})
 
 
 # ------------------------------------------------------------------ components

@@ -55,7 +55,7 @@ def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         yield pair_to_batch(pair)
 
     merged = merge_blocks(src.where("doc_id is not null").mapInArrow(first_pass, BLOCK_SCHEMA), (1 << log2) // BLOCK_BITS)
-    twice = Bloom(log2, {r["block"]: bytes(r["twice"]) for r in merged.select("block", "twice").toLocalIterator()})
+    twice = Bloom(log2, {r["block"]: bytes(r["twice"]) for r in merged.select("block", "twice").collect()})
     shared = docs.sparkSession.sparkContext.broadcast(twice)     # at most 2^28 bits
 
     def suspects(batches):
