@@ -215,14 +215,14 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
     members are covered; a class of one may still be in part.  A bucket is
     refined if one of its nodes could cover bytes that are not covered yet,
     with one node for each class: all of them stay as partners of the rest."""
-    f = F.xxhash64("full")
+    f, size = F.xxhash64("full"), nodes.count()
     buckets = scratch(nodes.where("core is not null").groupBy("core")
                       .agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
-                      .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")), f"{name}-buckets")
-    alive = scratch(nodes.join(buckets, "core"), f"{name}-alive")
+                      .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")), f"{name}-buckets", size)
+    alive = scratch(nodes.join(buckets, "core"), f"{name}-alive", size)
     mixed = alive.where("mixed").withColumn("place", F.xxhash64("doc_id", "pos"))
-    classes = scratch(mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")), f"{name}-classes")
-    rated = scratch(mixed.join(classes, "full").where("n = 1 or place = first").drop("mixed", "first", "place"), f"{name}-rated")
+    classes = scratch(mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")), f"{name}-classes", size)
+    rated = scratch(mixed.join(classes, "full").where("n = 1 or place = first").drop("mixed", "first", "place"), f"{name}-rated", size)
     several = classes.where("n > 1").select("full")
     span = [(F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")]
     none = F.lit(None).cast("binary").alias("core")
@@ -231,9 +231,9 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
             .unionByName(rated.where("n = 1").select("doc_id", *span, "core")))
     rows = rows.unionByName(covered.select("doc_id", "start", "end", none))
     settled = scratch(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "core")).alias("rows"))
-                      .mapInArrow(_settle, ROUND_SCHEMA), f"{name}-settled")
-    go_on = scratch(settled.where("core is not null").select("core").distinct(), f"{name}-needed")
-    further = scratch(rated.join(go_on, "core", "left_semi").drop("n"), f"{name}-further")
+                      .mapInArrow(_settle, ROUND_SCHEMA), f"{name}-settled", size)
+    go_on = scratch(settled.where("core is not null").select("core").distinct(), f"{name}-needed", size)
+    further = scratch(rated.join(go_on, "core", "left_semi").drop("n"), f"{name}-further", size)
     discard(nodes, alive, rated, buckets, classes, go_on)
     return settled.where("core is null").drop("core"), further
 
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     root = scratch(docs.mapInArrow(roots, "core binary, full binary, doc_id long, pos long, low int, high int, end long"), "anchors")
     stretches = scratch(root.where("core is null").select("doc_id", F.col("pos").alias("start"), "end"), "stretches")
     covered, further = _refined(root, stretches, length, "root")
-    per_doc = scratch(further.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "open")
+    per_doc = scratch(further.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "open", further.count())
     wanted = spark.sparkContext.broadcast(bloom_of(per_doc, "doc_id", per_doc.count()))
 
     def only_wanted(batches):
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
         nodes = scratch(further.select(*_NAMES).mapInArrow(finer, NODE_SCHEMA), "nodes")
         discard(further)
-    again = scratch(nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again")
+    again = scratch(nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again", nodes.count())
     last = nodes.join(again, "core", "left_semi").select(
         "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return (covered.unionByName(last).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
