@@ -11,6 +11,8 @@ only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ TEMPLATES = [
 
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 2
+#: Template positions in one mask column.
+MASK_BITS = 63
+WINDOWS = "array<struct<votes:int,n_span:int,start:int>>"
 #: Stands at position 0 of every text, so that texts without matches stay.
 SENTINEL = 0
 
@@ -72,6 +77,45 @@ def template_table(spark, templates, phrases) -> DataFrame:
     return t.withColumn("h", F.when(F.col("template") < 0, F.lit(SENTINEL).cast("long")).otherwise(F.xxhash64("w0", "w1")))
 
 
+def distinct_hits(masks):
+    """Template positions that are set in the masks."""
+    return reduce(lambda a, b: a + b, [F.bit_count(m) for m in masks])
+
+
+def windows(diagonals, n_template, names):
+    """The best window from each diagonal on: ``(votes, n_span, start)``, the
+    most template positions in at most ``2 * n_template`` words, then the fewest
+    words.  A diagonal that would make the window longer is passed over."""
+    zero = lambda d: F.struct(
+        F.lit(0).alias("votes"), F.lit(0).alias("n_span"), F.lit(0).alias("start"),
+        d["start"].alias("lo"), d["end"].alias("hi"), *[F.lit(0).cast("long").alias(m) for m in names])
+
+    def add(acc, d):
+        lo, hi = F.least(acc["lo"], d["start"]), F.greatest(acc["hi"], d["end"])
+        masks = [acc[m].bitwiseOR(d[m]) for m in names]
+        votes, n_span = distinct_hits(masks), hi - lo + K
+        more = votes > acc["votes"]
+        return F.when(n_span > 2 * n_template, acc).otherwise(F.struct(
+            F.when(more, votes).otherwise(acc["votes"]).alias("votes"), F.when(more, n_span).otherwise(acc["n_span"]).alias("n_span"),
+            F.when(more, lo).otherwise(acc["start"]).alias("start"), lo.alias("lo"), hi.alias("hi"),
+            *[m.alias(name) for m, name in zip(masks, names)]))
+
+    # diagonals are distinct numbers, and one that starts behind the window cannot join it
+    return F.transform(diagonals, lambda d, i: F.aggregate(
+        F.slice(diagonals, i + 1, 3 * n_template), zero(d), add,
+        lambda acc: F.struct(acc["votes"].alias("votes"), acc["n_span"].alias("n_span"), acc["start"].alias("start"))))
+
+
+def apart(found):
+    """The best of the windows that overlap: most votes, fewest words, first."""
+    order = F.array_sort(F.transform(found, lambda w: F.struct(
+        (-w["votes"]).alias("less"), w["n_span"].alias("n_span"), w["start"].alias("start"))))
+    best = F.transform(order, lambda w: F.struct((-w["less"]).alias("votes"), w["n_span"].alias("n_span"), w["start"].alias("start")))
+    return F.aggregate(best, F.array().cast(WINDOWS), lambda acc, w: F.when(
+        F.exists(acc, lambda a: (a["start"] < w["start"] + w["n_span"]) & (w["start"] < a["start"] + a["n_span"])), acc
+    ).otherwise(F.concat(acc, F.array(w)).cast(WINDOWS)))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shift: int = 3,
                  min_cover: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """``(per document, spans)``.
@@ -82,7 +126,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shif
     cover``.  Null text counts as empty (no words, score 0); rows repeated with
     one ``doc_id``, and rows without one, are separate documents; an empty table
     gives empty results; other columns are not read.  A base place needs the
-    phrase's words to stand consecutively; overlapping places all count."""
+    phrase's words to stand consecutively; overlapping places all count.
+    ``votes`` are the distinct template positions of a span, ``cover`` their
+    share; spans of one template found in one chain of diagonals do not
+    overlap, the best come first."""
     spark = docs.sparkSession
     grams = F.concat(
         F.array(F.lit(SENTINEL).cast("long")),
@@ -97,26 +144,41 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shif
                      | (F.col("template") >= 0) & (F.col("at") > 0)
                      & (F.get("words", F.col("at") - 1) == F.col("w0")) & (F.get("words", F.col("at")) == F.col("w1")))
               .select("row_id", "doc_id", F.when(F.col("template") < 0, F.size("words")).alias("n_words"), "template",
-                      "label", "base", "n_template", (F.col("at") - 1).alias("pos"),
+                      "label", "base", "n_template", "t_pos", (F.col("at") - 1).alias("pos"),
                       (F.col("at") - 1 - F.col("t_pos")).alias("diagonal")))
+    n_masks = -(-max(len(t.split()) for _, t in [*templates, *phrases, ("", "")]) // MASK_BITS) or 1
+    names = [f"m{i}" for i in range(n_masks)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_pos") % MASK_BITS)
+    masks = [F.bit_or(F.when(F.floor(F.col("t_pos") / MASK_BITS) == i, bit).otherwise(F.lit(0).cast("long"))).alias(m)
+             for i, m in enumerate(names)]
     votes = (joined.repartition("row_id")
              .groupBy("row_id", "template", "diagonal")
              .agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"),
-                  F.first("base").alias("base"), F.first("n_template").alias("n_template"),
-                  F.count("*").alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("end")))
+                  F.first("base").alias("base"), F.first("n_template").alias("n_template"), *masks,
+                  F.min("pos").alias("start"), F.max("pos").alias("end")))
     by = Window.partitionBy("row_id", "template").orderBy("diagonal")
     # phrases stay on their own diagonal; templates also take neighbouring ones
     step = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by) > max_shift), 1).otherwise(0)
-    merged = (votes.withColumn("step", step).withColumn("span", F.sum("step").over(by))
-              .groupBy("row_id", "template", "span")
+    alone = (F.col("step") == 1) & (F.coalesce(F.lead("step").over(by), F.lit(1)) == 1)
+    chains = (votes.withColumn("step", F.when(F.lag("diagonal").over(by).isNull(), 1).otherwise(step))
+              .withColumns({"alone": alone, "chain": F.sum("step").over(by)})
+              .groupBy("row_id", "template", "chain")
               .agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"),
                    F.first("base").alias("base"), F.first("n_template").alias("n_template"),
-                   F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
-              .withColumn("cover", F.when(F.col("template") >= 0, F.least(
-                  F.lit(1.0), F.col("votes") / (F.col("n_template") - 1))).otherwise(F.lit(0.0)))
-              .withColumn("n_span", F.col("end") - F.col("start") + K)
-              .withColumn("holds", (F.col("template") >= 0) & F.when(F.col("base"), F.col("cover") == 1.0).otherwise(
-                  (F.col("cover") >= min_cover) & (F.col("n_span") <= 2 * F.col("n_template")))))
+                   *[F.bit_or(m).alias(m) for m in names], F.min("start").alias("start"), F.max("end").alias("end"),
+                   F.sort_array(F.collect_list(F.when(~F.col("alone"), F.struct("diagonal", "start", "end", *names)))).alias("diagonals"))
+              .withColumn("votes", distinct_hits([F.col(m) for m in names]))
+              .withColumn("n_span", F.col("end") - F.col("start") + K))
+    grams = F.col("n_template") - (K - 1)
+    least = F.when(F.col("base"), 1.0).otherwise(min_cover)
+    # a chain that is too long or may hold is searched; any other is its own best window
+    search = (F.size("diagonals") > 1) & ((F.col("n_span") > 2 * F.col("n_template")) | (F.col("votes") / grams >= least))
+    whole = F.array(F.struct("votes", "n_span", "start")).cast(WINDOWS)
+    merged = (chains.withColumn("windows", F.when(search, windows(F.col("diagonals"), F.col("n_template"), names).cast(WINDOWS)).otherwise(whole))
+              .withColumn("cover", F.when(F.col("template") >= 0, F.array_max("windows").getField("votes") / grams).otherwise(F.lit(0.0)))
+              .withColumn("found", F.filter("windows", lambda w: (F.col("template") >= 0) & (w["votes"] / grams >= least)))
+              .withColumn("found", F.when(F.size("found") > 1, apart(F.col("found"))).otherwise(F.col("found")))
+              .withColumn("holds", F.size("found") > 0))
     at_base = F.col("holds") & F.col("base")
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("label")))), ",")
     per_doc = merged.groupBy("row_id").agg(
@@ -124,6 +186,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shif
         F.count_if(at_base).alias("n_base"), F.min(F.when(at_base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(at_base, F.col("start"))).cast("long").alias("last_word"), labels(at_base).alias("base_labels"),
         labels(F.col("holds")).alias("labels"), F.max("cover").alias("score")).drop("row_id")
-    spans = merged.where("holds").select("doc_id", "label", "base", F.col("start").alias("start_word"), "n_span",
-                                         "votes", "cover")
+    spans = (merged.where("holds").select("doc_id", "label", "base", "n_template", F.inline("found"))
+             .select("doc_id", "label", "base", F.col("start").alias("start_word"), "n_span",
+                     F.col("votes").cast("long").alias("votes"), (F.col("votes") / grams).alias("cover")))
     return per_doc, spans

@@ -222,3 +222,26 @@ def test_license_scan(docs, none):
     assert by[81].score == 0.0 and by[81].n_words == 0
     assert {(r.doc_id, r.label) for r in spans.collect()} >= {(88, "gpl"), (89, "apache-2.0")}
     assert L.license_scan(none)[0].count() == 0
+
+
+def test_license_notices_in_repeated_grams(spark):
+    """Grams of a template that recur close by neither hide a notice nor make one."""
+    notice = "Released under the MIT License."
+    texts = [notice + "\nMIT License" * 3, notice + "\nfoo: MIT License" * 4, "the mit license the mit license",
+             "foo: MIT License\n" * 400 + notice, (notice + " MIT License, MIT License. ") * 3, "mit license " * 400,
+             "Released under the new MIT License. MIT License. MIT License."]
+    per_doc, spans = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    by = {r.doc_id: (r.labels, r.score) for r in per_doc.collect()}
+    assert by == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("", 0.5), 3: ("mit", 1.0), 4: ("mit", 1.0), 5: ("", 0.25), 6: ("mit", 0.75)}
+    # the edited notice has 'released under', 'under the' and 'mit license'
+    assert rows(spans, "doc_id", "start_word", "n_span", "votes") == Counter(
+        [(0, 0, 5, 4), (1, 0, 5, 4), (3, 1200, 5, 4), *[(4, 9 * i, 5, 4) for i in range(3)], (6, 0, 6, 3)])
+
+
+def test_license_long_template(spark):
+    """Positions beyond one mask; a notice whose middle is cut out, after one that is whole."""
+    w = [f"w{i}" for i in range(200)]
+    text = " ".join(w + ["x"] * 300 + w[:90] + ["y", "z"] + w[95:])
+    per_doc, spans = L.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [("long", " ".join(w))])
+    assert per_doc.first().labels == "long" and per_doc.first().score == 1.0
+    assert rows(spans, "start_word", "n_span", "votes") == Counter([(0, 200, 199), (500, 197, 193)])
