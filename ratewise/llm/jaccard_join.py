@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, components, forest_roots, scratch
+from .common import bloom_of, components, forest_roots, is_empty, scratch
 from .textbatch import batch_shingles, in_chunks
 
 MAX_MATCH = 4
@@ -104,24 +104,30 @@ def signatures(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list[str] = []) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, reps: DataFrame | None = None,
+            carry: list[str] = []) -> DataFrame:
     """``a, b, na, nb, linked, residual`` of the rows ``(a, b)`` of ``pairs``:
     set sizes, whether the sets reach the similarity, and the tokens in which
     they differ (null when they have less than half of their tokens in
     common); ``carry`` names long columns to pass on.  The texts are read
-    again for the sets of the documents in ``pairs`` alone."""
+    again for the sets of the documents in ``pairs`` alone.  ``a`` and
+    ``b`` are ``doc_id``s or, with ``reps(node, doc_id, key)``, the nodes of
+    single sets."""
     n_pairs = pairs.count()
     nodes = scratch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes", 2 * n_pairs)
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, "node", nodes.count()))     # 2^28 bits at most
+    ids = (nodes.select(F.col("node").alias("doc_id"), "node") if reps is None
+           else scratch(reps.join(nodes, "node"), "reps", 2 * n_pairs))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(ids, "doc_id", nodes.count()))     # 2^28 bits at most
 
     def sets_of(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64)
             found = batch.filter(pa.array(wanted.value.has(ids.view(np.uint64))))
             for part in in_chunks(found, 1) if found.num_rows else ():
+                tokens = [s.tobytes() for s in batch_shingles(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.tobytes() for s in batch_shingles(part.column(1), k)], pa.binary())],
-                    names=["doc_id", "tokens"])
+                    [part.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in tokens], pa.binary()), pa.array(tokens, pa.binary())],
+                    names=["doc_id", "key", "tokens"])
 
     def run(batches):
         for batch in batches:
@@ -139,13 +145,14 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int, carry: list
                  pa.array(residual, pa.list_(pa.int64())), *batch.columns[4:]],
                 names=["a", "b", "na", "nb", "linked", "residual", *carry])
 
-    sets = scratch(docs.where("doc_id is not null").mapInArrow(sets_of, "doc_id long, tokens binary"), "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    sets = scratch(docs.where("doc_id is not null").mapInArrow(sets_of, "doc_id long, key binary, tokens binary"), "sets")
+    sets = sets.withColumnRenamed("doc_id", "node") if reps is None else sets.join(ids, ["doc_id", "key"])
+    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return scratch(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", *carry)
                    .mapInArrow(run, ", ".join(["a long, b long, na long, nb long, linked boolean, residual array<long>",
                                                *[f"{c} long" for c in carry]]))
-                   .dropDuplicates(["a", "b"]), "compared", SET_ROWS * n_pairs)      # an id may have several rows
+                   .dropDuplicates(["a", "b"]), "compared", SET_ROWS * n_pairs)      # a node may have several rows of one set
 
 
 def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -178,6 +185,12 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFra
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "comp_a", "comp_b"))
 
 
+def several_sets(sigs: DataFrame) -> DataFrame:
+    """The ``doc_id`` of the documents whose rows have unequal sets."""
+    return scratch(sigs.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+                   .where("low <> high").select("doc_id"), "several")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -185,7 +198,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     whole sequence as one shingle); documents link when 100 * intersection >=
     ``percent`` * union; the component is named by its smallest ``doc_id``.
     Null and empty texts, and texts without words, have empty sets and link
-    with nothing.  Rows repeated with one ``doc_id`` are one node.  Rows
+    with nothing.  Rows with one ``doc_id`` are one component, whatever
+    their texts.  Rows
     without a ``doc_id`` link with nothing and have a null component.  An empty
     table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
@@ -195,8 +209,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sigs = scratch(signatures(src, k, percent, last), "signatures")
     real = sigs.where("n > 0 and doc_id is not null")
     # equal sets have equal prefixes, so any one of a class will do
-    classes = scratch(real.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
+    classes = scratch(real.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
                       "classes")
+    several = several_sets(sigs)
+    if is_empty(several):
+        classes, reps = classes.withColumn("node", F.col("doc_id")), None
+    else:                   # a doc_id would name several sets
+        classes = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+        reps = classes.select("node", "doc_id", "key")
 
     # list entries; tokens of one class alone are dropped
     entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
@@ -223,7 +243,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             .groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
             .groupBy("b").agg(F.max(F.struct("c", F.negative("a").alias("a"))).alias("m"))
             .select(F.negative("m.a").alias("a"), "b"))
-    stars = compare(scratch(best, "best", n_lists), src, k, percent)
+    stars = compare(scratch(best, "best", n_lists), src, k, percent, reps)
     # a leader is the smallest node of a list, so these links are a forest
     labels = scratch(forest_roots(stars.where("linked").select(F.col("b").alias("node"), F.col("a").alias("parent")), "star", n_lists), "labels", n_lists)
 
@@ -251,13 +271,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
               .groupBy("a", "b", "comp_a", "comp_b").agg(F.count("*").alias("c"), F.min(F.least("matches_a", "matches_b")).alias("need"))
               .where("c >= need").select("a", "b", "comp_a", "comp_b"))
     pairs = scratch(across.unionByName(residual_pairs(stars, labels, percent)).distinct(), "pairs")
-    links = compare(pairs, src, k, percent, ["comp_a", "comp_b"]).where("linked")
-    joined = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "last", links.count())
-    named = classes.select("key", "node")
-    named = (named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-             .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
-             .select("key", F.coalesce("last", "comp").alias("comp")))
-    return (sigs.join(named, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")))
-
+    links = compare(pairs, src, k, percent, reps, ["comp_a", "comp_b"]).where("linked")
+    links = links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    named = classes.select("key", "doc_id", "node")
+    named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if reps is not None:    # the sets of one doc_id go together
+        same = scratch(real.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
+                       .join(named.select("key", "comp"), "key"), "same")
+        links = links.unionByName(same.join(scratch(same.groupBy("doc_id").agg(F.min("comp").alias("b")), "same-least"), "doc_id")
+                                  .select(F.col("comp").alias("a"), "b"))
+    joined = components(links, "last", links.count())
+    named = (named.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
+             .select("key", "doc_id", F.coalesce("last", "comp").alias("comp")))
+    # nodes that are no ids: the component's smallest doc_id names it; a row without words goes with its doc_id's others
+    of_id = None
+    if reps is not None:
+        named = scratch(named, "named")
+        names = scratch(named.groupBy("comp").agg(F.min("doc_id").alias("name")), "names")
+        named = scratch(named.join(names, "comp").select("key", F.col("name").alias("comp")), "renamed")
+        of_id = scratch(same.select("doc_id", "key").join(named, "key").groupBy("doc_id").agg(F.min("comp").alias("of_id")), "of-id")
+    out = sigs.join(named.select("key", "comp"), "key", "left")
+    out = out.withColumn("of_id", F.lit(None).cast("long")) if of_id is None else out.join(of_id, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"),
+                      F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp"))
+                      .otherwise(F.coalesce("of_id", "doc_id")).alias("component_id"))

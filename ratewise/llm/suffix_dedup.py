@@ -146,8 +146,8 @@ def _span(a: int, n: int, length: int) -> tuple[int, int]:
     return max(0, length - (n - a)), min(length - Q, a)
 
 
-NODE_SCHEMA = ("core binary, full binary, doc_id long, pos long, lo int, hi int, low int, high int, left binary, right binary")
-_TYPES = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+NODE_SCHEMA = ("core binary, full binary, doc_id long, part long, pos long, lo int, hi int, low int, high int, left binary, right binary")
+_TYPES = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 _NAMES = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
 
@@ -181,19 +181,19 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[first, 0], reach[last]], axis=1)
 
 
-ROUND_SCHEMA = "doc_id long, start long, end long, core binary"
+ROUND_SCHEMA = "doc_id long, part long, start long, end long, core binary"
 
 
 def _settle(batches):
     """Per document: its covered ranges merged, and the identifiers of nodes
     that could still cover more than that."""
     for batch in batches:
-        out = [[], [], [], []]
-        for i, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out = [[], [], [], [], []]
+        for i, part, rows in zip(*(batch.column(c).to_pylist() for c in range(3))):
             known = np.array([(r["start"], r["end"]) for r in rows if r["core"] is None], np.int64).reshape(-1, 2)
             known = merge_spans(known) if len(known) else known
             for a, e in known.tolist():
-                for col, v in zip(out, (i, a, e, None)):
+                for col, v in zip(out, (i, part, a, e, None)):
                     col.append(v)
             maybe = [r for r in rows if r["core"] is not None]
             if not maybe:
@@ -202,10 +202,10 @@ def _settle(batches):
             at = np.searchsorted(known[:, 0], start, "right") - 1
             reach = np.where(at >= 0, known[np.maximum(at, 0), 1], 0) if len(known) else np.zeros(len(start), np.int64)
             for core in {r["core"] for r, e in zip(maybe, reach.tolist()) if e < r["end"]}:
-                for col, v in zip(out, (None, None, None, core)):
+                for col, v in zip(out, (None, None, None, None, core)):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                         names=["doc_id", "start", "end", "core"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                         names=["doc_id", "part", "start", "end", "core"])
 
 
 def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -220,17 +220,17 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
                       .agg(F.count("*").alias("n"), F.min(f).alias("f_low"), F.max(f).alias("f_high"))
                       .where("n > 1").select("core", (F.col("f_low") != F.col("f_high")).alias("mixed")), f"{name}-buckets", size)
     alive = scratch(nodes.join(buckets, "core"), f"{name}-alive", size)
-    mixed = alive.where("mixed").withColumn("place", F.xxhash64("doc_id", "pos"))
+    mixed = alive.where("mixed").withColumn("place", F.xxhash64("doc_id", "part", "pos"))
     classes = scratch(mixed.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")), f"{name}-classes", size)
     rated = scratch(mixed.join(classes, "full").where("n = 1 or place = first").drop("mixed", "first", "place"), f"{name}-rated", size)
     several = classes.where("n > 1").select("full")
     span = [(F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")]
     none = F.lit(None).cast("binary").alias("core")
-    rows = (alive.where("not mixed").select("doc_id", *span, none)
-            .unionByName(mixed.join(several, "full", "left_semi").select("doc_id", *span, none))
-            .unionByName(rated.where("n = 1").select("doc_id", *span, "core")))
-    rows = rows.unionByName(covered.select("doc_id", "start", "end", none))
-    settled = scratch(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "core")).alias("rows"))
+    rows = (alive.where("not mixed").select("doc_id", "part", *span, none)
+            .unionByName(mixed.join(several, "full", "left_semi").select("doc_id", "part", *span, none))
+            .unionByName(rated.where("n = 1").select("doc_id", "part", *span, "core")))
+    rows = rows.unionByName(covered.select("doc_id", "part", "start", "end", none))
+    settled = scratch(rows.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "end", "core")).alias("rows"))
                       .mapInArrow(_settle, ROUND_SCHEMA), f"{name}-settled", size)
     go_on = scratch(settled.where("core is not null").select("core").distinct(), f"{name}-needed", size)
     further = scratch(rated.join(go_on, "core", "left_semi").drop("n"), f"{name}-further", size)
@@ -239,8 +239,9 @@ def _refined(nodes: DataFrame, covered: DataFrame, length: int, name: str) -> tu
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, spans``: byte ranges [start, end) of the documents' texts that
-    are covered by strings of ``length`` bytes which start anywhere else too."""
+    """``doc_id, part, spans``: byte ranges [start, end) of the documents' texts
+    that are covered by strings of ``length`` bytes which start anywhere else
+    too.  ``part`` tells rows with one ``doc_id`` and unequal texts apart."""
     if length < 2 * Q:
         raise ValueError(f"length is at least {2 * Q}")
     spark = docs.sparkSession
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     def roots(batches):
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            ids = batch.column(0).to_numpy().astype(np.int64)
+            ids, parts = (batch.column(c).to_numpy().astype(np.int64) for c in (0, 2))
             size = np.diff(offsets)
             (d, at), (owner, begin, end) = batch_anchors(data, offsets, length)
             buf = data.tobytes()
@@ -259,19 +260,19 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             full = [_digest(b"f%d,%d:" % (x, y), buf[p - y:p + length - x])
                     for p, x, y in zip(flat_at.tolist(), low.tolist(), high.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core, pa.binary()), pa.array(full, pa.binary()), pa.array(ids[d]), pa.array(at.astype(np.int64)),
+                [pa.array(core, pa.binary()), pa.array(full, pa.binary()), pa.array(ids[d]), pa.array(parts[d]), pa.array(at.astype(np.int64)),
                  pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.nulls(len(d), pa.int64())],
-                names=["core", "full", "doc_id", "pos", "low", "high", "end"])
+                names=["core", "full", "doc_id", "part", "pos", "low", "high", "end"])
             none = pa.nulls(len(owner), pa.binary())
             yield pa.RecordBatch.from_arrays(          # covered stretches: pos to end
-                [none, none, pa.array(ids[owner]), pa.array(begin), pa.nulls(len(owner), pa.int32()),
+                [none, none, pa.array(ids[owner]), pa.array(parts[owner]), pa.array(begin), pa.nulls(len(owner), pa.int32()),
                  pa.nulls(len(owner), pa.int32()), pa.array(end)],
-                names=["core", "full", "doc_id", "pos", "low", "high", "end"])
+                names=["core", "full", "doc_id", "part", "pos", "low", "high", "end"])
 
-    root = scratch(docs.mapInArrow(roots, "core binary, full binary, doc_id long, pos long, low int, high int, end long"), "anchors")
-    stretches = scratch(root.where("core is null").select("doc_id", F.col("pos").alias("start"), "end"), "stretches")
+    root = scratch(docs.mapInArrow(roots, "core binary, full binary, doc_id long, part long, pos long, low int, high int, end long"), "anchors")
+    stretches = scratch(root.where("core is null").select("doc_id", "part", F.col("pos").alias("start"), "end"), "stretches")
     covered, further = _refined(root, stretches, length, "root")
-    per_doc = scratch(further.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "open", further.count())
+    per_doc = scratch(further.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("at")), "open", further.count())
     wanted = spark.sparkContext.broadcast(bloom_of(per_doc, "doc_id", per_doc.count()))
 
     def only_wanted(batches):
@@ -282,22 +283,22 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     def first_children(batches):
         for batch in batches:
             rows = []
-            for i, t, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(),
-                                    batch.column(2).to_pylist()):
+            for i, part, t, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                          batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 for a in places:
                     low, high = _span(a, len(t), length)
                     if low > high or a + Q > len(t):
                         continue
                     for c in children(xxhash.xxh3_128_digest(t[a:a + Q]), 0, width, low, high, t[a - high:a],
                                       t[a + Q:a + length - low], STEPS[0]):
-                        rows.append((*c[:2], i, a, *c[2:]))
+                        rows.append((*c[:2], i, part, a, *c[2:]))
                 if len(rows) > 20_000:
                     yield _node_batch(rows)
                     rows = []
             yield _node_batch(rows)
 
-    nodes = scratch(docs.mapInArrow(only_wanted, "doc_id long, text string").join(per_doc, "doc_id")
-                    .select("doc_id", "text", "at").mapInArrow(first_children, NODE_SCHEMA), "nodes")
+    nodes = scratch(docs.mapInArrow(only_wanted, "doc_id long, text string, part long").join(per_doc, ["doc_id", "part"])
+                    .select("doc_id", "part", "text", "at").mapInArrow(first_children, NODE_SCHEMA), "nodes")
     discard(further, per_doc)
     for r, step in enumerate(STEPS[1:], 1):
         covered, further = _refined(nodes, covered, length, f"round{r}")
@@ -305,16 +306,16 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         def finer(batches, step=step):
             for batch in batches:
                 rows = []
-                for core, _, i, a, lo, hi, low, high, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                    rows += [(*c[:2], i, a, *c[2:]) for c in children(core, lo, hi, low, high, left, right, step)]
+                for core, _, i, part, a, lo, hi, low, high, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows += [(*c[:2], i, part, a, *c[2:]) for c in children(core, lo, hi, low, high, left, right, step)]
                 yield _node_batch(rows)
 
         nodes = scratch(further.select(*_NAMES).mapInArrow(finer, NODE_SCHEMA), "nodes")
         discard(further)
     again = scratch(nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again", nodes.count())
     last = nodes.join(again, "core", "left_semi").select(
-        "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
-    return (covered.unionByName(last).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+        "doc_id", "part", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
+    return (covered.unionByName(last).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
 def substring_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
@@ -325,11 +326,13 @@ def substring_dedup(docs: DataFrame, length: int = 400, with_text: bool = False)
     Texts are UTF-8 bytes, null text is empty; matches never cross documents.
     Every byte covered by a string of ``length`` bytes that also starts
     anywhere else, in the same document too, is removed; strings are judged on
-    the input.  Rows repeated with one ``doc_id`` repeat each other's strings.
+    the input.  Rows repeated with one ``doc_id`` repeat each other's strings;
+    each row is cut by the ranges of its own text.
     Rows without a ``doc_id`` are neither searched nor changed.  An empty table
     gives an empty result; other columns are not read."""
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    src = src.withColumn("part", F.xxhash64("text"))        # only told apart within one doc_id
     spans = scratch(repeated_spans(src.where("doc_id is not null"), length), "spans")
     touched = spark.sparkContext.broadcast(bloom_of(spans, "doc_id", spans.count()))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -367,6 +370,6 @@ def substring_dedup(docs: DataFrame, length: int = 400, with_text: bool = False)
         for batch in batches:
             yield result(batch, batch.column(2).to_pylist())
 
-    with_spans = (src.mapInArrow(maybe, "doc_id long, text string").join(spans, "doc_id", "left")
+    with_spans = (src.mapInArrow(maybe, "doc_id long, text string, part long").join(spans, ["doc_id", "part"], "left")
                   .select("doc_id", "text", "spans").mapInArrow(cut, schema))
     return src.mapInArrow(untouched, schema).unionByName(with_spans)

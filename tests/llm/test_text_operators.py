@@ -114,6 +114,38 @@ def test_substring_dedup_random(spark):
     assert rows(substring_dedup(frame(spark, d), 120), *names) == Counter(brute.substring_dedup(d, 120))
 
 
+def unequal_repeats():
+    """Ids with rows of unequal texts: copies and near copies of two texts."""
+    rng = random.Random(4)
+    texts = [[f"{c}{rng.randrange(1000)}" for _ in range(80)] for c in "abcd"]
+    d = []
+    for i in range(40):
+        for t in rng.sample(texts, rng.choice([1, 1, 2])):
+            w = list(t)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                w[rng.randrange(80)] = f"x{rng.randrange(9)}"
+            d.append((i // 2 if i < 30 else i, " ".join(w)))
+    one, two = ([f"{c}{j}" for j in range(80)] for c in "pq")
+    return d + [(90, " ".join(one)), (95, " ".join(one + ["s"])), (95, " ".join(two)), (97, " ".join(two + ["t"])), (98, " ".join(texts[0])),
+                (98, None), (99, ""), (99, "lone words here"), (-2**63, "far away one"), (2**63 - 1, "far away two"), (2**63 - 1, "three")]
+
+
+def test_substring_dedup_unequal_rows_of_one_id(spark):
+    d = unequal_repeats()
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(substring_dedup(frame(spark, d), 120), *names) == Counter(brute.substring_dedup(d, 120))
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_jaccard_unequal_rows_of_one_id(spark, part):
+    """An id with two texts links both of their groups; rows without words go with it."""
+    d = unequal_repeats()[-11:] if part else unequal_repeats()
+    got = rows(jaccard_components(frame(spark, d), 4, 80), "doc_id", "n_shingles", "component_id")
+    want = brute.jaccard_components(d, 4, 80)
+    assert got == Counter(want)
+    assert {r[2] for r in want if r[0] in (90, 95, 97)} == {90}
+
+
 def test_merge_spans():
     assert merge_spans(np.array([[5, 9], [0, 3], [3, 4], [6, 7], [12, 13]])).tolist() == [[0, 4], [5, 9], [12, 13]]
 
