@@ -1,8 +1,11 @@
 """Substring dedup by bucket-pointer refinement.
 
-Suffixes are put in buckets by their first q bytes (q = 50), and buckets are
-refined by sorting on the bucket identifiers found at offsets further out;
-each refined identifier is what the next, finer refinement starts from.
+Suffixes are put in buckets by their first q bytes (q = 50).  Buckets are
+refined by the text bytes at offsets further out, which stand in for the bucket
+identifiers of those offsets: only anchors have identifiers, so the offsets
+between them have none to look up.  Each node carries these bytes (up to 350),
+and each refined identifier is what the next, finer refinement of the same
+anchor starts from; nothing is sorted, nor looked up at other anchors.
 
 Positions.  Not every position is carried.  An anchor is a position whose
 q-gram hash is the smallest of some window of ``length`` bytes, so every such
