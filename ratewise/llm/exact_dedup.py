@@ -4,8 +4,11 @@ Every partition turns its texts into one sorted run of (digest, smallest id,
 copies, bytes).  Partitions then exchange runs in binomial rounds: the node
 number is written in base ``radix``, and in round r a node keeps the part of
 its runs whose digest belongs to its own r-th digit and hands the others to
-the peers that differ in that digit alone.  Each receiver merges up to
-``radix`` sorted runs and folds equal digests, keeping the smallest id, the
+the peers that differ in that digit alone.  Up to ``radix`` nodes (32 million
+rows by default) there is a single round, a plain hash shuffle by that digit.
+In the first round several partitions share a node number, so a receiver merges
+the runs of all of them; in later ones it merges up to ``radix`` sorted runs
+(each in blocks).  Each receiver folds equal digests, keeping the smallest id, the
 sum of the copies, and verifying that equal digests stand for equally long
 texts.  After the last round each node holds one digest range, complete and
 free of repeats; no node ever holds more than its share, and a digest of
