@@ -148,31 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words:
                    .dropDuplicates(["doc_id"]).join(sample, "doc_id"), "training")
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in LABELS], *[F.count(c).alias(f"n_{c}") for c in LABELS]).first()
     odds, strength = [], []
-    # words of enough positive rows, the commonest first; then counts of those words over all training rows
-    listed = (rows.where("bad = 1 or toxic = 1").select(F.explode(F.array_distinct("words")).alias("word"), *LABELS).groupBy("word")
-              .agg(F.greatest(*[F.sum(c) for c in LABELS]).alias("n")).where(F.col("n") >= least_docs)
-              .orderBy(F.desc("n"), "word").limit(16 * max_words).select("word").collect())
-    known = np.sort(np.array([r["word"] for r in listed], np.int64))
-
-    def count_known(batches):
-        for batch in batches:
-            lists = batch.column(0)
-            w = lists.flatten().to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-            hit = known[at] == w if len(known) else np.zeros(len(w), bool)
-            pair = np.unique(doc[hit] * max(len(known), 1) + at[hit])
-            doc, at = pair // max(len(known), 1), pair % max(len(known), 1)
-            sums = []
-            for c in (1, 2):
-                y = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[doc]
-                sums.append(np.bincount(at, np.nan_to_num(y), minlength=len(known)))
-                sums.append(np.bincount(at, ~np.isnan(y), minlength=len(known)))
-            yield pa.RecordBatch.from_arrays([pa.array(known)] + [pa.array(x, pa.float64()) for x in sums],
-                                             names=["word", "bad", "n_bad", "toxic", "n_toxic"])
-
-    counts = (rows.select("words", *LABELS).mapInArrow(count_known, "word long, bad double, n_bad double, toxic double, n_toxic double")
-              .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("bad", "n_bad", "toxic", "n_toxic")]))
+    # all words of enough positive rows, counted over all training rows
+    positive = (F.col("bad") == 1) | (F.col("toxic") == 1)
+    counts = (rows.select(F.explode(F.array_distinct("words")).alias("word"), *LABELS).groupBy("word")
+              .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in LABELS], *[F.count(c).cast("double").alias(f"n_{c}") for c in LABELS],
+                   F.greatest(*[F.sum(F.when(positive, F.col(c))) for c in LABELS]).alias("n"))
+              .where(F.col("n") >= least_docs))
     for c in LABELS:
         n, pos = total[f"n_{c}"] or 0, total[c] or 0.0
         prior = (pos + 0.5) / (n + 1)

@@ -173,3 +173,12 @@ def test_pipeline_stages(spark):
             assert sorted(after) == sorted(x for x in before if x[0] not in gone)
     assert P.run(spark, SMALL).count() == docs.count()
     assert docs.agg(F.count_if(F.col("length") <= 0)).first()[0] == 0
+
+
+def test_evidence_takes_rare_strong_words(spark):
+    """A word of five toxic rows alone is found behind any number of commoner words."""
+    from ratewise.llm.quality import fit
+    docs = [(i, " ".join(a + b + "ord" for a in "bcdfghkl" for b in "aeiou") + (" venom" if i < 5 else "")) for i in range(120)]
+    evidence, _ = fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                      spark.createDataFrame([(i, int(i % 2), int(i < 5)) for i in range(120)], "doc_id long, quality int, toxic int"), max_words=1)
+    assert len(evidence.words) == 1
