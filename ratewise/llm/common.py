@@ -57,6 +57,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Scratch tables of one call, deleted together once its result no longer
+    reads any of them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        self.tables.append(scratch(df, name, rows))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 

@@ -18,6 +18,7 @@ from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality_classifier
 from .suffix_dedup import substring_dedup
+from .toxicity import toxicity
 from .warc import derive, responses
 
 
@@ -67,9 +68,13 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
-    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format)}
+    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format, op13_toxicity)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
