@@ -13,6 +13,7 @@ from .common import read_table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
@@ -68,16 +69,22 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
-    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format, op13_toxicity)}
+    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format, op12_ranked_search,
+    op13_toxicity)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -135,4 +142,22 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length({_escaped('role')}) + length({_escaped('text')}) + {_MARKS})::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op12_ranked_search": f"""
+        WITH w AS (SELECT doc_id, row_number() OVER () AS d, unnest(regexp_extract_all(text, {_TERM})) AS raw FROM documents),
+        tf AS (SELECT d, any_value(doc_id) AS doc_id, translate(raw, {_UPPER}, {_LOWER}) AS term, count(*) AS tf
+               FROM w GROUP BY d, term),
+        n AS (SELECT d, sum(tf)::BIGINT AS n FROM tf GROUP BY d),
+        total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM n),
+        weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+                   FROM tf, total GROUP BY term, n_docs),
+        m AS (SELECT d, 100 - 25 + (25 * n * n_docs) // l AS m FROM n, total),
+        raw_items AS (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(text, {_TERM})) AS raw FROM benchmark),
+        items AS (SELECT i, any_value(item_id) AS item_id, translate(raw, {_UPPER}, {_LOWER}) AS term, count(*) AS c
+                  FROM raw_items GROUP BY i, term),
+        scored AS (SELECT i, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+                          sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+                   FROM items JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (d) GROUP BY i, d),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+                   FROM scored WHERE score > 0 AND doc_id IS NOT NULL)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
