@@ -18,6 +18,7 @@ from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality_classifier
+from .spelling import spelling_groups
 from .suffix_dedup import substring_dedup
 from .toxicity import toxicity
 from .warc import derive, responses
@@ -69,6 +70,10 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark, sf_dir):
     return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -79,8 +84,8 @@ def op13_toxicity(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_jaccard_join,
-    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format, op12_ranked_search,
-    op13_toxicity)}
+    op7_decontamination, op8_warc_derivatives, op9_license_scan, op10_chat_format,
+    op11_spelling_variants, op12_ranked_search, op13_toxicity)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _STRIPS = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -142,6 +147,33 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length({_escaped('role')}) + length({_escaped('text')}) + {_MARKS})::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+                       lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+        found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents),
+        runs AS (SELECT translate(raw, {_UPPER}, {_LOWER}) AS w, coalesce(doc_id::VARCHAR, '') || ':' || w AS key, count(*) AS n
+                 FROM found GROUP BY doc_id, w),
+        bytes AS (SELECT w, n, hex(encode(key)) AS x FROM runs),
+        hashed AS (SELECT w, n, xor(list_reduce(range(length(x) // 2), lambda c, i: xor(c >> 8, t[
+                       (xor(c, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) & 255) + 1]), 4294967295), 4294967295) AS h
+                   FROM bytes, crc),
+        made AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n
+                 FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cuts AS (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest
+                 FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+        near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b USING (p, rest) WHERE a.word <> b.word
+                 UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+                 UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+        best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+        forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * words.n THEN
+                      (SELECT min(other) FROM near WHERE near.word = words.word AND near.m = best.m) END AS form,
+                  CASE WHEN best.m >= 5 * words.n THEN best.m END AS form_n FROM words LEFT JOIN best USING (word)),
+        steps AS (SELECT word, word AS here FROM forms UNION ALL
+                  SELECT steps.word, forms.form FROM steps JOIN forms ON steps.here = forms.word WHERE forms.form IS NOT NULL),
+        ends AS (SELECT steps.word, here AS root FROM steps JOIN forms ON here = forms.word WHERE forms.form IS NULL)
+        SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)""",
     "op12_ranked_search": f"""
         WITH w AS (SELECT doc_id, row_number() OVER () AS d, unnest(regexp_extract_all(text, {_TERM})) AS raw FROM documents),
         tf AS (SELECT d, any_value(doc_id) AS doc_id, translate(raw, {_UPPER}, {_LOWER}) AS term, count(*) AS tf
