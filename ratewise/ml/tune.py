@@ -1,5 +1,5 @@
 """Grid search (ML11), cross-validation (ML12), batch scoring (ML13) and
-results tables (SNK2–SNK5).
+results tables (SNK2–SNK4).
 
 The driver loops over *models* (grid rows, a few hundred at most); every fit
 and every metric is a distributed Spark job over the cached, assembled
@@ -140,9 +140,3 @@ def cross_validate(train: DataFrame, fit: Callable, params: dict, kind: str, lab
         part = d.where(F.col("_fold") == i)
         out.append({"fold": i, "n_valid": part.count(), **_metrics(model, part, kind, label)})
     return out
-
-
-def save_model(model, path: str) -> str:
-    """SNK5: forced overwrite."""
-    model.write().overwrite().save(path)
-    return path

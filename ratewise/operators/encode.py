@@ -1,16 +1,13 @@
 """Categorical encodings: ML1 ordinal encoding, ML2 'EnumLimited' top-k
 lumping and 'Eigen' (first principal component of the one-hot).
 
-The fitted state of an encoder is a small (variable, level, code) table —
-bounded by the factor cardinalities, not by rows (the high-cardinality
-factors are not model features).  It is applied with a map literal per
-column (JVM-side lookup, no join per factor); its size is checked first.
+The fitted state of an encoder is a (variable, level, code) table, bounded by
+the factor cardinalities, not by rows.  It is joined to the long form of the
+rows here; ``ml.features`` applies it to model rows through an indexer.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,41 +30,6 @@ def ordinal_codes(train: DataFrame, features: list[str]) -> DataFrame:
     return lv.select("variable", "level", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
 
 
-@dataclass
-class OrdinalEncoding:
-    """Fitted ML1 encoder: codes per feature; unknown or NULL → -1."""
-    mapping: dict[str, dict[str, int]]
-    suffix: str = ""
-
-    @classmethod
-    def fit(cls, train: DataFrame, features: list[str], suffix: str = "") -> "OrdinalEncoding":
-        codes = ordinal_codes(train, features)
-        n = codes.count()
-        if n > MAX_ENCODED_LEVELS:
-            raise ValueError(f"{n} levels exceed the encoder bound {MAX_ENCODED_LEVELS}; "
-                             "use transform_join for high-cardinality factors")
-        mapping: dict[str, dict[str, int]] = {f: {} for f in features}
-        for r in codes.collect():   # bounded by MAX_ENCODED_LEVELS (checked above)
-            mapping[r["variable"]][r["level"]] = r["code"]
-        return cls(mapping, suffix)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        cols = []
-        for c in df.columns:
-            if c in self.mapping and self.mapping[c]:
-                m = F.create_map(*[F.lit(x) for kv in self.mapping[c].items() for x in kv])
-                cols.append(F.coalesce(m[F.col(c).cast("string")], F.lit(-1)).alias(c + self.suffix))
-                if self.suffix:
-                    cols.append(F.col(c))
-            elif c in self.mapping:
-                cols.append(F.lit(-1).alias(c + self.suffix))
-                if self.suffix:
-                    cols.append(F.col(c))
-            else:
-                cols.append(F.col(c))
-        return df.select(*cols)
-
-
 def transform_join(df: DataFrame, codes: DataFrame, key: str, features: list[str]) -> DataFrame:
     """ML1 transform for unbounded level sets: long form join with the code
     table (one shuffle), result (key, variable, code)."""
@@ -159,9 +121,8 @@ def eigen_codes(train: DataFrame, features: list[str]) -> dict[str, dict[str, fl
 
 def eigen_transform(df: DataFrame, codes: dict[str, dict[str, float]], key: str) -> DataFrame:
     """ML2 'Eigen' transform in long form: (key, variable, value)."""
-    cols = []
-    for var, m in codes.items():
-        mp = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-        cols.append(F.coalesce(mp[F.col(var)], F.lit(0.0)).alias(var))
-    wide = df.select(key, *cols)
-    return wide.unpivot([key], list(codes), "variable", "value")
+    table = df.sparkSession.createDataFrame([(f, lv, x) for f, m in codes.items() for lv, x in m.items()],
+                                            "variable string, level string, code double")
+    long = unpivot_factors(df.select(key, *codes), [key], list(codes))
+    return (long.join(table, ["variable", "level"], "left")
+            .select(key, "variable", F.coalesce("code", F.lit(0.0)).alias("value")))

@@ -78,11 +78,3 @@ def pending(grid: DataFrame, done: DataFrame, params: list[str] | None = None) -
     ``mod_num`` when none are given)."""
     keys = params or ["mod_num"]
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
-
-
-def latest_per_model(results: DataFrame, order_col: str, keys: list[str] | None = None) -> DataFrame:
-    """Q5 / SNK4: de-duplicate re-run results, keeping the last write per
-    model key (``order_col`` increases with write time)."""
-    keys = keys or ["mod_num"]
-    return (results.groupBy(*keys).agg(F.max_by(F.struct(*results.columns), order_col).alias("_r"))
-                   .select("_r.*"))

@@ -10,14 +10,14 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ml import models as M
 from ..ml.features import fit_features
 from ..ml.treeshap import tree_shap
-from ..ml.tune import cross_validate, run_grid, save_model, score
+from ..ml.saved import Winner, load_fitted, refit, save_best_pair, training_rows, typed
+from ..ml.tune import cross_validate, run_grid, score
 from ..functions.columns import claim_weight
 from ..operators.clean import claims_only, distinct_rows, min_severity
 from ..operators.grid import grid_rows
@@ -33,11 +33,25 @@ from .registry import query
 from .sqlparts import SPLIT, with_
 from .stages import SEED, round_doubles, split_table
 
-# Small fixed settings so the registered jobs stay quick on test data; the
-# library functions take the full tuning grids (ml.grids.REFERENCE_GRIDS).
-RF_SMALL = {"ntrees": 20, "max_depth": 6, "mtries": -1, "sample_rate": 1.0, "seed": 16}
-GB_SMALL = {"ntrees": 15, "max_depth": 3, "learn_rate": 0.1, "seed": 16}
-BOOST_SMALL = {"ntrees": 8, "max_depth": 3, "learn_rate": 0.2, "seed": 16}
+#: Settings of the tuned models and of the final ones.
+REFERENCE = {
+    "rf": {"ntrees": 100, "max_depth": 20, "mtries": -1, "sample_rate": 0.632, "min_split_improvement": 0.001, "seed": 16},
+    "gb": {"ntrees": 300, "max_depth": 5, "learn_rate": 0.001, "sample_rate": 0.632, "min_split_improvement": 0.0001, "nbins": 56,
+           "col_sample_rate_per_tree": 0.8, "categorical_encoding": "Eigen", "seed": 16},
+    "nn": {"hidden": [100], "rate": 0.01, "seed": 16},
+}
+#: The one place where registered queries are made small enough for test data:
+#: these values replace the reference's.
+SMALL = {
+    "rf": {"ntrees": 20, "max_depth": 6, "sample_rate": 1.0, "min_split_improvement": 0.0},
+    "gb": {"ntrees": 8, "max_depth": 3, "learn_rate": 0.2, "sample_rate": 1.0},
+    "nn": {"hidden": [16], "rate": 0.03},
+}
+
+
+def settings(family: str, **more) -> dict:
+    """Parameters of a registered model: the reference's, made small."""
+    return REFERENCE[family] | SMALL[family] | more
 
 
 def _split(spark, sf, cov):
@@ -110,21 +124,21 @@ query("glm_severity", _SEV_ROWS, "ML3 (least-squares GLM on one-hot factors)")(
 query("glm_frequency", _FREQ_ROWS, "ML4 (multinomial GLM, balanced train)")(
     _freq_query(lambda d, p: M.fit_multinomial(d, "label"), one_hot=True))
 query("rf_severity", _SEV_ROWS, "ML5 (random forest on log severity)")(
-    _sev_query(lambda d: M.fit_rf_reg(d, "y", RF_SMALL), log_response=True))
+    _sev_query(lambda d: M.fit_rf_reg(d, "y", settings("rf")), log_response=True))
 query("rf_frequency_weighted", _FREQ_ROWS, "ML6 (exposure-weighted random forest classifier)")(
-    _freq_query(lambda d, p: M.fit_rf_cls(d, "label", RF_SMALL, weight="EARNED_EXPOSURE"), numeric=()))
+    _freq_query(lambda d, p: M.fit_rf_cls(d, "label", settings("rf"), weight="EARNED_EXPOSURE"), numeric=()))
 query("gbm_severity_gaussian", _SEV_ROWS, "ML7 gaussian (MLlib GBT squared loss)")(
-    _sev_query(lambda d: M.fit_gbt_reg(d, "y", {**GB_SMALL, "distribution": "gaussian"})))
+    _sev_query(lambda d: M.fit_gbt_reg(d, "y", settings("gb", distribution="gaussian"))))
 query("gbm_severity_laplace", _SEV_ROWS, "ML7 laplace (MLlib GBT absolute loss)")(
-    _sev_query(lambda d: M.fit_gbt_reg(d, "y", {**GB_SMALL, "distribution": "laplace"})))
+    _sev_query(lambda d: M.fit_gbt_reg(d, "y", settings("gb", distribution="laplace"))))
 query("gbm_severity_gamma", _SEV_ROWS, "ML7 gamma (boosting loop, log link)")(
-    _sev_query(lambda d: M.fit_boosted(d.where(F.col("y") > 0), "y", BOOST_SMALL, "gamma")))
+    _sev_query(lambda d: M.fit_boosted(d.where(F.col("y") > 0), "y", settings("gb"), "gamma")))
 query("gbm_severity_huber", _SEV_ROWS, "ML7 huber (boosting loop)")(
-    _sev_query(lambda d: M.fit_boosted(d, "y", BOOST_SMALL, "huber")))
+    _sev_query(lambda d: M.fit_boosted(d, "y", settings("gb"), "huber")))
 query("gbm_frequency", _FREQ_ROWS, "ML8 (multinomial boosting loop, balanced train)")(
-    _freq_query(lambda d, p: M.fit_boosted(d, "label", {**BOOST_SMALL, "ntrees": 4}, "multinomial")))
+    _freq_query(lambda d, p: M.fit_boosted(d, "label", settings("gb", ntrees=4), "multinomial")))
 query("mlp_frequency", _FREQ_ROWS, "ML10 (MLlib multilayer perceptron)")(
-    _freq_query(lambda d, p: M.fit_mlp_cls(d, p, {"hidden": [16], "rate": 0.03}, max_iter=50)))
+    _freq_query(lambda d, p: M.fit_mlp_cls(d, p, settings("nn"), max_iter=50)))
 
 
 _SMALL_GRID = {"ntrees": [10], "max_depth": [3, 6]}
@@ -177,7 +191,7 @@ def q_cross_validate(spark, sf):
         fs = fit_features(tr, MODEL_FEATURES)
         assembled = fs.transform(tr).cache()
         folds = cross_validate(assembled, lambda d, p: M.fit_gbt_reg(d, "y", p),
-                               {**GB_SMALL, "ntrees": 5}, "severity", "y", k=5)
+                               settings("gb", ntrees=5), "severity", "y", k=5)
         assembled.unpersist()
         return spark.createDataFrame(
             [(f["fold"], f["n_valid"], all(f[c] is not None for c in ("r_2", "mse", "rmse", "mae"))) for f in folds],
@@ -190,7 +204,7 @@ def q_score_test(spark, sf):
     def one(cov):
         train, _, test = _split(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-        model = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", RF_SMALL)
+        model = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", settings("rf"))
         return score(model, fs.transform(test), 1, "frequency")
     return _checked(_per_coverage(one))
 
@@ -200,26 +214,50 @@ def q_refit_best(spark, sf):
     base = ensure_checkpoint_dir(spark)
 
     def one(cov):
-        res, fs, (tr, va, te) = _grid_run(spark, sf, cov)
+        res, _, frames = _grid_run(spark, sf, cov)
+        for f in frames:
+            f.unpersist()
         best = res.orderBy(F.col("logloss").asc_nulls_last(), "mod_num").first()   # one results row
-        params = {k: best[k] for k in _SMALL_GRID}
-        params = {k: int(v) for k, v in params.items()}
-        model = M.fit_rf_cls(tr.unionByName(va), "label", {**params, "seed": 16})
-        tr.unpersist()
-        va.unpersist()
-        path = save_model(model, os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
-        loaded = RandomForestClassificationModel.load(path)          # SRC9: model by id/path
-        te.unpersist()
-        return score(loaded, te, int(best["mod_num"]), "frequency")
+        origin = Winner(cov, "freq", "rf", "ultimate_claim_count", int(best["mod_num"]), {k: typed(best[k]) for k in _SMALL_GRID} | {"seed": 16})
+        train, valid, test = _split(spark, sf, cov)
+        path = refit(origin, _balanced_train(train).unionByName(valid)).save(os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
+        return load_fitted(spark, path).predict(test)                # SRC9: model by its folder
     return _checked(_per_coverage(one)).drop("mod_num")      # which model is best is not SQL's to say
 
 
+_RELOAD_SQL = with_(SPLIT, """
+SELECT coverage, part, count(*) AS n_test, count(*) AS n_predicted, count(*) AS n_equal
+FROM split, (VALUES ('sev'), ('freq')) AS p(part) WHERE split = 'test' GROUP BY coverage, part""")
+
+
+@query("boosted_reload", _RELOAD_SQL, "SNK5 SRC9 ML7 ML8 ML2 (Huber and multinomial boosting saved, reloaded, scored by both)")
+def q_boosted_reload(spark, sf):
+    """Test rows whose predictions are the same, to the last bit, by a boosted
+    model and by its reloaded copy."""
+    base = ensure_checkpoint_dir(spark)
+
+    def one(cov):
+        train, _, test = _split(spark, sf, cov)
+        out = []
+        for part, response, params in (("sev", "severity", settings("gb", ntrees=4, distribution="huber")),
+                                       ("freq", "ultimate_claim_count", settings("gb", ntrees=2, distribution="multinomial"))):
+            fitted = refit(Winner(cov, part, "gb", response, 1, params), train if part == "sev" else _balanced_train(train))
+            path = fitted.save(os.path.join(base, f"boosted_{cov}_{part}_{uuid.uuid4().hex}"))
+            names = ["predict"] if part == "sev" else ["predict", "p0", "p1", "p2", "p3"]
+            a, b = (m.predict(test).select("row_num", F.struct(*names).alias(c)) for m, c in ((fitted, "before"), (load_fitted(spark, path), "after")))
+            out.append(a.join(b, "row_num").groupBy(F.lit(part).alias("part")).agg(
+                F.count("*").alias("n_test"), F.count_if(F.col("after.predict").isNotNull() & ~F.isnan(F.col("after.predict").cast("double"))).alias("n_predicted"),
+                F.count_if(F.col("before") == F.col("after")).alias("n_equal")))
+        return out[0].unionByName(out[1])
+    return _per_coverage(one)
+
+
 def _final_freq(spark, sf, cov):
     """ML16 frequency part: forest classifier with exposure as the sample
     weight (not as a feature)."""
     train, _, test = _split(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES)
-    freq = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", RF_SMALL, weight="EARNED_EXPOSURE")
+    freq = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", settings("rf"), weight="EARNED_EXPOSURE")
     return fs, freq, test
 
 
@@ -229,9 +267,9 @@ def _final(spark, sf, cov):
     fs, freq, test = _final_freq(spark, sf, cov)
     tr, _ = _severity_frames(spark, sf, cov, log_response=cov != "coll")
     if cov == "coll":
-        sev = M.fit_boosted(fs.transform(tr), "y", BOOST_SMALL, "huber")
+        sev = M.fit_boosted(fs.transform(tr), "y", settings("gb"), "huber")
     else:
-        sev = M.fit_rf_reg(fs.transform(tr), "y", RF_SMALL)
+        sev = M.fit_rf_reg(fs.transform(tr), "y", settings("rf"))
     return fs, freq, sev, test
 
 
@@ -316,51 +354,46 @@ def q_grid_resume(spark, sf):
 _CHAIN_GRID = {"ntrees": [5, 10]}
 _CHAIN_SQL = with_(SPLIT, """
 SELECT coverage, count(*) AS n_test, 2 AS n_sev_models, 2 AS n_freq_models, 2 * count(*) AS n_sev_rows,
-       2 * count(*) AS n_freq_rows, 4::BIGINT AS n_pairs, true AS best_is_least, count(*) AS n_refit
+       2 * count(*) AS n_freq_rows, 4::BIGINT AS n_results, 4::BIGINT AS n_pairs, true AS best_is_least, count(*) AS n_refit
 FROM split WHERE split = 'test' GROUP BY coverage""")
 
 
-@query("end_to_end", _CHAIN_SQL, "SRC5 SRC6 SRC7 FLT10 SNK2 SNK3 SNK6 ML11 ML14 ML15 SRT3 JON8 (tune, read back, compare, refit the best pair)")
+@query("end_to_end", _CHAIN_SQL, "SRC5 SRC6 SRC7 SRC9 SRC10 FLT10 SNK2 SNK3 SNK5 SNK6 ML11 ML14 ML15 SRT3 JON8 (tune, read back, compare, refit, save and reload the best pair)")
 def q_end_to_end(spark, sf):
     """Grids of severity and frequency models are fitted and written; their
     tables are read back, all pairs compared, and both models of the best pair
     refitted with the parameters of their results tables."""
     root = os.path.join(ensure_checkpoint_dir(spark), f"chain-{uuid.uuid4().hex}")
-    sev_fit = lambda d, p: M.fit_gbt_reg(d, "y", {**GB_SMALL, "ntrees": int(p["ntrees"]), "max_depth": 2, "distribution": "gaussian"})
+    sev_fit = lambda d, p: M.fit_gbt_reg(d, "y", settings("gb", ntrees=int(p["ntrees"]), max_depth=2, distribution="gaussian"))
     freq_fit = lambda d, p: M.fit_rf_cls(d, "label", {"ntrees": int(p["ntrees"]), "max_depth": 4, "seed": 16})
-    refits = {}
     for cov in COVERAGES:
         train, valid, test = _split(spark, sf, cov)
-        sev_train, _ = _severity_frames(spark, sf, cov, False)
-        sev_valid = claims_only(valid).withColumn("y", F.col("severity"))
-        runs = (("sev", "gb", "severity", sev_fit, sev_train, sev_valid, "y", []),
-                ("freq", "rf", "ultimate_claim_count", freq_fit, _balanced_train(train), valid, "label", ["EARNED_EXPOSURE"]))
-        for part, algo, response, fit, tr, va, label, numeric in runs:
+        runs = (("sev", "gb", "severity", sev_fit, training_rows(train, "sev", "severity"), training_rows(valid, "sev", "severity"), []),
+                ("freq", "rf", "ultimate_claim_count", freq_fit, _balanced_train(train), valid, ["EARNED_EXPOSURE"]))
+        for part, algo, response, fit, tr, va, numeric in runs:
             fs = fit_features(tr, MODEL_FEATURES, numeric)
             tables = [table_path(root, cov, part, algo, response, kind) for kind in ("tuning_results", "predictions")]
             run_grid(spark, grid_rows(_CHAIN_GRID), fit, fs.transform(tr), fs.transform(va), fs.transform(test),
-                     "severity" if part == "sev" else "frequency", label, *tables)
-            refits[cov, part] = (fs, fit, tr, test)
+                     "severity" if part == "sev" else "frequency", "y" if part == "sev" else "label", *tables)
     tests = split_table(spark, sf).where(F.col("split") == "test").select("coverage", "row_num", "ULTIMATE_AMOUNT")
     sev, freq = (read_predictions(spark, root, part, rows=tests) for part in ("sev", "freq"))
     pairs = compare_models(sev, freq, tests, keys=["coverage"]).cache()
     best = {r["coverage"]: r for r in to_driver(best_pair(pairs, "mae", by=["coverage"])).to_dict("records")}   # one row per coverage
-    params = {(r["coverage"], part, r["mod_num"]): r.asDict() for part in ("sev", "freq")
-              for r in read_tuning_results(spark, root, part).select("coverage", "mod_num", "ntrees").collect()}   # grid-sized
     scored = []
     for cov in COVERAGES:
-        one = []
-        for part, kind in (("sev", "severity"), ("freq", "frequency")):
-            fs, fit, tr, test = refits[cov, part]
-            model = fit(fs.transform(tr), params[cov, part, best[cov][f"{part}_mod_num"]])
-            one.append(score(model, fs.transform(test), 0, kind).select("row_num"))
-        scored.append(one[0].join(one[1], "row_num").select(F.lit(cov).alias("coverage")))
+        train, valid, test = _split(spark, sf, cov)
+        saved = save_best_pair(spark, root, best[cov], {"sev": train, "freq": _balanced_train(train)}, valid)
+        both = [load_fitted(spark, saved[part]).predict(test).select("row_num", F.col("predict").cast("double").alias(part)) for part in ("sev", "freq")]
+        scored.append(both[0].join(both[1], "row_num").select(F.lit(cov).alias("coverage"), "sev", "freq"))
     counts = lambda d, name: d.groupBy("coverage").agg(
         F.count_distinct("file", "mod_num").cast("int").alias(f"n_{name}_models"), F.count("*").alias(f"n_{name}_rows"))
     least = pairs.groupBy("coverage").agg(F.count("*").alias("n_pairs"), F.min("mae").alias("least"))
     chosen = from_local(spark, [(c, r["mae"]) for c, r in best.items()], "coverage string, mae double")
-    refit = reduce(DataFrame.unionByName, scored).groupBy("coverage").agg(F.count("*").alias("n_refit"))
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("sev", "freq")])
+    results = reduce(DataFrame.unionByName, [read_tuning_results(spark, root, part).select("coverage") for part in ("sev", "freq")])
+    results = results.groupBy("coverage").agg(F.count("*").alias("n_results"))
+    refit = reduce(DataFrame.unionByName, scored).groupBy("coverage").agg(F.count_if(there).alias("n_refit"))
     return (tests.groupBy("coverage").agg(F.count("*").alias("n_test")).join(counts(sev, "sev"), "coverage").join(counts(freq, "freq"), "coverage")
-            .join(least, "coverage").join(chosen, "coverage").join(refit, "coverage")
-            .select("coverage", "n_test", "n_sev_models", "n_freq_models", "n_sev_rows", "n_freq_rows", "n_pairs",
+            .join(least, "coverage").join(chosen, "coverage").join(refit, "coverage").join(results, "coverage")
+            .select("coverage", "n_test", "n_sev_models", "n_freq_models", "n_sev_rows", "n_freq_rows", "n_results", "n_pairs",
                     (F.col("mae") == F.col("least")).alias("best_is_least"), "n_refit"))

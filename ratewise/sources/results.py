@@ -13,8 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import latest_per_model
-
 PARTS = {"sev": ("severity", "log_severity"), "freq": ("ultimate_claim_count",)}
 
 
@@ -32,30 +30,35 @@ def _named(df: DataFrame) -> DataFrame:
                      F.regexp_extract(folder, r"^([^_]+)_([^_]+)_(.*)_(?:tuning_results|predictions)$", 3).alias("response"), "*")
 
 
+def _last_written(rows: DataFrame) -> DataFrame:
+    """Rows of the last append of each model.  The appends of a table are as
+    many as its models, so what is joined back is grid-sized."""
+    last = rows.groupBy("coverage", "file", "mod_num").agg(F.max("written").alias("written"))
+    return rows.join(F.broadcast(last), ["coverage", "file", "mod_num", "written"]).select(*rows.columns).drop("written")
+
+
 def read_tuning_results(spark: SparkSession, root: str, part: str, coverage: str = "*") -> DataFrame:
     """SRC6: all results tables of a part below ``root``, one union by column
     name (algorithms have parameters of their own), with the model file.  Of a
-    model written twice the last row counts."""
+    model written twice the last append counts."""
     rows = spark.read.option("mergeSchema", True).parquet(os.path.join(root, f"{coverage}_{part}_tuning", "*_tuning_results"))
-    named = _named(rows.withColumn("_written", F.col("_metadata.file_modification_time")))
-    return latest_per_model(named, "_written", ["coverage", "file", "mod_num"]).drop("_written")
+    return _last_written(_named(rows))
 
 
 def read_predictions(spark: SparkSession, root: str, part: str, coverage: str = "*", rows: DataFrame | None = None) -> DataFrame:
-    """SRC7: all prediction tables of a part, log-severity ones included.
-    With ``rows`` (the test rows: coverage, row_num), FLT10: predictions of
-    other rows are dropped, and of a model written twice one row stays."""
-    p = _named(spark.read.parquet(os.path.join(root, f"{coverage}_{part}_tuning", "*_predictions")))
+    """SRC7: all prediction tables of a part, log-severity ones included; of a
+    model written twice the last append counts.  With ``rows`` (the test rows:
+    coverage, row_num), FLT10: predictions of other rows are dropped."""
+    p = _last_written(_named(spark.read.parquet(os.path.join(root, f"{coverage}_{part}_tuning", "*_predictions"))))
     if rows is None:
         return p
-    return (p.dropDuplicates(["coverage", "file", "mod_num", "row_num"])
-            .join(rows.select("coverage", "row_num").distinct(), ["coverage", "row_num"], "left_semi"))
+    return p.join(rows.select("coverage", "row_num").distinct(), ["coverage", "row_num"], "left_semi")
 
 
 def read_results(spark: SparkSession, root: str, coverage: str, part: str, algo: str, response: str) -> DataFrame | None:
     """SRC10: one named results table, None when it was not written yet."""
     try:
-        return _named(spark.read.parquet(table_path(root, coverage, part, algo, response, "tuning_results")))
+        return _last_written(_named(spark.read.parquet(table_path(root, coverage, part, algo, response, "tuning_results"))))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -1,10 +1,13 @@
 """Sinks: SNK1 table write, SNK2/SNK3 append-only result tables, SNK6
 bounded driver hand-off.  (SNK4 resume lives in ``operators.grid.pending``,
-SNK5 model save in ``ml.tune.save_model``.)"""
+SNK5 model save in ``ml.saved``.)"""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -23,8 +26,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def append_result(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """SNK2/SNK3: append the rows of one finished model to a results or
-    predictions table; anything appended before a failure stays."""
-    return write_table(df, path, "parquet", "append", partition_by)
+    predictions table; anything appended before a failure stays.  ``written``
+    numbers the appends of all runs in their order, so that readers take the
+    last one of a model that was written twice."""
+    return write_table(df.withColumn("written", F.lit(time.time_ns())), path, "parquet", "append", partition_by)
 
 
 def to_driver(df: DataFrame, max_rows: int = 1_000_000):

@@ -1,5 +1,8 @@
 """L5 model tests: planted signal is learned; SHAP additivity."""
+import re
+
 import numpy as np
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -40,6 +43,42 @@ def test_boosting_losses_learn(spark):
     assert s < 1e-9
 
 
+def _trees(model):
+    return [t.toDebugString for o in model.outputs for t in o.trees]
+
+
+def test_boosting_parameters_change_the_trees(spark):
+    d = _data(spark, 200)
+    base = {"ntrees": 2, "max_depth": 3, "learn_rate": 0.3}
+    plain = _trees(M.fit_boosted(d, "y", base, "gaussian"))
+    for more in ({"col_sample_rate_per_tree": 0.34}, {"nbins": 2}, {"min_split_improvement": 5.0}, {"sample_rate": 0.3}, {"max_depth": 1}):
+        assert _trees(M.fit_boosted(d, "y", base | more, "gaussian")) != plain
+    used = {int(f) for t in _trees(M.fit_boosted(d, "y", base | {"col_sample_rate_per_tree": 0.34, "ntrees": 1}, "gaussian"))
+            for f in re.findall(r"feature (\d+)", t)}
+    assert len(used) == 1
+
+
+def test_boosting_stops_on_validation_rows(spark):
+    d = _data(spark, 200)
+    noise = d.withColumn("y", F.rand(3))
+    params = {"ntrees": 12, "max_depth": 3, "learn_rate": 0.5, "stopping_rounds": 2, "stopping_tolerance": 0.001}
+    stopped = M.fit_boosted(d.withColumn("y", F.rand(1)), "y", params, "gaussian", valid=noise)
+    assert 3 <= len(stopped.outputs[0].trees) < 12
+    assert len(M.fit_boosted(d, "y", params | {"ntrees": 3}, "gaussian").outputs[0].trees) == 3
+
+
+@pytest.mark.parametrize("loss,label", [("huber", "y"), ("laplace", "y"), ("multinomial", "label")])
+def test_boosted_model_reload(spark, tmp_path, loss, label):
+    d = _data(spark, 150)
+    m = M.fit_boosted(d, label, {"ntrees": 3, "max_depth": 3, "learn_rate": 0.5}, loss)
+    m.save(str(tmp_path / "m"))
+    again = M.BoostedModel.load(spark, str(tmp_path / "m"))
+    names = ["prediction"] + (["p0", "p1", "p2", "p3"] if loss == "multinomial" else [])
+    assert ([tuple(r) for r in m.transform(d).orderBy("row_num").select(*names).collect()]
+            == [tuple(r) for r in again.transform(d).orderBy("row_num").select(*names).collect()])
+    assert again.loss == loss and again.init == m.init
+
+
 def _additive(spark, model, d, classification, method):
     shap, ev = tree_shap(d, model, ["a", "b", "c"], ["row_num"], classification=classification, method=method)
     tot = shap.groupBy("row_num", "output").agg(F.sum("shap").alias("s")).join(ev, "output")
