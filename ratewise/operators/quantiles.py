@@ -7,15 +7,17 @@ coverage-wide numeric summary would therefore pull a whole column through
 one task.  Here the quantile is found from global ranks instead:
 
 1. value-frequency table per (group, value) – partial aggregation collapses
-   repeated values on the map side;
+   repeated values on the map side.  It is written once, and everything below
+   reads it instead of the rows;
 2. order-preserving value buckets: split points of each measure's *distinct*
    values (so a rare measure is spread as evenly as a dense one), about
    ``PER_BUCKET`` values to a bucket, embedded as literals;
-3. per (group, bucket) running counts (window bounded by one bucket) and
-   per-group offsets of the buckets it spans (window bounded by the number
-   of buckets);
-4. keep only the rows whose rank interval covers floor/ceil of
-   h = (n - 1) p and interpolate: x_lo + (h - floor h)(x_hi - x_lo).
+3. an index of one row per (group, bucket): its rows, extremes and sum, and
+   the rows in the group's buckets before it (window bounded by the number of
+   buckets).  Counts, extremes, totals and means are rolled up from it;
+4. running counts per (group, bucket) (window bounded by one bucket); only the
+   values whose rank interval covers floor/ceil of h = (n - 1) p are kept and
+   interpolated: x_lo + (h - floor h)(x_hi - x_lo).
 
 One path for every size: few distinct values simply mean one bucket.
 """
@@ -27,25 +29,27 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 
 #: Distinct values of a bucket, and the most buckets of one measure.
 PER_BUCKET, MAX_BUCKETS = 65_536, 1024
 
 
-def value_splits(df: DataFrame, values: list[str], per_bucket: int = PER_BUCKET) -> dict[str, list[float]]:
-    """Split points of each value column among its distinct values (bounded
-    lists of doubles).  They are baked into the plan as literals, so every
-    re-execution (retries, lost executors, both sides of a self-join) assigns
-    the same bucket to a row."""
-    sizes = df.agg(*[F.approx_count_distinct(v).alias(v) for v in values]).first()
+def value_splits(values: DataFrame, value: str, tag: str | None = None, per_bucket: int = PER_BUCKET) -> dict:
+    """Split points of the distinct values of each ``tag`` (None without one),
+    as bounded lists of doubles.  They are baked into the plan as literals, so
+    every re-execution (retries, lost executors, both sides of a self-join)
+    assigns the same bucket to a row."""
+    tags = [F.col(f"`{tag}`").alias("_t")] if tag else [F.lit(None).cast("string").alias("_t")]
+    x = values.select(*tags, F.col(f"`{value}`").cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     out = {}
-    for v in values:
-        n = min(MAX_BUCKETS, -(-(sizes[v] or 0) // per_bucket))
+    for r in x.groupBy("_t").agg(F.approx_count_distinct("_x").alias("n")).collect():      # a row for each measure
+        n = min(MAX_BUCKETS, -(-r["n"] // per_bucket))
+        points = []
         if n > 1:
-            x = df.select(F.col(v).cast("double").alias("_x")).distinct()
-            out[v] = sorted(set(q for q in x.approxQuantile("_x", [i / n for i in range(1, n)], 1.0 / (4 * n)) if not math.isnan(q)))
-        else:
-            out[v] = []
+            own = x.where(F.col("_t").eqNullSafe(F.lit(r["_t"]))).select("_x").distinct()
+            points = sorted(set(own.approxQuantile("_x", [i / n for i in range(1, n)], 1.0 / (4 * n))))
+        out[r["_t"]] = points
     return out
 
 
@@ -68,38 +72,59 @@ def value_frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def quantiles_from_frequencies(vf: DataFrame, keys: list[str], probs: dict[str, float], bucket) -> DataFrame:
-    """Type-7 quantiles from a value-frequency table (keys, _v, _c): ``keys``
-    and one double column per entry of ``probs``.  ``bucket`` is the bucket
-    column of a row (``bucket_of`` with the split points of its measure)."""
+def _bucket(splits: dict, tag: str | None):
+    """The bucket of ``_v`` among the split points of the row's measure; NULL
+    is in the first one."""
+    if tag is None or len(splits) <= 1:
+        return bucket_of(F.col("_v"), next(iter(splits.values()), []))
+    out = None
+    for t, points in splits.items():
+        here, b = F.col(f"`{tag}`") == F.lit(t), bucket_of(F.col("_v"), points)
+        out = F.when(here, b) if out is None else out.when(here, b)
+    return out.otherwise(F.lit(0))
+
+
+def group_statistics(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], tag: str | None = None,
+                     per_bucket: int = PER_BUCKET) -> DataFrame:
+    """One row per group of ``keys``: ``_rows`` (NULL values included), ``_n``
+    (without them), ``_min``, ``_max``, ``_tot``, ``_avg`` and a type-7 quantile
+    for each entry of ``probs``.  ``tag`` is the key that names the measure of
+    a row, if there are several.  NULL keys form groups of their own."""
+    vf = stage(value_frequencies(df, keys, value), "value-frequencies")
+    bucket = _bucket(value_splits(vf, "_v", tag, per_bucket), tag)
     # a struct of the keys equals itself with NULL fields too, so plain joins do
-    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
-    vf = vf.where(F.col("_v").isNotNull()).select(key.alias("_k"), bucket.alias("_b"), "_v", "_c")
-    w_local = (Window.partitionBy("_k", "_b").orderBy("_v")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = vf.withColumn("_cum", F.sum("_c").over(w_local))
-    span = vf.groupBy("_k", "_b").agg(F.sum("_c").alias("_pc"))
-    w_off = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (span.withColumn("_off", F.coalesce(F.sum("_pc").over(w_off), F.lit(0)))
-                   .withColumn("_n", F.sum("_pc").over(Window.partitionBy("_k")))
-                   .drop("_pc"))
-    pos = ranked.join(offsets, ["_k", "_b"])
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("_"))
+    vf = vf.select(key.alias("_k"), bucket.alias("_b"), "_v", "_c")
+    c, v = F.col("_c"), F.col("_v")
+    there = F.sum(F.when(v.isNotNull(), c).otherwise(0))
+    group = Window.partitionBy("_k")
+    index = vf.groupBy("_k", "_b").agg(F.sum(c).alias("_rows"), there.alias("_pc"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+                                       F.sum(v * c).alias("_tot"))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    index = index.select("_k", "_b", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"), F.sum("_pc").over(group).alias("_n"),
+                         F.sum("_rows").over(group).alias("_rows"), F.min("_min").over(group).alias("_min"),
+                         F.max("_max").over(group).alias("_max"), F.sum("_tot").over(group).alias("_tot"))
+    running = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = vf.withColumn("_cum", F.sum(F.when(v.isNotNull(), c).otherwise(0)).over(running))
+    pos = ranked.join(index, ["_k", "_b"])
     end = F.col("_off") + F.col("_cum")          # exclusive end position (0-based)
-    start = end - F.col("_c")
-    covers, aggs = [], []
+    start = end - c
+    aggs, covers = [], []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
         for side, idx in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            flag = (idx >= start) & (idx < end)
+            flag = v.isNotNull() & (idx >= start) & (idx < end)
             covers.append(flag)
-            aggs.append(F.max(F.when(flag, F.col("_v"))).alias(f"_{side}_{_safe(name)}"))
-    picked = pos.where(_any(covers)).groupBy("_k").agg(F.first("_n").alias("_n"), *aggs)
-    out = [F.col(f"_k.`{k}`").alias(k) for k in keys]
+            aggs.append(F.max(F.when(flag, v)).alias(f"_{side}_{_safe(name)}"))
+    # a group without values keeps its NULL row alone
+    wanted = pos.where(_any(covers) | v.isNull())
+    once = [F.first(x).alias(x) for x in ("_rows", "_n", "_min", "_max", "_tot")]
+    picked = wanted.groupBy("_k").agg(*once, *aggs)
+    out = [F.col(f"_k.`{k}`").alias(k) for k in keys] + ["_rows", "_n", "_min", "_max", "_tot", F.try_divide("_tot", "_n").alias("_avg")]
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
         lo, hi = F.col(f"_lo_{_safe(name)}"), F.col(f"_hi_{_safe(name)}")
-        out.append((lo + frac * (hi - lo)).alias(name))
+        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
     return picked.select(*out)
 
 
@@ -110,9 +135,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     NULL values are skipped (Spark semantics); groups without any non-NULL
     value are absent.  NULL keys form their own group.
     """
-    splits = value_splits(df, [value], per_bucket)[value]
-    vf = value_frequencies(df, keys, value)
-    return quantiles_from_frequencies(vf, keys, probs, bucket_of(F.col("_v"), splits))
+    return group_statistics(df, keys, value, probs, per_bucket=per_bucket).where("_n > 0").select(*keys, *probs)
 
 
 def _safe(name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
-from .quantiles import PER_BUCKET, bucket_of, exact_quantiles, quantiles_from_frequencies, value_frequencies, value_splits
+from .quantiles import PER_BUCKET, exact_quantiles, group_statistics, value_frequencies
 from .reshape import unpivot_factors
 
 # Output suffix per measure and the numeric-summary labels.
@@ -22,95 +22,121 @@ QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 NUMERIC_SUMMARY_COLUMNS = ["Min.", "1st Qu.", "Median", "Mean", "3rd Qu.", "Max."]
 
 
-def _measure_stats_from_vf(vf: DataFrame, keys: list[str]) -> DataFrame:
-    """count (all rows), min, max, sum, avg per (keys) from a value-frequency
-    table that keeps NULL values as their own rows."""
-    v, c = F.col("_v"), F.col("_c")
-    return (vf.groupBy(*keys).agg(
-        F.sum(c).alias("_rows"), F.min(v).alias("_min"), F.max(v).alias("_max"),
-        F.sum(v * c).alias("_tot"), F.sum(F.when(v.isNotNull(), c)).alias("_nn"))
-        .withColumn("_avg", F.try_divide(F.col("_tot"), F.col("_nn"))))
+def factor_summary(df: DataFrame, by: list[str] | None = None, factors: list[str] | None = None,
+                   measures: list[str] | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """AGG2 over (by..., variable, level): count and min/q1/med/avg/q3/max/tot
+    of each measure, with exact type-7 quartiles.
 
-
-def _bucket_by(tag: str, splits: dict) -> "F.Column":
-    """The bucket of ``_v`` among the split points of the row's measure."""
-    out = None
-    for t, points in splits.items():
-        b = bucket_of(F.col("_v"), points)
-        out = F.when(F.col(tag) == F.lit(t), b) if out is None else out.when(F.col(tag) == F.lit(t), b)
-    return out
-
-
-def factor_summary(df: DataFrame, exact: bool = True, by: list[str] | None = None,
-                   factors: list[str] | None = None, measures: list[str] | None = None,
-                   accuracy: int = 10000, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """AGG1 (``exact=False``: ``percentile_approx``) / AGG2 (``exact=True``:
-    type-7 quantiles) over (by..., variable, level): count and
-    min/q1/med/avg/q3/max/tot of each measure.
-
-    Exact path: factors and measures are unpivoted (narrow Expand) straight
-    into one value-frequency aggregate keyed by (by, variable, level,
-    measure, value) — partial aggregation on the map side collapses repeats —
-    and every statistic, including the skew-safe quartiles, is computed from
-    that reduced table.  Sorted by (by, variable, level).
+    Factors and measures are unpivoted (narrow Expand) straight into one
+    value-frequency aggregate keyed by (by, variable, level, measure, value),
+    which is the only thing that reads the rows.  Sorted by (by, variable,
+    level).
     """
     by = by or []
     factors = factors or FACTORS
     measures = measures or MEASURES
-    keys = by + ["variable", "level"]
-
-    if exact:
-        # Integer tags instead of column-name strings keep the shuffled
-        # value-frequency keys narrow; names are restored at the end.
-        fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
-        mstack = ", ".join(f"{i}, CAST(`{m}` AS DOUBLE)" for i, m in enumerate(measures))
-        tagged = (df.select(*by, *measures, *[F.col(f).cast("string").alias(f) for f in factors])
-                    .select(*by, *measures, F.expr(f"stack({len(factors)}, {fstack}) AS (_vi, level)"))
-                    .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
-        tkeys = by + ["_vi", "level"]
-        mkeys = tkeys + ["_mi"]
-        splits = value_splits(df, measures, per_bucket)
-        vf = value_frequencies(tagged, mkeys, "_value")
-        stats = _measure_stats_from_vf(vf, mkeys)
-        q = quantiles_from_frequencies(vf, mkeys, QUARTILES, _bucket_by("_mi", {i: splits[m] for i, m in enumerate(measures)}))
-        per_measure = _left_null_safe(stats, q, mkeys)
-        aggs = [F.max("_rows").alias("count")]
-        for i, m in enumerate(measures):
-            s = MEASURE_SUFFIX.get(m, m.lower())
-            pick = lambda col, i=i: F.first(F.when(F.col("_mi") == i, F.col(col)), ignorenulls=True)
-            aggs += [pick("_min").alias(f"min_{s}"), pick("q1").alias(f"q1_{s}"), pick("med").alias(f"med_{s}"),
-                     pick("_avg").alias(f"avg_{s}"), pick("q3").alias(f"q3_{s}"), pick("_max").alias(f"max_{s}"),
-                     pick("_tot").alias(f"tot_{s}")]
-        names = F.array(*[F.lit(f) for f in factors])
-        basic = (per_measure.groupBy(*tkeys).agg(*aggs)
-                 .withColumn("variable", F.element_at(names, F.col("_vi") + 1)).drop("_vi"))
-    else:
-        aggs = [F.count(F.lit(1)).alias("count")]
-        for m in measures:
-            s = MEASURE_SUFFIX.get(m, m.lower())
-            aggs += [F.min(m).alias(f"min_{s}"), F.avg(m).alias(f"avg_{s}"),
-                     F.max(m).alias(f"max_{s}"), F.sum(m).alias(f"tot_{s}"),
-                     F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(f"_pa_{s}")]
-        long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
-        basic = long.groupBy(*keys).agg(*aggs)
-        for m in measures:
-            s = MEASURE_SUFFIX.get(m, m.lower())
-            for i, name in enumerate(QUARTILES):
-                basic = basic.withColumn(f"{name}_{s}", F.col(f"_pa_{s}")[i])
-            basic = basic.drop(f"_pa_{s}")
-
-    ordered_cols = keys + ["count"]
+    # Integer tags instead of column-name strings keep the shuffled
+    # value-frequency keys narrow; names are restored at the end.
+    fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
+    mstack = ", ".join(f"{i}, CAST(`{m}` AS DOUBLE)" for i, m in enumerate(measures))
+    tagged = (df.select(*by, *measures, *[F.col(f).cast("string").alias(f) for f in factors])
+                .select(*by, *measures, F.expr(f"stack({len(factors)}, {fstack}) AS (_vi, level)"))
+                .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
+    tkeys = by + ["_vi", "level"]
+    per_measure = group_statistics(tagged, tkeys + ["_mi"], "_value", QUARTILES, tag="_mi", per_bucket=per_bucket)
+    aggs = [F.max("_rows").alias("count")]
+    for i, m in enumerate(measures):
+        s = MEASURE_SUFFIX.get(m, m.lower())
+        pick = lambda col, i=i: F.first(F.when(F.col("_mi") == i, F.col(col)), ignorenulls=True)
+        aggs += [pick("_min").alias(f"min_{s}"), pick("q1").alias(f"q1_{s}"), pick("med").alias(f"med_{s}"),
+                 pick("_avg").alias(f"avg_{s}"), pick("q3").alias(f"q3_{s}"), pick("_max").alias(f"max_{s}"),
+                 pick("_tot").alias(f"tot_{s}")]
+    names = F.array(*[F.lit(f) for f in factors])
+    basic = (per_measure.groupBy(*tkeys).agg(*aggs)
+             .withColumn("variable", F.element_at(names, F.col("_vi") + 1)).drop("_vi"))
+    return basic.select(*_summary_columns(by, measures)).orderBy(*by, "variable", "level")
+
+
+def _summary_columns(by: list[str], measures: list[str]) -> list[str]:
+    out = [*by, "variable", "level", "count"]
     for m in measures:
         s = MEASURE_SUFFIX.get(m, m.lower())
-        ordered_cols += [f"min_{s}", f"q1_{s}", f"med_{s}", f"avg_{s}", f"q3_{s}", f"max_{s}", f"tot_{s}"]
-    return basic.select(*ordered_cols).orderBy(*keys)
+        out += [f"{x}_{s}" for x in ("min", "q1", "med", "avg", "q3", "max", "tot")]
+    return out
+
+
+#: Size parameter of the sketches, and the share of a group's rows by which a
+#: sketch's quantile may miss its rank: 2.446 / k^0.9433 holds for one quantile
+#: at 99 %; three times that covers all quartiles of a table of many groups.
+SKETCH_K = 800
 
 
-def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    l, r = left.alias("_a"), right.alias("_b")
-    cond = [F.col(f"_a.`{k}`").eqNullSafe(F.col(f"_b.`{k}`")) for k in keys]
-    rcols = [c for c in right.columns if c not in keys]
-    return l.join(r, cond, "left").select("_a.*", *[F.col(f"_b.`{c}`") for c in rcols])
+def sketch_error(k: int = SKETCH_K) -> float:
+    return 3 * 2.446 / k ** 0.9433
+
+
+def factor_sketches(df: DataFrame, by: list[str] | None = None, factors: list[str] | None = None,
+                    measures: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """AGG1, stored form: per (by..., variable, level) the count and of each
+    measure min, max, total, number of values and a mergeable quantile sketch
+    of bounded size.  Partial sketches are merged on the map side, so a level
+    that all rows have costs no more than any other; days or coverages that
+    are summarised apart are rolled up from their sketches alone."""
+    by, factors, measures = by or [], factors or FACTORS, measures or MEASURES
+    long = unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
+    aggs = [F.count(F.lit(1)).alias("count")]
+    for m in measures:
+        s, v = MEASURE_SUFFIX.get(m, m.lower()), F.col(m).cast("double")
+        aggs += [F.min(v).alias(f"min_{s}"), F.max(v).alias(f"max_{s}"), F.sum(v).alias(f"tot_{s}"), F.count(v).alias(f"n_{s}"),
+                 F.kll_sketch_agg_double(v, F.lit(k)).alias(f"sketch_{s}")]
+    return long.groupBy(*by, "variable", "level").agg(*aggs)
+
+
+def roll_up(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored sketches of finer groups merged to ``keys``."""
+    names = [c[len("sketch_"):] for c in sketches.columns if c.startswith("sketch_")]
+    aggs = [F.sum("count").alias("count")]
+    for s in names:
+        aggs += [F.min(f"min_{s}").alias(f"min_{s}"), F.max(f"max_{s}").alias(f"max_{s}"), F.sum(f"tot_{s}").alias(f"tot_{s}"),
+                 F.sum(f"n_{s}").alias(f"n_{s}"), F.kll_merge_agg_double(f"sketch_{s}").alias(f"sketch_{s}")]
+    return sketches.groupBy(*keys).agg(*aggs)
+
+
+def sketch_summary(sketches: DataFrame) -> DataFrame:
+    """AGG1, readable form: the columns of ``factor_summary`` with quartiles
+    from the sketches; NULL for a group without values."""
+    out = sketches
+    names = [c[len("sketch_"):] for c in sketches.columns if c.startswith("sketch_")]
+    for s in names:
+        some = F.col(f"n_{s}") > 0
+        out = out.withColumns({f"avg_{s}": F.try_divide(f"tot_{s}", f"n_{s}")} | {
+            f"{q}_{s}": F.when(some, F.kll_sketch_get_quantile_double(f"sketch_{s}", F.lit(p))) for q, p in QUARTILES.items()})
+    keys = [c for c in sketches.columns[:sketches.columns.index("count")]]
+    return out.select(*keys, "count", *[f"{x}_{s}" for s in names for x in ("min", "q1", "med", "avg", "q3", "max", "tot")])
+
+
+def sketch_misses(df: DataFrame, summary: DataFrame, by: list[str] | None = None, factors: list[str] | None = None,
+                  measures: list[str] | None = None) -> DataFrame:
+    """How far each quartile of ``sketch_summary`` is from its rank: per
+    (by..., variable, level, measure, quartile) ``miss``, the distance of p
+    from the shares of the group's values below and up to the quantile."""
+    by, factors, measures = by or [], factors or FACTORS, measures or MEASURES
+    long = (unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
+            .unpivot([*by, "variable", "level"], [F.col(m).cast("double").alias(MEASURE_SUFFIX.get(m, m.lower())) for m in measures], "measure", "_value"))
+    keys = [*by, "variable", "level", "measure"]
+    vf = value_frequencies(long, keys, "_value").where("_v is not null")
+    found = summary.select(*by, "variable", "level", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("measure"), *[F.col(f"{q}_{s}").alias(q) for q in QUARTILES])
+        for s in (MEASURE_SUFFIX.get(m, m.lower()) for m in measures)])))
+    l, r = vf.alias("a"), found.alias("b")
+    joined = l.join(r, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]).select(
+        *[F.col(f"a.`{k}`") for k in keys], "_v", "_c", *QUARTILES)
+    shares = joined.groupBy(*keys).agg(F.sum("_c").alias("_n"), *[
+        F.sum(F.when(F.col("_v") < F.col(q), F.col("_c")).otherwise(0)).alias(f"lo_{q}") for q in QUARTILES], *[
+        F.sum(F.when(F.col("_v") <= F.col(q), F.col("_c")).otherwise(0)).alias(f"hi_{q}") for q in QUARTILES])
+    miss = lambda q, p: F.greatest(F.col(f"lo_{q}") / F.col("_n") - p, p - F.col(f"hi_{q}") / F.col("_n"), F.lit(0.0))
+    return shares.select(*keys, F.inline(F.array(*[F.struct(F.lit(q).alias("quartile"), miss(q, p).alias("miss"), F.col("_n").alias("n"))
+                                                   for q, p in QUARTILES.items()])))
 
 
 def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[str] | None = None,
@@ -127,11 +153,7 @@ def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[s
     long = (df.select(*by, *[F.col(m).cast("double").alias(m) for m in measures])
               .unpivot(by, measures, "variable", "value"))
     keys = by + ["variable"]
-    vf = value_frequencies(long, keys, "value")
-    stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75},
-                                   _bucket_by("variable", value_splits(df, measures, per_bucket)))
-    out = _left_null_safe(stats, q, keys)
+    out = group_statistics(long, keys, "value", {"1st Qu.": 0.25, "Median": 0.5, "3rd Qu.": 0.75}, tag="variable", per_bucket=per_bucket)
     return out.select(*keys, F.col("_min").alias("Min."), F.col("`1st Qu.`"), F.col("Median"),
                       F.col("_avg").alias("Mean"), F.col("`3rd Qu.`"), F.col("_max").alias("Max."))
 
@@ -233,10 +255,6 @@ def gaussian_kde(df: DataFrame, value: str, grid_points: int = 64, by: list[str]
 def six_numbers(df: DataFrame, keys: list[str], value: str, per_bucket: int = PER_BUCKET) -> DataFrame:
     """keys + min, q1, med, avg, q3, max of ``value`` per group (exact type-7
     quartiles, skew-safe: a group may be a whole prediction file)."""
-    splits = value_splits(df, [value], per_bucket)[value]
-    vf = value_frequencies(df, keys, value)
-    stats = _measure_stats_from_vf(vf, keys)
-    q = quantiles_from_frequencies(vf, keys, QUARTILES, bucket_of(F.col("_v"), splits))
-    out = _left_null_safe(stats, q, keys)
+    out = group_statistics(df, keys, value, QUARTILES, per_bucket=per_bucket)
     return out.select(*keys, F.col("_min").alias("min"), "q1", "med", F.col("_avg").alias("avg"),
                       "q3", F.col("_max").alias("max"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.clean import claims_only
-from ..operators.summarize import MEASURE_SUFFIX, factor_summary, level_counts, level_histogram, numeric_summary
-from ..schema import FACTORS, PLOT_FACTORS
+from ..operators.summarize import (MEASURE_SUFFIX, factor_sketches, factor_summary, level_counts, level_histogram, numeric_summary,
+                                   roll_up, sketch_error, sketch_misses, sketch_summary)
+from ..schema import PLOT_FACTORS
+from ..sources.sinks import stage
 from .registry import query
 from .sqlparts import CLEAN, FACTOR_LIST, MODEL, rnd, with_
 from .stages import clean_policies, model_table, round_doubles
@@ -33,12 +35,49 @@ FACTOR_SUMMARY_SQL, _ = _fac_sum_sql()
 
 @query("factor_summary_exact", FACTOR_SUMMARY_SQL, "AGG2 RSH1 SRT1 (exact type-7 quartiles)", headline=True)
 def q_factor_summary_exact(spark, sf):
-    return round_doubles(factor_summary(clean_policies(spark, sf), exact=True, by=["coverage"]))
+    return round_doubles(factor_summary(clean_policies(spark, sf), by=["coverage"]))
 
 
-@query("factor_summary_approx", None, "AGG1 (percentile_approx; rows-only)")
+_SUFFIXES = list(MEASURE_SUFFIX.values())
+
+
+def _sketch_sql(keys: str, checks: str) -> str:
+    sel = ", ".join(f"min({m}) AS min_{s}, avg({m}) AS avg_{s}, max({m}) AS max_{s}, sum({m}) AS tot_{s}" for m, s in MEASURE_SUFFIX.items())
+    body = f"""
+SELECT {keys}, count(*) AS count, {sel}, {checks}
+FROM (SELECT coverage, EARNED_EXPOSURE, ULTIMATE_AMOUNT, ULTIMATE_CLAIM_COUNT, {FACTOR_LIST} FROM clean)
+UNPIVOT INCLUDE NULLS (level FOR variable IN ({FACTOR_LIST})) GROUP BY {keys}"""
+    return rnd(with_(CLEAN, body), [f"{x}_{s}" for s in _SUFFIXES for x in ("min", "avg", "max", "tot")])
+
+
+def _with_checks(rows, summary, by):
+    """The summary without its quartiles, and how many of them a group has
+    that are within the stated rank error."""
+    keys = [*by, "variable", "level"]
+    near = (sketch_misses(rows, summary, by).groupBy(*keys)
+            .agg(F.count("*").alias("n_quartiles"), F.count_if(F.col("miss") <= sketch_error()).alias("n_within")))
+    l, r = summary.alias("a"), near.alias("b")
+    out = l.join(r, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys], "left")
+    return round_doubles(out.select(*[F.col(f"a.`{k}`") for k in keys], "count", *[f"{x}_{s}" for s in _SUFFIXES for x in ("min", "avg", "max", "tot")],
+                                    F.coalesce("n_quartiles", F.lit(0)).alias("n_quartiles"), F.coalesce("n_within", F.lit(0)).alias("n_within")))
+
+
+_COUNTED = " + ".join(f"CASE WHEN count({m}) > 0 THEN 3 ELSE 0 END" for m in MEASURE_SUFFIX)
+_CHECKS = f"({_COUNTED})::BIGINT AS n_quartiles, ({_COUNTED})::BIGINT AS n_within"
+
+
+@query("factor_summary_approx", _sketch_sql("coverage, variable, level", _CHECKS), "AGG1 (quantile sketches, their rank error checked)")
 def q_factor_summary_approx(spark, sf):
-    return round_doubles(factor_summary(clean_policies(spark, sf), exact=False, by=["coverage"]))
+    rows = clean_policies(spark, sf)
+    sketches = stage(factor_sketches(rows, by=["coverage"]), "sketches")
+    return _with_checks(rows, sketch_summary(sketches), ["coverage"])
+
+
+@query("factor_summary_rolled_up", _sketch_sql("variable, level", _CHECKS), "AGG1 (stored sketches of the coverages merged)")
+def q_factor_summary_rolled_up(spark, sf):
+    rows = clean_policies(spark, sf)
+    sketches = stage(factor_sketches(rows, by=["coverage"]), "sketches")
+    return _with_checks(rows, sketch_summary(roll_up(sketches, ["variable", "level"])), [])
 
 
 _ONE_FACTOR_SQL, _ = _fac_sum_sql(where="WHERE variable = 'X_VAR9'",
@@ -49,7 +88,7 @@ _ONE_FACTOR_SQL, _ = _fac_sum_sql(where="WHERE variable = 'X_VAR9'",
 def q_one_factor(spark, sf):
     fs = factor_summary(clean_policies(spark, sf).select(
         "coverage", "EARNED_EXPOSURE", "ULTIMATE_AMOUNT", "ULTIMATE_CLAIM_COUNT", "X_VAR9"),
-        exact=True, by=["coverage"], factors=["X_VAR9"])
+        by=["coverage"], factors=["X_VAR9"])
     return round_doubles(fs.where(F.col("variable") == "X_VAR9")
                            .orderBy("coverage", F.expr("try_cast(level AS DOUBLE)")))
 

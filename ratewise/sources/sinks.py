@@ -4,11 +4,15 @@ SNK5 model save in ``ml.saved``.)"""
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None, header: bool = True) -> str:
@@ -24,6 +28,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared checkpoint folder and read back: computed
+    once, whatever reads it, and re-read instead of recomputed when executors
+    are lost."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"stage-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_result(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """SNK2/SNK3: append the rows of one finished model to a results or
     predictions table; anything appended before a failure stays.  ``written``

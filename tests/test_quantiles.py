@@ -38,7 +38,7 @@ def test_rare_amounts_spread_over_buckets(spark):
     so the positive amounts do not fall into one bucket."""
     random.seed(3)
     df = spark.createDataFrame([(float(random.randint(1, 10**6)) if i % 625 == 0 else 0.0,) for i in range(100_000)], "amount double")
-    points = value_splits(df, ["amount"], per_bucket=10)["amount"]
+    points = value_splits(df, "amount", per_bucket=10)[None]
     used = df.where("amount > 0").select(bucket_of(F.col("amount"), points).alias("b")).groupBy("b").count().collect()
     assert len(used) >= 12 and max(r["count"] for r in used) <= 40
 

@@ -1,7 +1,11 @@
+import random
+
 import pandas as pd
+from pyspark.sql import functions as F
 
 from ratewise.operators.reshape import unpivot_factors, unpivot_probs
-from ratewise.operators.summarize import factor_summary, gaussian_kde, level_counts, level_histogram
+from ratewise.operators.summarize import (factor_sketches, factor_summary, gaussian_kde, level_counts, level_histogram, roll_up,
+                                          sketch_error, sketch_misses, sketch_summary)
 
 
 def _df(spark):
@@ -24,7 +28,7 @@ def test_unpivot_keeps_nulls(spark):
 
 def test_factor_summary_exact_matches_pandas(spark):
     df, pdf = _df(spark)
-    out = {(r.variable, r.level): r for r in factor_summary(df, exact=True, factors=["A", "B"]).collect()}
+    out = {(r.variable, r.level): r for r in factor_summary(df, factors=["A", "B"]).collect()}
     for f in ["A", "B"]:
         for lvl, g in pdf.groupby(f, dropna=False):
             key = (f, None if pd.isna(lvl) else lvl)
@@ -40,22 +44,46 @@ def test_factor_summary_exact_matches_pandas(spark):
 def test_factor_summary_paths_agree(spark):
     df, _ = _df(spark)
     key = lambda t: tuple("" if x is None else str(x) for x in t[:2])
-    fast = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"]).collect()), key=key)
+    fast = sorted((tuple(r) for r in factor_summary(df, factors=["A", "B"]).collect()), key=key)
     for size in (1, 2):     # values over several buckets
-        slow = sorted((tuple(r) for r in factor_summary(df, exact=True, factors=["A", "B"],
-                                                        per_bucket=size).collect()), key=key)
+        slow = sorted((tuple(r) for r in factor_summary(df, factors=["A", "B"], per_bucket=size).collect()), key=key)
         assert len(fast) == len(slow)
         for a, b in zip(fast, slow):
             assert a[:3] == b[:3]
             assert all(abs(x - y) < 1e-9 for x, y in zip(a[3:], b[3:]))
 
 
-def test_factor_summary_approx_returns_observed_values(spark):
-    df, _ = _df(spark)
-    rows = factor_summary(df, exact=False, factors=["B"]).collect()
+def test_sketches_of_small_groups_are_exact_and_roll_up(spark):
+    df, pdf = _df(spark)
+    rows = sketch_summary(factor_sketches(df, factors=["B"])).collect()
     assert {r.level for r in rows} == {"2", "10"}
     for r in rows:
-        assert r.q1_earned_exposure in (0.5, 1.0, 2.0, 3.0, 4.0)
+        g = pdf[pdf.B == r.level]
+        assert r["count"] == len(g) and r.q1_earned_exposure in set(g.EARNED_EXPOSURE)
+        assert abs(r.avg_ultimate_amount - g.ULTIMATE_AMOUNT.mean()) < 1e-12 and r.max_ultimate_amount == g.ULTIMATE_AMOUNT.max()
+
+
+def test_sketch_rank_error_and_roll_up(spark):
+    rng = random.Random(4)
+    rows = [("day%d" % (i % 5), "all", "g%d" % (i % 3), rng.lognormvariate(0, 3) if i % 50 else None, float(rng.randint(0, 3)), 1.0) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "day string, A string, B string, EARNED_EXPOSURE double, ULTIMATE_CLAIM_COUNT double, ULTIMATE_AMOUNT double")
+    stored = factor_sketches(df, by=["day"], factors=["A", "B"], k=200)
+    assert stored.agg(F.max(F.length("sketch_earned_exposure"))).first()[0] < 10_000        # bounded, whatever the group
+    daily = sketch_misses(df, sketch_summary(stored), by=["day"], factors=["A", "B"])
+    whole = sketch_misses(df, sketch_summary(roll_up(stored, ["variable", "level"])), factors=["A", "B"])
+    for found, n in ((daily, 5 * 4 * 9), (whole, 4 * 9)):
+        r = found.agg(F.count("*"), F.max("miss")).first()
+        assert r[0] == n and 0 < r[1] <= sketch_error(200)
+    nothing = spark.createDataFrame([("a", None, 1.0, 1.0)], "A string, EARNED_EXPOSURE double, ULTIMATE_CLAIM_COUNT double, ULTIMATE_AMOUNT double")
+    r = sketch_summary(factor_sketches(nothing, factors=["A"])).first()
+    assert r["count"] == 1 and r.med_earned_exposure is None and r.med_ultimate_amount == 1.0
+
+
+def test_rows_are_read_once(spark, tmp_path):
+    df, _ = _df(spark)
+    df.write.parquet(str(tmp_path / "rows"))
+    plan = factor_summary(spark.read.parquet(str(tmp_path / "rows")), factors=["A", "B"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "EARNED_EXPOSURE" not in plan           # what is left reads the stored value frequencies
 
 
 def test_level_counts_and_histogram(spark):
