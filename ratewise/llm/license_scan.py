@@ -131,21 +131,23 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shif
     share; spans of one template found in one chain of diagonals do not
     overlap, the best come first."""
     spark = docs.sparkSession
-    grams = F.concat(
-        F.array(F.lit(SENTINEL).cast("long")),
-        F.transform(F.slice("words", 1, F.greatest(F.size("words") - (K - 1), F.lit(0))),
-                    lambda w, i: F.xxhash64(w, F.get("words", i + 1))))
+    table = template_table(spark, templates, phrases)
     # the template side is the literal lists above: a few hundred rows
+    hashes = [r["h"] for r in table.where("template >= 0").select("h").distinct().collect()]
+    # grams without a template's hash go inside the array; the rows that are left don't carry the words
+    grams = F.filter(F.transform("words", lambda w, i: F.struct(
+        i.alias("at"), w.alias("g0"), F.get("words", i + 1).alias("g1"), F.xxhash64(w, F.get("words", i + 1)).alias("h"))),
+        lambda g: g["h"].isin(hashes) & g["g1"].isNotNull())
+    sentinel = F.struct(F.lit(-1).alias("at"), F.lit("").alias("g0"), F.lit("").alias("g1"), F.lit(SENTINEL).cast("long").alias("h"))
     joined = (docs.select("doc_id", words(F.col("text").cast("string")).alias("words"))
               .withColumn("row_id", F.monotonically_increasing_id())
-              .select("row_id", "doc_id", "words", F.posexplode(grams).alias("at", "h"))
-              .join(F.broadcast(template_table(spark, templates, phrases)), "h")
-              .where((F.col("template") < 0) & (F.col("at") == 0)
-                     | (F.col("template") >= 0) & (F.col("at") > 0)
-                     & (F.get("words", F.col("at") - 1) == F.col("w0")) & (F.get("words", F.col("at")) == F.col("w1")))
-              .select("row_id", "doc_id", F.when(F.col("template") < 0, F.size("words")).alias("n_words"), "template",
-                      "label", "base", "n_template", "t_pos", (F.col("at") - 1).alias("pos"),
-                      (F.col("at") - 1 - F.col("t_pos")).alias("diagonal")))
+              .select("row_id", "doc_id", F.size("words").alias("size"), F.concat(F.array(sentinel), grams).alias("grams"))
+              .select("row_id", "doc_id", "size", F.inline("grams"))
+              .join(F.broadcast(table), "h")
+              .where((F.col("template") < 0) & (F.col("at") < 0)
+                     | (F.col("template") >= 0) & (F.col("at") >= 0) & (F.col("g0") == F.col("w0")) & (F.col("g1") == F.col("w1")))
+              .select("row_id", "doc_id", F.when(F.col("template") < 0, F.col("size")).alias("n_words"), "template",
+                      "label", "base", "n_template", "t_pos", F.col("at").alias("pos"), (F.col("at") - F.col("t_pos")).alias("diagonal")))
     n_masks = -(-max(len(t.split()) for _, t in [*templates, *phrases, ("", "")]) // MASK_BITS) or 1
     names = [f"m{i}" for i in range(n_masks)]
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_pos") % MASK_BITS)
