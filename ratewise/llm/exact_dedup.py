@@ -4,13 +4,11 @@ Every partition turns its texts into one sorted run of (digest, smallest id,
 copies, bytes).  Partitions then exchange runs in binomial rounds: the node
 number is written in base ``radix``, and in round r a node keeps the part of
 its runs whose digest belongs to its own r-th digit and hands the others to
-the peers that differ in that digit alone.  Up to ``radix`` nodes (32 million
-rows by default) there is a single round, a plain hash shuffle by that digit.
-In the first round several partitions share a node number, so a receiver merges
-the runs of all of them; in later ones it merges up to ``radix`` sorted runs
-(each in blocks).  Each receiver folds equal digests, keeping the smallest id, the
-sum of the copies, and verifying that equal digests stand for equally long
-texts.  After the last round each node holds one digest range, complete and
+the peers that differ in that digit alone.  There is a node for each partition
+and always a second round, so no exchange is a plain shuffle to the owners.
+A receiver is a task of its own; it merges up to ``radix`` sorted runs (each in
+blocks) and folds equal digests, keeping the smallest id, the sum of the copies,
+and verifying that equal digests stand for equally long texts.  After the last round each node holds one digest range, complete and
 free of repeats; no node ever holds more than its share, and a digest of
 which a third of all rows are copies is folded at every level instead of
 meeting in one place.
@@ -77,10 +75,10 @@ def _dealt(node: int, run, r: int, radix: int, rounds: int):
         yield from _rows(int(rest + d * radix ** r), tuple(x[digit == d] for x in run))
 
 
-def merge_runs(digests: DataFrame, nodes: int, radix: int = 8) -> DataFrame:
+def merge_runs(digests: DataFrame, nodes: int, radix: int = 4) -> DataFrame:
     """``digests(doc_id, digest, n_bytes)`` → one row per distinct digest:
     ``(digest, keep_id, group_size)``."""
-    rounds = 1
+    rounds = 2
     while radix ** rounds < nodes:
         rounds += 1
     total = radix ** rounds
@@ -127,11 +125,11 @@ def merge_runs(digests: DataFrame, nodes: int, radix: int = 8) -> DataFrame:
 
     runs = digests.select("doc_id", "digest", "n_bytes").mapInArrow(leaf, RUN_SCHEMA)
     for r in range(1, rounds + 1):
-        runs = runs.repartition(total, "node").mapInArrow(merging(r), RUN_SCHEMA)
+        runs = runs.repartitionById(total, F.col("node")).mapInArrow(merging(r), RUN_SCHEMA)
     return runs.mapInArrow(unpack, "digest binary, keep_id long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, rows_per_node: int = 4_000_000, radix: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, rows_per_node: int = 4_000_000, radix: int = 4) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read.  Null
@@ -139,12 +137,13 @@ def exact_dedup(docs: DataFrame, rows_per_node: int = 4_000_000, radix: int = 8)
     texts the smallest ``doc_id`` stays; a null ``doc_id`` counts as larger
     than every id.  Rows repeated with the same id count as copies of
     themselves and are all marked kept if theirs is the smallest id.  An empty
-    table gives an empty result.  ``rows_per_node`` bounds what one merging
-    node holds (about 56 bytes an entry)."""
+    table gives an empty result.  There are as many merging nodes as the
+    table has partitions, and more where one would hold over ``rows_per_node``
+    entries (about 56 bytes each)."""
     text = normalised()
     digests = scratch(docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"),
                                   F.octet_length(text).cast("long").alias("n_bytes")), "digests")
-    nodes = max(radix, -(-digests.count() // rows_per_node))
+    nodes = max(digests.rdd.getNumPartitions(), -(-digests.count() // rows_per_node))
     groups = merge_runs(digests, nodes, radix).where("group_size > 1")
     return (digests.join(groups, "digest", "left")
             .select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
