@@ -98,3 +98,23 @@ def events_of(conversations: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return conversations.select("conv_id", "role", "text", F.row_number().over(w).cast("long").alias("seq")).select(
         "conv_id", "seq", F.lit("message").alias("event"), F.col("seq").alias("turn"), "role", "text")
+
+
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """A table of whole messages as the log of a chat service, by turn number:
+    a message arrives in three deltas, or as a draft that is edited, or as a
+    first attempt that is regenerated and streamed anew.  The final texts are
+    those of the table."""
+    rows = events_of(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.length("text")
+    one, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    cut = lambda a, b: F.col("text").substr(a + 1, b - a)
+    thirds = [cut(F.lit(0), one), cut(one, two), cut(two, n)]
+    event = lambda k, name, text: F.struct(
+        (F.col("turn") * 8 + k).alias("seq"), F.lit(name).alias("event"), (F.col("role") if k == 0 else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    deltas = lambda k: [event(k + i, "delta", t) for i, t in enumerate(thirds)]
+    kinds = [F.array(*deltas(0)),
+             F.array(event(0, "message", F.concat(F.lit("draft of "), F.col("text"))), event(1, "delta", F.lit(" ...")), event(2, "edit", F.col("text"))),
+             F.array(event(0, "delta", thirds[1]), event(1, "delta", F.lit("no, ")), event(2, "regenerate", F.lit("dropped")), *deltas(3))]
+    pick = F.when(F.col("turn") % 3 == 0, kinds[0]).when(F.col("turn") % 3 == 1, kinds[1]).otherwise(kinds[2])
+    return rows.select("conv_id", "turn", F.inline(pick)).select("conv_id", "seq", "event", "turn", "role", "text")

@@ -61,13 +61,14 @@ def op9_license_scan(spark, sf_dir):
 
 
 def op10_chat_format(spark, sf_dir):
-    """All conversations, and conversation -7, whose texts hold control strings."""
+    """All conversations, and conversation -7, whose texts hold control
+    strings, as a log of deltas, edits and regenerations."""
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
                                   "conv_id long, turn long, role string, text string")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = chat_format.events_of(rows)
-    return chat_format.read_back(chat_format.render(chat_format.reconstruct(events)))
+    log = chat_format.streamed_log(rows)
+    return chat_format.read_back(chat_format.render(chat_format.reconstruct(log)))
 
 
 def op11_spelling_variants(spark, sf_dir):
