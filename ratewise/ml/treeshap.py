@@ -1,231 +1,181 @@
-"""ML17/ML18: SHAP values of MLlib tree ensembles as a Spark job.
-
-The fitted model is written to the shared checkpoint folder and its node
-table is read back with Spark (``treeID``, ``nodeData``: children, split
-feature / threshold, prediction, impurity statistics).  The compact node
-arrays — bounded by the number of tree nodes, checked — are broadcast, and
-each Arrow batch of rows is explained in ``mapInPandas``:
-
-* ``method="exact"``: path-dependent TreeSHAP (Lundberg, Erion & Lee 2018,
-  Algorithm 2), node covers from the training weights;
-* ``method="approximate"``: the per-split attribution along each decision
-  path (Saabas), vectorised over the batch.
-
-Both satisfy Σ shap + expected value = model output for every row.
-Outputs are long rows (ids..., output, feature, shap); ``output`` is the
-class index for classifiers and 0 for regressors.
+"""ML17/ML18: exact path-dependent SHAP values of tree ensembles, as joins.
+
+A leaf is reached when, for each feature on its path, the row's value lies in
+one interval; the share of the training rows that pass a feature's splits on
+the path is that feature's cover ratio z.  With o = 1 where the row's value is
+inside and 0 elsewhere, a leaf of value v with m features on its path gives
+feature i
+
+    v (o_i - z_i) * sum over k of  c_k  k! (m - k - 1)! / m!
+
+where c_k are the coefficients of the product of (z_j + o_j t) over the path's
+other features (Lundberg, Erion & Lee 2018 in closed form).
+
+Tables: the node table of the fitted model (MLlib writes it, Spark reads it);
+the leaf-path table made from it level by level; the patterns, that is the
+distinct outcomes of a tree's splits over all rows, which decide every o.  Rows
+are joined to their patterns, patterns to leaf paths, and contributions summed
+by group.  Nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
-from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.sinks import stage
+from .models import BoostedModel
 
-MAX_NODES = 5_000_000    # bound on the broadcast node arrays
-
-
-@dataclass
-class Tree:
-    left: np.ndarray
-    right: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    value: np.ndarray       # (nodes, outputs)
-    cover: np.ndarray       # (nodes,)
-
-    def expected(self) -> np.ndarray:
-        leaf = self.left < 0
-        w = self.cover[leaf]
-        return (self.value[leaf] * w[:, None]).sum(axis=0) / w.sum()
-
-
-@dataclass
-class Ensemble:
-    trees: list[Tree]
-    weights: np.ndarray
-    combine: str             # "mean" (forests) or "sum" (boosting)
-    n_outputs: int
-
-    def scale(self) -> np.ndarray:
-        return self.weights / len(self.trees) if self.combine == "mean" else self.weights
+#: Split tables of up to so many rows are broadcast to the rows; larger ones
+#: are joined by shuffle.
+BROADCAST_SPLITS = 100_000
+#: Levels of the leaf-path table in one plan.
+LEVELS = 5
+_PATH = "array<struct<f:int,lo:double,hi:double,z:double>>"
 
 
-def load_ensemble(spark: SparkSession, model, classification: bool, folder: str | None = None) -> Ensemble:
-    """Read the node table of a fitted forest / GBT / single tree."""
-    base = folder or os.path.join(ensure_checkpoint_dir(spark), f"treeshap-{uuid.uuid4().hex}")
+def _nodes_of(spark, model, classification: bool, output: int, n_outputs: int) -> DataFrame:
+    base = os.path.join(ensure_checkpoint_dir(spark), f"treeshap-{uuid.uuid4().hex}")
     model.write().overwrite().save(base)
     data = spark.read.parquet(os.path.join(base, "data"))
     if "treeID" not in data.columns:
         data = data.select(F.lit(0).alias("treeID"), F.struct(*data.columns).alias("nodeData"))
-    nodes = data.select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-                        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-                        "nodeData.split.leftCategoriesOrThreshold")
-    n = nodes.count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} tree nodes exceed the broadcast bound {MAX_NODES}")
-    rows = nodes.collect()                      # bounded by MAX_NODES (checked)
-    weights = np.array(getattr(model, "treeWeights", [1.0]), dtype=float)
-    by_tree: dict[int, list] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], []).append(r)
-    trees = []
-    k = None
-    for tid in sorted(by_tree):
-        rs = sorted(by_tree[tid], key=lambda r: r["id"])
-        m = len(rs)
-        left = np.array([r["leftChild"] for r in rs], dtype=np.int64)
-        right = np.array([r["rightChild"] for r in rs], dtype=np.int64)
-        feat = np.array([r["featureIndex"] for r in rs], dtype=np.int64)
-        thr = np.array([(r["leftCategoriesOrThreshold"] or [np.nan])[0] for r in rs], dtype=float)
-        stats = [np.array(r["impurityStats"], dtype=float) for r in rs]
-        if classification:
-            cover = np.array([s.sum() for s in stats])
-            value = np.vstack([s / s.sum() if s.sum() > 0 else s for s in stats])
-        else:
-            cover = np.array([s[0] for s in stats])
-            value = np.array([[r["prediction"]] for r in rs], dtype=float)
-        k = value.shape[1]
-        assert m == len(rs)
-        trees.append(Tree(left, right, feat, thr, value, cover))
-    if len(weights) != len(trees):
-        weights = np.ones(len(trees))
-    combine = "sum" if "GBT" in type(model).__name__ else "mean"
-    return Ensemble(trees, weights, combine, k or 1)
-
-
-# ------------------------------------------------------------ exact TreeSHAP
-
-def _extend(m, pz, po, pi):
-    l_ = len(m)
-    m = [list(e) for e in m] + [[pi, pz, po, 1.0 if l_ == 0 else 0.0]]
-    for i in range(l_ - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (l_ + 1)
-        m[i][3] = pz * m[i][3] * (l_ - i) / (l_ + 1)
-    return m
-
-
-def _unwind(m, i):
-    l_ = len(m)
-    n = m[l_ - 1][3]
-    out = [list(e) for e in m[: l_ - 1]]
-    zi, oi = m[i][1], m[i][2]
-    for j in range(l_ - 2, -1, -1):
-        if oi != 0:
-            t = out[j][3]
-            out[j][3] = n * l_ / ((j + 1) * oi)
-            n = t - out[j][3] * zi * (l_ - j - 1) / l_
-        else:
-            out[j][3] = (out[j][3] * l_) / (zi * (l_ - j - 1))
-    for j in range(i, l_ - 1):
-        out[j][0], out[j][1], out[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-    return out
-
-
-def _tree_shap_row(x: np.ndarray, t: Tree, phi: np.ndarray) -> None:
-    def recurse(j, m, pz, po, pi):
-        m = _extend(m, pz, po, pi)
-        if t.left[j] < 0:
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in _unwind(m, i))
-                phi[m[i][0]] += w * (m[i][2] - m[i][1]) * t.value[j]
-            return
-        d = t.feature[j]
-        hot, cold = (t.left[j], t.right[j]) if x[d] <= t.threshold[j] else (t.right[j], t.left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(m)) if m[i][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = _unwind(m, k)
-        rj = t.cover[j]
-        recurse(hot, m, iz * t.cover[hot] / rj, io, d)
-        recurse(cold, m, iz * t.cover[cold] / rj, 0.0, d)
-
-    recurse(0, [], 1.0, 1.0, -1)
-
-
-def _saabas(X: np.ndarray, t: Tree, phi: np.ndarray) -> None:
-    n = X.shape[0]
-    node = np.zeros(n, dtype=np.int64)
-    rows = np.arange(n)
+    node = F.col("nodeData")
+    stats = node["impurityStats"]
+    total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    if classification:
+        cover, value = total, F.transform(stats, lambda x: F.try_divide(x, total))
+    else:
+        cover = F.get(stats, F.lit(0))
+        value = F.array(*[node["prediction"] if c == output else F.lit(0.0) for c in range(n_outputs)])
+    weights = [float(w) for w in getattr(model, "treeWeights", [1.0])]
+    boosted = "GBT" in type(model).__name__
+    weight = F.element_at(F.array(*[F.lit(w if boosted else w / len(weights)) for w in weights]), F.col("treeID") + 1)
+    return data.select(
+        (F.col("treeID") * n_outputs + output).alias("tree"), node["id"].alias("node"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("f"), F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("at"),
+        (node["split"]["numCategories"] > 0).alias("nominal"), cover.alias("cover"), value.alias("value"), weight.alias("weight"))
+
+
+def node_table(spark, model, classification: bool) -> tuple[DataFrame, int]:
+    """(nodes of all trees, number of outputs): ``tree, node, left, right, f,
+    at, nominal, cover, value, weight``; leaves have no children (-1).  The
+    outputs of a boosted model have trees of their own."""
+    if isinstance(model, BoostedModel):
+        k = len(model.outputs)
+        parts = [_nodes_of(spark, m, False, c, k) for c, m in enumerate(model.outputs)]
+    else:
+        k = model.numClasses if classification else 1
+        parts = [_nodes_of(spark, model, classification, 0, k)]
+    if classification:
+        parts = [p.withColumn("tree", F.floor(F.col("tree") / k).cast("int")) for p in parts]
+    nodes = stage(reduce(DataFrame.unionByName, parts), "tree-nodes")
+    if nodes.where("nominal and left >= 0").limit(1).count():
+        raise ValueError("splits by category sets have no interval")
+    return nodes, k
+
+
+def _extended(f, lo, hi, z):
+    """The path with one more condition; a feature stands in it once."""
+    seen = F.exists("path", lambda e: e["f"] == f)
+    narrowed = F.transform("path", lambda e: F.when(e["f"] == f, F.struct(
+        e["f"].alias("f"), F.greatest(e["lo"], lo).alias("lo"), F.least(e["hi"], hi).alias("hi"), (e["z"] * z).alias("z"))).otherwise(e))
+    more = F.array(F.struct(f.cast("int").alias("f"), lo.alias("lo"), hi.alias("hi"), z.alias("z")))
+    return F.when(seen, narrowed).otherwise(F.concat("path", more)).cast(_PATH)
+
+
+def leaf_paths(nodes: DataFrame) -> DataFrame:
+    """``tree, leaf, value, weight, path``: a row per leaf with the interval
+    (lo, hi] and the cover ratio of each feature on its path."""
+    inner = nodes.where("left >= 0").select("tree", "node", "left", "right", "f", "at", "cover")
+    below = nodes.select("tree", F.col("node").alias("child"), F.col("cover").alias("child_cover"), F.col("left").alias("further"),
+                         "value", "weight")
+    open_ = nodes.where("node = 0").select("tree", "node", F.col("left").alias("further"), "value", "weight", F.array().cast(_PATH).alias("path"))
+    leaves = [open_.where("further < 0")]
+    inf = F.lit(float("inf"))
     while True:
-        internal = t.left[node] >= 0
-        if not internal.any():
-            break
-        r = rows[internal]
-        cur = node[internal]
-        f = t.feature[cur]
-        go_left = X[r, f] <= t.threshold[cur]
-        child = np.where(go_left, t.left[cur], t.right[cur])
-        np.add.at(phi, (r, f), t.value[child] - t.value[cur])
-        node[internal] = child
-
-
-def explain_matrix(X: np.ndarray, ens: Ensemble, method: str) -> np.ndarray:
-    """(rows, features, outputs) SHAP values of the ensemble output."""
-    n, p = X.shape
-    phi = np.zeros((n, p, ens.n_outputs))
-    for t, w in zip(ens.trees, ens.scale()):
-        part = np.zeros((n, p, ens.n_outputs))
-        if method == "exact":
-            # Path-dependent SHAP depends on a row only through its branch
-            # decisions at the internal nodes: explain each distinct decision
-            # pattern once (exact), then scatter to its rows.
-            internal = np.where(t.left >= 0)[0]
-            if len(internal) == 0:
-                part[:] = 0.0
-            else:
-                dec = X[:, t.feature[internal]] <= t.threshold[internal]
-                pats, first, inverse = np.unique(dec, axis=0, return_index=True, return_inverse=True)
-                uniq = np.zeros((len(pats), p, ens.n_outputs))
-                for u, i in enumerate(first):
-                    _tree_shap_row(X[i], t, uniq[u])
-                part[:] = uniq[inverse.reshape(-1)]
-        else:
-            _saabas(X, t, part)
-        phi += w * part
-    return phi
-
-
-def expected_value(ens: Ensemble, method: str) -> np.ndarray:
-    vals = [t.expected() if method == "exact" else t.value[0] for t in ens.trees]
-    return (np.vstack(vals) * ens.scale()[:, None]).sum(axis=0)
+        for _ in range(LEVELS):
+            at = open_.where("further >= 0").select("tree", "node", "path").join(inner, ["tree", "node"])
+            sides = F.array(F.struct(F.col("left").alias("child"), (-inf).alias("lo"), F.col("at").alias("hi")),
+                            F.struct(F.col("right").alias("child"), F.col("at").alias("lo"), inf.alias("hi")))
+            both = at.select("tree", "path", "f", "cover", F.inline(sides)).join(below, ["tree", "child"])
+            open_ = both.select("tree", F.col("child").alias("node"), "further", "value", "weight",
+                                _extended(F.col("f"), F.col("lo"), F.col("hi"), F.try_divide("child_cover", "cover")).alias("path"))
+            leaves.append(open_.where("further < 0"))
+        open_ = stage(open_.where("further >= 0"), "tree-levels")
+        leaves = [stage(reduce(DataFrame.unionByName, leaves), "tree-leaves")]
+        if not open_.limit(1).count():
+            return leaves[0].select("tree", F.col("node").alias("leaf"), "value", "weight", "path")
+
+
+def _subset_weights(most: int):
+    """k! (m - k - 1)! / m! for m = 0..most and k < m."""
+    f = math.factorial
+    return F.array(*[F.array(*[F.lit(f(k) * f(m - k - 1) / f(m)) for k in range(m)] or [F.lit(0.0)]) for m in range(most + 1)])
+
+
+def _times(poly, e):
+    """Coefficients of ``poly`` times (z + o t)."""
+    low = F.concat(F.transform(poly, lambda a: a * e["z"]), F.array(F.lit(0.0)))
+    high = F.concat(F.array(F.lit(0.0)), F.transform(poly, lambda a: a * e["o"]))
+    return F.zip_with(low, high, lambda a, b: a + b)
+
+
+def pattern_values(patterns: DataFrame, leaves: DataFrame, n_outputs: int) -> DataFrame:
+    """``tree, pattern, parts``: per pattern of a tree, ``x`` being any row
+    with it, the contribution of each feature (``f, s0, s1, ...``)."""
+    entries = F.transform("path", lambda e: F.struct(
+        e["f"].alias("f"), F.when((F.get("x", e["f"]) > e["lo"]) & (F.get("x", e["f"]) <= e["hi"]), 1.0).otherwise(0.0).alias("o"), e["z"].alias("z")))
+    most = leaves.agg(F.max(F.size("path"))).first()[0] or 0          # one number
+    met = (patterns.join(leaves, "tree").select("tree", "pattern", "value", "weight", entries.alias("entries"))
+           .select("tree", "pattern", "value", "weight", "entries", F.posexplode("entries").alias("i", "e")))
+    others = F.filter("entries", lambda y, j: j != F.col("i"))
+    poly = F.aggregate(others, F.array(F.lit(1.0)), lambda acc, y: _times(acc, y))
+    weight_of = F.element_at(_subset_weights(most), F.size("entries") + 1)
+    share = F.aggregate(F.zip_with(poly, weight_of, lambda c, w: c * w), F.lit(0.0), lambda a, b: a + b)
+    own = met.select("tree", "pattern", F.col("e.f").alias("f"), "value",
+                     (F.col("weight") * (F.col("e.o") - F.col("e.z")) * share).alias("s"))
+    sums = own.groupBy("tree", "pattern", "f").agg(*[F.sum(F.col("value")[c] * F.col("s")).alias(f"s{c}") for c in range(n_outputs)])
+    return sums.groupBy("tree", "pattern").agg(F.collect_list(F.struct("f", *[f"s{c}" for c in range(n_outputs)])).alias("parts"))
 
 
 def tree_shap(df: DataFrame, model, feature_names: list[str], ids: list[str], classification: bool,
-              method: str = "exact", features: str = "features") -> tuple[DataFrame, DataFrame]:
-    """Returns (long SHAP rows, expected values (output, expected_value))."""
+              features: str = "features") -> tuple[DataFrame, DataFrame]:
+    """(SHAP rows ``ids, output, feature, shap``, expected values ``output,
+    expected_value``).  ``ids`` identify a row; ``output`` is the class of a
+    classifier, the score column of a boosted model, else 0.  Per row and output
+    all features are there, and their sum plus the expected value is the
+    model's output (of boosted models the score without its start value)."""
     spark = df.sparkSession
-    ens = load_ensemble(spark, model, classification)
-    bc = spark.sparkContext.broadcast(ens)
-    names = list(feature_names)
-    id_types = dict(df.select(*ids).dtypes)
-    schema = ", ".join(f"`{c}` {id_types[c]}" for c in ids) + ", output int, feature string, shap double"
-
-    def run(batches):
-        e = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack(pdf["_x"].to_numpy()).astype(float)
-            phi = explain_matrix(X, e, method)
-            n, p, k = phi.shape
-            out = {c: np.repeat(pdf[c].to_numpy(), p * k) for c in ids}
-            out["output"] = np.tile(np.repeat(np.arange(k, dtype=np.int32), 1), n * p)
-            out["feature"] = np.tile(np.repeat(np.array(names, dtype=object), k), n)
-            out["shap"] = phi.reshape(-1)
-            yield pd.DataFrame(out)
-
-    src = df.select(*ids, vector_to_array(F.col(features)).alias("_x"))
-    shap = src.mapInPandas(run, schema)
-    ev = expected_value(ens, method)
-    exp_df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(ev)], "output int, expected_value double")
-    return shap, exp_df
+    nodes, k = node_table(spark, model, classification)
+    leaves = leaf_paths(nodes)
+    splits = (nodes.where("left >= 0").select("tree", "f", "at").distinct().groupBy("tree")
+              .agg(F.array_sort(F.collect_list(F.struct("f", "at"))).alias("splits"), F.count("*").alias("n")))
+    few = (splits.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SPLITS
+    tables = splits.drop("n")
+    trees = [r["tree"] for r in splits.select("tree").collect()]        # a number for each tree with splits
+    rows = df.select(*ids, vector_to_array(F.col(features)).alias("x"))
+    bits = F.array_join(F.transform("splits", lambda s: F.when(F.get("x", s["f"]) <= s["at"], "1").otherwise("0")), "")
+    placed = stage(rows.select(*ids, "x", F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<int>")).alias("tree"))
+                   .join(F.broadcast(tables) if few else tables, "tree")
+                   .select(*ids, "tree", F.md5(bits.cast("binary")).alias("pattern"), "x"), "tree-patterns")
+    patterns = stage(placed.groupBy("tree", "pattern").agg(F.any_value("x").alias("x")), "patterns")
+    values = stage(pattern_values(patterns, leaves, k), "pattern-values")
+    sums = (placed.select(*ids, "tree", "pattern").join(values, ["tree", "pattern"]).select(*ids, F.inline("parts"))
+            .groupBy(*ids, "f").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(k)]))
+    per_row = sums.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("f", F.array(*[f"s{c}" for c in range(k)])))).alias("_s"))
+    # features that no tree splits on, and rows without any split, have zeros
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("feature")) for i, n in enumerate(feature_names)])
+    full = (df.select(*ids).join(per_row, ids, "left").select(*ids, "_s", F.inline(names))
+            .select(*ids, "feature", F.posexplode(F.coalesce(F.col("_s")[F.col("i")], F.array(*[F.lit(0.0)] * k))).alias("output", "shap")))
+    reached = F.aggregate(F.transform("path", lambda e: e["z"]), F.lit(1.0), lambda a, z: a * z)
+    expected = (leaves.select(F.posexplode("value").alias("output", "v"), (F.col("weight") * reached).alias("w"))
+                .groupBy("output").agg(F.sum(F.col("v") * F.col("w")).alias("expected_value")))
+    return full.select(*ids, "output", "feature", "shap"), expected

@@ -294,12 +294,11 @@ def q_final_models(spark, sf):
 
 @query("tree_shap", with_(SPLIT, f"""
 SELECT coverage, row_num, o.output::INTEGER AS output, {len(MODEL_FEATURES)}::BIGINT AS n_features, 0.0::DOUBLE AS gap
-FROM split, (VALUES (0), (1), (2), (3)) AS o(output) WHERE split = 'test'"""), "ML17 ML18 UDF4 (path attributions of the final frequency forest)")
+FROM split, (VALUES (0), (1), (2), (3)) AS o(output) WHERE split = 'test'"""), "ML17 ML18 UDF4 (exact attributions of the final frequency forest)")
 def q_tree_shap(spark, sf):
     def one(cov):
         fs, freq, test = _final_freq(spark, sf, cov)
-        shap, ev = tree_shap(fs.transform(test), freq, fs.names, ["row_num"], classification=True,
-                             method="approximate")
+        shap, ev = tree_shap(fs.transform(test), freq, fs.names, ["row_num"], classification=True)
         p = score(freq, fs.transform(test), 1, "frequency").select(
             "row_num", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("output", "p"))
         total = shap.groupBy("row_num", "output").agg(F.sum("shap").alias("s"), F.count("*").alias("n_features"))

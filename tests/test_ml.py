@@ -1,4 +1,6 @@
 """L5 model tests: planted signal is learned; SHAP additivity."""
+import itertools
+import math
 import re
 
 import numpy as np
@@ -8,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ratewise.ml import models as M
-from ratewise.ml.treeshap import tree_shap
+from ratewise.ml.treeshap import node_table, tree_shap
 
 
 def _data(spark, n=400):
@@ -79,25 +81,66 @@ def test_boosted_model_reload(spark, tmp_path, loss, label):
     assert again.loss == loss and again.init == m.init
 
 
-def _additive(spark, model, d, classification, method):
-    shap, ev = tree_shap(d, model, ["a", "b", "c"], ["row_num"], classification=classification, method=method)
+def _gap(spark, model, d, classification, output=None):
+    """Largest distance of the contributions plus expectation from the model."""
+    shap, ev = tree_shap(d, model, ["a", "b", "c"], ["row_num"], classification=classification)
+    assert shap.count() == d.count() * 3 * ev.count()
     tot = shap.groupBy("row_num", "output").agg(F.sum("shap").alias("s")).join(ev, "output")
-    pred = model.transform(d)
-    if classification:
-        arr = vector_to_array("probability")
-        pred = pred.select("row_num", F.posexplode(arr).alias("output", "p"))
+    if output is not None:
+        pred = output
+    elif classification:
+        pred = model.transform(d).select("row_num", F.posexplode(vector_to_array("probability")).alias("output", "p"))
     else:
-        pred = pred.select("row_num", F.lit(0).alias("output"), F.col("prediction").alias("p"))
+        pred = model.transform(d).select("row_num", F.lit(0).alias("output"), F.col("prediction").alias("p"))
     j = tot.join(pred, ["row_num", "output"])
     return j.select(F.max(F.abs(F.col("s") + F.col("expected_value") - F.col("p")))).first()[0]
 
 
-def test_treeshap_additivity_regression_and_classifier(spark):
+def test_treeshap_additivity(spark):
     d = _data(spark, 150)
-    rf = M.fit_rf_reg(d, "y", {"ntrees": 4, "max_depth": 4})
-    assert _additive(spark, rf, d, False, "exact") < 1e-6
-    assert _additive(spark, rf, d, False, "approximate") < 1e-6
-    rfc = M.fit_rf_cls(d, "label", {"ntrees": 3, "max_depth": 3}, weight="w")
-    assert _additive(spark, rfc, d, True, "exact") < 1e-6
-    gbt = M.fit_gbt_reg(d, "y", {"ntrees": 3, "max_depth": 2, "learn_rate": 0.5})
-    assert _additive(spark, gbt, d, False, "exact") < 1e-6
+    assert _gap(spark, M.fit_rf_reg(d, "y", {"ntrees": 4, "max_depth": 7}), d, False) < 1e-9
+    assert _gap(spark, M.fit_rf_cls(d, "label", {"ntrees": 3, "max_depth": 3}, weight="w"), d, True) < 1e-9
+    assert _gap(spark, M.fit_gbt_reg(d, "y", {"ntrees": 3, "max_depth": 2, "learn_rate": 0.5}), d, False) < 1e-9
+    boosted = M.fit_boosted(d, "label", {"ntrees": 2, "max_depth": 2, "learn_rate": 0.5}, "multinomial")
+    scores = boosted.raw(d).select("row_num", F.posexplode(F.array(*[F.col(f"_f{c}") - boosted.init[c] for c in range(4)])).alias("output", "p"))
+    assert _gap(spark, boosted, d, False, scores) < 1e-9
+
+
+def test_treeshap_of_a_constant_model(spark):
+    d = _data(spark, 40).withColumn("y", F.lit(3.0))
+    assert _gap(spark, M.fit_rf_reg(d, "y", {"ntrees": 2, "max_depth": 3}), d, False) < 1e-9
+
+
+def _shapley(trees, x, p):
+    """Shapley values of the path-dependent expectation, over all subsets."""
+    def expect(tree, node, known):
+        left, right, f, at, cover, value, _ = tree[node]
+        if left < 0:
+            return value
+        if f in known:
+            return expect(tree, left if x[f] <= at else right, known)
+        return sum(expect(tree, c, known) * tree[c][4] for c in (left, right)) / cover
+
+    out = [0.0] * p
+    for tree in trees:
+        for i in range(p):
+            rest = [j for j in range(p) if j != i]
+            for n in range(p):
+                for s in itertools.combinations(rest, n):
+                    w = math.factorial(n) * math.factorial(p - n - 1) / math.factorial(p)
+                    out[i] += tree[0][6] * w * (expect(tree, 0, {*s, i}) - expect(tree, 0, set(s)))
+    return out
+
+
+def test_treeshap_equals_shapley_values_over_all_subsets(spark):
+    d = _data(spark, 120)
+    model = M.fit_rf_reg(d, "y", {"ntrees": 3, "max_depth": 5, "mtries": 2})
+    nodes, _ = node_table(spark, model, False)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r.tree, {})[r.node] = (r.left, r.right, r.f, r["at"], r.cover, r.value[0], r.weight)
+    shap, _ = tree_shap(d.limit(12), model, ["a", "b", "c"], ["row_num"], classification=False)
+    got = {(r.row_num, r.feature): r.shap for r in shap.collect()}
+    for r in d.limit(12).collect():
+        for name, want in zip("abc", _shapley(trees.values(), r.features.toArray().tolist(), 3)):
+            assert abs(got[r.row_num, name] - want) < 1e-9
