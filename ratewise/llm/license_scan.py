@@ -135,9 +135,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, max_shif
     # the template side is the literal lists above: a few hundred rows
     hashes = [r["h"] for r in table.where("template >= 0").select("h").distinct().collect()]
     # grams without a template's hash go inside the array; the rows that are left don't carry the words
-    grams = F.filter(F.transform("words", lambda w, i: F.struct(
-        i.alias("at"), w.alias("g0"), F.get("words", i + 1).alias("g1"), F.xxhash64(w, F.get("words", i + 1)).alias("h"))),
-        lambda g: g["h"].isin(hashes) & g["g1"].isNotNull())
+    pair = lambda i: (F.get("words", i), F.get("words", i + 1))
+    at = F.when(F.size("words") >= K, F.filter(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*pair(i)).isin(hashes))
+                ).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(at, lambda i: F.struct(i.alias("at"), pair(i)[0].alias("g0"), pair(i)[1].alias("g1"), F.xxhash64(*pair(i)).alias("h")))
     sentinel = F.struct(F.lit(-1).alias("at"), F.lit("").alias("g0"), F.lit("").alias("g1"), F.lit(SENTINEL).cast("long").alias("h"))
     joined = (docs.select("doc_id", words(F.col("text").cast("string")).alias("words"))
               .withColumn("row_id", F.monotonically_increasing_id())
