@@ -14,8 +14,9 @@ other features (Lundberg, Erion & Lee 2018 in closed form).
 Tables: the node table of the fitted model (MLlib writes it, Spark reads it);
 the leaf-path table made from it level by level; the patterns, that is the
 distinct outcomes of a tree's splits over all rows, which decide every o.  Rows
-are joined to their patterns, patterns to leaf paths, and contributions summed
-by group.  Nothing is collected.
+are joined to their patterns, patterns to leaf paths by interval, the outcomes
+met there to their values, and contributions summed by group.  No rows or nodes
+are collected.
 """
 
 from __future__ import annotations
@@ -128,21 +129,34 @@ def _times(poly, e):
     return F.zip_with(low, high, lambda a, b: a + b)
 
 
-def pattern_values(patterns: DataFrame, leaves: DataFrame, n_outputs: int) -> DataFrame:
-    """``tree, pattern, parts``: per pattern of a tree, ``x`` being any row
-    with it, the contribution of each feature (``f, s0, s1, ...``)."""
-    entries = F.transform("path", lambda e: F.struct(
-        e["f"].alias("f"), F.when((F.get("x", e["f"]) > e["lo"]) & (F.get("x", e["f"]) <= e["hi"]), 1.0).otherwise(0.0).alias("o"), e["z"].alias("z")))
+def leaf_values(leaves: DataFrame, seen: DataFrame, n_outputs: int) -> DataFrame:
+    """``tree, leaf, bits, parts`` for each ``tree, leaf, bits`` in ``seen``:
+    what the leaf gives each feature on its path (``f, s0, s1, ...``) when the
+    row's values are inside the intervals that ``bits`` names."""
+    entries = F.transform("path", lambda e, i: F.struct(
+        e["f"].alias("f"), F.substring("bits", i + 1, 1).cast("double").alias("o"), e["z"].alias("z")))
     most = leaves.agg(F.max(F.size("path"))).first()[0] or 0          # one number
-    met = (patterns.join(leaves, "tree").select("tree", "pattern", "value", "weight", entries.alias("entries"))
-           .select("tree", "pattern", "value", "weight", "entries", F.posexplode("entries").alias("i", "e")))
+    met = (seen.join(leaves, ["tree", "leaf"]).select("tree", "leaf", "bits", "value", "weight", entries.alias("entries"))
+           .select("tree", "leaf", "bits", "value", "weight", "entries", F.posexplode("entries").alias("i", "e")))
     others = F.filter("entries", lambda y, j: j != F.col("i"))
     poly = F.aggregate(others, F.array(F.lit(1.0)), lambda acc, y: _times(acc, y))
     weight_of = F.element_at(_subset_weights(most), F.size("entries") + 1)
     share = F.aggregate(F.zip_with(poly, weight_of, lambda c, w: c * w), F.lit(0.0), lambda a, b: a + b)
-    own = met.select("tree", "pattern", F.col("e.f").alias("f"), "value",
+    own = met.select("tree", "leaf", "bits", F.col("e.f").alias("f"), "value",
                      (F.col("weight") * (F.col("e.o") - F.col("e.z")) * share).alias("s"))
-    sums = own.groupBy("tree", "pattern", "f").agg(*[F.sum(F.col("value")[c] * F.col("s")).alias(f"s{c}") for c in range(n_outputs)])
+    return own.groupBy("tree", "leaf", "bits").agg(F.collect_list(
+        F.struct("f", *[(F.col("value")[c] * F.col("s")).alias(f"s{c}") for c in range(n_outputs)])).alias("parts"))
+
+
+def pattern_values(patterns: DataFrame, leaves: DataFrame, n_outputs: int) -> DataFrame:
+    """``tree, pattern, parts``: per pattern of a tree, ``x`` being any row
+    with it, the contribution of each feature (``f, s0, s1, ...``).  A leaf
+    meets few of the outcomes on its path, so each is worked out once."""
+    inside = F.transform("path", lambda e: F.when((F.get("x", e["f"]) > e["lo"]) & (F.get("x", e["f"]) <= e["hi"]), "1").otherwise("0"))
+    met = patterns.join(leaves.where(F.size("path") > 0), "tree").select("tree", "pattern", "leaf", F.array_join(inside, "").alias("bits"))
+    values = stage(leaf_values(leaves, met.select("tree", "leaf", "bits").distinct(), n_outputs), "leaf-values")
+    sums = (met.join(values, ["tree", "leaf", "bits"]).select("tree", "pattern", F.inline("parts"))
+            .groupBy("tree", "pattern", "f").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(n_outputs)]))
     return sums.groupBy("tree", "pattern").agg(F.collect_list(F.struct("f", *[f"s{c}" for c in range(n_outputs)])).alias("parts"))
 
 
