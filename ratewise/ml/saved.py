@@ -69,7 +69,7 @@ def typed(value: str | None):
 
 
 _NOT_PARAMETERS = {"coverage", "file", "response", "mod_num", "time_to_create", "logloss", "written"} | {
-    f"{m}{v}" for m in ("r_2", "mse", "rmse", "rmsle", "mae") for v in ("", "_valid")}
+    f"{m}{v}" for m in ("r_2", "mse", "rmse", "rmsle", "mae") for v in ("", "_valid", "_cv")}
 
 
 def winner(spark: SparkSession, root: str, part: str, file: str, mod_num: int) -> Winner:

@@ -1,20 +1,24 @@
 """Grid search (ML11), cross-validation (ML12), batch scoring (ML13) and
 results tables (SNK2–SNK4).
 
-The driver loops over *models* (grid rows, a few hundred at most); every fit
-and every metric is a distributed Spark job over the cached, assembled
-train/validation frames.  One result row per model is collected (metrics
-only) and appended to the results table; test predictions are appended to
-the predictions table, so a failed or interrupted run keeps everything done
+The driver keeps a bounded number of *models* going (grid rows, a few hundred
+at most); every fit and every metric is a distributed Spark job over the cached,
+assembled train/validation frames.  One result row per model is collected
+(metrics only) and appended to the results table; test predictions are appended
+to the predictions table, so a failed or interrupted run keeps everything done
 so far and a re-run skips finished models (resume).
 """
 
 from __future__ import annotations
 
 import logging
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,20 +71,40 @@ def _all_metrics(model, parts: dict[str, DataFrame], kind: str, label: str) -> d
     return {r["_split"]: r.asDict() for r in m.collect()}      # one row per split
 
 
+#: Models of a grid that are fitted at the same time: their small stages share
+#: the cores, while the memory of cached rows stays that of one copy.
+AT_ONCE = 4
+
+
 def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFrame, valid: DataFrame,
              test: DataFrame | None, kind: str, label: str, results_path: str | None = None,
-             predictions_path: str | None = None, done: set[int] | None = None) -> DataFrame:
-    """Fit every grid row not in ``done``; a failing model is logged and
-    skipped.  Returns the results of this run (one row per model)."""
-    rows = []
+             predictions_path: str | None = None, done: set[int] | None = None, at_once: int = AT_ONCE,
+             save_freq: int = 1, nfolds: int = 0) -> DataFrame:
+    """Fit every grid row not in ``done``, ``at_once`` at a time, each in a job
+    group and a scheduler pool of its own; the jobs of a model that fails are
+    cancelled, the failure is logged, the others go on.  Results are appended
+    as models finish, test predictions with every ``save_freq``-th of them and
+    at the end.  With ``nfolds`` the mean fold metrics are there as well
+    (``<metric>_cv``).  Returns the results of this run, one row per model in
+    the order of the grid."""
     done = done or set()
+    todo = [g for g in grid if int(g["mod_num"]) not in done]
     names = [k for k in (grid[0] if grid else {}) if k != "mod_num"]
-    schema = results_schema(names, kind)
-    for g in grid:
+    schema = results_schema(names, kind, nfolds)
+    lock, waiting, rows = threading.Lock(), [], {}
+    sc = spark.sparkContext
+
+    def flush() -> None:
+        while waiting:
+            mod, model = waiting.pop(0)
+            append_result(score(model, test, mod, kind), predictions_path)
+
+    def one(g: dict) -> None:
         mod = int(g["mod_num"])
-        if mod in done:
-            continue
         params = {k: v for k, v in g.items() if k != "mod_num"}
+        group = f"grid-{uuid.uuid4().hex[:8]}-{mod}"
+        sc.setJobGroup(group, f"model {mod}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", f"model-{mod}")
         t0 = time.time()
         try:
             model = fit(train, params)
@@ -89,9 +113,11 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
             if kind == "frequency" and test is not None:
                 parts["test"] = test
             ms = _all_metrics(model, parts, kind, label)
+            folds = cross_validate(train, fit, params, kind, label, nfolds) if nfolds else []
         except Exception as e:  # noqa: BLE001 — keep the grid going, as the reference does
-            log.error("model %s failed: %s", mod, e)
-            continue
+            sc.cancelJobGroup(group)
+            log.error("model %s failed: %s", mod, str(e)[:500])
+            return
         rec = {"mod_num": mod, "time_to_create": secs, **{k: fmt_value(v) for k, v in params.items()}}
         tr, va = ms.get("train", {}), ms.get("valid", {})
         for k, v in tr.items():
@@ -99,22 +125,37 @@ def run_grid(spark: SparkSession, grid: list[dict], fit: Callable, train: DataFr
                 continue
             rec[k] = v
             rec[f"{k}_valid"] = va.get(k)
+            if nfolds:
+                found = [f[k] for f in folds if f.get(k) is not None]
+                rec[f"{k}_cv"] = sum(found) / len(found) if found else None
         if "test" in ms:
             rec["logloss"] = ms["test"]["logloss"]
-        rows.append(rec)
-        if results_path:
-            append_result(spark.createDataFrame([rec], schema), results_path)
-        if predictions_path and test is not None:
-            append_result(score(model, test, mod, kind), predictions_path)
-    return spark.createDataFrame(rows, schema)
-
-
-def results_schema(params: list[str], kind: str) -> str:
+        with lock:                # appends one after the other
+            rows[mod] = rec
+            if results_path:
+                append_result(spark.createDataFrame([rec], schema), results_path)
+            if predictions_path and test is not None:
+                waiting.append((mod, model))
+                if len(waiting) >= save_freq:
+                    flush()
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        for f in [pool.submit(inheritable_thread_target(spark)(one), g) for g in todo]:
+            f.result()
+    with lock:
+        flush()
+    return spark.createDataFrame([rows[m] for m in sorted(rows)], schema)
+
+
+def results_schema(params: list[str], kind: str, nfolds: int = 0) -> str:
     """Columns of a results table: a metric may be NULL in every row of a run
-    (e.g. rmsle with a prediction of -1 or less), so types are declared."""
+    (e.g. rmsle with a prediction of -1 or less), so types are declared.
+    Parameters are text, as grids differ; ``ml.saved.typed`` gives their types
+    back."""
     metrics = ["r_2", "mse", "rmse"] + ([] if kind == "frequency" else ["rmsle", "mae"])
+    kinds = ("", "_valid", "_cv") if nfolds else ("", "_valid")
     return ", ".join(["mod_num int", "time_to_create double", *[f"`{p}` string" for p in params],
-                      *[f"{m}{v} double" for m in metrics for v in ("", "_valid")], *(["logloss double"] if kind == "frequency" else [])])
+                      *[f"{m}{v} double" for m in metrics for v in kinds], *(["logloss double"] if kind == "frequency" else [])])
 
 
 def done_models(spark: SparkSession, results_path: str) -> set[int]:

@@ -2,6 +2,8 @@
 import itertools
 import math
 import re
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ratewise.ml import models as M
+from ratewise.ml.tune import done_models, run_grid
 from ratewise.ml.treeshap import node_table, tree_shap
 
 
@@ -144,3 +147,34 @@ def test_treeshap_equals_shapley_values_over_all_subsets(spark):
     for r in d.limit(12).collect():
         for name, want in zip("abc", _shapley(trees.values(), r.features.toArray().tolist(), 3)):
             assert abs(got[r.row_num, name] - want) < 1e-9
+
+
+def test_grid_runs_models_together_and_survives_failures(spark, tmp_path):
+    d = _data(spark, 120).cache()
+    at_work, most, lock = [0], [0], threading.Lock()
+
+    def fit(rows, params):
+        with lock:
+            at_work[0] += 1
+            most[0] = max(most[0], at_work[0])
+        try:
+            if params["max_depth"] == 99:
+                rows.select(F.raise_error(F.lit("bad model"))).collect()
+            time.sleep(0.5)
+            return M.fit_rf_reg(rows, "y", params)
+        finally:
+            with lock:
+                at_work[0] -= 1
+
+    grid = [{"mod_num": i, "ntrees": 2, "max_depth": m} for i, m in enumerate((1, 2, 99, 3), 1)]
+    results, preds = str(tmp_path / "r"), str(tmp_path / "p")
+    out = run_grid(spark, grid, fit, d, d, d, "severity", "y", results, preds, at_once=3, save_freq=2, nfolds=2)
+    assert most[0] >= 2
+    rows = out.collect()
+    assert [r.mod_num for r in rows] == [1, 2, 4] and all(r.mse_cv > 0 for r in rows)
+    assert {r.mod_num for r in spark.read.parquet(results).collect()} == {1, 2, 4}
+    assert spark.read.parquet(preds).groupBy("mod_num").count().collect().__len__() == 3
+    again = run_grid(spark, grid, lambda r, p: M.fit_rf_reg(r, "y", p | {"max_depth": 2}), d, d, d, "severity", "y", results, preds,
+                     done=done_models(spark, results), nfolds=2)
+    assert [r.mod_num for r in again.collect()] == [3]
+    d.unpersist()
