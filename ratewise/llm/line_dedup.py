@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, filter_bits, merge_blocks, pair_to_batch, scratch
+from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, bloom_of, filter_bits, merge_blocks, pair_to_batch, scratch
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -88,6 +88,30 @@ def kept_lines(text: bytes, lost: list[bytes] | None, min_chars: int) -> tuple[l
             if k is None or xxhash.xxh3_128_digest(k) not in gone], len(lines)
 
 
+def _dealt(rows: DataFrame, key: str, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that lose no line, rows that may, with ``dropped_keys``).  A filter
+    of the ids that lose lines lets the texts of all others by the join; a
+    false positive only goes through it for nothing."""
+    lost = scratch(lost.toDF("lost_id", "dropped_keys"), "lost-lines")
+    touched = rows.sparkSession.sparkContext.broadcast(bloom_of(lost, "lost_id", lost.count()))
+    at = rows.columns.index(key)
+
+    def loses(batch):
+        ids = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        return touched.value.has(ids.view(np.uint64)) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+
+    def none(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~loses(batch)))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(loses(batch)))
+
+    return (rows.mapInArrow(none, rows.schema).withColumn("dropped_keys", F.lit(None).cast("array<binary>")),
+            rows.mapInArrow(some, rows.schema).join(lost, F.col(key) == F.col("lost_id"), "left").drop("lost_id"))
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per document: ``doc_id, n_lines, n_dropped, kept_sha256``.
 
@@ -108,8 +132,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return (src.join(lost_lines(src, min_chars, min_docs), "doc_id", "left").select("doc_id", "text", "dropped_keys")
-            .mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    none, some = _dealt(src, "doc_id", lost_lines(src, min_chars, min_docs))
+    return none.mapInArrow(apply, schema).unionByName(some.mapInArrow(apply, schema))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -132,5 +157,5 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     # numbered columns: whatever the others are called, nothing clashes
     d = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    lost = lost_lines(docs, min_chars, min_docs).toDF("lost_id", "dropped_keys")
-    return d.join(lost, F.col(f"c{names.index('doc_id')}") == F.col("lost_id"), "left").drop("lost_id").mapInArrow(apply, docs.schema)
+    none, some = _dealt(d, f"c{names.index('doc_id')}", lost_lines(docs, min_chars, min_docs))
+    return none.mapInArrow(apply, docs.schema).unionByName(some.mapInArrow(apply, docs.schema))
