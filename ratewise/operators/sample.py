@@ -47,16 +47,21 @@ def stratified_split(df: DataFrame, label: str, strata: list[str] | None = None,
     """SMP1: exact per-class quotas — ceil(p_train·n) rows of every
     (strata, label) class go to train, then ceil(p_test·rest) to test, the
     remainder to validate (JON6's complements are one label column: no
-    anti-join).  Adds ``split`` and keeps every input row."""
+    anti-join).  Adds ``split`` and ``split_rank`` and keeps every input row.
+
+    Only the key and the strata are ranked; the result is joined back by
+    ``key``, which identifies a row.  Of a table bucketed by the key the other
+    columns stay where they are."""
     strata = (strata or []) + [label]
-    r = hash_rank(df, strata, key, seed)
+    ranks = hash_rank(df.select(key, *strata), strata, key, seed)
     n = F.col("_n")
     n_train = F.ceil(n * p_train)
     n_test = F.ceil((n - n_train) * p_test)
     split = (F.when(F.col("_rank") <= n_train, F.lit("train"))
               .when(F.col("_rank") <= n_train + n_test, F.lit("test"))
               .otherwise(F.lit("validate")))
-    return r.withColumn(split_col, split).withColumn("split_rank", F.col("_rank")).drop("_rank", "_n")
+    found = ranks.select(key, split.alias(split_col), F.col("_rank").alias("split_rank"))
+    return df.join(found.hint("merge"), key)          # a bucketed side needs no exchange
 
 
 def draw_indices(strata_sizes: DataFrame, strata: list[str], size_col: str, target_col: str, seed,

@@ -16,6 +16,7 @@ from ..sources.policies import policy_view
 
 
 _STAGES: dict = {}
+_BUCKETS: dict = {}
 
 
 #: Rows of a stage-table partition: about 128 MB of policies with 46 factors.
@@ -27,29 +28,44 @@ def stage_partitions(spark: SparkSession, df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-df.count() // STAGE_ROWS))
 
 
-def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+def materialized(spark: SparkSession, key: tuple, build, buckets: int | None = None) -> DataFrame:
     """A stage table written once per session as Parquet into the shared
     checkpoint folder (``spark.checkpoint.dir``) and read back by every later
     plan — the Spark form of the reference's stage files.  It cuts lineage (a
     lost executor re-reads files instead of recomputing the stage), several
     branches of one plan do not recompute it, and the next stage gets
-    vectorized reads with column pruning and predicate push-down."""
+    vectorized reads with column pruning and predicate push-down.
+
+    Tables of policies are bucketed and sorted by the policy id, so what is
+    worked out for each policy from a few columns is joined back without
+    moving the others.  ``buckets``: ``build`` reads a stage table with so many
+    buckets, and its rows are still dealt by them."""
     k = (id(spark), spark.sparkContext.applicationId, *key)
     if k not in _STAGES:
         base = ensure_checkpoint_dir(spark)
         df = build()
-        # Stored hash-partitioned by the policy key, by number of rows: the wide
-        # unpivots that follow (46 factors x 3 measures per row) then run on
-        # every core instead of on however few partitions the small scan / AQE
-        # coalescing left.
-        if "policy_id" in df.columns:
-            df = df.repartition(stage_partitions(spark, df), "policy_id")
         path = os.path.join(base, f"stage-{key[0]}-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(path)
-        _STAGES[k] = spark.read.parquet(path)
+        if "policy_id" in df.columns:
+            n = buckets or stage_partitions(spark, df)
+            if not buckets:
+                # by number of rows: the wide unpivots that follow (46 factors x 3
+                # measures per row) then run on every core
+                df = df.repartition(n, "policy_id")
+            name = f"stage_{key[0]}_{uuid.uuid4().hex}"
+            (df.write.bucketBy(n, "policy_id").sortBy("policy_id").option("path", path).format("parquet").saveAsTable(name))
+            _STAGES[k] = spark.table(name)
+            _BUCKETS[k] = n
+        else:
+            df.write.mode("overwrite").parquet(path)
+            _STAGES[k] = spark.read.parquet(path)
     return _STAGES[k]
 
 
+def buckets_of(spark: SparkSession, *key) -> int:
+    """Buckets of a stage table that was written before."""
+    return _BUCKETS[id(spark), spark.sparkContext.applicationId, *key]
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_view(spark, sf_dir)
 
@@ -87,4 +103,5 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4: the modelling table with an exact stratified ``split`` per
     (coverage, capped claim class), ``label`` and ``row_num`` (= policy id,
     the stable row identity used by predictions).  Materialized once."""
-    return materialized(spark, ("split", sf_dir), lambda: split_table_plan(spark, sf_dir))
+    clean_policies(spark, sf_dir)
+    return materialized(spark, ("split", sf_dir), lambda: split_table_plan(spark, sf_dir), buckets_of(spark, "clean", sf_dir))
