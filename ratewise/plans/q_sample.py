@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.encode import enum_limited, ordinal_codes, top_levels, transform_join
+from ..operators.encode import eigen_codes, eigen_transform, enum_limited, ordinal_codes, top_levels, transform_join
+from ..operators.reshape import unpivot_factors
 from ..operators.sample import balance_classes, sample_n
 from ..schema import COVERAGES, MODEL_FEATURES
 from .registry import query
@@ -113,10 +114,35 @@ def q_enum_limited(spark, sf):
     return enum_limited(s.where(F.col("split") == "test"), top, "policy_id", MODEL_FEATURES)
 
 
-@query("eigen_encode", None, "ML2 Eigen (first principal component of each factor's one-hot)")
+_EIGEN_SQL = with_(SPLIT, f"""
+SELECT policy_id, variable, true AS encoded, true AS centred, true AS component, true AS first_one, true AS sign_ok
+FROM (SELECT policy_id, {_FEATS} FROM split WHERE split = 'test') UNPIVOT INCLUDE NULLS (level FOR variable IN ({_FEATS}))""")
+
+
+@query("eigen_encode", _EIGEN_SQL, "ML2 Eigen (first principal component of each factor's one-hot)")
 def q_eigen_encode(spark, sf):
-    from ..operators.encode import eigen_codes, eigen_transform
-    from .stages import round_doubles
+    """Test rows encoded, next to what makes a factor's values the centred
+    projections on the first component of diag(p) - p p': with the variance l
+    and the offset c of the loadings v = value + c they have mean 0, solve
+    p value = l v for all levels, l lies between the two largest shares, and
+    the largest loading is positive."""
     s = split_table(spark, sf)
-    codes = eigen_codes(s.where(F.col("split") == "train"), MODEL_FEATURES)
-    return round_doubles(eigen_transform(s.where(F.col("split") == "test"), codes, "policy_id"))
+    train = s.where(F.col("split") == "train")
+    codes = eigen_codes(train, MODEL_FEATURES)
+    values = spark.createDataFrame([(f, lv, x) for f, m in codes.items() for lv, x in m.items()], "variable string, level string, x double")
+    counts = unpivot_factors(train.select(*MODEL_FEATURES), [], MODEL_FEATURES).where("level is not null").groupBy("variable", "level").count()
+    known = (counts.join(values, ["variable", "level"]).groupBy("variable").agg(F.collect_list(F.struct("count", "x")).alias("v"), F.sum("count").alias("n"))
+             .withColumn("v", F.reverse(F.array_sort(F.transform("v", lambda r: F.struct((r["count"] / F.col("n")).alias("p"), r["x"].alias("x")))))))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda acc, r: acc + f(r))
+    found = (known.withColumns({"mean": total(lambda r: r["p"] * r["x"]), "l": total(lambda r: r["p"] * r["x"] * r["x"])})
+             .withColumn("c", F.try_divide(F.col("v")[0]["p"] * F.col("v")[0]["x"], F.col("l")) - F.col("v")[0]["x"]))
+    one = F.size("v") == 1                       # a constant factor has nothing to project
+    loadings = F.transform("v", lambda r: r["x"] + F.col("c"))
+    found = found.select(
+        "variable", (F.abs("mean") < 1e-9).alias("centred"),
+        (one | F.forall("v", lambda r: F.abs(r["p"] * r["x"] - F.col("l") * (r["x"] + F.col("c"))) < 1e-9)).alias("component"),
+        (one | (F.col("l") <= F.col("v")[0]["p"] + 1e-9) & (F.col("l") >= F.get("v", F.lit(1))["p"] - 1e-9)).alias("first_one"),
+        (one | (F.array_max(loadings) >= -F.array_min(loadings) - 1e-9)).alias("sign_ok"))
+    out = eigen_transform(s.where(F.col("split") == "test"), codes, "policy_id")
+    return out.join(found, "variable").select("policy_id", "variable", F.col("value").isNotNull().alias("encoded"),
+                                              "centred", "component", "first_one", "sign_ok")
