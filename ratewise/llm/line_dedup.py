@@ -109,7 +109,7 @@ def _dealt(rows: DataFrame, key: str, lost: DataFrame) -> tuple[DataFrame, DataF
             yield batch.filter(pa.array(loses(batch)))
 
     return (rows.mapInArrow(none, rows.schema).withColumn("dropped_keys", F.lit(None).cast("array<binary>")),
-            rows.mapInArrow(some, rows.schema).join(lost, F.col(key) == F.col("lost_id"), "left").drop("lost_id"))
+            rows.mapInArrow(some, rows.schema).join(lost.hint("merge"), F.col(key) == F.col("lost_id"), "left").drop("lost_id"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
