@@ -8,6 +8,8 @@ version instead.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import chat_format
 from .common import read_table
 from .decontaminate import decontaminate
@@ -17,6 +19,7 @@ from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .packing import pack
+from .passages import shared_passages
 from .quality import quality_classifier
 from .spelling import spelling_groups
 from .suffix_dedup import substring_dedup
@@ -33,7 +36,11 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+    """The substring dedup, and as a column of its own what is shorter than its
+    400 bytes: passages of over 50 words that other documents hold too."""
+    docs = read_table(spark, sf_dir, "documents")
+    return (substring_dedup(docs).drop("spans").join(shared_passages(docs), "doc_id", "left")
+            .withColumn("n_passage_anchors", F.coalesce("n_passage_anchors", F.lit(0).cast("long"))))
 
 
 def op4_exact_dedup(spark, sf_dir):

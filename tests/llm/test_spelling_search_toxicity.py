@@ -14,6 +14,7 @@ import pytest
 
 from ratewise.llm import lexical_search as S
 from ratewise.llm import toxicity as X
+from ratewise.llm.passages import shared_passages
 from ratewise.llm.spelling import Acceptor, checksums, spelling_groups
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -296,3 +297,44 @@ def test_kneser_ney_against_dictionaries(spark):
     for w, x in zip(words, got):
         want = brute_kneser_ney(docs, sample, w, 4, 1.5)
         assert x == pytest.approx(math.log1p(.003 * math.expm1(min(want, X.MOST))), abs=1e-9)
+
+
+# ------------------------------------------------------------------- passages
+def test_shared_passages(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    plain = [(i, " ".join(words(rng.randint(0, 200)))) for i in range(60)]
+    shared = {}
+    docs = list(plain)
+    for n, size in enumerate((43, 51, 52, 60, 90, 200)):
+        passage = words(size)
+        for copy in range(2):
+            i = 100 + 10 * n + copy
+            docs.append((i, " ".join(words(rng.randint(0, 40)) + [w.upper() if copy and w.isascii() else w for w in passage] + words(rng.randint(0, 40)))))
+            shared[i] = size
+    whole = " ".join(words(51))
+    docs += [(300, whole), (301, whole + "\n"), (302, " ".join(words(50))), (303, None), (304, ""), (None, whole), (None, None)]
+    long = " ".join(words(30_000))
+    docs += [(305, long), (306, long[:150_000] + " end"), (307, "ha " * 400), (308, "ha " * 30 + "x"), (309, "ha " * 60)]
+    docs += [(310, plain[5][1] + " " + " ".join(words(60))), (310, " ".join(words(60)))]          # one document
+    got = {r.doc_id: r.n_passage_anchors for r in shared_passages(frame(spark, docs), 51).collect()}
+    text = defaultdict(list)
+    for i, t in docs:
+        if i is not None:
+            text[i].append(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)))
+    holders = lambda k: {w: ids for w, ids in _windows(text, k).items() if len(ids) > 1}
+    must, may = ({i for ids in holders(k).values() for i in ids} for k in (51, 44))
+    assert must <= set(got) <= may and min(got.values()) > 0
+    assert {i for i, size in shared.items() if size >= 51} <= must and {300, 301, 305, 306, 307, 309} <= must
+    assert not {i for i, size in shared.items() if size < 44} & set(got)
+    assert shared_passages(frame(spark, []), 51).count() == 0
+
+
+def _windows(text, k):
+    found = defaultdict(set)
+    for i, rows in text.items():
+        for w in rows:
+            for a in range(len(w) - k + 1):
+                found[" ".join(w[a:a + k])].add(i)
+    return found
