@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 
 #: Rows of an expectation table that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -73,6 +74,7 @@ def mshap(sev_shap: DataFrame, freq_shap: DataFrame, sev_expected, freq_expected
     expected_value), as ``tree_shap`` gives them for each coverage."""
     keys = keys or []
     rows = _with_class_means(_with_severity_mean(_per_row(sev_shap, freq_shap, keys), sev_expected, keys), freq_expected, keys)
+    rows = stage(rows, "mshap-rows")          # gathered once, for the expectation and for the rows
     mu_g, mu_h = F.col("_mg"), F.col("_mh")
     E = rows.groupBy(*keys, "num_claims").agg(F.avg((mu_g + F.col("_gsum")) * (mu_h + F.col("_hsum"))).alias("expected_value"))
     rows = _small_join(rows, E, [*keys, "num_claims"])

@@ -1,14 +1,23 @@
 """Registered queries: mSHAP and explanation summaries on synthetic SHAP
-rows of the test split (ML19–ML23, SRT5)."""
+rows of the test split (ML19–ML23, SRT5), and mSHAP on fitted models."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ml import models as M
+from ..ml.features import fit_features
+from ..ml.saved import training_rows
+from ..ml.treeshap import tree_shap
+from ..ml.tune import score
 from ..operators.explain import ev_explained, ith_rows, mshap, shap_check, shap_local, shap_summary
 from ..sources.synthetic import (freq_expected_sql, frequency_shap, sev_expected_sql, severity_shap, shap_expectations,
                                  shap_sql)
-from ..schema import COVERAGES
+from ..schema import COVERAGES, MODEL_FEATURES
+from .q_models import balanced_train, settings, split_frames
 from .q_twopart import test_rows
 from .registry import query
 from .sqlparts import SPLIT, rnd, with_
@@ -134,3 +143,46 @@ def q_shap_observations(spark, sf):
     vals, e = _mshap(spark, sf)
     ev, _ = ev_explained(vals, e, K)
     return round_doubles(ev.join(F.broadcast(chosen), ["coverage", "row_num"]).select("coverage", "position", "row_num", "feature", "shap"))
+
+
+_FITTED_SQL = with_(SPLIT, f"""
+SELECT coverage, row_num, c.num_claims::INTEGER AS num_claims, {len(MODEL_FEATURES)}::BIGINT AS n_features, 0.0::DOUBLE AS gap
+FROM split, (VALUES (0), (1), (2), (3)) AS c(num_claims) WHERE split = 'test'""")
+
+
+def fitted_shap(spark, sf, cov):
+    """(severity rows, frequency rows, expectations of both, predictions) of
+    fitted models of one coverage: a forest of claim classes and a severity
+    forest, for the collision-like coverage Huber boosting."""
+    train, _, test = split_frames(spark, sf, cov)
+    rows = training_rows(train, "sev", "severity")
+    fs = fit_features(train, MODEL_FEATURES)
+    freq = M.fit_rf_cls(fs.transform(balanced_train(train)), "label", settings("rf", ntrees=5, max_depth=4))
+    if cov == "coll":
+        sev = M.fit_boosted(fs.transform(rows), "y", settings("gb", ntrees=4), "huber")
+    else:
+        sev = M.fit_rf_reg(fs.transform(rows), "y", settings("rf", ntrees=5, max_depth=4))
+    t = fs.transform(test)
+    sv, sev_mean = tree_shap(t, sev, fs.names, ["row_num"], classification=False)
+    fv, freq_mean = tree_shap(t, freq, fs.names, ["row_num"], classification=True)
+    start = sev.init[0] if isinstance(sev, M.BoostedModel) else 0.0
+    p = (score(freq, t, 1, "frequency").select("row_num", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("num_claims", "p"))
+         .join(score(sev, t, 1, "severity").select("row_num", F.col("predict").alias("s")), "row_num"))
+    named = lambda d: d.withColumn("coverage", F.lit(cov))
+    return (named(sv.drop("output")), named(fv.withColumnRenamed("output", "num_claims")),
+            named(sev_mean.select((F.col("expected_value") + F.lit(start)).alias("expected_value"))),
+            named(freq_mean.withColumnRenamed("output", "num_claims")), named(p))
+
+
+@query("mshap_fitted", _FITTED_SQL, "ML17 ML18 ML19 ML21 UDF4 (attributions of fitted models and of their product)")
+def q_mshap_fitted(spark, sf):
+    """Per test row and class the distance of the product's attributions and
+    expectation from the fitted models' severity times class probability."""
+    parts = [fitted_shap(spark, sf, cov) for cov in COVERAGES]
+    sv, fv, sev_mean, freq_mean, p = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
+    values, expected = mshap(sv, fv, sev_mean, freq_mean, keys=K)
+    total = values.groupBy(*K, "row_num", "num_claims").agg(F.sum("shap").alias("total"), F.count("*").alias("n_features"))
+    out = total.join(expected, [*K, "num_claims"]).join(p, [*K, "row_num", "num_claims"])
+    product = F.col("s") * F.col("p")
+    gap = (F.col("total") + F.col("expected_value") - product) / F.greatest(F.abs(product), F.lit(1.0))
+    return out.select(*K, "row_num", "num_claims", "n_features", F.abs(F.round(gap, 6)).alias("gap"))

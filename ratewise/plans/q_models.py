@@ -54,7 +54,7 @@ def settings(family: str, **more) -> dict:
     return REFERENCE[family] | SMALL[family] | more
 
 
-def _split(spark, sf, cov):
+def split_frames(spark, sf, cov):
     s = split_table(spark, sf).where(F.col("coverage") == cov)
     return (s.where(F.col("split") == "train"), s.where(F.col("split") == "validate"),
             s.where(F.col("split") == "test"))
@@ -82,7 +82,7 @@ def _per_coverage(fn) -> DataFrame:
 
 
 def _severity_frames(spark, sf, cov, log_response: bool):
-    train, valid, test = _split(spark, sf, cov)
+    train, valid, test = split_frames(spark, sf, cov)
     tr = distinct_rows(claims_only(train))                 # FLT2 + AGG16/SMP4, on the training rows alone:
     if log_response:                                        # FLT3 + PRJ20    every test row gets a prediction
         tr = min_severity(tr, 1.0).withColumn("y", F.log("severity"))
@@ -91,7 +91,7 @@ def _severity_frames(spark, sf, cov, log_response: bool):
     return tr, test
 
 
-def _balanced_train(train: DataFrame) -> DataFrame:
+def balanced_train(train: DataFrame) -> DataFrame:
     n = train.count()                                       # one number per coverage
     return balance_classes(train, "label", max(1, math.ceil(n / 4)), seed=SEED, rank_col="split_rank")
 
@@ -110,8 +110,8 @@ def _sev_query(fit, log_response=False, one_hot=False):
 def _freq_query(fit, numeric=("EARNED_EXPOSURE",), one_hot=False):
     def build(spark, sf):
         def one(cov):
-            train, _, test = _split(spark, sf, cov)
-            tr = _balanced_train(train)
+            train, _, test = split_frames(spark, sf, cov)
+            tr = balanced_train(train)
             fs = fit_features(train, MODEL_FEATURES, list(numeric), one_hot=one_hot)
             model = fit(fs.transform(tr), len(fs.names))
             return score(model, fs.transform(test), 0, "frequency")
@@ -145,9 +145,9 @@ _SMALL_GRID = {"ntrees": [10], "max_depth": [3, 6]}
 
 
 def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
-    train, valid, test = _split(spark, sf, cov)
+    train, valid, test = split_frames(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-    tr, va, te = (fs.transform(x).cache() for x in (_balanced_train(train), valid, test))
+    tr, va, te = (fs.transform(x).cache() for x in (balanced_train(train), valid, test))
     res = run_grid(spark, grid_rows(_SMALL_GRID),
                    lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16}), tr, va, te, "frequency", "label",
                    results_path, predictions_path)
@@ -186,7 +186,7 @@ FROM (SELECT DISTINCT * FROM (SELECT *, ('0x' || substr(md5(CAST(row_num AS VARC
 @query("cross_validate", _CV_SQL, "ML12 (5 hashed folds, per-fold validation metrics)")
 def q_cross_validate(spark, sf):
     def one(cov):
-        train, _, _ = _split(spark, sf, cov)
+        train, _, _ = split_frames(spark, sf, cov)
         tr = distinct_rows(claims_only(train)).withColumn("y", F.col("severity"))
         fs = fit_features(tr, MODEL_FEATURES)
         assembled = fs.transform(tr).cache()
@@ -202,9 +202,9 @@ def q_cross_validate(spark, sf):
 @query("score_test", _FREQ_ROWS.replace("0 AS mod_num", "1 AS mod_num"), "ML13 (test predictions tagged mod_num, row_num)")
 def q_score_test(spark, sf):
     def one(cov):
-        train, _, test = _split(spark, sf, cov)
+        train, _, test = split_frames(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-        model = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", settings("rf"))
+        model = M.fit_rf_cls(fs.transform(balanced_train(train)), "label", settings("rf"))
         return score(model, fs.transform(test), 1, "frequency")
     return _checked(_per_coverage(one))
 
@@ -219,8 +219,8 @@ def q_refit_best(spark, sf):
             f.unpersist()
         best = res.orderBy(F.col("logloss").asc_nulls_last(), "mod_num").first()   # one results row
         origin = Winner(cov, "freq", "rf", "ultimate_claim_count", int(best["mod_num"]), {k: typed(best[k]) for k in _SMALL_GRID} | {"seed": 16})
-        train, valid, test = _split(spark, sf, cov)
-        path = refit(origin, _balanced_train(train).unionByName(valid)).save(os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
+        train, valid, test = split_frames(spark, sf, cov)
+        path = refit(origin, balanced_train(train).unionByName(valid)).save(os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
         return load_fitted(spark, path).predict(test)                # SRC9: model by its folder
     return _checked(_per_coverage(one)).drop("mod_num")      # which model is best is not SQL's to say
 
@@ -237,11 +237,11 @@ def q_boosted_reload(spark, sf):
     base = ensure_checkpoint_dir(spark)
 
     def one(cov):
-        train, _, test = _split(spark, sf, cov)
+        train, _, test = split_frames(spark, sf, cov)
         out = []
         for part, response, params in (("sev", "severity", settings("gb", ntrees=4, distribution="huber")),
                                        ("freq", "ultimate_claim_count", settings("gb", ntrees=2, distribution="multinomial"))):
-            fitted = refit(Winner(cov, part, "gb", response, 1, params), train if part == "sev" else _balanced_train(train))
+            fitted = refit(Winner(cov, part, "gb", response, 1, params), train if part == "sev" else balanced_train(train))
             path = fitted.save(os.path.join(base, f"boosted_{cov}_{part}_{uuid.uuid4().hex}"))
             names = ["predict"] if part == "sev" else ["predict", "p0", "p1", "p2", "p3"]
             a, b = (m.predict(test).select("row_num", F.struct(*names).alias(c)) for m, c in ((fitted, "before"), (load_fitted(spark, path), "after")))
@@ -255,9 +255,9 @@ def q_boosted_reload(spark, sf):
 def _final_freq(spark, sf, cov):
     """ML16 frequency part: forest classifier with exposure as the sample
     weight (not as a feature)."""
-    train, _, test = _split(spark, sf, cov)
+    train, _, test = split_frames(spark, sf, cov)
     fs = fit_features(train, MODEL_FEATURES)
-    freq = M.fit_rf_cls(fs.transform(_balanced_train(train)), "label", settings("rf"), weight="EARNED_EXPOSURE")
+    freq = M.fit_rf_cls(fs.transform(balanced_train(train)), "label", settings("rf"), weight="EARNED_EXPOSURE")
     return fs, freq, test
 
 
@@ -333,9 +333,9 @@ def q_grid_resume(spark, sf):
     base = os.path.join(ensure_checkpoint_dir(spark), f"grid-{uuid.uuid4().hex}")
 
     def one(cov):
-        train, valid, test = _split(spark, sf, cov)
+        train, valid, test = split_frames(spark, sf, cov)
         fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-        tr, va, te = (fs.transform(x).cache() for x in (_balanced_train(train), valid, test))
+        tr, va, te = (fs.transform(x).cache() for x in (balanced_train(train), valid, test))
         results, preds = os.path.join(base, cov, "results"), os.path.join(base, cov, "predictions")
         fit = lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16})
         rows = grid_rows(_SMALL_GRID)
@@ -366,9 +366,9 @@ def q_end_to_end(spark, sf):
     sev_fit = lambda d, p: M.fit_gbt_reg(d, "y", settings("gb", ntrees=int(p["ntrees"]), max_depth=2, distribution="gaussian"))
     freq_fit = lambda d, p: M.fit_rf_cls(d, "label", {"ntrees": int(p["ntrees"]), "max_depth": 4, "seed": 16})
     for cov in COVERAGES:
-        train, valid, test = _split(spark, sf, cov)
+        train, valid, test = split_frames(spark, sf, cov)
         runs = (("sev", "gb", "severity", sev_fit, training_rows(train, "sev", "severity"), training_rows(valid, "sev", "severity"), []),
-                ("freq", "rf", "ultimate_claim_count", freq_fit, _balanced_train(train), valid, ["EARNED_EXPOSURE"]))
+                ("freq", "rf", "ultimate_claim_count", freq_fit, balanced_train(train), valid, ["EARNED_EXPOSURE"]))
         for part, algo, response, fit, tr, va, numeric in runs:
             fs = fit_features(tr, MODEL_FEATURES, numeric)
             tables = [table_path(root, cov, part, algo, response, kind) for kind in ("tuning_results", "predictions")]
@@ -380,8 +380,8 @@ def q_end_to_end(spark, sf):
     best = {r["coverage"]: r for r in to_driver(best_pair(pairs, "mae", by=["coverage"])).to_dict("records")}   # one row per coverage
     scored = []
     for cov in COVERAGES:
-        train, valid, test = _split(spark, sf, cov)
-        saved = save_best_pair(spark, root, best[cov], {"sev": train, "freq": _balanced_train(train)}, valid)
+        train, valid, test = split_frames(spark, sf, cov)
+        saved = save_best_pair(spark, root, best[cov], {"sev": train, "freq": balanced_train(train)}, valid)
         both = [load_fitted(spark, saved[part]).predict(test).select("row_num", F.col("predict").cast("double").alias(part)) for part in ("sev", "freq")]
         scored.append(both[0].join(both[1], "row_num").select(F.lit(cov).alias("coverage"), "sev", "freq"))
     counts = lambda d, name: d.groupBy("coverage").agg(
