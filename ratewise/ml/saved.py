@@ -12,6 +12,7 @@ import ast
 import json
 import os
 import re
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -137,6 +138,34 @@ def fit_family(train: DataFrame, algo: str, kind: str, params: dict, features: F
     return FAMILIES[algo](made, "y", params, kind, held, n_features)
 
 
+@dataclass
+class EncodedModel:
+    """A model with its features, as one transformer of raw rows."""
+
+    features: FeatureSpace
+    model: object
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.features.transform(rows))
+
+
+def grid_fitter(train: DataFrame, algo: str, kind: str, numeric: list[str] | None = None) -> Callable:
+    """A fitter for ``run_grid`` on raw rows with the label ``y``: the grid's
+    ``categorical_encoding`` decides the features, which are fitted on ``train``
+    once for each encoding."""
+    lock, spaces = threading.Lock(), {}
+
+    def fit(rows: DataFrame, params: dict) -> EncodedModel:
+        encoding = params.get("categorical_encoding", "ordinal")
+        with lock:
+            if encoding not in spaces:
+                spaces[encoding] = fit_features(train, MODEL_FEATURES, numeric, one_hot=algo == "baseline", encoding=encoding)
+        space = spaces[encoding]
+        return EncodedModel(space, fit_family(rows, algo, kind, params, space))
+
+    return fit
+
+
 # --------------------------------------------------------------- saved models
 @dataclass
 class FittedModel:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..ml import models as M
 from ..ml.features import fit_features
+from ..ml.grids import REFERENCE_GRIDS
+from ..ml.saved import Winner, grid_fitter, load_fitted, refit, save_best_pair, training_rows, typed
 from ..ml.treeshap import tree_shap
-from ..ml.saved import Winner, load_fitted, refit, save_best_pair, training_rows, typed
 from ..ml.tune import cross_validate, run_grid, score
 from ..functions.columns import claim_weight
 from ..operators.clean import claims_only, distinct_rows, min_severity
@@ -141,17 +142,18 @@ query("mlp_frequency", _FREQ_ROWS, "ML10 (MLlib multilayer perceptron)")(
     _freq_query(lambda d, p: M.fit_mlp_cls(d, p, settings("nn"), max_iter=50)))
 
 
-_SMALL_GRID = {"ntrees": [10], "max_depth": [3, 6]}
+#: The reference's grid of frequency forests, made small.
+_SMALL_GRID = REFERENCE_GRIDS["rf_frequency"] | {"ntrees": [10], "max_depth": [3, 6], "min_split_improvement": [0.001], "mtries": [7]}
 
 
 def _grid_run(spark, sf, cov, results_path=None, predictions_path=None):
     train, valid, test = split_frames(spark, sf, cov)
-    fs = fit_features(train, MODEL_FEATURES, ["EARNED_EXPOSURE"])
-    tr, va, te = (fs.transform(x).cache() for x in (balanced_train(train), valid, test))
-    res = run_grid(spark, grid_rows(_SMALL_GRID),
-                   lambda d, p: M.fit_rf_cls(d, "label", {**p, "seed": 16}), tr, va, te, "frequency", "label",
-                   results_path, predictions_path)
-    return res, fs, (tr, va, te)
+    tr, va, te = (x.withColumn("y", F.col("label")).cache() for x in (balanced_train(train), valid, test))
+    res = run_grid(spark, grid_rows(_SMALL_GRID), grid_fitter(train, "rf", "frequency", ["EARNED_EXPOSURE"]), tr, va, te,
+                   "frequency", "label", results_path, predictions_path)
+    for f in (tr, va, te):          # results are collected metric rows: release the caches
+        f.unpersist()
+    return res
 
 
 _GRID_SQL = ("SELECT coverage, mod_num::INTEGER AS mod_num, ntrees, max_depth, true AS measured FROM "
@@ -170,10 +172,7 @@ def _measured(results: DataFrame) -> DataFrame:
 @query("grid_search", _GRID_SQL, "ML11 SNK2 SNK3 SNK4 JON5 (grid of forest classifiers per coverage, results table)")
 def q_grid_search(spark, sf):
     def one(cov):
-        res, _, frames = _grid_run(spark, sf, cov)
-        for f in frames:            # results are collected metric rows: release the caches
-            f.unpersist()
-        return res
+        return _grid_run(spark, sf, cov)
     return _measured(_per_coverage(one))
 
 
@@ -214,11 +213,9 @@ def q_refit_best(spark, sf):
     base = ensure_checkpoint_dir(spark)
 
     def one(cov):
-        res, _, frames = _grid_run(spark, sf, cov)
-        for f in frames:
-            f.unpersist()
+        res = _grid_run(spark, sf, cov)
         best = res.orderBy(F.col("logloss").asc_nulls_last(), "mod_num").first()   # one results row
-        origin = Winner(cov, "freq", "rf", "ultimate_claim_count", int(best["mod_num"]), {k: typed(best[k]) for k in _SMALL_GRID} | {"seed": 16})
+        origin = Winner(cov, "freq", "rf", "ultimate_claim_count", int(best["mod_num"]), {k: typed(best[k]) for k in _SMALL_GRID})
         train, valid, test = split_frames(spark, sf, cov)
         path = refit(origin, balanced_train(train).unionByName(valid)).save(os.path.join(base, f"best_{cov}_rf_frequency_{uuid.uuid4().hex}"))
         return load_fitted(spark, path).predict(test)                # SRC9: model by its folder
