@@ -48,6 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     master, as in tests, gets a scratch folder of its own when the setting is
     absent: elsewhere executors would each write to their own disk.
     """
+    ship_package(spark)          # whoever writes there soon runs functions of this package in Python workers
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
