@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, bloom_of, filter_bits, merge_blocks, pair_to_batch, scratch
+from .common import BLOCK_BITS, BLOCK_SCHEMA, Bloom, BloomPair, Scratch, bloom_of, filter_bits, merge_blocks, pair_to_batch, scratch
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -40,7 +40,9 @@ def _texts(batch, i):
 
 
 def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """``doc_id, dropped_keys``: the key hashes whose lines a document loses."""
+    """``doc_id, dropped_keys``: the key hashes whose lines a document loses, as
+    a scratch table of its own."""
+    keep = Scratch()
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     n_lines = src.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     log2 = filter_bits(int(n_lines))
@@ -71,11 +73,13 @@ def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())],
                                              names=["doc_id", "key"])
 
-    seen = scratch(src.where("doc_id is not null").mapInArrow(suspects, "doc_id long, key binary").distinct(), "suspects")
-    repeated = scratch(seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc"))
+    seen = keep(src.where("doc_id is not null").mapInArrow(suspects, "doc_id long, key binary").distinct(), "suspects")
+    repeated = keep(seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_doc"))
                        .where(F.col("n") >= min_docs).drop("n"), "repeated")
-    return (seen.join(repeated, "key").where("doc_id <> keep_doc")
-              .groupBy("doc_id").agg(F.collect_list("key").alias("dropped_keys")))
+    lost = scratch(seen.join(repeated, "key").where("doc_id <> keep_doc")
+                   .groupBy("doc_id").agg(F.collect_list("key").alias("dropped_keys")), "lost-lines")
+    keep.clear()
+    return lost
 
 
 def kept_lines(text: bytes, lost: list[bytes] | None, min_chars: int) -> tuple[list[bytes], int]:
@@ -92,7 +96,7 @@ def _dealt(rows: DataFrame, key: str, lost: DataFrame) -> tuple[DataFrame, DataF
     """(rows that lose no line, rows that may, with ``dropped_keys``).  A filter
     of the ids that lose lines lets the texts of all others by the join; a
     false positive only goes through it for nothing."""
-    lost = scratch(lost.toDF("lost_id", "dropped_keys"), "lost-lines")
+    lost = lost.toDF("lost_id", "dropped_keys")
     touched = rows.sparkSession.sparkContext.broadcast(bloom_of(lost, "lost_id", lost.count()))
     at = rows.columns.index(key)
 
