@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm.common import read_table, scratch
+from ratewise.llm.common import discard, read_table, scratch
 from ratewise.llm.decontaminate import decontaminate
 from ratewise.llm.jaccard_join import jaccard_components
 from ratewise.llm.line_dedup import drop_lines
@@ -64,6 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    written = None
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            discard(written)           # the next stage has read it
+        written = docs
     return docs
