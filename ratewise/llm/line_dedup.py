@@ -92,13 +92,13 @@ def kept_lines(text: bytes, lost: list[bytes] | None, min_chars: int) -> tuple[l
             if k is None or xxhash.xxh3_128_digest(k) not in gone], len(lines)
 
 
-def _dealt(rows: DataFrame, key: str, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that lose no line, rows that may, with ``dropped_keys``).  A filter
-    of the ids that lose lines lets the texts of all others by the join; a
-    false positive only goes through it for nothing."""
+def _applied(rows: DataFrame, key: str, lost: DataFrame, apply, schema) -> DataFrame:
+    """``apply(batch, lists of lost keys)`` for all rows.  A filter of the ids
+    that lose lines lets the texts of all others by the join; a false positive
+    only goes through it for nothing."""
     lost = lost.toDF("lost_id", "dropped_keys")
     touched = rows.sparkSession.sparkContext.broadcast(bloom_of(lost, "lost_id", lost.count()))
-    at = rows.columns.index(key)
+    at, n = rows.columns.index(key), len(rows.columns)
 
     def loses(batch):
         ids = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
@@ -106,14 +106,20 @@ def _dealt(rows: DataFrame, key: str, lost: DataFrame) -> tuple[DataFrame, DataF
 
     def none(batches):
         for batch in batches:
-            yield batch.filter(pa.array(~loses(batch)))
+            rest = batch.filter(pa.array(~loses(batch)))
+            yield apply(rest, [None] * rest.num_rows)
 
     def some(batches):
         for batch in batches:
             yield batch.filter(pa.array(loses(batch)))
 
-    return (rows.mapInArrow(none, rows.schema).withColumn("dropped_keys", F.lit(None).cast("array<binary>")),
-            rows.mapInArrow(some, rows.schema).join(lost.hint("merge"), F.col(key) == F.col("lost_id"), "left").drop("lost_id"))
+    def joined(batches):
+        for batch in batches:
+            yield apply(pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]), batch.column(n).to_pylist())
+
+    # a merge join at every size, so that shuffle follows the input
+    met = rows.mapInArrow(some, rows.schema).join(lost.hint("merge"), F.col(key) == F.col("lost_id"), "left").drop("lost_id")
+    return rows.mapInArrow(none, schema).unionByName(met.mapInArrow(joined, schema))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -124,21 +130,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     line.  Rows repeated with one ``doc_id`` count as one document.  Rows
     without a ``doc_id`` are left whole and not counted.  An empty table gives
     an empty result; other columns are not read."""
-    def apply(batches):
-        for batch in batches:
-            out = [[], [], []]
-            for t, lost in zip(_texts(batch, 1), batch.column(2).to_pylist()):
-                kept, n = kept_lines(t, lost, min_chars)
-                for col, v in zip(out, (n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest())):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+    def apply(batch, lists):
+        out = [[], [], []]
+        for t, lost in zip(_texts(batch, 1), lists):
+            kept, n = kept_lines(t, lost, min_chars)
+            for col, v in zip(out, (n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest())):
+                col.append(v)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+            names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-    none, some = _dealt(src, "doc_id", lost_lines(src, min_chars, min_docs))
-    return none.mapInArrow(apply, schema).unionByName(some.mapInArrow(apply, schema))
+    return _applied(src, "doc_id", lost_lines(src, min_chars, min_docs), apply,
+                    "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -148,18 +152,16 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     names = docs.columns
     at = names.index("text")
 
-    def apply(batches):
-        for batch in batches:
-            kept = [None if t is None else b"\n".join(kept_lines(t, lost, min_chars)[0]).decode("utf-8", "replace")
-                    for t, lost in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist())]
-            cols = list(batch.columns[:len(names)])
-            cols[at] = pa.array(kept, pa.string())
-            if "n_chars" in names:
-                i = names.index("n_chars")
-                cols[i] = pa.array([None if t is None else len(t) for t in kept], cols[i].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def apply(batch, lists):
+        kept = [None if t is None else b"\n".join(kept_lines(t, lost, min_chars)[0]).decode("utf-8", "replace")
+                for t, lost in zip(batch.column(at).cast(pa.binary()).to_pylist(), lists)]
+        cols = list(batch.columns)
+        cols[at] = pa.array(kept, pa.string())
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            cols[i] = pa.array([None if t is None else len(t) for t in kept], cols[i].type)
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     # numbered columns: whatever the others are called, nothing clashes
     d = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    none, some = _dealt(d, f"c{names.index('doc_id')}", lost_lines(docs, min_chars, min_docs))
-    return none.mapInArrow(apply, docs.schema).unionByName(some.mapInArrow(apply, docs.schema))
+    return _applied(d, f"c{names.index('doc_id')}", lost_lines(docs, min_chars, min_docs), apply, docs.schema)
