@@ -32,3 +32,21 @@ def test_local_top_k_plus_other(spark):
     loc = shap_local(ev, 5, ["coverage"]).collect()
     assert len(loc) == 6 and [r.feature for r in loc if r["rank"] == 6] == ["other"]
     assert abs(sum(r.shap for r in loc) - sum(r.shap for r in ev.collect())) < 1e-5
+
+
+def test_rows_that_lie_by_row_num_are_gathered_without_an_exchange(spark):
+    from conftest import SMALL_SF
+    from ratewise.operators.explain import _gathered, _side_by_side
+    from ratewise.plans.q_explain import _inputs
+    long, classes = _side_by_side(*_inputs(spark, SMALL_SF), ["coverage"], FREQ_EXPECTED)
+    plan = _gathered(long, ["coverage"], len(classes))._jdf.queryExecution().executedPlan().toString()
+    assert classes == [0, 1, 2, 3] and "collect_list" in plan and "Exchange" not in plan
+
+
+def test_missing_classes_and_features_are_left_out(spark):
+    sv = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 1.0), (4, "a", 1.0)], "row_num long, feature string, shap double")
+    fv = spark.createDataFrame([(1, 0, "a", 0.5), (1, 1, "c", 0.25), (2, 1, "a", 0.5), (3, 0, "a", 0.5)],
+                               "row_num long, num_claims int, feature string, shap double")
+    vals, e = mshap(sv, fv, 10.0, [0.25, 0.5])
+    assert sorted((r.row_num, r.num_claims, r.feature) for r in vals.collect()) == [(1, 0, "a"), (2, 1, "a")]
+    assert {r.num_claims: r.expected_value for r in e.collect()} == {0: 13.0 * 0.75, 1: (13.0 * 0.75 + 11.0 * 1.0) / 2}
