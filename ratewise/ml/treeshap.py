@@ -13,7 +13,8 @@ other features (Lundberg, Erion & Lee 2018 in closed form).
 
 Tables: the node table of the fitted model (MLlib writes it, Spark reads it);
 the leaf-path table made from it level by level; the patterns, that is the
-distinct outcomes of a tree's splits over all rows, which decide every o.  Rows
+distinct outcomes of a tree's splits over all rows, which decide every o, so
+that no later table holds a row's values.  Rows
 are joined to their patterns, patterns to leaf paths by interval, the outcomes
 met there to their values, and contributions summed by group.  No rows or nodes
 are collected.
@@ -148,12 +149,18 @@ def leaf_values(leaves: DataFrame, seen: DataFrame, n_outputs: int) -> DataFrame
         F.struct("f", *[(F.col("value")[c] * F.col("s")).alias(f"s{c}") for c in range(n_outputs)])).alias("parts"))
 
 
-def pattern_values(patterns: DataFrame, leaves: DataFrame, n_outputs: int) -> DataFrame:
-    """``tree, pattern, parts``: per pattern of a tree, ``x`` being any row
-    with it, the contribution of each feature (``f, s0, s1, ...``).  A leaf
-    meets few of the outcomes on its path, so each is worked out once."""
-    inside = F.transform("path", lambda e: F.when((F.get("x", e["f"]) > e["lo"]) & (F.get("x", e["f"]) <= e["hi"]), "1").otherwise("0"))
-    met = patterns.join(leaves.where(F.size("path") > 0), "tree").select("tree", "pattern", "leaf", F.array_join(inside, "").alias("bits"))
+def pattern_values(patterns: DataFrame, leaves: DataFrame, splits: DataFrame, n_outputs: int) -> DataFrame:
+    """``tree, pattern, parts``: per pattern of a tree, ``below`` naming the
+    ``splits`` whose threshold its rows don't exceed, the contribution of each
+    feature (``f, s0, s1, ...``).  The ends of an interval are splits, so the
+    pattern tells what is inside.  A leaf meets few of the outcomes on its path,
+    so each is worked out once."""
+    at = lambda e, end: F.array_position("splits", F.struct(e["f"].alias("f"), e[end].alias("at"))).cast("int")
+    ends = F.transform("path", lambda e: F.struct(at(e, "lo").alias("lo"), at(e, "hi").alias("hi")))       # 0: no end
+    placed = leaves.where(F.size("path") > 0).join(splits, "tree").select("tree", "leaf", ends.alias("ends"))
+    is_below = lambda i: F.substring("below", i, 1) == "1"
+    inside = F.transform("ends", lambda e: F.when(((e["lo"] == 0) | ~is_below(e["lo"])) & ((e["hi"] == 0) | is_below(e["hi"])), "1").otherwise("0"))
+    met = patterns.join(placed, "tree").select("tree", "pattern", "leaf", F.array_join(inside, "").alias("bits"))
     values = stage(leaf_values(leaves, met.select("tree", "leaf", "bits").distinct(), n_outputs), "leaf-values")
     sums = (met.join(values, ["tree", "leaf", "bits"]).select("tree", "pattern", F.inline("parts"))
             .groupBy("tree", "pattern", "f").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(n_outputs)]))
@@ -177,12 +184,13 @@ def tree_shap(df: DataFrame, model, feature_names: list[str], ids: list[str], cl
     trees = [r["tree"] for r in splits.select("tree").collect()]        # a number for each tree with splits
     rows = df.select(*ids, vector_to_array(F.col(features)).alias("x"))
     bits = F.array_join(F.transform("splits", lambda s: F.when(F.get("x", s["f"]) <= s["at"], "1").otherwise("0")), "")
-    placed = stage(rows.select(*ids, "x", F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<int>")).alias("tree"))
-                   .join(F.broadcast(tables) if few else tables, "tree")
-                   .select(*ids, "tree", F.md5(bits.cast("binary")).alias("pattern"), "x"), "tree-patterns")
-    patterns = stage(placed.groupBy("tree", "pattern").agg(F.any_value("x").alias("x")), "patterns")
-    values = stage(pattern_values(patterns, leaves, k), "pattern-values")
-    sums = (placed.select(*ids, "tree", "pattern").join(values, ["tree", "pattern"]).select(*ids, F.inline("parts"))
+    located = (rows.select(*ids, "x", F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<int>")).alias("tree"))
+               .join(F.broadcast(tables) if few else tables, "tree").select(*ids, "tree", bits.alias("below")))
+    pattern = F.md5(F.col("below").cast("binary")).alias("pattern")
+    placed = stage(located.select(*ids, "tree", pattern), "tree-patterns")
+    patterns = stage(located.select("tree", "below").distinct().select("tree", pattern, "below"), "patterns")
+    values = stage(pattern_values(patterns, leaves, tables, k), "pattern-values")
+    sums = (placed.join(values, ["tree", "pattern"]).select(*ids, F.inline("parts"))
             .groupBy(*ids, "f").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(k)]))
     per_row = sums.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("f", F.array(*[f"s{c}" for c in range(k)])))).alias("_s"))
     # features that no tree splits on, and rows without any split, have zeros

@@ -178,3 +178,20 @@ def test_grid_runs_models_together_and_survives_failures(spark, tmp_path):
                      done=done_models(spark, results), nfolds=2)
     assert [r.mod_num for r in again.collect()] == [3]
     d.unpersist()
+
+
+def test_attributions_store_no_row_values(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from ratewise.ml import treeshap
+    from ratewise.ml.models import fit_rf_reg
+    made, stage = {}, treeshap.stage
+    monkeypatch.setattr(treeshap, "stage", lambda df, name: made.setdefault(name, df.columns) and stage(df, name))
+    d = spark.range(60).select(F.col("id").alias("row_num"), (F.col("id") % 7).cast("double").alias("y"),
+                               array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 4).cast("double"))).alias("features"))
+    model = fit_rf_reg(d, "y", {"ntrees": 2, "max_depth": 3})
+    shap, ev = treeshap.tree_shap(d, model, ["a", "b"], ["row_num"], classification=False)
+    total = shap.groupBy("row_num").agg(F.sum("shap").alias("s")).join(model.transform(d), "row_num")
+    mean = ev.first()["expected_value"]
+    assert total.where(F.abs(F.col("s") + mean - F.col("prediction")) > 1e-9).count() == 0
+    assert made["tree-patterns"] == ["row_num", "tree", "pattern"] and made["patterns"] == ["tree", "pattern", "below"]
