@@ -48,3 +48,20 @@ def test_best_pair_tie_break(spark):
                                 "freq_mod_num int, mae double, mse double")
     r = best_pair(cmp, "mae", by=["coverage"]).collect()
     assert len(r) == 1 and (r[0].sev_mod_file, r[0].sev_mod_num) == ("a", 2)
+
+
+def test_rows_are_not_broadcast(spark, tmp_path):
+    import re
+    from pyspark.sql import functions as F
+    from ratewise.operators.twopart import compare_models
+    from ratewise.sources.results import read_predictions, table_path
+    tests = spark.createDataFrame([("bi", 1, 5.0), ("bi", 2, 7.0)], "coverage string, row_num long, ULTIMATE_AMOUNT double")
+    scored = tests.select("row_num", F.lit(1).alias("mod_num"), F.lit(2.0).alias("predict"), *[F.lit(0.25).alias(f"p{c}") for c in range(4)],
+                          F.lit(1).cast("long").alias("written"))
+    scored.write.parquet(table_path(str(tmp_path), "bi", "sev", "gb", "severity", "predictions"))
+    scored.write.parquet(table_path(str(tmp_path), "bi", "freq", "rf", "ultimate_claim_count", "predictions"))
+    sev, freq = (read_predictions(spark, str(tmp_path), part, rows=tests) for part in ("sev", "freq"))
+    pairs = compare_models(sev, freq, tests, keys=["coverage"])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[[^]]*row_num", plan)
+    assert [(r.mae, r.mse) for r in pairs.collect()] == [(3.0, 10.0)]
