@@ -4,12 +4,13 @@ counts, AGG20 histogram and Gaussian KDE behind the distribution figures."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
-from .quantiles import PER_BUCKET, exact_quantiles, group_statistics, value_frequencies
+from .quantiles import PER_BUCKET, exact_quantiles, group_statistics
 from .reshape import unpivot_factors
 
 # Output suffix per measure and the numeric-summary labels.
@@ -71,6 +72,10 @@ def _summary_columns(by: list[str], measures: list[str]) -> list[str]:
 SKETCH_K = 800
 
 
+#: Groups of a factor whose quartiles are broadcast to the rows.
+BROADCAST_LEVELS = 5_000
+
+
 def sketch_error(k: int = SKETCH_K) -> float:
     return 3 * 2.446 / k ** 0.9433
 
@@ -121,22 +126,31 @@ def sketch_misses(df: DataFrame, summary: DataFrame, by: list[str] | None = None
     (by..., variable, level, measure, quartile) ``miss``, the distance of p
     from the shares of the group's values below and up to the quantile."""
     by, factors, measures = by or [], factors or FACTORS, measures or MEASURES
-    long = (unpivot_factors(df.select(*by, *measures, *factors), by + measures, factors)
-            .unpivot([*by, "variable", "level"], [F.col(m).cast("double").alias(MEASURE_SUFFIX.get(m, m.lower())) for m in measures], "measure", "_value"))
-    keys = [*by, "variable", "level", "measure"]
-    vf = value_frequencies(long, keys, "_value").where("_v is not null")
-    found = summary.select(*by, "variable", "level", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("measure"), *[F.col(f"{q}_{s}").alias(q) for q in QUARTILES])
-        for s in (MEASURE_SUFFIX.get(m, m.lower()) for m in measures)])))
-    l, r = vf.alias("a"), found.alias("b")
-    joined = l.join(r, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]).select(
-        *[F.col(f"a.`{k}`") for k in keys], "_v", "_c", *QUARTILES)
-    shares = joined.groupBy(*keys).agg(F.sum("_c").alias("_n"), *[
-        F.sum(F.when(F.col("_v") < F.col(q), F.col("_c")).otherwise(0)).alias(f"lo_{q}") for q in QUARTILES], *[
-        F.sum(F.when(F.col("_v") <= F.col(q), F.col("_c")).otherwise(0)).alias(f"hi_{q}") for q in QUARTILES])
-    miss = lambda q, p: F.greatest(F.col(f"lo_{q}") / F.col("_n") - p, p - F.col(f"hi_{q}") / F.col("_n"), F.lit(0.0))
-    return shares.select(*keys, F.inline(F.array(*[F.struct(F.lit(q).alias("quartile"), miss(q, p).alias("miss"), F.col("_n").alias("n"))
-                                                   for q, p in QUARTILES.items()])))
+    keys, names = [*by, "variable", "level"], {m: MEASURE_SUFFIX.get(m, m.lower()) for m in measures}
+    found = summary.select(*keys, *[f"{q}_{s}" for s in names.values() for q in QUARTILES])
+    # rows meet the quartiles of their group where they are, and only counts are exchanged; rows of factors with many
+    # groups are exchanged
+    sizes = found.groupBy("variable").agg(F.count("*").alias("n")).collect()                # a row for each factor
+    many = [r["variable"] for r in sizes if r["n"] > BROADCAST_LEVELS]
+    counts = []
+    for s, m in ((s, m) for m, s in names.items()):
+        v = F.col(f"a.`{m}`").cast("double")
+        counts += [F.count(v).alias(f"n_{s}")] + [F.count_if(test).alias(f"{side}_{q}_{s}") for q in QUARTILES
+                                                  for side, test in (("lo", v < F.col(f"b.{q}_{s}")), ("hi", v <= F.col(f"b.{q}_{s}")))]
+
+    def counted(own: list[str], few: bool) -> DataFrame:
+        groups = found.where(F.col("variable").isin(own))
+        left = unpivot_factors(df.select(*by, *measures, *own), by + measures, own).alias("a")
+        right = (F.broadcast(groups) if few else groups.hint("merge")).alias("b")
+        joined = left.join(right, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+        return joined.groupBy(*[F.col(f"a.`{k}`") for k in keys]).agg(*counts)
+
+    parts = [counted(own, few) for own, few in (([f for f in factors if f not in many], True), ([f for f in factors if f in many], False)) if own]
+    shares = reduce(DataFrame.unionByName, parts)
+    miss = lambda s, q, p: F.greatest(F.col(f"lo_{q}_{s}") / F.col(f"n_{s}") - p, p - F.col(f"hi_{q}_{s}") / F.col(f"n_{s}"), F.lit(0.0))
+    there = [F.when(F.col(f"n_{s}") > 0, F.struct(F.lit(s).alias("measure"), F.lit(q).alias("quartile"), miss(s, q, p).alias("miss"), F.col(f"n_{s}").alias("n")))
+             for s in names.values() for q, p in QUARTILES.items()]
+    return shares.select(*keys, F.inline(F.array_compact(F.array(*there))))
 
 
 def numeric_summary(df: DataFrame, by: list[str] | None = None, measures: list[str] | None = None,

@@ -107,3 +107,15 @@ def test_unpivot_probs(spark):
     df = spark.createDataFrame([(1, 0.1, 0.2, 0.3, 0.4)], "row_num long, p0 double, p1 double, p2 double, p3 double")
     out = {r.num_claims: r.prediction for r in unpivot_probs(df, ["row_num"]).collect()}
     assert out == {0: 0.1, 1: 0.2, 2: 0.3, 3: 0.4}
+
+
+def test_rank_check_exchanges_counts_not_values(spark, monkeypatch):
+    from ratewise.operators import summarize
+    df, _ = _df(spark)
+    summary = sketch_summary(factor_sketches(df, factors=["A", "B"]))
+    found = [sorted(map(str, sketch_misses(df, summary, factors=["A", "B"]).collect()))]
+    plan = sketch_misses(df, summary, factors=["A", "B"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(summarize, "BROADCAST_LEVELS", 2)           # A has three levels, NULL being one
+    found.append(sorted(map(str, sketch_misses(df, summary, factors=["A", "B"]).collect())))
+    assert found[0] == found[1] and len(found[0]) == 5 * 3 * 3
