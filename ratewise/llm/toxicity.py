@@ -17,6 +17,11 @@ weigh more.  A toxic document is taken to be ordinary words mixed with toxic
 ones: its likelihood of a word is ``(1 - mix) P_ordinary + mix P_toxic``.  The
 two log-likelihoods of a text are compared per word, and logistic regression
 on labelled rows outside the counts turns the difference into a score.
+
+Tables of few n-grams are broadcast and each task works out the words it meets.
+If one is larger than that allows, all words' log ratios are worked out by joins
+of the whole tables, and texts are joined to those of their words that are not
+among the commonest.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .common import scratch as write_table
 from .textbatch import U64, _K, flat, in_chunks, mix
 from .wordlists import code_points, distinct, outside, runs, strings
 
@@ -40,7 +46,8 @@ START, END = 1, 2
 _LETTERS = outside([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 #: Runs without a break are cut into words of so many code points.
 LONGEST = 32
-#: Distinct words that a task holds before it hands them on.
+#: Distinct words that a task holds before it hands them on, and words whose
+#: ratios are broadcast when the tables are not.
 HELD_WORDS = 200_000
 #: Words whose n-grams a task works on at a time, and bytes of labelled texts.
 GRAM_WORDS, LABELLED_BYTES = 20_000, 1 << 18
@@ -131,7 +138,8 @@ def _gram_rows(grams: Grams, orders, weights=None):
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
-    """The distinct words of all documents."""
+    """``word, n``: the distinct words of all documents, and how often tasks
+    handed them on, which is often for those found everywhere."""
 
     def run(batches):
         held, count = [], 0
@@ -149,20 +157,20 @@ def corpus_words(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held)).cast(pa.string())], names=["word"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string").distinct()
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def shared_counts(docs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
-    """Kneser-Ney counts of all orders up to ``order`` over the words of all
-    documents: ``k, gram, context, n``."""
+def shared_counts(words: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """Kneser-Ney counts of all orders up to ``order`` over distinct words:
+    ``k, gram, context, suffix, at_start, n``."""
 
     def run(batches):
         for batch in batches:
-            words = batch.column(0).cast(pa.large_string())
-            for i in range(0, len(words), GRAM_WORDS):
-                yield from _gram_rows(Grams(words.slice(i, GRAM_WORDS), order), range(1, order + 1))
+            kinds = batch.column(0).cast(pa.large_string())
+            for i in range(0, len(kinds), GRAM_WORDS):
+                yield from _gram_rows(Grams(kinds.slice(i, GRAM_WORDS), order), range(1, order + 1))
 
-    grams = scratch(corpus_words(docs).mapInArrow(run, _GRAM_ROW).groupBy("k", "gram")
+    grams = scratch(words.select("word").mapInArrow(run, _GRAM_ROW).groupBy("k", "gram")
                     .agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"),
                          F.first("at_start").alias("at_start"), F.sum("n").alias("n")), "toxic-grams")
     left = (grams.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram"))
@@ -170,7 +178,7 @@ def shared_counts(docs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     # nothing stands before a word's start, so its grams keep their own counts
     own = (F.col("k") == order) | F.col("at_start")
     return (grams.join(left, ["k", "gram"], "left")
-            .select("k", "gram", "context", F.when(own, F.col("n")).otherwise(F.coalesce("neighbours", F.lit(1))).alias("n")))
+            .select("k", "gram", "context", "suffix", "at_start", F.when(own, F.col("n")).otherwise(F.coalesce("neighbours", F.lit(1))).alias("n")))
 
 
 def class_counts(docs: DataFrame, sample: DataFrame, order: int) -> DataFrame:
@@ -280,38 +288,154 @@ class Scorer:
                 self.ratios = np.concatenate([self.ratios, out[~old]])
         return out
 
-    def features(self, column: pa.Array) -> np.ndarray:
-        """Per text the mean of the words' log ratios, and the same on a log
-        scale with its sign; zeros without words."""
+    def means(self, column: pa.Array) -> np.ndarray:
+        """Per text the mean of the words' log ratios, 0 without words."""
         words, doc = text_words(column)
         kinds, at = distinct(words)
         ratio = self.word_ratio(kinds)[at]
         n = np.bincount(doc, minlength=len(column))
-        mean = np.bincount(doc, ratio, len(column)) / np.maximum(n, 1)
-        return np.stack([mean, np.arcsinh(10 * mean / self.model.mix)], axis=1)
+        return np.bincount(doc, ratio, len(column)) / np.maximum(n, 1)
 
 
-def fit_counts(docs: DataFrame, sample: DataFrame, order: int, discount: float, mixture: float, max_ngrams: int,
-               scratch: Scratch) -> Model:
-    """The two models.  The tables hold the ``max_ngrams`` most frequent grams;
-    others back off, as unseen ones do."""
-    counts = scratch(shared_counts(docs, order - 1, scratch), "toxic-shared")
-    shared, symbols = [], 1
+@dataclass
+class Ratios:
+    """The log ratios of all words, for counts too many to broadcast: a table
+    of them, and the commonest words with theirs."""
+
+    mix: float
+    table: DataFrame       # word, ratio
+    words: pa.Array
+    ratios: np.ndarray
+
+
+def word_ratios(words: DataFrame, shared: DataFrame, own: DataFrame, order: int, discount: float, mixture: float,
+                scratch: Scratch) -> DataFrame:
+    """``word, n, ratio`` of all words, as ``Model.word_ratio`` gives it, from
+    whole tables: P_shared is worked out once for each gram, order by order,
+    and the difference of the logs once for each gram of the highest order."""
+    low = None
     for k in range(1, order):
-        level = counts.where(F.col("k") == k)
-        rows = level.orderBy(F.desc("n"), "gram").limit(max_ngrams).select("gram", "n").toPandas()
-        ctx = (level.groupBy("context").agg(F.sum("n").alias("n"), F.sum(F.least(F.col("n"), F.lit(0.75))).alias("mass"))
-               .orderBy(F.desc("n"), "context").limit(max_ngrams).toPandas())
-        shared.append((*_sorted(rows["gram"], rows["n"]), *_sorted(ctx["context"], ctx["n"], ctx["mass"])))
-        symbols = max(symbols, len(rows)) if k == 1 else symbols
+        level = shared.where(F.col("k") == k)
+        sums = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.least(F.col("n"), F.lit(0.75))).alias("mass"))
+        below = (level.withColumn("low", F.lit(1.0 / max(level.count(), 1))) if low is None
+                 else level.join(low.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix"))
+        p = F.greatest(F.col("n") - 0.75, F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("low")
+        now = below.join(sums, "context").select("gram", "at_start", p.alias("p"))
+        # the grams from a word's start have no higher order
+        low = scratch(now if low is None else now.unionByName(low.where("at_start")), "toxic-lower")
+
+    def kinds_of(batches):
+        for batch in batches:
+            kinds = batch.column(0).cast(pa.large_string())
+            for i in range(0, len(kinds), GRAM_WORDS):
+                yield kinds.slice(i, GRAM_WORDS), Grams(kinds.slice(i, GRAM_WORDS), order)
+
+    def whole(batches):
+        for _, grams in kinds_of(batches):
+            columns = _tally(grams.gram(order), grams.gram(order, 1), grams.gram(order - 1))[:3]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["gram", "context", "suffix"])
+
+    def held(batches):
+        for kinds, grams in kinds_of(batches):
+            yield pa.RecordBatch.from_arrays([kinds.take(pa.array(grams.word)).cast(pa.string()), pa.array(grams.gram(order))], names=["word", "gram"])
+
+    alone = words.select("word")
+    grams = (alone.mapInArrow(whole, "gram long, context long, suffix long").groupBy("gram")
+             .agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+             .join(low.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
+             .join(own.select("gram", "toxic", "ordinary"), "gram", "left").join(_class_sums(own, discount, "_total"), "context", "left"))
+    logs = []
+    for c in ("toxic", "ordinary"):
+        total = F.col(f"{c}_total")
+        p = F.greatest(F.coalesce(c, F.lit(0)) - discount, F.lit(0.0)) / total + F.col(f"{c}_mass") / total * F.col("low")
+        logs.append(F.log(F.when(total > 0, p).otherwise(F.col("low"))))
+    grams = scratch(grams.select("gram", (logs[0] - logs[1]).alias("ratio")), "toxic-ratios")
+    sums = alone.mapInArrow(held, "word string, gram long").join(grams, "gram").groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    return words.join(sums, "word").select("word", "n", F.log1p(mixture * F.expm1(F.least("ratio", F.lit(MOST)))).alias("ratio"))
+
+
+def _class_sums(own: DataFrame, discount: float, name: str = "") -> DataFrame:
+    sums = [f for c in ("toxic", "ordinary") for f in (F.sum(c).alias(f"{c}{name}"), F.sum(F.least(F.col(c), F.lit(float(discount)))).alias(f"{c}_mass"))]
+    return own.groupBy("context").agg(*sums)
+
+
+def fit_counts(docs: DataFrame, sample: DataFrame, order: int, discount: float, mixture: float, max_ngrams: int,
+               scratch: Scratch) -> Model | Ratios:
+    """The two models: their tables if none has more than ``max_ngrams`` rows,
+    otherwise the log ratios that the whole tables give each word."""
+    words = scratch(corpus_words(docs), "toxic-words")
+    counts = scratch(shared_counts(words, order - 1, scratch), "toxic-shared")
     own = scratch(class_counts(docs, sample, order), "toxic-class")
-    rows = (own.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(max_ngrams)
-            .select("gram", "toxic", "ordinary").toPandas())
-    sums = [f for c in ("toxic", "ordinary") for f in (F.sum(c).alias(c), F.sum(F.least(F.col(c), F.lit(float(discount)))).alias(f"{c}_mass"))]
-    ctx = (own.groupBy("context").agg(*sums).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "context")
-           .limit(max_ngrams).toPandas())
+    levels = [counts.where(F.col("k") == k) for k in range(1, order)]
+    # a context is that of some gram: there are not more of them
+    if max(t.count() for t in [own, *levels]) > max_ngrams:
+        # kept after the call: what is returned reads it
+        table = write_table(word_ratios(words, counts, own, order, discount, mixture, scratch), "toxic-words-ratios")
+        common = table.orderBy(F.desc("n"), "word").limit(HELD_WORDS).select("word", "ratio").toPandas()
+        return Ratios(mixture, table.select("word", "ratio"), pa.array(common["word"], pa.large_string()), common["ratio"].to_numpy(np.float64))
+    shared = []
+    for level in levels:
+        rows = level.select("gram", "n").toPandas()
+        ctx = level.groupBy("context").agg(F.sum("n").alias("n"), F.sum(F.least(F.col("n"), F.lit(0.75))).alias("mass")).toPandas()
+        shared.append((*_sorted(rows["gram"], rows["n"]), *_sorted(ctx["context"], ctx["n"], ctx["mass"])))
+    rows = own.select("gram", "toxic", "ordinary").toPandas()
+    ctx = _class_sums(own, discount).toPandas()
     return Model(order, discount, mixture, shared, _sorted(rows["gram"], rows["toxic"], rows["ordinary"]),
-                 _sorted(ctx["context"], ctx["toxic"], ctx["toxic_mass"], ctx["ordinary"], ctx["ordinary_mass"]), symbols)
+                 _sorted(ctx["context"], ctx["toxic"], ctx["toxic_mass"], ctx["ordinary"], ctx["ordinary_mass"]),
+                 max(len(shared[0][0]), 1))
+
+
+def _by_model(docs: DataFrame, model: Model) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # max_ngrams rows a table at most
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for part in in_chunks(batch, 1, 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.means(part.column(1)))], names=["doc_id", "log_ratio"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_ratio double")
+
+
+def _by_words(docs: DataFrame, fitted: Ratios) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.words, fitted.ratios))
+
+    def run(batches):
+        common, ratios = shared.value
+        for batch in batches:
+            for part in in_chunks(batch, 1, 1 << 20):
+                words, doc = text_words(part.column(1))
+                kinds, at = distinct(words)
+                known = pc.fill_null(pc.index_in(kinds, value_set=common), -1).to_numpy(zero_copy_only=False)[at]
+                has, size = known >= 0, part.num_rows
+                total = np.bincount(doc[has], ratios[known[has]], size)
+                n = np.bincount(doc, minlength=size)
+                pair, times = np.unique(doc[~has] * max(len(kinds), 1) + at[~has], return_counts=True)
+                of, word = pair // max(len(kinds), 1), pair % max(len(kinds), 1)
+                # no word has a digit: a row that stands for its text meets none
+                mark = pc.binary_join_element_wise("0", part.column(2), "")
+                none = np.zeros(len(of), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([c, c.take(pa.array(of))]) for c in (part.column(0), part.column(2))]
+                    + [pa.concat_arrays([mark.cast(pa.string()), kinds.take(pa.array(word)).cast(pa.string())]),
+                       *[pa.array(np.concatenate(v)) for v in ((np.zeros(size, np.int64), times.astype(np.int64)), (total, none.astype(np.float64)),
+                                                              (n.astype(np.int64), none), (np.ones(size, np.int64), none))]],
+                    names=["doc_id", "digest", "word", "times", "total", "n", "copies"])
+
+    # rows equal in id and text have one mean, and are told apart by their number alone
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    pairs = docs.select("doc_id", "text", digest).mapInArrow(run, "doc_id long, digest string, word string, times long, total double, n long, copies long")
+    found = F.col("total") + F.col("times") * F.coalesce("ratio", F.lit(0.0))
+    return (pairs.join(fitted.table, "word", "left").groupBy("doc_id", "digest")
+            .agg(F.sum(found).alias("total"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+            .select("doc_id", (F.col("total") / F.greatest("n", F.lit(1))).alias("log_ratio"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select("doc_id", "log_ratio"))
+
+
+def mean_ratios(docs: DataFrame, fitted: Model | Ratios) -> DataFrame:
+    """``doc_id, log_ratio`` of each row of ``docs``: the mean of the log
+    ratios of its words, 0 without words."""
+    return _by_model(docs, fitted) if isinstance(fitted, Model) else _by_words(docs, fitted)
 
 
 def held_out(doc_id):
@@ -328,7 +452,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = 4, discount: float
     Labels are learnt from at most ``max_train`` labelled rows that are not
     held out, those with the smallest hash of their id; four fifths of them
     give the counts of the classes, the rest calibrate the score.  The backoff
-    counts cover all documents.  Null or empty texts, and texts without words,
+    counts cover all documents.  No n-gram is left out of the counts: tables of
+    up to ``max_ngrams`` rows are broadcast, larger ones are joined.  Null or empty texts, and texts without words,
     have no evidence and get the calibrated score of none.  Several labels of
     one document count as one, the worst; null labels and labels of other
     documents are not used; without labels of both values the share of toxic
@@ -341,38 +466,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = 4, discount: float
                      .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
                      .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
                      .withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0), "toxic-labels")
-    model = fit_counts(docs, sample.where("not calibrates").select("doc_id", "toxic"), order, discount,
-                       mixture, max_ngrams, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # max_ngrams rows a table at most
-
-    def features(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for part in in_chunks(batch, 1, 1 << 20):
-                x = scorer.features(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(list(x), pa.list_(pa.float64()))],
-                                                 names=["doc_id", *["toxic"] * (part.num_columns - 2), "x"])
-
-    chosen = docs.join(F.broadcast(sample.where("calibrates").select("doc_id", "toxic")), "doc_id")
-    rows = scratch(chosen.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, x array<double>"), "toxic-calibration")
+    fitted = fit_counts(docs, sample.where("not calibrates").select("doc_id", "toxic"), order, discount,
+                        mixture, max_ngrams, scratch)
+    # the mean on a log scale with its sign
+    x = F.signum("log_ratio") * F.asinh(F.abs(F.col("log_ratio")) * (10 / mixture))
+
+    marked = sample.where("calibrates").select("doc_id", "toxic")
+    chosen = docs.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")
+    rows = scratch(mean_ratios(chosen, fitted).join(F.broadcast(marked), "doc_id").select("toxic", x.alias("x")), "toxic-calibration")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if positive and positive < n:
         lr = LogisticRegression(labelCol="label", featuresCol="v", regParam=1e-6, maxIter=100)
-        fitted = lr.fit(rows.select(F.col("toxic").cast("double").alias("label"), array_to_vector(F.slice("x", 2, 1)).alias("v")))
-        weight, bias = float(fitted.coefficients[0]), float(fitted.intercept)
+        fit = lr.fit(rows.select(F.col("toxic").cast("double").alias("label"), array_to_vector(F.array("x")).alias("v")))
+        weight, bias = float(fit.coefficients[0]), float(fit.intercept)
     else:
         p = (positive + 0.5) / (n + 1)
         weight, bias = 0.0, float(np.log(p / (1 - p)))
-    scratch.clear()      # what is returned reads the documents and the model alone
-
-    def scores(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for part in in_chunks(batch, 1, 1 << 20):
-                x = scorer.features(part.column(1))
-                p = 1 / (1 + np.exp(-np.clip(weight * x[:, 1] + bias, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(x[:, 0])],
-                                                 names=["doc_id", "held_out", "score", "predicted", "log_ratio"])
+    scratch.clear()      # what is returned reads the documents and the fitted ratios alone
 
-    return (docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-            .mapInArrow(scores, "doc_id long, held_out boolean, score double, predicted int, log_ratio double"))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(x * weight + bias, F.lit(30.0)), F.lit(-30.0))))
+    return (mean_ratios(docs, fitted).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), "log_ratio")
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "log_ratio"))

@@ -299,6 +299,35 @@ def test_kneser_ney_against_dictionaries(spark):
         assert x == pytest.approx(math.log1p(.003 * math.expm1(min(want, X.MOST))), abs=1e-9)
 
 
+@pytest.mark.parametrize("common", [0, 40, 200_000])
+def test_toxicity_of_large_tables_is_whole(spark, monkeypatch, common):
+    """Tables of more grams than are broadcast give the scores of whole ones."""
+    docs, labels = toxic_tables()
+    scores = lambda **kw: sorted((r.doc_id or -1, r.held_out, r.predicted, r.score, r.log_ratio)
+                                 for r in X.toxicity(frame(spark, docs), label_frame(spark, labels), **kw).collect())
+    whole = scores()
+    monkeypatch.setattr(X, "HELD_WORDS", common)
+    cut = scores(max_ngrams=30)
+    assert [r[:3] for r in cut] == [r[:3] for r in whole] and len(cut) == len(docs)
+    for a, b in zip(cut, whole):
+        assert a[3:] == pytest.approx(b[3:], abs=1e-6)
+
+
+def test_ratios_of_large_tables_against_dictionaries(spark):
+    docs, labels = toxic_tables()
+    docs = docs[:200]
+    sample = {i: t for i, _, t in labels if i is not None and i < 200 and t is not None}
+    scratch = X.Scratch()
+    fitted = X.fit_counts(frame(spark, docs).select("doc_id", "text"), spark.createDataFrame(list(sample.items()), "doc_id long, toxic int"),
+                          4, 1.5, 0.003, 10, scratch)
+    got = {r.word: r.ratio for r in fitted.table.collect()}
+    scratch.clear()
+    assert set(got) == {w for _, t in docs for w in t.lower().split()}
+    for w in ["zarg", *sorted(got)[::12]]:
+        want = brute_kneser_ney(docs, sample, w, 4, 1.5)
+        assert got[w] == pytest.approx(math.log1p(.003 * math.expm1(min(want, X.MOST))), abs=1e-9)
+
+
 # ------------------------------------------------------------------- passages
 def test_shared_passages(spark):
     rng = random.Random(8)
