@@ -65,3 +65,13 @@ def test_rows_are_not_broadcast(spark, tmp_path):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"BroadcastHashJoin \[[^]]*row_num", plan)
     assert [(r.mae, r.mse) for r in pairs.collect()] == [(3.0, 10.0)]
+
+
+def test_severity_metrics_meet_their_rows_bucket_by_bucket(spark):
+    """Neither all rows in each executor nor an exchange of the rows of all models."""
+    from conftest import SMALL_SF
+    from ratewise.plans.q_twopart import severity_metric_rows
+    joined = severity_metric_rows(spark, SMALL_SF)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "Exchange" not in plan and "Sort" not in plan
+    assert joined.groupBy("row_num", "file", "mod_num").count().where("count > 1").count() == 0
