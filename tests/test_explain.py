@@ -50,3 +50,21 @@ def test_missing_classes_and_features_are_left_out(spark):
     vals, e = mshap(sv, fv, 10.0, [0.25, 0.5])
     assert sorted((r.row_num, r.num_claims, r.feature) for r in vals.collect()) == [(1, 0, "a"), (2, 1, "a")]
     assert {r.num_claims: r.expected_value for r in e.collect()} == {0: 13.0 * 0.75, 1: (13.0 * 0.75 + 11.0 * 1.0) / 2}
+
+
+def test_coverages_of_fitted_models_run_side_by_side(spark, monkeypatch):
+    import threading
+    import pytest
+    from ratewise.plans import q_explain as Q
+    together = threading.Barrier(len(Q.COVERAGES))
+
+    class Met(Exception):
+        pass
+
+    def fitted(spark, sf, cov):
+        together.wait(20)
+        raise Met
+    monkeypatch.setattr(Q, "fitted_shap", fitted)
+    monkeypatch.setattr(Q, "split_table", lambda spark, sf: None)
+    with pytest.raises(Met):
+        Q.q_mshap_fitted(spark, "")
