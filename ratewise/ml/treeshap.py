@@ -11,13 +11,19 @@ feature i
 where c_k are the coefficients of the product of (z_j + o_j t) over the path's
 other features (Lundberg, Erion & Lee 2018 in closed form).
 
-Tables: the node table of the fitted model (MLlib writes it, Spark reads it);
+A model of up to ``broadcast_nodes`` nodes is given to the tasks as the arrays
+of its leaf paths, and its rows are explained where they are, batch by batch
+and leaf by leaf: no row is exchanged.  k! (m - k - 1)! / m! is the integral of
+t^k (1 - t)^(m - k - 1) over 0..1, so the sum is that of the product of
+z_j (1 - t) + o_j t, which Gauss-Legendre points give exactly.
+
+Larger models are explained by joins.  Tables: the node table of the fitted model (MLlib writes it, Spark reads it);
 the leaf-path table made from it level by level; the patterns, that is the
 distinct outcomes of a tree's splits over all rows, which decide every o, so
 that no later table holds a row's values.  Rows
 are joined to their patterns, patterns to leaf paths by interval, the outcomes
-met there to their values, and contributions summed by group.  No rows or nodes
-are collected.
+met there to their values, and contributions summed by group.  There no rows or
+nodes are collected.
 """
 
 from __future__ import annotations
@@ -27,14 +33,23 @@ import os
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import stage
 from .models import BoostedModel
 
+#: Models of up to so many nodes are given to the tasks; MLlib holds the same
+#: nodes on the driver and gives them to the tasks that score rows.
+BROADCAST_NODES = 200_000
+#: Rows explained at a time, leaves whose contributions are held for them, and
+#: bytes of outcomes that a task works out once for all rows.
+ROWS, LEAVES, OUTCOME_BYTES = 4096, 128, 64_000_000
 #: Split tables of up to so many rows are broadcast to the rows; larger ones
 #: are joined by shuffle.
 BROADCAST_SPLITS = 100_000
@@ -167,15 +182,136 @@ def pattern_values(patterns: DataFrame, leaves: DataFrame, splits: DataFrame, n_
     return sums.groupBy("tree", "pattern").agg(F.collect_list(F.struct("f", *[f"s{c}" for c in range(n_outputs)])).alias("parts"))
 
 
+def local_paths(nodes: list) -> list[tuple]:
+    """``leaf_paths`` of the collected nodes: for each leaf the features on its
+    path, their intervals (lo, hi] and cover ratios, and its weighted values."""
+    trees: dict = {}
+    for r in nodes:
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    found = []
+    for tree in trees.values():
+        open_ = [(tree[0], {})]
+        while open_:
+            node, path = open_.pop()
+            if node["left"] < 0:
+                lo, hi, z = (np.array([e[i] for e in path.values()], dtype=float) for i in range(3))
+                found.append((np.array(list(path), dtype=np.int64), lo, hi, z, np.array(node["value"], dtype=float) * node["weight"]))
+                continue
+            for side in ("left", "right"):
+                child = tree[node[side]]
+                lo, hi, z = path.get(node["f"], (-math.inf, math.inf, 1.0))
+                lo, hi = (lo, min(hi, node["at"])) if side == "left" else (max(lo, node["at"]), hi)
+                open_.append((child, path | {node["f"]: (lo, hi, z * (child["cover"] / node["cover"] if node["cover"] else 0.0))}))
+    return found
+
+
+def outcome_shares(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """What a leaf of value 1 gives each of its m features, for rows of
+    outcomes ``o`` (n x m): (o_i - z_i) times the integral over 0..1 of the
+    product of z_j (1 - t) + o_j t over the other features."""
+    n, m = o.shape
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)         # exact up to degree m - 1 at least
+    total = np.zeros((n, m))
+    for t, w in zip((points + 1) / 2, weights / 2):
+        term = z * (1 - t) + o * t
+        before, after = np.ones((n, m)), np.ones((n, m))
+        np.cumprod(term[:, :-1], axis=1, out=before[:, 1:])
+        after[:, :-1] = np.cumprod(term[:, :0:-1], axis=1)[:, ::-1]
+        total += w * before * after
+    return (o - z) * total
+
+
+def _bits(codes: np.ndarray, m: int) -> np.ndarray:
+    return ((codes[:, None] >> np.arange(m)) & 1).astype(float)
+
+
+def explain_batches(paths: list[tuple], n_features: int, k: int):
+    """A function for ``mapInArrow`` on rows of ids and a last column of
+    feature values: the ids and the contributions, output by output."""
+    def explain(batches):
+        kept, held = {}, 0          # contributions by outcome, of leaves with few features
+        blocks = []
+        for at in range(0, len(paths), LEAVES):
+            block = [(leaf, *paths[leaf]) for leaf in range(at, min(at + LEAVES, len(paths))) if len(paths[leaf][0])]
+            if block:
+                f = np.concatenate([p[1] for p in block])
+                values = np.concatenate([np.repeat(p[5][None, :], len(p[1]), axis=0) for p in block])
+                order = np.argsort(f, kind="stable")
+                place = np.empty(len(f), dtype=np.int64)
+                place[order] = np.arange(len(f))
+                ends = np.searchsorted(f[order], np.arange(n_features + 1))
+                blocks.append((block, place, values[order], ends))
+        for p in paths:
+            size = 8 * len(p[0]) << len(p[0])
+            held += size
+            if held > OUTCOME_BYTES:
+                break
+            kept[len(kept)] = np.ascontiguousarray(outcome_shares(p[3], _bits(np.arange(1 << len(p[0])), len(p[0]))).T)
+
+        def one(x: np.ndarray) -> np.ndarray:
+            n = x.shape[1]
+            out = np.zeros((k, n_features, n))
+            for block, place, values, ends in blocks:
+                shares, e = np.empty((len(place), n)), 0
+                for leaf, fs, lo, hi, z, _ in block:
+                    codes = np.zeros(n, dtype=np.int64)
+                    for i, f in enumerate(fs):
+                        # as the splits ask: NaN exceeds every threshold
+                        inside = (x[f] <= hi[i]) if hi[i] < math.inf else np.ones(n, dtype=bool)
+                        if lo[i] > -math.inf:
+                            inside = inside & ~(x[f] <= lo[i])
+                        codes |= inside.astype(np.int64) << i
+                    table = kept.get(leaf)
+                    if table is None:           # only the outcomes that are met
+                        seen, codes = np.unique(codes, return_inverse=True)
+                        table = outcome_shares(z, _bits(seen, len(fs))).T
+                    for i in range(len(fs)):
+                        shares[place[e]] = table[i][codes]
+                        e += 1
+                for f in np.flatnonzero(np.diff(ends)):
+                    a, b = ends[f], ends[f + 1]
+                    out[:, f] += values[a:b].T @ shares[a:b]
+            return out.reshape(k * n_features, n).T
+
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            parts = [one(np.ascontiguousarray(x[a:a + ROWS].T, dtype=float)) for a in range(0, n, ROWS)]
+            flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (k * n_features))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                                             names=[*batch.schema.names[:-1], "_s"])
+    return explain
+
+
+def _explained_in_place(df: DataFrame, nodes: list, k: int, feature_names: list[str], ids: list[str], features: str) -> tuple[DataFrame, DataFrame]:
+    """``tree_shap`` of a model whose nodes are given to the tasks."""
+    paths = local_paths(nodes)
+    width = len(feature_names)
+    rows = df.select(*ids, vector_to_array(F.col(features)).alias("_x"))
+    schema = T.StructType([*rows.select(*ids).schema.fields, T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    made = rows.mapInArrow(explain_batches(paths, width, k), schema)
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("feature")) for i, n in enumerate(feature_names)])
+    outputs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.get("_s", c * width + F.col("i")))
+    full = made.select(*ids, "_s", F.inline(names)).select(*ids, "feature", F.posexplode(outputs).alias("output", "shap"))
+    mean = sum((p[4] * p[3].prod() for p in paths), np.zeros(k))
+    expected = df.sparkSession.createDataFrame([(c, float(mean[c])) for c in range(k)], "output int, expected_value double")
+    return full.select(*ids, "output", "feature", "shap"), expected
+
+
 def tree_shap(df: DataFrame, model, feature_names: list[str], ids: list[str], classification: bool,
-              features: str = "features") -> tuple[DataFrame, DataFrame]:
+              features: str = "features", broadcast_nodes: int = 0) -> tuple[DataFrame, DataFrame]:
     """(SHAP rows ``ids, output, feature, shap``, expected values ``output,
     expected_value``).  ``ids`` identify a row; ``output`` is the class of a
     classifier, the score column of a boosted model, else 0.  Per row and output
     all features are there, and their sum plus the expected value is the
-    model's output (of boosted models the score without its start value)."""
+    model's output (of boosted models the score without its start value).
+    Models of up to ``broadcast_nodes`` nodes are given to the tasks, others are
+    explained by joins."""
     spark = df.sparkSession
     nodes, k = node_table(spark, model, classification)
+    if broadcast_nodes and nodes.count() <= broadcast_nodes:
+        return _explained_in_place(df, nodes.collect(), k, feature_names, ids, features)        # bounded by broadcast_nodes
     leaves = leaf_paths(nodes)
     splits = (nodes.where("left >= 0").select("tree", "f", "at").distinct().groupBy("tree")
               .agg(F.array_sort(F.collect_list(F.struct("f", "at"))).alias("splits"), F.count("*").alias("n")))

@@ -195,3 +195,30 @@ def test_attributions_store_no_row_values(spark, monkeypatch):
     mean = ev.first()["expected_value"]
     assert total.where(F.abs(F.col("s") + mean - F.col("prediction")) > 1e-9).count() == 0
     assert made["tree-patterns"] == ["row_num", "tree", "pattern"] and made["patterns"] == ["tree", "pattern", "below"]
+
+
+@pytest.mark.parametrize("kind,params", [("rf", {"ntrees": 3, "max_depth": 4}), ("cls", {"ntrees": 3, "max_depth": 4}), ("deep", {"ntrees": 2, "max_depth": 14})])
+def test_attributions_in_place_equal_those_by_joins(spark, monkeypatch, kind, params):
+    """A model that is given to the tasks: no row is written or exchanged, and
+    missing numbers go where the splits send them."""
+    from ratewise.ml import treeshap
+    rng = np.random.default_rng(5)
+    rows = [(i, Vectors.dense([float(rng.integers(0, 6)), float("nan") if i % 11 == 0 else float(rng.normal()), *map(float, rng.normal(size=6))]),
+             float(rng.normal() + (i % 5)), i % 4) for i in range(160)]
+    d = spark.createDataFrame(rows, ["row_num", "features", "y", "label"])
+    names, cls = list("abcdefgh"), kind == "cls"
+    whole = d.where("row_num % 11 != 0")            # MLlib fits no missing numbers
+    model = M.fit_rf_cls(whole, "label", params) if cls else M.fit_rf_reg(whole, "y", params)
+    by_joins, ev = tree_shap(d, model, names, ["row_num"], cls)
+    want = {(r.row_num, r.output, r.feature): r.shap for r in by_joins.collect()}
+    staged, stage = [], treeshap.stage
+    monkeypatch.setattr(treeshap, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    monkeypatch.setattr(treeshap, "ROWS", 50)
+    if kind == "deep":
+        monkeypatch.setattr(treeshap, "OUTCOME_BYTES", 0)          # outcomes are worked out as they are met
+    in_place, ev_in_place = tree_shap(d, model, names, ["row_num"], cls, broadcast_nodes=treeshap.BROADCAST_NODES)
+    got = {(r.row_num, r.output, r.feature): r.shap for r in in_place.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert staged == ["tree-nodes"] and "Exchange" not in in_place._jdf.queryExecution().executedPlan().toString()
+    a, b = ({r.output: r.expected_value for r in e.collect()} for e in (ev, ev_in_place))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
