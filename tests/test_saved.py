@@ -91,3 +91,29 @@ def test_last_write_of_a_model_counts(spark, root):
 
 def test_typed_parameters():
     assert [typed(x) for x in ("3", "0.01", "True", "100,100", "[200, 200]", "huber", None)] == [3, 0.01, True, [100, 100], [200, 200], "huber", None]
+
+
+@pytest.mark.parametrize("part,algo,response", [("sev", "gb", "severity"), ("freq", "rf", "ultimate_claim_count")])
+def test_a_refit_has_all_parameters_of_the_tuned_model(spark, split, root, part, algo, response):
+    """What the results table does not hold would get the family's default: a
+    frequency forest tuned at depth 4 was refitted at depth 20."""
+    from ratewise.ml.features import fit_features
+    from ratewise.ml.saved import training_rows
+    from ratewise.ml.tune import run_grid
+    from ratewise.operators.grid import grid_rows
+    from ratewise.plans.q_models import _CHAIN_GRIDS
+    train, valid, test = split
+    kind, label, tuned = ("severity", "y", []) if part == "sev" else ("frequency", "label", [])
+    rows, fs = training_rows(train, part, response), fit_features(train, numeric=["EARNED_EXPOSURE"] if part == "freq" else [])
+
+    def fit(d, p):
+        tuned.append(M.fit_gbt_reg(d, "y", p) if part == "sev" else M.fit_rf_cls(d, "label", p))
+        return tuned[-1]
+
+    made = fs.transform(rows)
+    run_grid(spark, grid_rows(_CHAIN_GRIDS[part])[:1], fit, made, made, None, kind, label,
+             table_path(root, "coll", part, algo, response, "tuning_results"))
+    again = refit(winner(spark, root, part, f"coll_{algo}_{response}_predictions", 1), train).model
+    names = ["maxDepth", "maxBins", "minInfoGain", "subsamplingRate", "seed"] + (["stepSize", "maxIter", "lossType"] if part == "sev" else [])
+    assert [again.getOrDefault(n) for n in names] == [tuned[0].getOrDefault(n) for n in names]
+    assert again.getNumTrees == tuned[0].getNumTrees and again.totalNumNodes == tuned[0].totalNumNodes
