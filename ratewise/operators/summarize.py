@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FACTORS, MEASURES
+from .factor_cells import factor_statistics
 from .quantiles import PER_BUCKET, exact_quantiles, group_statistics
 from .reshape import unpivot_factors
 
@@ -28,23 +29,14 @@ def factor_summary(df: DataFrame, by: list[str] | None = None, factors: list[str
     """AGG2 over (by..., variable, level): count and min/q1/med/avg/q3/max/tot
     of each measure, with exact type-7 quartiles.
 
-    Factors and measures are unpivoted (narrow Expand) straight into one
-    value-frequency aggregate keyed by (by, variable, level, measure, value),
-    which is the only thing that reads the rows.  Sorted by (by, variable,
-    level).
+    Rows are counted by level and by cells of each measure's values, in the
+    tasks that read them (``factor_cells``).  Sorted by (by, variable, level).
     """
     by = by or []
     factors = factors or FACTORS
     measures = measures or MEASURES
-    # Integer tags instead of column-name strings keep the shuffled
-    # value-frequency keys narrow; names are restored at the end.
-    fstack = ", ".join(f"{i}, `{f}`" for i, f in enumerate(factors))
-    mstack = ", ".join(f"{i}, CAST(`{m}` AS DOUBLE)" for i, m in enumerate(measures))
-    tagged = (df.select(*by, *measures, *[F.col(f).cast("string").alias(f) for f in factors])
-                .select(*by, *measures, F.expr(f"stack({len(factors)}, {fstack}) AS (_vi, level)"))
-                .select(*by, "_vi", "level", F.expr(f"stack({len(measures)}, {mstack}) AS (_mi, _value)")))
     tkeys = by + ["_vi", "level"]
-    per_measure = group_statistics(tagged, tkeys + ["_mi"], "_value", QUARTILES, tag="_mi", per_bucket=per_bucket)
+    per_measure = factor_statistics(df, by, factors, measures, QUARTILES, per_bucket)
     aggs = [F.max("_rows").alias("count")]
     for i, m in enumerate(measures):
         s = MEASURE_SUFFIX.get(m, m.lower())
