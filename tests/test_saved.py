@@ -117,3 +117,25 @@ def test_a_refit_has_all_parameters_of_the_tuned_model(spark, split, root, part,
     names = ["maxDepth", "maxBins", "minInfoGain", "subsamplingRate", "seed"] + (["stepSize", "maxIter", "lossType"] if part == "sev" else [])
     assert [again.getOrDefault(n) for n in names] == [tuned[0].getOrDefault(n) for n in names]
     assert again.getNumTrees == tuned[0].getNumTrees and again.totalNumNodes == tuned[0].totalNumNodes
+
+
+def test_both_models_of_the_best_pair_are_refitted(spark, monkeypatch):
+    """The frequency model alone was chosen (by its own loss, of no pair) and
+    refitted, on validation rows too."""
+    from ratewise.ml import saved
+    from ratewise.plans import q_models
+    monkeypatch.setattr(q_models, "COVERAGES", ["coll"])
+    chosen, fitted, best_pair, fit_again = [], [], q_models.best_pair, saved.refit
+    monkeypatch.setattr(q_models, "best_pair", lambda pairs, metric, **k: chosen.append((metric, pairs.count())) or best_pair(pairs, metric, **k))
+
+    def spy(best, train, valid=None):
+        fitted.append((best, {r[0] for r in train.select("split").distinct().collect()}, valid is not None))
+        return fit_again(best, train, valid)
+
+    monkeypatch.setattr(saved, "refit", spy)
+    out = q_models.q_refit_best(spark, SMALL_SF)
+    assert chosen == [("mse", 4)]
+    assert [(w.part, rows, held) for w, rows, held in fitted] == [("sev", {"train"}, True), ("freq", {"train"}, True)]
+    assert [w.params["max_depth"] in (3, 6) and w.params["ntrees"] == 10 and w.params["categorical_encoding"] == "EnumLimited" for w, _, _ in fitted] == [True, True]
+    n = split_table(spark, SMALL_SF).where("coverage = 'coll' and split = 'test'").count()
+    assert out.where("predicted and sev_predicted and p_sum = 1.0").count() == out.count() == n
