@@ -64,12 +64,17 @@ class _Coded:
     entries in ``by`` and its level), and the values of the measures."""
 
     def __init__(self, n_by: int, n_measures: int, n_factors: int):
-        self.n_by, self.n_measures = n_by, n_measures
+        self.n_by, self.n_measures, self.n_factors, self.n = n_by, n_measures, n_factors, 0
+
+    def _begin(self) -> None:
+        """Codes are those of a chunk: what a task holds is bounded by its rows."""
         self.by_keys: dict = {}
-        self.groups: list[dict] = [{} for _ in range(n_factors)]
-        self.codes, self.values, self.n = [[] for _ in range(n_factors)], [[] for _ in range(n_measures)], 0
+        self.groups: list[dict] = [{} for _ in range(self.n_factors)]
+        self.codes, self.values = [[] for _ in range(self.n_factors)], [[] for _ in range(self.n_measures)]
 
     def add(self, batch: pa.RecordBatch) -> None:
+        if not self.n:
+            self._begin()
         n, by = batch.num_rows, np.zeros(batch.num_rows, dtype=np.int64)
         keys = [()]
         for c in range(self.n_by):
@@ -95,10 +100,10 @@ class _Coded:
         self.n += n
 
     def chunk(self) -> tuple[list, list]:
-        """The rows so far, which are given up: values with their NULLs, codes."""
+        """The rows so far, values with their NULLs and codes; the next row begins a new chunk."""
         values = [tuple(np.concatenate(x) for x in zip(*v)) for v in self.values]
         codes = [np.concatenate(c) for c in self.codes]
-        self.codes, self.values, self.n = [[] for _ in codes], [[] for _ in values], 0
+        self.n = 0
         return values, codes
 
     def columns(self, factor: int, code: np.ndarray, by_types: list) -> list[pa.Array]:

@@ -168,3 +168,31 @@ def test_factor_summary_exchanges_cells_not_rows(spark):
     finally:
         factor_cells.stage = stage
     assert written["factor-cells"].count() <= 10 * 2 * (2 * 129 + 2) and written["cell-values"].count() < 0.05 * 60_000 * 6
+
+
+def test_cells_of_several_chunks_add_up(monkeypatch):
+    """Codes are given anew in each chunk of a task."""
+    import pyarrow as pa
+    from ratewise.operators import factor_cells
+    rng = random.Random(8)
+    rows = [(rng.choice(["bi", "pd", None]), rng.choice([None, rng.random()]), rng.choice(["x", None]), str(rng.randrange(90))) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.string(), pa.string()))],
+                                       names=["cov", "m", "A", "B"])
+    batches = [batch.slice(a, 60) for a in range(0, 700, 60)]
+    wanted = {(i, 0): {(("bi",), level): [2, 4] for level in ("x", None, "7", "8")} for i in (0, 1)}
+
+    def added(made, n):
+        total = {}
+        for b in made:
+            for r in zip(*[c.to_pylist() for c in b.columns]):
+                total[r[:n]] = total.get(r[:n], 0) + r[5 if n == 5 else 6]
+        return total
+
+    found = []
+    for size in (100, 10_000):
+        monkeypatch.setattr(factor_cells, "CHUNK", size)
+        found.append((added(factor_cells.count_cells(1, 2, [[0.2, 0.5, 0.8]])(iter(batches)), 5),
+                      added(factor_cells.values_of_cells(1, 2, [[0.2, 0.5, 0.8]], wanted)(iter(batches)), 6)))
+    assert found[0] == found[1] and sum(found[0][0].values()) == 1400
+    inside = [r for r in rows if r[0] == "bi" and r[1] is not None and 0.2 < r[1] < 0.8]
+    assert sum(found[0][1].values()) == len([r for r in inside]) + len([r for r in inside if r[3] in ("7", "8")])
